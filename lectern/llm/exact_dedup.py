@@ -39,7 +39,8 @@ def digest_of(text: Column) -> Column:
 def frequent_digests(rows: DataFrame) -> DataFrame:
     """(digest) of all digests that may hold FREQUENT_SHARE of the rows; at most 1 / FREQUENT_SHARE of them after verification."""
     partial = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_WIDTH)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(digest, {SKETCH_SIZE})").alias("sketch"))
-    merged = partial.agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_SIZE})").alias("sketch"))
+    # Grouped by a constant: without groups, a partition without rows would hand an undefined sketch to the merge.
+    merged = partial.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_SIZE})").alias("sketch"))
     most = int(2 / FREQUENT_SHARE)
     return merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {most})")).alias("item")).select(F.col("item.item").alias("digest"))
 
