@@ -24,41 +24,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.common import pieces
+
 CAPACITY = 4096
 END_ID = 2
 #: Tokens that one task packs at once.
 GROUP_TOKENS = 512 * CAPACITY
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 2048.0
-#: Words whose ids a worker remembers at most; the memory is emptied beyond that.
-REMEMBERED_WORDS = 500_000
+#: Words, and parts of words, whose ids a worker remembers at most (about 200 bytes each); the memory is emptied beyond that.
+REMEMBERED_WORDS, REMEMBERED_PARTS = 1_200_000, 800_000
 
 #: White space for Python's split, but not for the tokenizer.
 _SPLIT_ONLY = re.compile("[\x1c-\x1f]")
+#: Words whose parts are plain to see: printable ASCII and Latin-1 letters, which lower-casing and NFC map one to one.
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: The vocabulary's split pattern (a fixed value of its format) for lower-cased plain words.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes. The vocabulary's words never cross white space, so ids are remembered by word."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    The vocabulary's tokens never cross white space, nor the borders of runs of letters, single digits and runs of other signs. So ids are
+    remembered by word, and new words are made of remembered parts; only unknown parts reach the tokenizer, many in one call."""
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        self.last[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if _SPLIT_ONLY.search(text):
-            return self._ids([text])[0]
-        words = text.split()
-        if new := [w for w in set(words) if w not in self.known]:
-            if len(self.known) + len(new) > REMEMBERED_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+        return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        lines = [" ".join(parts[i : i + 200]) for i in range(0, len(parts), 200)]
+        ids = np.concatenate([np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = 4 * (np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1)
+        raw = ids.tobytes()
+        if len(ends) == len(parts) and (not len(ends) or ends[-1] == len(raw)):
+            self.parts.update(zip(parts, [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+        else:
+            self.parts.update(zip(parts, self._ids(parts), strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts.clear()
+        plain = {w: _PARTS.findall(w.lower()) for w in words if _PLAIN.fullmatch(w) and "<|" not in w}
+        if new := list({p for parts in plain.values() for p in parts}.difference(self.parts)):
+            self._learn_parts(new)
+        self.known.update((w, b"".join(map(self.parts.__getitem__, parts))) for w, parts in plain.items())
+        other = [w for w in words if w not in plain]
+        self.known.update(zip(other, self._ids(other), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _SPLIT_ONLY.search(t) else t.split() for t in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(words or ())
+        fresh = new.difference(self.known)
+        if len(self.known) + len(fresh) > REMEMBERED_WORDS:
+            self.known.clear()
+            fresh = new
+        if fresh:
+            self._learn(fresh)
+        return [self._ids([t])[0] if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -126,12 +161,13 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
-                held.append((doc_id, len(ids) // 4, ids))
-                total += len(ids) // 4
-                if total >= GROUP_TOKENS:
-                    yield flush([CAPACITY] * (total // CAPACITY) + powers(total % CAPACITY))
+            for part, texts in pieces(batch):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in texts]), strict=True):
+                    ids += end
+                    held.append((doc_id, len(ids) // 4, ids))
+                    total += len(ids) // 4
+                    if total >= GROUP_TOKENS:
+                        yield flush([CAPACITY] * (total // CAPACITY) + powers(total % CAPACITY))
         if held:
             yield flush([CAPACITY] * (total // CAPACITY) + powers(total % CAPACITY))
 
