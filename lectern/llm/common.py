@@ -44,6 +44,11 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def small(side: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """side (a cut table of narrow rows) with a broadcast hint if it has at most so many rows; beyond, the join is a shuffle."""
+    return F.broadcast(side) if side.limit(most_rows + 1).count() <= most_rows else side
+
+
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import cut, pieces
+from lectern.llm.common import cut, pieces, small
 from lectern.llm.graph import connected
 
 SHINGLE = 5
@@ -37,6 +37,10 @@ _PER_LONG = 64 // BITS
 _HASHES = BANDS * ROWS
 #: Candidates with a lower estimate are dropped: 75 % less 4.5 standard deviations of the estimate.
 LEAST_ESTIMATE = 0.57
+#: The exhaustive comparison has finer signatures of so many minima, and drops estimates 4.5 of their standard deviations below 75 %.
+FINE_HASHES, LEAST_FINE = 1024, 0.69
+#: Partners of each node that are tried before the exhaustive comparison.
+BEST = 8
 #: Nodes of a bucket that one block of the exhaustive comparison holds.
 BLOCK = 256
 
@@ -54,10 +58,10 @@ def _powers(base: int, most: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[1], np.full(most - 1, base, dtype=np.uint64)]).astype(np.uint64))
 
 
-@functools.lru_cache(maxsize=1)
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    numbers = _mix(np.arange(1, 2 * _HASHES + 1, dtype=np.uint64) * _M1)
-    return numbers[:_HASHES, None] | np.uint64(1), numbers[_HASHES:, None]
+@functools.lru_cache(maxsize=2)
+def _functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    numbers = _mix(np.arange(1, 2 * hashes + 1, dtype=np.uint64) * _M1)
+    return numbers[:hashes, None] | np.uint64(1), numbers[hashes:, None]
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -98,23 +102,27 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mix(sums))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    a, b = _functions()
-    least = np.full(_HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(shingles), 4096):
-        least = np.minimum(least, (shingles[None, start : start + 4096] * a + b).min(axis=1))
+def minima(shingles: np.ndarray, hashes: int = _HASHES) -> np.ndarray:
+    a, b = _functions(hashes)
+    least, step = np.full(hashes, np.iinfo(np.uint64).max, dtype=np.uint64), (1 << 19) // hashes
+    for start in range(0, len(shingles), step):
+        least = np.minimum(least, (shingles[None, start : start + step] * a + b).min(axis=1))
     return _mix(least)
 
 
+def low_bits(least: np.ndarray) -> np.ndarray:
+    """The lowest BITS of each minimum, packed into longs."""
+    low = (least & np.uint64((1 << BITS) - 1)).reshape(-1, _PER_LONG)
+    return np.bitwise_or.reduce(low << (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
+
+
 def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(packed low bits of the minima, band keys), both as signed longs."""
     least = minima(shingles)
-    low = (least & np.uint64((1 << BITS) - 1)).reshape(-1, _PER_LONG)
-    packed = np.bitwise_or.reduce(low << (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(BITS)), axis=1)
     bands = np.full(BANDS, 0, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _M1
     for column in least.reshape(BANDS, ROWS).T:
         bands = _mix(bands ^ column) * _M2
-    return packed.view(np.int64), bands.view(np.int64)
+    return low_bits(least), bands.view(np.int64)
 
 
 _SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("packed", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -156,16 +164,16 @@ def agreement(a: Column, b: Column) -> Column:
     return (F.lit(1.0) - unequal / F.lit(float(_HASHES)) - F.lit(chance)) / F.lit(1.0 - chance)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles of each of nodes (node, doc_id), from the texts of the documents that stand for them."""
-    chosen = docs.join(nodes, "doc_id").select("node", "text")
+def _sets(docs: DataFrame, nodes: DataFrame, make=lambda s: s.view(np.int64)) -> DataFrame:  # noqa: ANN001
+    """node, and what make has of its set as shingles, for each of nodes (node, doc_id), from the texts of the documents that stand for them."""
+    chosen = docs.join(small(cut(nodes)), "doc_id").select("node", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch):
                 sets = [shingle_set(t) for t in texts]
                 right = [xxhash.xxh3_128_digest(s.tobytes()) == node for s, node in zip(sets, part.column(0).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([make(s) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
 
     return chosen.mapInArrow(read, "node binary, shingles array<long>").dropDuplicates(["node"])
 
@@ -182,34 +190,59 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * PERCENT).select("a", "b")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket but not a component and may be similar. members: key, node, component, packed."""
-    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("key", "n")
-    blocked = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+def _fine(shingles: np.ndarray) -> np.ndarray:
+    return low_bits(minima(shingles, FINE_HASHES)) if len(shingles) else np.zeros(FINE_HASHES // _PER_LONG, dtype=np.int64)
+
+
+def _mixed_buckets(members: DataFrame) -> DataFrame:
+    """key, n of the buckets that hold several components."""
+    return members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("key", "n")
+
+
+def _across(members: DataFrame, best: int = 0, hashes: int = _HASHES, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket but not a component and may be similar. members: key, node, component, packed.
+    best: if given, only each node's so many likeliest partners."""
+    blocked = members.join(_mixed_buckets(members), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     blocks = blocked.groupBy("key", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.flatten(F.collect_list("packed")).alias("packed"))
     blocks = cut(blocks)
     left, right = blocks, blocks.select("key", *[F.col(c).alias(f"{c}2") for c in blocks.columns[1:]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = _HASHES // _PER_LONG
+        longs = hashes // _PER_LONG
         ones = np.uint64(sum(1 << (BITS * k) for k in range(_PER_LONG)))
-        least = LEAST_ESTIMATE * (1 - 1.0 / (1 << BITS)) + 1.0 / (1 << BITS)
+        least = least_estimate * (1 - 1.0 / (1 << BITS)) + 1.0 / (1 << BITS)
         for batch in batches:
             for row in batch.to_pylist():
                 same = row["block"] == row["block2"]
                 x, y = (np.array(row[c], dtype=np.int64).view(np.uint64).reshape(-1, longs) for c in ("packed", "packed2"))
-                out = []
+                labels = {c: n for n, c in enumerate({*row["components"], *row["components2"]})}
+                of_x, of_y = (np.array([labels[c] for c in row[k]]) for k in ("components", "components2"))
+                likely = np.zeros((len(x), len(y)), dtype=np.int16)
                 for i in range(len(x)):
                     odd = x[i][None, :] ^ y
                     folded = odd | (odd >> np.uint64(1)) | (odd >> np.uint64(2)) | (odd >> np.uint64(3))
-                    unequal = np.bitwise_count(folded & ones).sum(axis=1)
-                    for j in np.flatnonzero(1.0 - unequal / _HASHES >= least):
-                        if row["components"][i] != row["components2"][j] and not (same and j <= i):
-                            out.append((min(row["nodes"][i], row["nodes2"][j]), max(row["nodes"][i], row["nodes2"][j])))
+                    equal = hashes - np.bitwise_count(folded & ones).sum(axis=1, dtype=np.int16)
+                    likely[i] = np.where((equal >= least * hashes) & (of_y != of_x[i]), equal, 0)
+                if same:
+                    likely = np.triu(likely, 1)
+                chosen = likely > 0
+                if best:
+                    by_row = np.argpartition(-likely, min(best, len(y)) - 1, axis=1)[:, :best]
+                    by_column = np.argpartition(-likely, min(best, len(x)) - 1, axis=0)[:best]
+                    some = np.zeros_like(chosen)
+                    np.put_along_axis(some, by_row, True, axis=1)
+                    np.put_along_axis(some, by_column, True, axis=0)
+                    chosen &= some
+                out = [(min(row["nodes"][i], row["nodes2"][j]), max(row["nodes"][i], row["nodes2"][j]), likely[i, j]) for i, j in zip(*np.nonzero(chosen), strict=True)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["a", "b", "equal"])
 
-    return left.join(right, "key").where(F.col("block") <= F.col("block2")).mapInArrow(compare, "a binary, b binary").distinct()
+    pairs = left.join(right, "key").where(F.col("block") <= F.col("block2")).mapInArrow(compare, "a binary, b binary, equal int").distinct()
+    if not best:
+        return pairs.select("a", "b")
+    ways = pairs.union(pairs.select("b", "a", "equal"))
+    ranked = ways.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.col("equal").desc(), "b"))).where(F.col("nth") <= best)
+    return ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -223,9 +256,19 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = cut(confirmed(stars, nodes, docs))
     component = connected(first)
-    labelled = members.select("key", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "packed"), "node")
-    more = confirmed(_across(labelled), nodes, docs)
-    return nodes, connected(first.unionByName(more))
+    placed = members.select("key", "node")
+
+    def labelled(component: DataFrame) -> DataFrame:
+        return placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    # First each node's likeliest partners in other components, which joins nearly all that belong together; then all that is left.
+    likeliest = _across(labelled(component).join(nodes.select("node", "packed"), "node"), BEST)
+    second = cut(first.unionByName(confirmed(likeliest, nodes, docs)))
+    rest = cut(labelled(connected(second)))
+    rest = cut(rest.join(_mixed_buckets(rest), "key", "left_semi"))
+    fine = cut(_sets(docs, nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), _fine).withColumnRenamed("shingles", "packed"))
+    more = confirmed(_across(rest.join(fine, "node"), 0, FINE_HASHES, LEAST_FINE), nodes, docs)
+    return nodes, connected(second.unionByName(more))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
