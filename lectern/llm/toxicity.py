@@ -29,8 +29,8 @@ from lectern.llm.common import fold, pieces, sample_rank
 
 #: Most examples of each label, chosen by hash; the classifier's only bounded sample.
 EXAMPLES = 1500
-#: Terms of the index, each in LEAST_TEXTS examples or more.
-TERMS, LEAST_TEXTS = 256, 3
+#: Terms of the index at most, each in LEAST_TEXTS examples or more, with a chi-square that chance has once in a million.
+TERMS, LEAST_TEXTS, LEAST_CHI_SQUARE = 256, 3, 24.0
 BLOCK = 64
 NEIGHBOURS = 15
 
@@ -134,9 +134,14 @@ def build(examples: list[tuple[int, str | None, int]], share: dict[int, float])
         c, d = n_toxic - a, n - n_toxic - b
         return n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d) or 1.0)
 
-    ranked = sorted((t for t in with_term if with_term[t] >= LEAST_TEXTS), key=lambda t: (-chi_square(t), t))[:TERMS]
+    apart = {t: x for t in with_term if with_term[t] >= LEAST_TEXTS and (x := chi_square(t)) >= LEAST_CHI_SQUARE}
+    ranked = sorted(apart, key=lambda t: (-apart[t], t))[:TERMS]
     vocabulary = {t: i for i, t in enumerate(ranked)}
     idf = np.array([math.log((1 + n) / (1 + with_term[t])) + 1.0 for t in ranked])
+    # Examples of one label and one leading term stand together, so that few blocks have a high bound for a text.
+    lead = [min((vocabulary[t] for t in c if t in vocabulary), default=len(ranked)) for c in counts]
+    together = sorted(range(n), key=lambda i: (toxic[i], lead[i], i))
+    examples, counts, toxic = [examples[i] for i in together], [counts[i] for i in together], toxic[together] if n else toxic
     blocks = -(-n // BLOCK)
     index = Index(vocabulary, idf, toxic, np.array([i if i is not None else -1 for i, _, _ in examples], dtype=np.int64), *[np.zeros(0)] * 2, np.zeros((len(ranked), blocks + 1), dtype=np.int64), np.zeros((len(ranked), blocks)))
     vectors = [index.vector(c) for c in counts]
