@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.plans import retrieval, structure
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple = ()
+_MODULES = (retrieval, structure)
 
 
 def queries() -> dict[str, Query]:
