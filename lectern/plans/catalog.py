@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import retrieval, structure
+from lectern.plans import knowledge, learning, lifecycle, retrieval, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (retrieval, structure)
+_MODULES = (retrieval, structure, learning, knowledge, lifecycle)
 
 
 def queries() -> dict[str, Query]:
