@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators import structure
 
@@ -51,9 +52,8 @@ def decode(raw: bytes | None) -> str:
     return raw.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
-def decoded(content: pd.Series) -> pd.Series:
-    return content.map(decode)
+def decoded(content: Column | str) -> Column:
+    return F.pandas_udf(lambda raw: raw.map(decode), T.StringType())(content)
 
 
 def text_books(found: DataFrame, dialect: str = "a") -> DataFrame:
