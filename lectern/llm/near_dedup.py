@@ -8,7 +8,8 @@ signatures by bit counts, corrected for chance agreement, to drop hopeless candi
 
 Defined results: null or empty text and text of white space have an empty set, are kept and linked with nothing; fewer
 than SHINGLE words form one shingle; documents with equal sets are linked; repeated rows share a
-component; rows of one doc_id with different texts are nodes of their own; an empty table gives an empty table; further
+component and are kept or dropped together; rows of one doc_id with different texts are nodes of their own; rows without
+doc_id are kept and linked with nothing (their component_id is null); an empty table gives an empty table; further
 columns are ignored by components() and kept by dedupe().
 """
 
@@ -274,7 +275,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(signatures(plain))
+    signed = cut(signatures(plain).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
     nodes, component = links(plain, signed)
     named = nodes.select("node", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

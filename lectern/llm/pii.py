@@ -199,7 +199,7 @@ def _states(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 @functools.lru_cache(maxsize=2)
-def trained(steps: int = 300, batch: int = 32, length: int = 64, seed: int = 7) -> dict[str, np.ndarray]:
+def trained(steps: int = 400, batch: int = 48, length: int = 64, seed: int = 7) -> dict[str, np.ndarray]:
     """The tagger's parameters; the same for the same arguments. The labelled sample is steps * batch texts."""
     r, rng = random.Random(seed), np.random.default_rng(seed)
     k = len(_TAGS)

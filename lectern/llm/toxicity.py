@@ -147,7 +147,7 @@ def build(examples: list[tuple[int, str | None, int]], share: dict[int, float])
     vectors = [index.vector(c) for c in counts]
     term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, dtype=np.int64)
     weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-    row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+    row = np.repeat(np.arange(n), np.array([len(t) for t, _ in vectors], dtype=np.int64))
     order = np.lexsort((row, term))
     term, index.rows, index.weights = term[order], row[order], weight[order]
     np.maximum.at(index.largest, (term, index.rows // BLOCK), index.weights)
