@@ -67,7 +67,7 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
-    """doc_id, source, row, size, source_size, target, copies for every row of docs; row tells repeated rows apart."""
+    """doc_id, source, row, mark (a hash of the text), size, source_size, target, copies for every row of docs; row tells repeated rows apart."""
     text = F.col(text_col)
     size = size_of(text)
     thin = cut(
@@ -75,6 +75,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.monotonically_increasing_id().alias("row"),
+            F.xxhash64(text).alias("mark"),
             size.alias("size"),
             (-F.log(uniform(F.col(id_col), text)) / (quality if quality is not None else quality_of(text, size))).alias("key"),
         )
@@ -108,7 +109,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     part = part.withColumn("extra", F.when(F.col("inside") | (F.col("row") == best.getField("row")), 1).otherwise(0)).drop("upto", "inside", "gap")
     rest = marked.where(F.coalesce(F.col("state"), F.lit("none")) != _PART).withColumn("extra", F.when(F.col("state") == _FULL, 1).otherwise(0))
     both = part.unionByName(rest)
-    return both.select("doc_id", "source", "row", "size", "source_size", "target", (F.col("epochs") + F.when(F.col("epochs") >= MOST_EPOCHS, 0).otherwise(F.col("extra"))).alias("copies"))
+    return both.select("doc_id", "source", "row", "mark", "size", "source_size", "target", (F.col("epochs") + F.when(F.col("epochs") >= MOST_EPOCHS, 0).otherwise(F.col("extra"))).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -119,7 +120,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: each row as often as it is taken, all columns kept."""
-    names = docs.columns
-    tagged = docs.withColumn("__row", F.monotonically_increasing_id())
-    copies = plan(docs, id_col, text_col, source_col).where(F.col("copies") > 0).select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    return tagged.join(copies, "__row").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    # Rows are met again by id and text, which any reading of docs agrees on. Repeated rows share what they take together.
+    keys = ["__id", "__mark"]
+    tagged = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__mark", F.xxhash64(F.col(text_col)))
+    planned = plan(docs, id_col, text_col, source_col).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("mark").alias("__mark"), "copies")
+    taken = planned.groupBy(*keys).agg(F.sum("copies").cast("int").alias("__taken"), F.count(F.lit(1)).cast("int").alias("__rows")).where(F.col("__taken") > 0)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(id_col)))
+    met = tagged.join(taken, keys).withColumn("__nth", nth)
+    copies = F.floor(F.col("__taken") / F.col("__rows")).cast("int") + (F.col("__nth") <= F.col("__taken") % F.col("__rows")).cast("int")
+    return met.withColumn("__copies", copies).where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
