@@ -34,3 +34,13 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = again
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def grown(component: DataFrame, edges: DataFrame) -> DataFrame:
+    """component (node, component) with further edges (a, b): only the components that edges join are worked on anew."""
+    a = component.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = component.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    named = cut(edges.select("a", "b").join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    over = connected(named.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    fresh = named.where(F.col("a") == F.col("ca")).select(F.col("a").alias("node"), F.col("ca").alias("component")).union(named.where(F.col("b") == F.col("cb")).select(F.col("b").alias("node"), F.col("cb").alias("component")))
+    return component.union(fresh).distinct().join(over, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import cut, pieces, small
-from lectern.llm.graph import connected
+from lectern.llm.graph import connected, grown
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -40,7 +40,7 @@ _HASHES = BANDS * ROWS
 LEAST_ESTIMATE = 0.57
 #: The exhaustive comparison has finer signatures of so many minima, and drops estimates 4.5 of their standard deviations below 75 %.
 FINE_HASHES, LEAST_FINE = 1024, 0.69
-#: Partners of each node that are tried before the exhaustive comparison.
+#: Pairs of each node that are tried at most before the exhaustive comparison, which tries all.
 BEST = 8
 #: Nodes of a bucket that one block of the exhaustive comparison holds.
 BLOCK = 256
@@ -202,7 +202,7 @@ def _mixed_buckets(members: DataFrame) -> DataFrame:
 
 def _across(members: DataFrame, best: int = 0, hashes: int = _HASHES, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket but not a component and may be similar. members: key, node, component, packed.
-    best: if given, only each node's so many likeliest partners."""
+    best: if given, only the likeliest pair of each component in each two blocks, and of those so many of each node."""
     blocked = members.join(_mixed_buckets(members), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     blocks = blocked.groupBy("key", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.flatten(F.collect_list("packed")).alias("packed"))
     blocks = cut(blocks)
@@ -228,11 +228,12 @@ def _across(members: DataFrame, best: int = 0, hashes: int = _HASHES, least_esti
                     likely = np.triu(likely, 1)
                 chosen = likely > 0
                 if best:
-                    by_row = np.argpartition(-likely, min(best, len(y)) - 1, axis=1)[:, :best]
-                    by_column = np.argpartition(-likely, min(best, len(x)) - 1, axis=0)[:best]
+                    # The likeliest pair of each component of either side.
                     some = np.zeros_like(chosen)
-                    np.put_along_axis(some, by_row, True, axis=1)
-                    np.put_along_axis(some, by_column, True, axis=0)
+                    for side, of in ((likely, of_x), (likely.T, of_y)):
+                        order = np.argsort(-side.max(axis=1), kind="stable")
+                        rows = order[np.unique(of[order], return_index=True)[1]]
+                        (some if side is likely else some.T)[rows, side[rows].argmax(axis=1)] = True
                     chosen &= some
                 out = [(min(row["nodes"][i], row["nodes2"][j]), max(row["nodes"][i], row["nodes2"][j]), likely[i, j]) for i, j in zip(*np.nonzero(chosen), strict=True)]
                 if out:
@@ -255,21 +256,20 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1).select("key", "leader"))
     members = cut(rows.join(shared, "key"))
     stars = members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = cut(confirmed(stars, nodes, docs))
-    component = connected(first)
+    component = cut(connected(confirmed(stars, nodes, docs)))
     placed = members.select("key", "node")
 
     def labelled(component: DataFrame) -> DataFrame:
         return placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    # First each node's likeliest partners in other components, which joins nearly all that belong together; then all that is left.
+    # First each component's likeliest pairs with others, which join nearly all that belong together; then all that is left.
     likeliest = _across(labelled(component).join(nodes.select("node", "packed"), "node"), BEST)
-    second = cut(first.unionByName(confirmed(likeliest, nodes, docs)))
-    rest = cut(labelled(connected(second)))
+    component = cut(grown(component, confirmed(likeliest, nodes, docs)))
+    rest = cut(labelled(component))
     rest = cut(rest.join(_mixed_buckets(rest), "key", "left_semi"))
     fine = cut(_sets(docs, nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), _fine).withColumnRenamed("shingles", "packed"))
     more = confirmed(_across(rest.join(fine, "node"), 0, FINE_HASHES, LEAST_FINE), nodes, docs)
-    return nodes, connected(second.unionByName(more))
+    return nodes, cut(grown(component, more))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,5 +286,5 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, all columns kept."""
-    dropped = components(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    dropped = cut(components(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct())
+    return docs.join(small(dropped), id_col, "left_anti")
