@@ -201,10 +201,11 @@ def _mixed_buckets(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, best: int = 0, hashes: int = _HASHES, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket but not a component and may be similar. members: key, node, component, packed.
+    """Pairs (a, b) of nodes that share a bucket but not a component and may be similar. members: key, node, component, packed [, bands].
+    With bands, a pair that shares several buckets is put out by the first of them alone.
     best: if given, only the likeliest pair of each component in each two blocks, and of those so many of each node."""
     blocked = members.join(_mixed_buckets(members), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    blocks = blocked.groupBy("key", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.flatten(F.collect_list("packed")).alias("packed"))
+    blocks = blocked.groupBy("key", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.flatten(F.collect_list("packed")).alias("packed"), *([F.flatten(F.collect_list("bands")).alias("bands")] if "bands" in members.columns else []))
     blocks = cut(blocks)
     left, right = blocks, blocks.select("key", *[F.col(c).alias(f"{c}2") for c in blocks.columns[1:]])
 
@@ -235,6 +236,12 @@ def _across(members: DataFrame, best: int = 0, hashes: int = _HASHES, least_esti
                         rows = order[np.unique(of[order], return_index=True)[1]]
                         (some if side is likely else some.T)[rows, side[rows].argmax(axis=1)] = True
                     chosen &= some
+                if "bands" in row:
+                    u, v = (np.array(row[c], dtype=np.int64).reshape(-1, BANDS) for c in ("bands", "bands2"))
+                    at = np.argwhere(chosen)
+                    for start in range(0, len(at), 4096):
+                        i, j = at[start : start + 4096].T
+                        chosen[i, j] = u[i, (u[i] == v[j]).argmax(axis=1)] == row["key"]
                 out = [(min(row["nodes"][i], row["nodes2"][j]), max(row["nodes"][i], row["nodes2"][j]), likely[i, j]) for i, j in zip(*np.nonzero(chosen), strict=True)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["a", "b", "equal"])
@@ -268,7 +275,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = cut(labelled(component))
     rest = cut(rest.join(_mixed_buckets(rest), "key", "left_semi"))
     fine = cut(_sets(docs, nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), _fine).withColumnRenamed("shingles", "packed"))
-    more = confirmed(_across(rest.join(fine, "node"), 0, FINE_HASHES, LEAST_FINE), nodes, docs)
+    more = confirmed(_across(rest.join(fine.join(full.select("node", "bands"), "node"), "node"), 0, FINE_HASHES, LEAST_FINE), nodes, docs)
     return nodes, cut(grown(component, more))
 
 
