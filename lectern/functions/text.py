@@ -239,6 +239,21 @@ def pdf_page(printed: Column, offset: Column) -> Column:
     return F.greatest(F.lit(1), F.round(printed).cast("int") - offset)
 
 
+def ocr_wait_minutes(pages: Column) -> Column:
+    """How long to wait for pages to be read: half a minute each and for thirty more, 45 minutes at least."""
+    return F.greatest(F.lit(45.0), (pages + 30) * 0.5)
+
+
+def content_kind(asset: Column, rows: Column) -> Column:
+    """image or table by what a section's content holds; null for plain text."""
+    return F.when(F.coalesce(asset, F.lit("")) != "", "image").when(F.coalesce(F.size(rows), F.lit(0)) > 0, "table")
+
+
+def grid_position(place: Column, columns: int = 3, width: int = 220, height: int = 120) -> Column:
+    """Where the node of a 0-based place stands in a grid."""
+    return F.struct((place % columns * width).alias("x"), (F.floor(place / columns) * height).alias("y"))
+
+
 # ---- predicates ----
 
 

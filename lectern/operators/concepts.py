@@ -166,6 +166,15 @@ def lesson_order(concepts: DataFrame, chapter: str = "chapter_id") -> DataFrame:
     return concepts.select(chapter, "ord", "concept", "prerequisites").groupBy(chapter).applyInPandas(order, schema)
 
 
+def lessons(concepts_of: DataFrame, titles: DataFrame, known: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """chapter, title, steps (text, anchors): a step for each concept in lesson order, with Markdown taken off and anchors that the chapter has. known: chapter, anchors."""
+    ordered = lesson_order(concepts_of, chapter).join(concepts_of.select(chapter, "concept", "definition", F.col("anchors").alias("own")), [chapter, "concept"]).join(known, chapter, "left")
+    anchors = F.filter("own", lambda a: F.coalesce(F.array_contains(F.col("anchors"), a), F.lit(False)))
+    step = F.struct("position", X.without_markdown(F.concat(F.col("concept"), F.lit("："), F.col("definition"))).alias("text"), anchors.alias("anchors"))
+    steps = F.transform(F.array_sort(F.collect_list(step)), lambda s: F.struct(s["text"].alias("text"), s["anchors"].alias("anchors")))
+    return ordered.groupBy(chapter).agg(steps.alias("steps")).join(titles, chapter, "left").select(chapter, "title", "steps")
+
+
 def lesson_errors(lessons: DataFrame, anchors: DataFrame, chapter: str = "chapter_id") -> DataFrame:
     """chapter, error of lessons (chapter, title, steps of text and anchors) that break the contract."""
     known = anchors.groupBy(chapter).agg(F.collect_set("anchor").alias("known"))

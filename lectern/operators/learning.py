@@ -55,19 +55,19 @@ def progress_parts(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def mastery(parts: DataFrame, paragraphs: Column) -> DataFrame:
-    """parts with coverage, engagement, mastery and status. Without quizzes the other weights share all."""
+def mastery(parts: DataFrame, paragraphs: Column, half_up: bool = False) -> DataFrame:
+    """parts with coverage, engagement, mastery and status. Without quizzes the other weights share all. half_up: halves are rounded up, as a reader's own device does."""
     coverage = F.when(paragraphs > 0, F.col("read") / paragraphs).otherwise(F.lit(0.0))
     engagement = F.least(F.col("questions"), F.lit(K.QUESTION_CAP)) / F.lit(float(K.QUESTION_CAP))
     quizzed = F.col("accuracy").isNotNull()
     of_rest = 100.0 / (K.COVERAGE_WEIGHT + K.ENGAGEMENT_WEIGHT)
 
     def share(value: Column, weight: float) -> Column:
-        return F.bround(value * F.when(quizzed, F.lit(weight)).otherwise(F.lit(weight * of_rest)), 1)
+        return (F.round if half_up else F.bround)(value * F.when(quizzed, F.lit(weight)).otherwise(F.lit(weight * of_rest)), 1)
 
     out = parts.withColumn("coverage", coverage).withColumn("engagement", engagement)
     points = share(F.col("coverage"), K.COVERAGE_WEIGHT) + share(F.col("engagement"), K.ENGAGEMENT_WEIGHT) + F.when(quizzed, F.bround(F.col("accuracy") * K.ACCURACY_WEIGHT, 1)).otherwise(0.0)
-    out = out.withColumn("mastery", half_even(F.bround(points, 6)))
+    out = out.withColumn("mastery", F.round(F.bround(points, 6), 0) if half_up else half_even(F.bround(points, 6)))
     return out.withColumn("status", F.when(F.col("completed") | (F.col("mastery") >= K.LEARNED_FROM), "learned").when(F.col("events") > 0, "learning").otherwise("planned"))
 
 

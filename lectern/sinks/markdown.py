@@ -75,3 +75,14 @@ def publish(tables: dict[str, DataFrame], folder: str, snapshot: str) -> str:
     for name, rows in tables.items():
         rows.write.mode("errorifexists").parquet(f"{folder}/{snapshot}/{name}")
     return f"{folder}/{snapshot}"
+
+
+def write_lessons(lessons: DataFrame, folder: str, chapter: str = "chapter_id") -> None:
+    """Lessons as JSON, a partition a chapter, and an index of their titles and numbers of steps."""
+    lessons.write.mode("overwrite").partitionBy(chapter).json(f"{folder}/lessons")
+    lessons.select(chapter, "title", F.size("steps").alias("steps")).write.mode("overwrite").json(f"{folder}/index")
+
+
+def capabilities(spark, **known: bool) -> DataFrame:  # noqa: ANN001
+    """name, available of optional parts."""
+    return spark.createDataFrame(sorted(known.items()) or [], "name string, available boolean")

@@ -40,3 +40,22 @@ def test_tools(spark):
     chunks = tools.summary_prompts(rows, ["chapter"], "seq", "anchor").orderBy("chunk").collect()
     assert [len(c["anchors"]) for c in chunks] == [8, 8, 8, 5] and "[9] 第9段" in chunks[1]["text"]
     assert tools.summaries(rows, ["chapter"], "seq").first()["summary"].count("\n- ") == 6
+
+
+def test_demo_book_to_lessons(spark, tmp_path):
+    from lectern.operators import concepts
+    from lectern.sinks import markdown as sink
+    from lectern.sources.demo import demo_book, seeded
+
+    books, chapters, sections, anchors = demo_book(spark)
+    assert chapters.count() == 2 and sections.where("kind = 'heading'").count() == 4
+    assert seeded(books.where("false"), books).count() == 1
+    rows = concepts.concept_paragraphs(anchors, sections).join(sections.select("id", "seq"), "id").select("chapter_id", "seq", F.col("id").alias("anchor"), "text")
+    found = concepts.rule_concepts(rows).withColumn("prerequisites", F.array().cast("array<string>"))
+    assert found.count() >= 2
+    known = anchors.groupBy("chapter_id").agg(F.collect_set("id").alias("anchors"))
+    made = concepts.lessons(found, chapters.select(F.col("id").alias("chapter_id"), "title"), known)
+    assert concepts.lesson_errors(made, anchors.select("chapter_id", F.col("id").alias("anchor"))).count() == 0
+    sink.write_lessons(made, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/index").count() == made.count()
+    assert sink.capabilities(spark, ocr=False, llm=True).count() == 2
