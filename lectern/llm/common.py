@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,13 +63,13 @@ def sample_rank(*columns: str) -> Column:
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most_chars: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """The batch in slices of at most about most_chars characters (one row at least), each with its texts."""
-    texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+    texts = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
     start, held = 0, 0
-    for at, text in enumerate(texts):
-        size = len(text) if text else 0
+    for at, size in enumerate(sizes):
         if at > start and held + size > most_chars:
-            yield batch.slice(start, at - start), texts[start:at]
+            yield batch.slice(start, at - start), texts.slice(start, at - start).to_pylist()
             start, held = at, 0
         held += size
-    if texts:
-        yield batch.slice(start), texts[start:]
+    if sizes:
+        yield batch.slice(start), texts.slice(start).to_pylist()

@@ -214,9 +214,13 @@ def _across(members: DataFrame, best: int = 0, hashes: int = _HASHES, least_esti
         ones = np.uint64(sum(1 << (BITS * k) for k in range(_PER_LONG)))
         least = least_estimate * (1 - 1.0 / (1 << BITS)) + 1.0 / (1 << BITS)
         for batch in batches:
-            for row in batch.to_pylist():
+            place = {c: k for k, c in enumerate(batch.schema.names)}
+            for at_row in range(batch.num_rows):
+                # Long lists stay in the batch, seen through numpy; as Python numbers they would take five times the memory.
+                wide = {c: batch.column(place[c])[at_row].values.to_numpy() for c in ("packed", "packed2", "bands", "bands2") if c in place}
+                row = {c: batch.column(place[c])[at_row].as_py() for c in place if c not in wide}
                 same = row["block"] == row["block2"]
-                x, y = (np.array(row[c], dtype=np.int64).view(np.uint64).reshape(-1, longs) for c in ("packed", "packed2"))
+                x, y = (wide[c].view(np.uint64).reshape(-1, longs) for c in ("packed", "packed2"))
                 labels = {c: n for n, c in enumerate({*row["components"], *row["components2"]})}
                 of_x, of_y = (np.array([labels[c] for c in row[k]]) for k in ("components", "components2"))
                 likely = np.zeros((len(x), len(y)), dtype=np.int16)
@@ -236,8 +240,8 @@ def _across(members: DataFrame, best: int = 0, hashes: int = _HASHES, least_esti
                         rows = order[np.unique(of[order], return_index=True)[1]]
                         (some if side is likely else some.T)[rows, side[rows].argmax(axis=1)] = True
                     chosen &= some
-                if "bands" in row:
-                    u, v = (np.array(row[c], dtype=np.int64).reshape(-1, BANDS) for c in ("bands", "bands2"))
+                if "bands" in wide:
+                    u, v = (wide[c].reshape(-1, BANDS) for c in ("bands", "bands2"))
                     at = np.argwhere(chosen)
                     for start in range(0, len(at), 4096):
                         i, j = at[start : start + 4096].T
