@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most characters of text that one numpy step holds at once; bounds a Python worker's memory whatever the Arrow batch size.
 STEP_CHARS = 2_000_000
+#: Rows of a narrow table in one file of the shared folder, where their number is known beforehand. Each file costs calls to the store.
+FILE_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, materialised once in the shared folder, so that it is neither computed again nor lost with an executor."""
+def cut(df: DataFrame, most_rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """df, materialised once in the shared folder, so that it is neither computed again nor lost with an executor.
+    most_rows: what df and what its last stage reads have at most, if that is known; it is then written as one file for each file_rows."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if most_rows is None else df.coalesce(max(1, -(-most_rows // file_rows)))).checkpoint(eager=True)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:

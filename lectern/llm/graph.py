@@ -23,17 +23,17 @@ def connected(edges: DataFrame) -> DataFrame:
         ways = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = ways.where(F.col("b") > F.col("a")).join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
+        large = cut(large, mark["n"])
         # Small star: a node and its neighbours below it go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small)
+        now = cut(small, 2 * mark["n"])
         again = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("mark")).first()
         if again == mark:
             break
         mark = again
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return cut(stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), 2 * mark["n"])
 
 
 def grown(component: DataFrame, edges: DataFrame) -> DataFrame:

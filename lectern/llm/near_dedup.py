@@ -44,6 +44,8 @@ FINE_HASHES, LEAST_FINE = 1024, 0.69
 BEST = 8
 #: Nodes of a bucket that one block of the exhaustive comparison holds.
 BLOCK = 256
+#: Shingle sets in one file of the shared folder, about 10 MB.
+SETS = 2_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -185,7 +187,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (agreement(F.col("pa"), F.col("pb")) >= LEAST_ESTIMATE))
     near = cut(near.select("a", "b", "na", "nb"))
     asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_sets(docs, nodes.join(asked, "node", "left_semi").select("node", "doc_id")))
+    sets = cut(_sets(docs, nodes.join(asked, "node", "left_semi").select("node", "doc_id")), 2 * near.count(), SETS)
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * PERCENT).select("a", "b")
@@ -267,7 +269,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1).select("key", "leader"))
     members = cut(rows.join(shared, "key"))
     stars = members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    component = cut(connected(confirmed(stars, nodes, docs)))
+    component = connected(confirmed(stars, nodes, docs))
     placed = members.select("key", "node")
 
     def labelled(component: DataFrame) -> DataFrame:
