@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Most characters of text that one numpy step holds at once; bounds a Python worker's memory whatever the Arrow batch size.
 STEP_CHARS = 2_000_000
 #: Rows of a narrow table in one file of the shared folder, where their number is known beforehand. Each file costs calls to the store.
-FILE_ROWS = 50_000
+FILE_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:

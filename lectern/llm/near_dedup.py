@@ -44,8 +44,8 @@ FINE_HASHES, LEAST_FINE = 1024, 0.69
 BEST = 8
 #: Nodes of a bucket that one block of the exhaustive comparison holds.
 BLOCK = 256
-#: Shingle sets in one file of the shared folder, about 10 MB.
-SETS = 2_000
+#: Shingle sets (about 10 MB), and signatures, in one file of the shared folder.
+SETS, SIGNATURES = 2_000, 20_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -167,9 +167,9 @@ def agreement(a: Column, b: Column) -> Column:
     return (F.lit(1.0) - unequal / F.lit(float(_HASHES)) - F.lit(chance)) / F.lit(1.0 - chance)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, make=lambda s: s.view(np.int64)) -> DataFrame:  # noqa: ANN001
+def _sets(docs: DataFrame, nodes: DataFrame, most_rows: int | None = None, make=lambda s: s.view(np.int64)) -> DataFrame:  # noqa: ANN001
     """node, and what make has of its set as shingles, for each of nodes (node, doc_id), from the texts of the documents that stand for them."""
-    chosen = docs.join(small(cut(nodes)), "doc_id").select("node", "text")
+    chosen = docs.join(small(cut(nodes, most_rows)), "doc_id").select("node", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,16 +181,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, make=lambda s: s.view(np.int64)) ->
     return chosen.mapInArrow(read, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links by their full sets. nodes: node, doc_id, packed, n_shingles."""
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n_nodes: int, most_pairs: int | None = None) -> tuple[DataFrame, int]:
+    """The pairs (a, b) that are links by their full sets, and how many there are at most. nodes: node, doc_id, packed, n_shingles."""
     near = pairs.join(nodes.select(F.col("node").alias("a"), F.col("packed").alias("pa"), F.col("n_shingles").alias("na")), "a").join(nodes.select(F.col("node").alias("b"), F.col("packed").alias("pb"), F.col("n_shingles").alias("nb")), "b")
     near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (agreement(F.col("pa"), F.col("pb")) >= LEAST_ESTIMATE))
-    near = cut(near.select("a", "b", "na", "nb"))
+    near = cut(near.select("a", "b", "na", "nb"), most_pairs and most_pairs + n_nodes)
+    n = near.count()
     asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_sets(docs, nodes.join(asked, "node", "left_semi").select("node", "doc_id")), 2 * near.count(), SETS)
+    sets = cut(_sets(docs, nodes.join(asked, "node", "left_semi").select("node", "doc_id"), n_nodes + 2 * n), 2 * n, SETS)
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * PERCENT).select("a", "b")
+    return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * PERCENT).select("a", "b"), n
 
 
 def _fine(shingles: np.ndarray) -> np.ndarray:
@@ -202,13 +203,13 @@ def _mixed_buckets(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("key", "n")
 
 
-def _across(members: DataFrame, best: int = 0, hashes: int = _HASHES, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
+def _across(members: DataFrame, most_rows: int, best: int = 0, hashes: int = _HASHES, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket but not a component and may be similar. members: key, node, component, packed [, bands].
-    With bands, a pair that shares several buckets is put out by the first of them alone.
+    most_rows: rows of members at most. With bands, a pair that shares several buckets is put out by the first of them alone.
     best: if given, only the likeliest pair of each component in each two blocks, and of those so many of each node."""
     blocked = members.join(_mixed_buckets(members), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     blocks = blocked.groupBy("key", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.flatten(F.collect_list("packed")).alias("packed"), *([F.flatten(F.collect_list("bands")).alias("bands")] if "bands" in members.columns else []))
-    blocks = cut(blocks)
+    blocks = cut(blocks, most_rows, SIGNATURES)
     left, right = blocks, blocks.select("key", *[F.col(c).alias(f"{c}2") for c in blocks.columns[1:]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,26 +264,31 @@ def _across(members: DataFrame, best: int = 0, hashes: int = _HASHES, least_esti
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: node, doc_id, n_shingles, packed; component: node, component) of signed documents."""
     grouped = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("packed").alias("packed"), F.first("bands").alias("bands"))
-    full = cut(grouped)
+    full = cut(grouped, signed.count(), SIGNATURES)
+    n_nodes = full.count()
     nodes = full.drop("bands")
     rows = full.select("node", F.explode("bands").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1).select("key", "leader"))
-    members = cut(rows.join(shared, "key"))
+    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1).select("key", "leader"), BANDS * n_nodes)
+    members = cut(rows.join(shared, "key"), BANDS * n_nodes)
+    n_members = members.count()
     stars = members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    component = connected(confirmed(stars, nodes, docs))
+    component = connected(*confirmed(stars, nodes, docs, n_nodes, n_members), SETS)
     placed = members.select("key", "node")
 
     def labelled(component: DataFrame) -> DataFrame:
         return placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
+    def joined(component: DataFrame, edges: DataFrame, most_edges: int) -> DataFrame:
+        return cut(grown(component, edges, n_nodes + most_edges), n_nodes)
+
     # First each component's likeliest pairs with others, which join nearly all that belong together; then all that is left.
-    likeliest = _across(labelled(component).join(nodes.select("node", "packed"), "node"), BEST)
-    component = cut(grown(component, confirmed(likeliest, nodes, docs)))
-    rest = cut(labelled(component))
-    rest = cut(rest.join(_mixed_buckets(rest), "key", "left_semi"))
-    fine = cut(_sets(docs, nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), _fine).withColumnRenamed("shingles", "packed"))
-    more = confirmed(_across(rest.join(fine.join(full.select("node", "bands"), "node"), "node"), 0, FINE_HASHES, LEAST_FINE), nodes, docs)
-    return nodes, cut(grown(component, more))
+    likeliest = _across(labelled(component).join(nodes.select("node", "packed"), "node"), n_members, BEST)
+    component = joined(component, *confirmed(likeliest, nodes, docs, n_nodes, BEST * n_nodes))
+    rest = cut(labelled(component), n_members)
+    rest = cut(rest.join(_mixed_buckets(rest), "key", "left_semi"), n_members)
+    fine = cut(_sets(docs, nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), n_members, _fine).withColumnRenamed("shingles", "packed"), n_nodes, SIGNATURES)
+    more = confirmed(_across(rest.join(fine.join(full.select("node", "bands"), "node"), "node"), rest.count(), 0, FINE_HASHES, LEAST_FINE), nodes, docs, n_nodes)
+    return nodes, joined(component, *more)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
