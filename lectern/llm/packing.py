@@ -33,7 +33,7 @@ GROUP_TOKENS = 512 * CAPACITY
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 2048.0
 #: Words, and parts of words, whose ids a worker remembers at most (about 200 bytes each); the memory is emptied beyond that.
-REMEMBERED_WORDS, REMEMBERED_PARTS = 500_000, 500_000
+REMEMBERED_WORDS, REMEMBERED_PARTS = 1_200_000, 500_000
 
 #: White space for Python's split, but not for the tokenizer.
 _SPLIT_ONLY = re.compile("[\x1c-\x1f]")
