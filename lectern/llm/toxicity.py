@@ -1,10 +1,11 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact cosine of label-weighted TF-IDF over an inverted index.
 
-The index is fitted on a bounded, hash-chosen sample of labelled texts (EXAMPLES of each label at most). Its vocabulary is the
-TERMS terms that tell the labels apart best by chi-square. Examples are kept in blocks of BLOCK; for each term the index
-has its postings by block and the largest weight in each block. A text's blocks are visited by descending upper bound until
-no block can hold a nearer example than the NEIGHBOURS found, so the neighbours are exact. Votes are weighted by distance and
-calibrated by logistic regression on the examples' own votes, each left out of its own, with labels weighed as in all rows.
+The index is fitted on a bounded, hash-chosen sample of labelled texts (EXAMPLES of each label at most). Its vocabulary is every
+term of these. A term weighs its idf times LEAST_TELLING plus its log-odds between the labels, so that no term is left out
+and telling ones count more; lengths are over all terms of a text that the examples have. Each text is compared with every example,
+so the neighbours are exact: the HEAD most frequent terms by a matrix product, the others by their postings, BATCH texts at a time.
+Votes are weighted by distance and calibrated by logistic regression on the examples' own votes, each left out of its own (term weights are of all examples), with
+labels weighed as in all rows.
 
 Defined results: null and empty texts, and texts without a term of the index, get the rate of toxic examples that have no term
 either; without labelled rows every score is 0; labels that are null or belong to no document are not used; ties in
@@ -29,10 +30,11 @@ from lectern.llm.common import fold, pieces, sample_rank
 
 #: Most examples of each label, chosen by hash; the classifier's only bounded sample.
 EXAMPLES = 1500
-#: Terms of the index at most, each in LEAST_TEXTS examples or more, with a chi-square that chance has once in a million.
-TERMS, LEAST_TEXTS, LEAST_CHI_SQUARE = 256, 3, 24.0
-BLOCK = 64
+#: The most frequent terms, whose weights are a dense matrix; texts, and postings of them, that are compared at a time.
+HEAD, BATCH, POSTINGS = 256, 128, 1_000_000
 NEIGHBOURS = 15
+#: What a term weighs that is as frequent in both labels, beside its log-odds.
+LEAST_TELLING = 0.1
 
 _TERM = re.compile(r"[^\W_]+")
 
@@ -43,7 +45,8 @@ def term_counts(text: str | None) -> Counter:
 
 @dataclasses.dataclass
 class Index:
-    """vocabulary and idf; postings of term t in block b: rows[ends[t, b-1]:ends[t, b]] with weights; largest[t, b]."""
+    """vocabulary and idf of every term of the examples; postings of term t: rows[ends[t, 0]:ends[t, 1]] with weights.
+    The terms below len(head) are the most frequent; head has their weights by term and example."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -52,7 +55,7 @@ class Index:
     rows: np.ndarray
     weights: np.ndarray
     ends: np.ndarray
-    largest: np.ndarray
+    head: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
     none: float = 0.0
@@ -64,30 +67,35 @@ class Index:
         weights = (1.0 + np.log(np.array([n for _, n in found], dtype=float))) * self.idf[terms]
         return terms, weights / (np.sqrt((weights * weights).sum()) or 1.0)
 
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each vector with every example: frequent terms by a matrix product, the others by their postings."""
+        text = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        terms, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        often = terms < len(self.head)
+        asked = np.zeros((len(vectors), len(self.head)))
+        asked[text[often], terms[often]] = weights[often]
+        text, terms, weights = text[~often], terms[~often], weights[~often]
+        held = self.ends[terms, 1] - self.ends[terms, 0]
+        rest = np.zeros(len(vectors) * len(self.ids))
+        for part in np.split(np.arange(len(terms)), np.flatnonzero(np.diff(np.cumsum(held) // POSTINGS)) + 1):
+            n = held[part]
+            at = np.repeat(self.ends[terms[part], 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rest += np.bincount(np.repeat(text[part], n) * len(self.ids) + self.rows[at], np.repeat(weights[part], n) * self.weights[at], len(rest))
+        return asked @ self.head + rest.reshape(len(vectors), len(self.ids))
+
+    def best(self, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The NEIGHBOURS examples with the highest cosine above 0, ties to the earlier example, and the cosines."""
+        least = np.partition(cosines, -NEIGHBOURS)[-NEIGHBOURS] if len(cosines) > NEIGHBOURS else 0.0
+        rows = np.flatnonzero((cosines > 0) & (cosines >= least))
+        rows = rows[np.lexsort((rows, -cosines[rows]))[:NEIGHBOURS]]
+        return rows, cosines[rows]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The NEIGHBOURS examples with the highest cosine above 0, and the cosines. without: an example that is left out."""
-        bounds = weights @ self.largest[terms]
-        order = np.argsort(-bounds, kind="stable")
-        rows, cosines, least = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        for block in order:
-            if bounds[block] <= 0 or (len(rows) == NEIGHBOURS and bounds[block] < least - 1e-12):
-                break
-            here = np.zeros(BLOCK)
-            first = block * BLOCK
-            for t, w in zip(terms, weights, strict=True):
-                start, end = self.ends[t, block], self.ends[t, block + 1]
-                if end > start:
-                    here[self.rows[start:end] - first] += w * self.weights[start:end]
-            if first <= without < first + BLOCK:
-                here[without - first] = 0.0
-            hit = np.flatnonzero(here > 0)
-            rows, cosines = np.append(rows, hit + first), np.append(cosines, here[hit])
-            if len(rows) > NEIGHBOURS:
-                best = np.lexsort((rows, -cosines))[:NEIGHBOURS]
-                rows, cosines = rows[best], cosines[best]
-            least = cosines.min() if len(rows) else 0.0
-        best = np.lexsort((rows, -cosines))
-        return rows[best], cosines[best]
+        cosines = self.cosines([(terms, weights)])[0]
+        if without >= 0:
+            cosines[without] = 0.0
+        return self.best(cosines)
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         """Log-odds of the distance-weighted share of toxic neighbours, smoothed by one neighbour of each label at distance 1."""
@@ -95,13 +103,17 @@ class Index:
         yes = float((closeness * self.toxic[rows]).sum())
         return math.log((yes + 0.5) / (float(closeness.sum()) - yes + 0.5))
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
-        """Calibrated score and the ids of the nearest examples as evidence."""
-        terms, weights = self.vector(counts)
-        rows, cosines = self.nearest(terms, weights) if len(terms) else (terms, weights)
-        if not len(rows):
-            return self.none, []
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * self.vote(rows, cosines) + self.offset)))), [int(i) for i in self.ids[rows[:3]]]
+    def scores(self, texts: list[dict[str, int]]) -> list[tuple[float, list[int]]]:
+        """Of each text's counts the calibrated score, and the ids of the nearest examples as evidence."""
+        if not len(self.ids):
+            return [(self.none, [])] * len(texts)
+        out: list[tuple[float, list[int]]] = []
+        for start in range(0, len(texts), BATCH):
+            for cosines in self.cosines([self.vector(c) for c in texts[start : start + BATCH]]):
+                rows, cosines = self.best(cosines)
+                vote = self.slope * self.vote(rows, cosines) + self.offset
+                out.append((1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, vote)))), [int(i) for i in self.ids[rows[:3]]]) if len(rows) else (self.none, []))
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -129,31 +141,24 @@ def build(examples: list[tuple[int, str | None, int]], share: dict[int, float])
             toxic_with.update(c.keys())
     n, n_toxic = len(examples), float(toxic.sum())
 
-    def chi_square(term: str) -> float:
+    def telling(term: str) -> float:
+        """The log-odds between the labels, either way, which is weighed but never a reason to leave a term out."""
         a, b = toxic_with[term], with_term[term] - toxic_with[term]
-        c, d = n_toxic - a, n - n_toxic - b
-        return n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d) or 1.0)
+        return LEAST_TELLING + abs(math.log((a + 0.5) / (n_toxic + 1.0) * (n - n_toxic + 1.0) / (b + 0.5)))
 
-    apart = {t: x for t in with_term if with_term[t] >= LEAST_TEXTS and (x := chi_square(t)) >= LEAST_CHI_SQUARE}
-    ranked = sorted(apart, key=lambda t: (-apart[t], t))[:TERMS]
+    ranked = sorted(with_term, key=lambda t: (-with_term[t], t))
     vocabulary = {t: i for i, t in enumerate(ranked)}
-    idf = np.array([math.log((1 + n) / (1 + with_term[t])) + 1.0 for t in ranked])
-    # Examples of one label and one leading term stand together, so that few blocks have a high bound for a text.
-    lead = [min((vocabulary[t] for t in c if t in vocabulary), default=len(ranked)) for c in counts]
-    together = sorted(range(n), key=lambda i: (toxic[i], lead[i], i))
-    examples, counts, toxic = [examples[i] for i in together], [counts[i] for i in together], toxic[together] if n else toxic
-    blocks = -(-n // BLOCK)
-    index = Index(vocabulary, idf, toxic, np.array([i if i is not None else -1 for i, _, _ in examples], dtype=np.int64), *[np.zeros(0)] * 2, np.zeros((len(ranked), blocks + 1), dtype=np.int64), np.zeros((len(ranked), blocks)))
+    idf = np.array([(math.log((1 + n) / (1 + with_term[t])) + 1.0) * telling(t) for t in ranked])
+    index = Index(vocabulary, idf, toxic, np.array([i if i is not None else -1 for i, _, _ in examples], dtype=np.int64), *[np.zeros(0)] * 2, np.zeros((len(ranked), 2), dtype=np.int64), np.zeros((min(HEAD, len(ranked)), n)))
     vectors = [index.vector(c) for c in counts]
     term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, dtype=np.int64)
     weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
     row = np.repeat(np.arange(n), np.array([len(t) for t, _ in vectors], dtype=np.int64))
     order = np.lexsort((row, term))
     term, index.rows, index.weights = term[order], row[order], weight[order]
-    np.maximum.at(index.largest, (term, index.rows // BLOCK), index.weights)
-    for t in range(len(ranked)):
-        start, end = np.searchsorted(term, [t, t + 1])
-        index.ends[t] = start + np.searchsorted(index.rows[start:end], np.arange(blocks + 1) * BLOCK)
+    index.ends[:, 0], index.ends[:, 1] = np.searchsorted(term, np.arange(len(ranked))), np.searchsorted(term, np.arange(len(ranked)), "right")
+    often = term < len(index.head)
+    index.head[term[often], index.rows[often]] = index.weights[often]
     real = np.array([1.0 / share[int(y)] for y in toxic])
     real = real / (real.mean() if len(real) else 1.0)
     near = [index.nearest(t, w, without=i) if len(t) else (t, w) for i, (t, w) in enumerate(vectors)]
@@ -192,7 +197,7 @@ def predict(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
         index = model.value
         for batch in batches:
             for part, texts in pieces(batch):
-                scored = [index.score(Counter(t for t in _TERM.findall(text.lower()) if t in index.vocabulary) if text else {}) for text in texts]
+                scored = index.scores([term_counts(text) for text in texts])
                 scores = [s for s, _ in scored]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([e for _, e in scored], pa.list_(pa.int64()))], schema.names)
 

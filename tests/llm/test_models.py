@@ -101,6 +101,23 @@ def test_block_max_search_is_exact():
         assert [round(c, 9) for c in cosines] == [round(c, 9) for c in every[: len(cosines)]]
 
 
+def test_rare_toxic_words_have_neighbours():
+    common = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, f"{common} slur{i // 2}", 1) for i in range(40)] + [(100 + i, f"{common} plain{i // 2}", 0) for i in range(40)]
+    index = toxicity.build(docs, {0: 1.0, 1: 1.0})
+    assert set(index.vocabulary) == {t for _, text, _ in docs for t in text.split()}
+    for k in range(20):
+        (score, evidence), (clean, _) = index.scores([toxicity.term_counts(f"{common} {word}{k}") for word in ("slur", "plain")])
+        assert set(evidence[:2]) == {2 * k, 2 * k + 1} and score > clean
+
+
+def test_one_telling_word_does_not_make_a_text():
+    docs, labels = toxic_rows()
+    index = toxicity.build([(i, t, labels[i][2]) for i, t in docs], {0: 1.0, 1: 1.0})
+    terms, weights = index.vector(toxicity.term_counts(" ".join(f"w{i}" for i in range(200)) + " idiot"))
+    assert len(terms) == 201 and weights[list(terms).index(index.vocabulary["idiot"])] < 0.9
+
+
 def test_pii_base_patterns():
     text = "a@b.co 1.2.3.4 999.1.1.1 card 4111 1111 1111 1111 and +1 (279) 555-0216, bad@x, x@y.z@w.v"
     found = pii.base_spans(text)
