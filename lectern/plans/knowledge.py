@@ -96,7 +96,7 @@ def quiz_cloze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quiz_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select((F.col("p_size") % 5).alias("chapter_id"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("concept"), F.concat(F.lit("A thing is "), "p_type", F.lit(" as said.")).alias("definition"), F.array(F.col("p_partkey").cast("string")).alias("anchors"))
+    rows = table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("chapter_id"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("concept"), F.concat(F.lit("A thing is "), "p_type", F.lit(" as said.")).alias("definition"), F.array(F.col("p_partkey").cast("string")).alias("anchors"))
     return concepts.questions(rows)
 
 
