@@ -14,14 +14,10 @@ from lectern.operators.joins import small
 
 def longest_common_run(a: str, b: str) -> int:
     """Length of the longest common substring."""
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        now = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            if x == y:
-                now[j] = row[j - 1] + 1
-                best = max(best, now[j])
-        row = now
+    best = 0
+    for start in range(len(a)):
+        while start + best < len(a) and a[start : start + best + 1] in b:
+            best += 1
     return best
 
 

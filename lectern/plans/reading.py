@@ -11,8 +11,8 @@ from lectern.sources import files
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is a paragraph of 300 characters on the page of its id in tens."""
-    return table(spark, sf_dir, "documents").select(F.col("lang").alias("book"), F.floor(F.col("doc_id") / 10).cast("int").alias("page"), F.col("doc_id").alias("anchor"), F.substring("text", 1, 300).alias("text"))
+    """A document is a paragraph on the page of its id in tens."""
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("book"), F.floor(F.col("doc_id") / 10).cast("int").alias("page"), F.col("doc_id").alias("anchor"), "text")
 
 
 def selection_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-from lectern.plans import knowledge
+import itertools
+import random
+
+from lectern.operators import anchors
+from lectern.plans import knowledge, reading
 
 
 def test_quiz_questions_reads_every_part(spark, tmp_path):
@@ -12,3 +16,18 @@ def test_quiz_questions_reads_every_part(spark, tmp_path):
         for q in asked:
             near = sorted((abs(len(t) - len(q["concept"])), t) for _, t in held if t != q["concept"])[:3]
             assert set(q["options"]) == {q["concept"], *(t for _, t in near)} and q["options"][q["answer_index"]] == q["concept"]
+
+
+def test_selection_is_found_beyond_the_start_of_a_longer_document(spark, tmp_path):
+    needle = "a passage that two documents of one page hold and no other does so"
+    rows = [(20, "." * 29 + needle, "en"), (21, "other words " * 50 + needle + " with more", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in reading.selection_match(spark, str(tmp_path)).collect()] == [(20, 21, 1.0)]
+
+
+def test_longest_common_run_against_brute_force():
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ab é") for _ in range(r.randrange(15))) for _ in range(2))
+        every = {a[i:j] for i, j in itertools.combinations(range(len(a) + 1), 2)}
+        assert anchors.longest_common_run(a, b) == max((len(x) for x in every if x in b), default=0)
