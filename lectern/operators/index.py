@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern import constants as K
 from lectern.functions import text as X
-from lectern.operators.joins import small
+from lectern.operators.joins import cut, small
 
 
 def postings(docs: DataFrame, keys: Sequence[str], text: str = "text", tokenize=X.tokens) -> DataFrame:
@@ -47,21 +47,24 @@ def term_score(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
 
 def scores(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str] = (), query_id: str = "query_id", text: str = "text", tokenize=X.tokens) -> DataFrame:
     """query_id, scope, doc_id, score, matched (terms of the query in the document), recurring (those in RECURRING_DF documents or more),
-    coverage. queries: query_id, query [, scope]; few rows, whose terms are broadcast. Documents without a term are absent, as their score is 0.
+    coverage. queries: query_id, query [, scope]; without a scope of their own, queries are asked in every scope. Documents without a term are absent, as their score is 0.
 
-    The corpus is read once: tokens that are in no query go before anything is shuffled."""
+    The corpus is read and tokenized once: of each document its length and its counts of asked terms are kept, and all statistics are made of these."""
     terms = queries.select(query_id, *[s for s in scope if s in queries.columns], F.array_distinct(tokenize(F.col("query"))).alias("terms")).withColumn("asked", F.size("terms"))
-    wanted = terms.select(F.explode("terms").alias("term")).distinct()
-    tokened = docs.select(*scope, doc_id, tokenize(F.col(text)).alias("tokens"))
-    sized = corpus_stats(tokened.select(*scope, F.size("tokens").cast("long").alias("dl")), scope)
-    found = tokened.select(*scope, doc_id, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(small(wanted), "term", "left_semi")
-    found = found.groupBy(*scope, doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = cut(terms.select(query_id, *[s for s in scope if s in queries.columns], "asked", F.explode("terms").alias("term")))
+    tokened = docs.select(*scope, doc_id, F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
+    # A row of each token, and one without a term for each document, which carries its length to the corpus statistics.
+    marks = tokened.select(*scope, doc_id, F.size("tokens").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))).alias("term"))
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
+    near = marks.join(small(wanted), "term", "left").where(F.col("wanted") | F.col("term").isNull())
+    found = cut(near.groupBy(*scope, doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    sized = corpus_stats(found.where(F.col("term").isNull()).select(*scope, F.explode(F.array_repeat("dl", F.col("tf").cast("int"))).alias("dl")), scope)
+    found = found.where(F.col("term").isNotNull())
     frequency = term_stats(found, scope)
-    # Per scope: one row of the corpus and one of each asked term, so both sides are small.
-    weighed = frequency.join(sized, list(scope)) if scope else frequency.crossJoin(sized)
-    weighed = weighed.select(*scope, "term", "df", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    matched = found.join(weighed, [*scope, "term"])
-    asked = terms.select(query_id, *[s for s in scope if s in queries.columns], "asked", F.explode("terms").alias("term"))
+    # Of each scope one row, and one of each of its asked terms.
+    weighed = frequency.join(small(sized), list(scope)) if scope else frequency.crossJoin(sized)
+    weighed = cut(weighed.select(*scope, "term", "df", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")))
+    matched = found.join(small(weighed), [*scope, "term"])
     on = ["term", *[s for s in scope if s in queries.columns]]
     joined = matched.join(small(asked), on)
     return joined.groupBy(query_id, *scope, doc_id).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,18 @@ def small(side: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the folder that driver and executors share (spark.checkpoint.dir), so that several uses read it once
+    and no lost executor takes it away."""
+    context = df.sparkSession.sparkContext
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def left_total(parents: DataFrame, children: DataFrame, on: Column, by: Sequence[str], amount: Column, name: str) -> DataFrame:
     """parents with the sum of amount over children that satisfy on; 0 where there is none."""
     return parents.join(children, on, "left").groupBy(*by).agg(F.coalesce(F.sum(amount), F.lit(0)).alias(name))
