@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +45,9 @@ def closest(hits: DataFrame, doc_id: str) -> DataFrame:
     return decide(hits).where(~F.col("evident") & (F.col("rank") <= K.CLOSEST_LIMIT)).select("query_id", doc_id, "rank")
 
 
-def scope_of(found: DataFrame, chapter: str, preferred: str) -> DataFrame:
-    """query_id, scope: 'chapter' if all hits are of the asker's chapter, else 'book'."""
-    return found.groupBy("query_id").agg(F.when(F.bool_and(F.col(chapter) == F.col(preferred)), "chapter").otherwise("book").alias("scope"))
+def scope_of(found: DataFrame, chapter: str, preferred: str, group: Sequence[str] = ("query_id",)) -> DataFrame:
+    """group, scope: 'chapter' if all hits are of the asker's chapter, else 'book'."""
+    return found.groupBy(*group).agg(F.when(F.bool_and(F.col(chapter) == F.col(preferred)), "chapter").otherwise("book").alias("scope"))
 
 
 def rule_answer(found: DataFrame, notice: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,34 +52,64 @@ def fused_top(channels: Sequence[DataFrame], k: int, doc_id: str, group: Sequenc
     return top(fused(channels, doc_id, group, rrf_k), k, F.col("fused"), ["first_seen"], "rank", group)
 
 
+#: Vectors, and queries, of one block of the comparison.
+VECTORS, ASKED = 16_384, 2_048
+
+
 def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, doc_id: str, normalized: bool = True) -> DataFrame:
-    """query_id, doc_id, score, rank: the k nearest by cosine (or plain inner product), whatever the sign. queries: query_id, vector; few rows, broadcast."""
-    measure = X.cosine if normalized else X.dot
-    scored = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("__query")))).select("query_id", doc_id, measure(F.col("embedding"), F.col("__query")).alias("score"))
-    return top(scored, k, F.col("score"), [doc_id])
+    """query_id, doc_id, score, rank: the k nearest by cosine (or plain inner product), whatever the sign. queries: query_id, vector, of any number.
+
+    Both sides are dealt to blocks of bounded size. Each pair of blocks is a matrix product in one task, which gives on the best k of
+    each query only. A vector of length 0 has the cosine 0."""
+    from pyspark.sql import types as T
+
+    held, asked = vectors.select(doc_id, "embedding"), queries.select("query_id", F.col("vector").alias("embedding"))
+    left, right = (max(1, -(-side.count() // size)) for side, size in ((held, VECTORS), (asked, ASKED)))
+    dealt = held.select("*", F.pmod(F.xxhash64(doc_id), F.lit(left)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("h"))
+    posed = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("g"), F.pmod(F.xxhash64("query_id"), F.lit(right)).alias("h"))
+    schema = T.StructType([asked.schema["query_id"], held.schema[doc_id], T.StructField("score", T.DoubleType())])
+
+    def best(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty or theirs.empty:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        a, b = (np.stack(side["embedding"].to_numpy()).astype(np.float64) for side in (mine, theirs))
+        if normalized:
+            a, b = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0) for m in (a, b))
+        scores, ids = np.round(b @ a.T, 9), mine[doc_id].to_numpy()
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(theirs["query_id"].to_numpy(), order.shape[1]), doc_id: ids[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+
+    found = dealt.groupBy("g", "h").cogroup(posed.groupBy("g", "h")).applyInPandas(best, schema)
+    return top(found, k, F.col("score"), [doc_id])
+
+
+def _group(queries: DataFrame, book: str | None) -> list[str]:
+    """What a ranking is of: a query, or, where queries are asked of every book, a query in a book."""
+    return ["query_id", *([book] if book and book not in queries.columns else [])]
 
 
 def chapter_search(sections: DataFrame, queries: DataFrame, k: int, doc_id: str, chapter: str, book: str | None = None) -> DataFrame:
-    """Each query's best k sections of its own chapter, with frequencies and lengths of that chapter alone."""
-    scope = [c for c in (book, chapter) if c]
+    """Each query's best k sections of its own chapter (of its book, or of each book if queries have no column of it), with frequencies and lengths of that chapter alone."""
+    scope, group = [c for c in (book, chapter) if c], _group(queries, book)
     hits = index.scores(sections, queries, doc_id, scope)
-    lexical = boosted(hits, k, None, doc_id)
-    return _finish(hits, lexical, k, doc_id, scope)
+    lexical = boosted(hits, k, None, doc_id, group)
+    return _finish(hits, lexical, k, doc_id, [c for c in scope if c not in group], group)
 
 
 def book_search(sections: DataFrame, queries: DataFrame, k: int, doc_id: str, chapter: str, book: str | None = None, boost: bool = True, vectors: DataFrame | None = None) -> DataFrame:
-    """Each query's best k sections of its book, those of its own chapter (column preferred of queries) raised. vectors: a channel (query_id, doc_id, rank), if there is one."""
-    scope = [book] if book else []
+    """Each query's best k sections of its book (of each book, if queries have no column of it), those of its own chapter (column preferred of queries) raised.
+    vectors: a channel (query_id, doc_id, rank), if there is one."""
+    scope, group = [book] if book else [], _group(queries, book)
     hits = index.scores(sections, queries, doc_id, scope)
     asked = queries.select("query_id", "preferred" if boost else F.lit(None).cast("string").alias("preferred"))
     placed = hits.join(sections.select(doc_id, chapter), doc_id).join(small(asked), "query_id")
-    lexical = boosted(placed, k, F.coalesce(F.col(chapter) == F.col("preferred"), F.lit(False)), doc_id)
-    return _finish(placed, lexical, k, doc_id, [chapter], [vectors] if vectors is not None else [])
+    lexical = boosted(placed, k, F.coalesce(F.col(chapter) == F.col("preferred"), F.lit(False)), doc_id, group)
+    return _finish(placed, lexical, k, doc_id, [chapter], group, [vectors] if vectors is not None else [])
 
 
-def _finish(hits: DataFrame, lexical: DataFrame, k: int, doc_id: str, carried: Sequence[str], others: Sequence[DataFrame] = ()) -> DataFrame:
-    best = fused_top([lexical.select("query_id", doc_id, "rank"), *others], k, doc_id)
-    return best.join(hits.select("query_id", doc_id, *carried, "coverage", "recurring"), ["query_id", doc_id], "left").select("query_id", doc_id, *carried, "rank", F.col("fused").alias("score"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("recurring", F.array().cast("array<string>")).alias("recurring"))
+def _finish(hits: DataFrame, lexical: DataFrame, k: int, doc_id: str, carried: Sequence[str], group: Sequence[str], others: Sequence[DataFrame] = ()) -> DataFrame:
+    best = fused_top([lexical.select(*group, doc_id, "rank"), *others], k, doc_id, group)
+    return best.join(hits.select(*group, doc_id, *carried, "coverage", "recurring"), [*group, doc_id], "left").select(*group, doc_id, *carried, "rank", F.col("fused").alias("score"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("recurring", F.array().cast("array<string>")).alias("recurring"))
 
 
 def hashed_vectors(docs: DataFrame, keys: Sequence[str], size: int = K.EMBEDDING_SIZE, text: str = "text") -> DataFrame:

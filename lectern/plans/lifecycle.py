@@ -81,9 +81,9 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reanchor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes on benchmark texts, anchored at sections that are gone, find them again in documents."""
-    notes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("en").alias("chapter_id"), F.when(F.col("item_id") % 5 == 0, F.col("item_id").cast("string")).otherwise(F.concat(F.lit("old"), F.col("item_id").cast("string"))).alias("anchor_id"), F.col("text").alias("quoted"))
+    notes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("all").alias("chapter_id"), F.when(F.col("item_id") % 5 == 0, F.col("item_id").cast("string")).otherwise(F.concat(F.lit("old"), F.col("item_id").cast("string"))).alias("anchor_id"), F.col("text").alias("quoted"))
     old = notes.select(F.col("anchor_id").alias("id"), F.lit("").alias("text"))
-    new = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("chapter_id"), "text", F.col("doc_id").alias("ord"))
+    new = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("all").alias("chapter_id"), "text", F.col("doc_id").alias("ord"))
     return lifecycle.reanchored(notes, old, new).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -185,7 +185,7 @@ SELECT o_custkey, o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_o
     "replace_diff": "SELECT p_partkey AS id, CASE WHEN p_size < 30 AND p_size > 10 THEN 'updated' WHEN p_size > 10 THEN 'added' ELSE 'removed' END AS state FROM part",
     "orphans": """SELECT 'books/' || CASE WHEN s_suppkey % 9 = 0 THEN 'tmp' ELSE '' END || s_suppkey || '.pdf' AS path, CASE WHEN s_suppkey % 9 = 0 THEN 'unrecognized' ELSE 'orphan' END AS state FROM supplier WHERE s_suppkey % 9 = 0 OR s_nationkey >= 10""",
     "reanchor_counts": r"""WITH n AS (SELECT item_id, item_id % 5 = 0 AND item_id IN (SELECT doc_id FROM documents) AS live, regexp_replace(text, '[\s\-\x{2010}-\x{2014}]', '', 'g') AS needle FROM benchmark),
-p AS (SELECT regexp_replace(text, '[\s\-\x{2010}-\x{2014}]', '', 'g') AS form FROM documents WHERE lang = 'en'),
+p AS (SELECT regexp_replace(text, '[\s\-\x{2010}-\x{2014}]', '', 'g') AS form FROM documents),
 f AS (SELECT live, length(needle) >= 4 AND EXISTS (SELECT 1 FROM p WHERE contains(form, needle)) AS found FROM n)
 SELECT CASE WHEN live THEN 'kept' WHEN found THEN 'moved' ELSE 'unanchored' END AS state, count(*) AS n FROM f GROUP BY ALL""",
     "thread_titles": rf"""WITH t AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user' AND {_TRIM} <> '') AS text, count(*) AS messages FROM conversations GROUP BY conv_id),

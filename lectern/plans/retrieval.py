@@ -17,13 +17,12 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of each benchmark text, asked of the book 'en' from a chapter."""
-    words = F.slice(F.split("text", " "), 1, 8)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), F.lit("en").alias("book"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("preferred"))
+    """Each benchmark text, asked of every book from a chapter."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("preferred"))
 
 
 _DOCS = "d AS (SELECT doc_id, lang AS book, source AS chapter, regexp_extract_all(lower(text), '[a-z0-9_]+') AS toks FROM documents)"
-_QUESTIONS = """q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS query, 'src' || CAST(item_id % 20 AS VARCHAR) AS preferred FROM benchmark),
+_QUESTIONS = """q AS (SELECT item_id AS query_id, text AS query, 'src' || CAST(item_id % 20 AS VARCHAR) AS preferred FROM benchmark),
 qt AS (SELECT query_id, preferred, unnest(list_distinct(regexp_extract_all(lower(query), '[a-z0-9_]+'))) AS term FROM q),
 qn AS (SELECT query_id, count(*) AS asked FROM qt GROUP BY query_id)"""
 
@@ -58,25 +57,25 @@ def tok_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).where("query_id = 0")
-    hits = index.scores(sections(spark, sf_dir), asked.drop("book"), "doc_id").where("score > 0")
+    hits = index.scores(sections(spark, sf_dir), asked, "doc_id").where("score > 0")
     return hits.orderBy(F.col("score").desc(), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = index.scores(sections(spark, sf_dir), questions(spark, sf_dir).drop("book"), "doc_id")
+    hits = index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id")
     return search.top(hits.where("score > 0"), 10, F.round("score", 9), ["doc_id"]).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def coverage_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.scores(sections(spark, sf_dir), questions(spark, sf_dir).drop("book"), "doc_id").select("query_id", "doc_id", "matched", F.round("coverage", 9).alias("coverage"))
+    return index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").select("query_id", "doc_id", "matched", F.round("coverage", 9).alias("coverage"))
 
 
 def recurring_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.scores(sections(spark, sf_dir), questions(spark, sf_dir).drop("book"), "doc_id").select("query_id", "doc_id", F.array_join("recurring", " ").alias("recurring"))
+    return index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").select("query_id", "doc_id", F.array_join("recurring", " ").alias("recurring"))
 
 
 def _ten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = index.scores(sections(spark, sf_dir), questions(spark, sf_dir).drop("book"), "doc_id")
+    hits = index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id")
     return search.top(hits.where("score > 0"), 10, F.round("score", 9), ["doc_id"])
 
 
@@ -101,23 +100,23 @@ def closest_when_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chapter_scope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).withColumn("chapter", F.col("preferred")).drop("preferred")
     found = search.chapter_search(sections(spark, sf_dir), asked, 5, "doc_id", "chapter", "book")
-    return found.select("query_id", "doc_id", "chapter", "rank", F.round("score", 6).alias("score"), F.round("coverage", 4).alias("coverage"))
+    return found.select("query_id", "book", "doc_id", "chapter", "rank", F.round("score", 6).alias("score"), F.round("coverage", 4).alias("coverage"))
 
 
 def book_search_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.book_search(sections(spark, sf_dir), questions(spark, sf_dir), 10, "doc_id", "chapter", "book")
-    return found.select("query_id", "doc_id", "chapter", "rank", F.round("score", 6).alias("score"), F.array_join("recurring", " ").alias("recurring"))
+    return found.select("query_id", "book", "doc_id", "chapter", "rank", F.round("score", 6).alias("score"), F.array_join("recurring", " ").alias("recurring"))
 
 
 def whole_book_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.book_search(sections(spark, sf_dir), questions(spark, sf_dir), 20, "doc_id", "chapter", "book", boost=False)
-    return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return found.select("query_id", "book", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir)
     found = search.book_search(sections(spark, sf_dir), asked, 10, "doc_id", "chapter", "book")
-    return evidence.scope_of(found.join(asked.select("query_id", "preferred"), "query_id"), "chapter", "preferred")
+    return evidence.scope_of(found.join(asked.select("query_id", "preferred"), "query_id"), "chapter", "preferred", ["query_id", "book"])
 
 
 def fulltext_search_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +131,7 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, sf_dir, "embeddings")
-    return vectors, vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +146,10 @@ def cosine_allowed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and vector channels, 30 deep; question i has vector i."""
+    """Lexical and vector channels, 30 deep; question i has vector 20 i, and vectors without a question are searched alone."""
     vectors, asked = _vectors(spark, sf_dir)
-    lexical = search.top(index.scores(sections(spark, sf_dir), questions(spark, sf_dir).drop("book").where("query_id < 5"), "doc_id").where("score > 0"), 30, F.round("score", 9), ["doc_id"])
+    asked = asked.withColumn("query_id", (F.col("query_id") / 20).cast("long"))
+    lexical = search.top(index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").where("score > 0"), 30, F.round("score", 9), ["doc_id"])
     near = search.top(search.vector_hits(vectors, asked, 30, "vec_id").drop("rank"), 30, F.round("score", 9), ["vec_id"]).withColumnRenamed("vec_id", "doc_id")
     return search.fused_top([lexical.select("query_id", "doc_id", "rank"), near.select("query_id", "doc_id", "rank")], 10, "doc_id").select("query_id", "rank", "doc_id", F.round("fused", 9).alias("score"))
 
@@ -159,16 +159,17 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid_search(table(spark, sf_dir, "documents"), questions(spark, sf_dir).drop("book"), 3, "doc_id")
+    return search.hybrid_search(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 3, "doc_id")
 
 
 def anchor_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needles = table(spark, sf_dir, "benchmark").select("item_id", F.lit("en").alias("book"), F.col("text").alias("needle"))
-    return joins.contained(needles, sections(spark, sf_dir), ["book"], "item_id", "doc_id", ["doc_id"])
+    """Benchmark texts in documents of all books."""
+    needles = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
+    return joins.contained(needles, sections(spark, sf_dir), [], "item_id", "doc_id", ["doc_id"])
 
 
 def rule_answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.evidence(_ten(spark, sf_dir), "doc_id").where("ordinal <= 3").join(sections(spark, sf_dir).select("doc_id", F.col("chapter").alias("chapter_title"), (F.col("doc_id") % 50 + 1).alias("page"), "text"), "doc_id")
+    found = evidence.evidence(_ten(spark, sf_dir), "doc_id").join(sections(spark, sf_dir).select("doc_id", F.col("chapter").alias("chapter_title"), (F.col("doc_id") % 50 + 1).alias("page"), "text"), "doc_id")
     return evidence.rule_answer(found, "No model.")
 
 
@@ -181,21 +182,21 @@ def cited_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEN = "ten AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10)"
 _EVIDENT = "best AS (SELECT query_id, len(recurring) > 0 OR coverage >= 0.22 AS evident FROM ten WHERE rank = 1)"
 _EVIDENCE = f"{_TEN}, {_EVIDENT}, ev AS (SELECT query_id, doc_id, rank AS ordinal FROM ten JOIN best USING (query_id) WHERE evident)"
-_BOOK = _scored("book", "TRUE", "tf.book = 'en'")
+_BOOK = _scored("book")
 
 
 def _book_search(k: int, boost: bool) -> str:
     deep = max(3 * k, 10)
     factor = "CASE WHEN chapter = preferred THEN 1.35 ELSE 1 END" if boost else "1"
     return f"""WITH {_BOOK},
-c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM s) WHERE place <= {deep}),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) * {factor} DESC, place) AS rank FROM c)"""
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, book ORDER BY round(score, 9) DESC, doc_id) AS place FROM s) WHERE place <= {deep}),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, book ORDER BY round(score, 9) * {factor} DESC, place) AS rank FROM c)"""
 
 
 def _vector_sql(where: str) -> str:
-    return f"""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 5),
+    return f"""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(qv AS DOUBLE[]), CAST(qv AS DOUBLE[])))) AS score FROM embeddings, q WHERE {where}),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)"""
 
 
 QUERIES = {
@@ -219,28 +220,28 @@ ORACLE = {
     "evidence_rows": f"""WITH {_scored()}, {_TEN},
 u AS (SELECT query_id, query_id AS doc_id, 0 AS rank FROM q UNION ALL SELECT query_id, doc_id, rank FROM ten WHERE query_id <> doc_id)
 SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS ordinal FROM u) WHERE ordinal <= 10""",
-    "closest_when_refused": f"WITH {_scored()}, {_TEN}, {_EVIDENT} SELECT query_id, doc_id, rank FROM ten JOIN best USING (query_id) WHERE NOT evident AND rank <= 3".replace("array_to_string(string_split(text, ' ')[1:8], ' ')", "'zzyzx qwyjibo grault plugh xyzzy ' || string_split(text, ' ')[1]"),
-    "chapter_scope_search": f"""WITH {_scored("book, chapter", "TRUE", "tf.book = 'en' AND tf.chapter = qt.preferred")},
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-SELECT query_id, doc_id, chapter, rank, round(1.0 / (60 + rank), 6) AS score, round(coverage, 4) AS coverage FROM r WHERE rank <= 5""",
-    "book_search_boosted": _book_search(10, True) + " SELECT query_id, doc_id, chapter, rank, round(1.0 / (60 + rank), 6) AS score, array_to_string(recurring, ' ') AS recurring FROM b WHERE rank <= 10",
-    "whole_book_search": _book_search(20, False) + " SELECT query_id, doc_id, rank, round(1.0 / (60 + rank), 6) AS score FROM b WHERE rank <= 20",
-    "search_scope": _book_search(10, True) + " SELECT query_id, CASE WHEN bool_and(chapter = preferred) THEN 'chapter' ELSE 'book' END AS scope FROM b WHERE rank <= 10 GROUP BY query_id",
+    "closest_when_refused": f"WITH {_scored()}, {_TEN}, {_EVIDENT} SELECT query_id, doc_id, rank FROM ten JOIN best USING (query_id) WHERE NOT evident AND rank <= 3".replace("text AS query", "'zzyzx qwyjibo grault plugh xyzzy ' || string_split(text, ' ')[1] AS query"),
+    "chapter_scope_search": f"""WITH {_scored("book, chapter", "TRUE", "tf.chapter = qt.preferred")},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, book ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT query_id, book, doc_id, chapter, rank, round(1.0 / (60 + rank), 6) AS score, round(coverage, 4) AS coverage FROM r WHERE rank <= 5""",
+    "book_search_boosted": _book_search(10, True) + " SELECT query_id, book, doc_id, chapter, rank, round(1.0 / (60 + rank), 6) AS score, array_to_string(recurring, ' ') AS recurring FROM b WHERE rank <= 10",
+    "whole_book_search": _book_search(20, False) + " SELECT query_id, book, doc_id, rank, round(1.0 / (60 + rank), 6) AS score FROM b WHERE rank <= 20",
+    "search_scope": _book_search(10, True) + " SELECT query_id, book, CASE WHEN bool_and(chapter = preferred) THEN 'chapter' ELSE 'book' END AS scope FROM b WHERE rank <= 10 GROUP BY query_id, book",
     "fulltext_search_joined": f"WITH {_scored()}, {_TEN} SELECT query_id, rank, doc_id, 'Chapter ' || source AS title, substr(text, 1, 40) AS head FROM ten JOIN documents USING (doc_id)",
     "substring_search": "SELECT doc_id, instr(lower(text), 'thing') AS at FROM documents WHERE contains(lower(text), 'thing')",
     "cosine_topk": _vector_sql("TRUE") + " SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10",
     "cosine_allowed_ids": _vector_sql("label = 3") + " SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10",
     "rrf_fusion": f"""WITH {_scored()},
-l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE query_id < 5),
-v AS ({_vector_sql("TRUE").replace("round(score, 9)", "score")} SELECT query_id, vec_id AS doc_id, rank FROM r),
+l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+v AS ({_vector_sql("TRUE")} SELECT query_id // 20 AS query_id, vec_id AS doc_id, rank FROM r),
 f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS fused, min(channel * 1000 + rank) AS seen FROM (SELECT *, 0 AS channel FROM l WHERE rank <= 30 UNION ALL SELECT *, 1 FROM v WHERE rank <= 30) GROUP BY ALL)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, seen) AS rank, doc_id, round(fused, 9) AS score FROM f) WHERE rank <= 10""",
     "anchor_containment": r"""WITH n AS (SELECT item_id, regexp_replace(text, '[\s\-\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}]', '', 'g') AS needle FROM benchmark),
-p AS (SELECT doc_id, regexp_replace(text, '[\s\-\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}]', '', 'g') AS form FROM documents WHERE lang = 'en'),
+p AS (SELECT doc_id, regexp_replace(text, '[\s\-\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}]', '', 'g') AS form FROM documents),
 m AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY length(form) DESC, doc_id) AS nth FROM n JOIN p ON contains(form, needle) WHERE length(needle) >= 4)
 SELECT item_id, doc_id FROM m WHERE nth = 1""",
     "rule_answer_text": f"""WITH {_scored()}, {_EVIDENCE},
-l AS (SELECT query_id, ordinal, '[' || ordinal || '] 《' || source || '》第 ' || (doc_id % 50 + 1) || ' 页：' || CASE WHEN length(trim(text, chr(10) || ' ')) > 120 THEN substr(trim(text, chr(10) || ' '), 1, 120) || '…' ELSE trim(text, chr(10) || ' ') END AS line FROM ev JOIN documents USING (doc_id) WHERE ordinal <= 3)
+l AS (SELECT query_id, ordinal, '[' || ordinal || '] 《' || source || '》第 ' || (doc_id % 50 + 1) || ' 页：' || CASE WHEN length(trim(text, chr(10) || ' ')) > 120 THEN substr(trim(text, chr(10) || ' '), 1, 120) || '…' ELSE trim(text, chr(10) || ' ') END AS line FROM ev JOIN documents USING (doc_id))
 SELECT query_id, 'No model.' || chr(10) || string_agg(line, chr(10) ORDER BY ordinal) AS answer FROM l GROUP BY query_id""",
     "cited_anchors": f"""WITH {_scored()}, {_EVIDENCE},
 m AS (SELECT query_id, max(ordinal) AS available FROM ev GROUP BY query_id),
