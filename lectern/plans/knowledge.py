@@ -86,13 +86,13 @@ def lesson_contract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quiz_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select((F.col("p_size") % 5).alias("chapter_id"), F.col("p_type").alias("concept"))
+    names = table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("chapter_id"), F.col("p_type").alias("concept"))
     return concepts.distractors(names).select("chapter_id", "concept", F.array_join("others", "|").alias("others"))
 
 
 def quiz_cloze(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.element_at(F.split("text", " "), 2)
-    return table(spark, sf_dir, "documents").where("size(split(text, ' ')) > 2").select("doc_id", X.cloze(F.substring("text", 1, 200), word).alias("prompt"))
+    return table(spark, sf_dir, "documents").where("size(split(text, ' ')) > 2").select("doc_id", X.cloze(F.col("text"), word).alias("prompt"))
 
 
 def quiz_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +166,10 @@ ORACLE = {
 SELECT chapter_id, seq, anchor FROM s WHERE nth <= 3 AND anchor IS NOT NULL""",
     "lesson_contract_errors": """WITH e AS (SELECT s_nationkey AS chapter_id, unnest([CASE WHEN s_suppkey % 11 = 0 THEN 'no title' END, CASE WHEN s_suppkey % 5 = 0 THEN 'a step without source' END,
 CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 4 > s_nationkey % 4 THEN 'an unknown anchor' END, CASE WHEN s_suppkey % 7 = 0 THEN 'an empty step' END]) AS error FROM supplier) SELECT * FROM e WHERE error IS NOT NULL""",
-    "quiz_distractors": """WITH n AS (SELECT DISTINCT p_size % 5 AS chapter_id, p_type AS concept FROM part WHERE p_partkey % 40 = 0),
+    "quiz_distractors": """WITH n AS (SELECT DISTINCT p_size % 5 AS chapter_id, p_type AS concept FROM part),
 o AS (SELECT a.chapter_id, a.concept, b.concept AS other, row_number() OVER (PARTITION BY a.chapter_id, a.concept ORDER BY abs(length(b.concept) - length(a.concept)), b.concept) AS nth FROM n a JOIN n b ON a.chapter_id = b.chapter_id AND a.concept <> b.concept)
 SELECT chapter_id, concept, string_agg(other, '|' ORDER BY nth) AS others FROM o WHERE nth <= 3 GROUP BY ALL HAVING count(*) = 3""",
-    "quiz_cloze": """WITH w AS (SELECT doc_id, substr(text, 1, 200) AS t, string_split(text, ' ')[2] AS w FROM documents WHERE len(string_split(text, ' ')) > 2)
+    "quiz_cloze": """WITH w AS (SELECT doc_id, text AS t, string_split(text, ' ')[2] AS w FROM documents WHERE len(string_split(text, ' ')) > 2)
 SELECT doc_id, CASE WHEN instr(t, w) > 0 THEN substr(t, 1, instr(t, w) - 1) || '____' || substr(t, instr(t, w) + length(w)) ELSE t END AS prompt FROM w""",
     "quiz_grade": "SELECT doc_id AS id, quality = doc_id % 2 AS correct, CAST(quality = doc_id % 2 AS DOUBLE) AS value FROM labels JOIN documents USING (doc_id)",
     "plan_durations": f"SELECT doc_id, {_MINUTES} AS minutes FROM documents",
