@@ -56,5 +56,5 @@ ORACLE = {
     "current_page": "SELECT user_id AS session, CAST(arg_max(day(ts), (value, -day(ts))) AS INT) AS page FROM events GROUP BY user_id",
     "page_body_size": f"WITH {_LINES} SELECT book, body FROM s",
     "page_headings": f"WITH {_LINES}, h AS (SELECT book, page, y, arg_max(text, ord) AS text FROM l JOIN s USING (book) WHERE size >= 1.18 * body GROUP BY ALL) SELECT * FROM h",
-    "run_body_sizes": f"WITH {_LINES}, c AS (SELECT book, size, sum(length(text)) AS n FROM l GROUP BY ALL) SELECT book, arg_max(size, (n, -size)) AS body FROM c GROUP BY book",
+    "run_body_sizes": f"WITH {_LINES}, c AS (SELECT book, size, count(*) AS n FROM l WHERE size > 0 GROUP BY ALL) SELECT book, arg_max(size, (n, -size)) AS body FROM c GROUP BY book",
 }

@@ -135,8 +135,8 @@ def table_content(cells: Column) -> Column:
 
 
 def body_size(runs: DataFrame, book: str = "book") -> DataFrame:
-    """book, body: the commonest size, the smaller of several."""
-    counted = runs.where(F.col("size").isNotNull()).groupBy(book, "size").agg(F.sum(F.length("text")).alias("n"))
+    """book, body: the size of most runs (not of most characters), the smaller of several; runs without a size don't count."""
+    counted = runs.where(F.col("size") > 0).groupBy(book, "size").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy(book).agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("body"))
 
 
