@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ STEP_CHARS = 2_000_000
 #: Rows of a narrow table in one file of the shared folder, where their number is known beforehand. Each file costs calls to the store.
 FILE_ROWS = 200_000
 
+_SPACE = re.compile("[\x20\x09-\x0d]")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a folder of our own."""
@@ -64,6 +67,15 @@ def sample_rank(*columns: str) -> Column:
     return (F.xxhash64(*[F.col(c) for c in columns]).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / F.lit(float(1 << 52))
 
 
+def slices(text: str, most_chars: int = STEP_CHARS) -> Iterator[str]:
+    """The text in parts of about most_chars characters, cut before white space (so a word is never cut, however long it is)."""
+    start = 0
+    while len(text) - start > most_chars and (found := _SPACE.search(text, start + most_chars)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most_chars: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """The batch in slices of at most about most_chars characters (one row at least), each with its texts."""
     texts = batch.column(batch.schema.get_field_index(column))
