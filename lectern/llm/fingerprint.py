@@ -1,12 +1,13 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 A text's paragraphs are its lines; a long paragraph counts as runs of WORDS words. Each is hashed to a wide vector, and a
-fingerprint is the sum of the vectors modulo powers of two, lane by lane. So the order of paragraphs is of no account, and
+fingerprint is the sum of the vectors modulo powers of two (2**64 and 2**32), lane by lane. So the order of paragraphs is of no account, and
 paragraphs are inserted or deleted by adding or subtracting their vectors (add, remove).
 
 A vector has two parts. EXACT lanes of 64 bits are uniform: equal multisets give equal sums, others differ but for
-chance. LOOSE lanes of 16 bits are +1 or -1: the inner product of two sums estimates how many paragraphs are shared, and
-with the lengths the likeness (cosine of the multisets).
+chance. LOOSE lanes of 32 bits are +1 or -1: the inner product of two sums estimates how many paragraphs are shared, and
+with the lengths the likeness (cosine of the multisets, with a standard error of 1 / sqrt(LOOSE) at most). No text that Spark
+can hold has 2**31 paragraphs, so these lanes do not wrap.
 
 Defined results: rows without a doc_id come last, and where no row has one the last is followed by the empty text; null text is the empty text, whose fingerprint is the zero vector; two empty texts are wholly like (1), an
 empty and another text not at all (0); texts with the same lines in another order have equal fingerprints; repeated rows have equal
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 #: Lanes modulo 2**64 that tell multisets apart.
 EXACT = 16
-#: Lanes modulo 2**16 that estimate likeness.
+#: Lanes modulo 2**32 that estimate likeness.
 LOOSE = 256
 #: Words of a run into which a paragraph is cut.
 WORDS = 6
@@ -50,7 +51,7 @@ def paragraphs(text: str) -> Counter:
 
 
 def zero() -> Sum:
-    return np.zeros(EXACT, dtype=np.uint64), np.zeros(LOOSE, dtype=np.int16)
+    return np.zeros(EXACT, dtype=np.uint64), np.zeros(LOOSE, dtype=np.int32)
 
 
 def add(total: Sum, parts: Counter, sign: int = 1) -> Sum:
@@ -66,7 +67,7 @@ def add(total: Sum, parts: Counter, sign: int = 1) -> Sum:
     ones = bits.sum(axis=0, dtype=np.int64) * sign if plain else times @ bits
     loose = 2 * ones - times.sum()
     exact = total[0] - exact if plain and sign < 0 else total[0] + exact
-    return exact, (total[1].astype(np.int64) + loose).astype(np.int16)
+    return exact, (total[1].astype(np.int64) + loose).astype(np.int32)
 
 
 def remove(total: Sum, parts: Counter) -> Sum:
@@ -83,7 +84,7 @@ def likeness(a: Sum, b: Sum) -> float:
 
 
 def written(total: Sum) -> str:
-    return base64.b64encode(total[0].astype("<u8").tobytes() + total[1].astype("<i2").tobytes()).decode()
+    return base64.b64encode(total[0].astype("<u8").tobytes() + total[1].astype("<i4").tobytes()).decode()
 
 
 def edited(text: str, following: str) -> str:
