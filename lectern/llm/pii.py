@@ -2,7 +2,7 @@
 
 The tagger is trained in numpy from labelled spans (generated sentences whose e-mail addresses, IP addresses, card and
 phone numbers are known). Texts are tagged in overlapping windows; every window is decoded by itself, and
-the spans of all windows of a text are reconciled together: the set of spans that do not overlap and have the highest total
+the spans of all windows of a text are reconciled together: what window edges have cut is joined, then the set of spans that do not overlap and have the highest total
 score is kept. Every kind holds a digit or an @ sign, so windows without either have nothing to find and are not decoded.
 
 Defined results: null and empty texts have no spans; offsets are code points; repeated rows are scanned alike; very long
@@ -11,6 +11,7 @@ texts are scanned whole in time linear in their length; an empty table gives an
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -18,7 +19,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lectern.llm.spans import Span, overlaps, scan
+from lectern.llm.spans import Span, Taken, scan
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
@@ -74,12 +75,12 @@ _SYLLABLES = "th an er re on at en nd ti es or te of ed is it al ar st to nt ng
 
 
 def _word(r: random.Random) -> str:
-    word = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
+    word = "".join(r.choices(_SYLLABLES, k=r.randint(1, 4)))
     return (word.capitalize() if r.random() < 0.1 else word) + (r.choice(",.;:!?") if r.random() < 0.1 else "")
 
 
 def _digits(r: random.Random, n: int) -> str:
-    return "".join(r.choice("0123456789") for _ in range(n))
+    return f"{r.randrange(10**n):0{n}d}"
 
 
 def _card(r: random.Random) -> str:
@@ -130,72 +131,79 @@ _ALPHABET = " \n0123456789@.-+()_%:/#,;=\"'"
 
 
 def codes(text: str) -> np.ndarray:
-    known = {c: i + 4 for i, c in enumerate(_ALPHABET)}
-    return np.array([known.get(c) or (1 if c.islower() else 2 if c.isupper() else 3) for c in text], dtype=np.int64)
+    return np.array([_CODE.get(c) or (1 if c.islower() else 2 if c.isupper() else 3) for c in text], dtype=np.int64)
 
 
+_CODE = {c: i + 4 for i, c in enumerate(_ALPHABET)}
 _N_CODES = 4 + len(_ALPHABET)
 _EMBED, _HIDDEN = 16, 24
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def _lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """x: (T, N, E) -> hidden states (T, N, H) and what backpropagation needs."""
-    steps, n, _ = x.shape
-    h, c = np.zeros((n, u.shape[0])), np.zeros((n, u.shape[0]))
-    into, out, kept = x @ w + b, np.empty((steps, n, u.shape[0])), []
+def _lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Both directions at once. x: (2, T, N, E), of which the second runs backwards -> hidden states (2, T, N, H) and what backpropagation needs."""
+    ways, steps, n, _ = x.shape
+    size = u.shape[1]
+    into = (x.reshape(ways, steps * n, -1) @ w + b[:, None, :]).reshape(ways, steps, n, 4 * size)
+    into[..., size : 2 * size] += 1  # the forget gate starts open
+    gates, news = np.empty((ways, steps, n, 3 * size), x.dtype), np.empty((ways, steps, n, size), x.dtype)
+    cells, states = np.zeros((ways, steps + 1, n, size), x.dtype), np.zeros((ways, steps + 1, n, size), x.dtype)
     for t in range(steps):
-        i, f, o, g = np.split(into[t] + h @ u, 4, axis=1)
-        i, f, o, g = _sigmoid(i), _sigmoid(f + 1), _sigmoid(o), np.tanh(g)
-        new = f * c + i * g
-        kept.append((h, c, i, f, o, g, np.tanh(new)))
-        c, h = new, o * np.tanh(new)
-        out[t] = h
-    return out, kept
-
-
-def _lstm_back(x: np.ndarray, w: np.ndarray, u: np.ndarray, kept: list, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    dw, du, db, dx = np.zeros_like(w), np.zeros_like(u), np.zeros(w.shape[1]), np.empty_like(x)
-    dh, dc = np.zeros_like(grad[0]), np.zeros_like(grad[0])
-    for t in reversed(range(len(x))):
-        h, c, i, f, o, g, th = kept[t]
-        dh = dh + grad[t]
-        dc = dc + dh * o * (1 - th * th)
-        z = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        dw += x[t].T @ z
-        du += h.T @ z
-        db += z.sum(axis=0)
-        dx[t], dh, dc = z @ w.T, z @ u.T, dc * f
-    return dw, du, db, dx
-
-
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
+        z = into[:, t] + states[:, t] @ u
+        gates[:, t], news[:, t] = _sigmoid(z[..., : 3 * size]), np.tanh(z[..., 3 * size :])
+        cells[:, t + 1] = gates[:, t, :, size : 2 * size] * cells[:, t] + gates[:, t, :, :size] * news[:, t]
+        states[:, t + 1] = gates[:, t, :, 2 * size :] * np.tanh(cells[:, t + 1])
+    return states[:, 1:], (gates, news, cells, states)
+
+
+def _lstm_back(x: np.ndarray, w: np.ndarray, u: np.ndarray, kept: tuple, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    gates, news, cells, states = kept
+    ways, steps, n, size = news.shape
+    through = np.tanh(cells[:, 1:])
+    i, f, o = gates[..., :size], gates[..., size : 2 * size], gates[..., 2 * size :]
+    # What a change of the cell, or of the output gate, makes of each gate's sum.
+    of_cell = np.concatenate([news * i * (1 - i), cells[:, :-1] * f * (1 - f), np.zeros_like(o), i * (1 - news * news)], axis=3)
+    of_out, into_cell = through * o * (1 - o), o * (1 - through * through)
+    z, back = np.empty_like(of_cell), u.transpose(0, 2, 1)
+    dh, dc = np.zeros_like(grad[:, 0]), np.zeros_like(grad[:, 0])
+    for t in reversed(range(steps)):
+        dh = dh + grad[:, t]
+        dc = dc + dh * into_cell[:, t]
+        z[:, t] = np.concatenate([dc, dc, dc, dc], axis=2) * of_cell[:, t]
+        z[:, t, :, 2 * size : 3 * size] = dh * of_out[:, t]
+        dh, dc = z[:, t] @ back, dc * f[:, t]
+    flat = z.reshape(ways, steps * n, -1)
+    dw = x.reshape(ways, steps * n, -1).transpose(0, 2, 1) @ flat
+    du = states[:, :-1].reshape(ways, steps * n, -1).transpose(0, 2, 1) @ flat
+    return dw, du, flat.sum(axis=1), (flat @ w.transpose(0, 2, 1)).reshape(x.shape)
 
 
 def _crf(scores: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (T, N, K) and expected transitions (K, K) summed over all."""
-    steps = len(scores)
-    ahead, behind = np.empty_like(scores), np.zeros_like(scores)
-    ahead[0] = scores[0]
-    for t in range(1, steps):
-        ahead[t] = scores[t] + _logsum(ahead[t - 1][:, :, None] + trans[None], 1)
-    for t in reversed(range(steps - 1)):
-        behind[t] = _logsum(trans[None] + (scores[t + 1] + behind[t + 1])[:, None, :], 2)
-    whole = _logsum(ahead[-1], 1)
-    pairs = sum(np.exp(ahead[t][:, :, None] + trans[None] + (scores[t + 1] + behind[t + 1])[:, None, :] - whole[:, None, None]).sum(axis=0) for t in range(steps - 1))
-    return np.exp(ahead + behind - whole[None, :, None]), pairs
-
-
-def _states(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list]:
-    one, kept1 = _lstm(x, p["w1"], p["u1"], p["b1"])
-    two, kept2 = _lstm(x[::-1], p["w2"], p["u2"], p["b2"])
-    both = np.concatenate([one, two[::-1]], axis=2)
-    return both, both @ p["v"] + p["c"], kept1, kept2
+    """Marginals (T, N, K) and expected transitions (K, K) summed over all, by forward and backward sums scaled at each step."""
+    likely = np.exp(scores - scores.max(axis=2, keepdims=True))
+    ways = np.exp(trans - trans.max())
+    ahead, behind, scale = np.empty_like(likely), np.ones_like(likely), np.empty(likely.shape[:2] + (1,), likely.dtype)
+    for t in range(len(scores)):
+        ahead[t] = likely[t] if t == 0 else (ahead[t - 1] @ ways) * likely[t]
+        scale[t] = ahead[t].sum(axis=1, keepdims=True)
+        ahead[t] /= scale[t]
+    for t in reversed(range(len(scores) - 1)):
+        behind[t] = (likely[t + 1] * behind[t + 1] / scale[t + 1]) @ ways.T
+    after = likely[1:] * behind[1:] / scale[1:]
+    k = len(trans)
+    return ahead * behind, (ahead[:-1].reshape(-1, k).T @ after.reshape(-1, k)) * ways
+
+
+def _states(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """What goes into the LSTM, its states side by side, the tags' scores, and what backpropagation needs. x: codes (T, N)."""
+    embedded = p["e"][x]
+    into = np.stack([embedded, embedded[::-1]])
+    out, kept = _lstm(into, p["w"], p["u"], p["b"])
+    both = np.concatenate([out[0], out[1, ::-1]], axis=2)
+    return into, both, both @ p["v"] + p["c"], kept
 
 
 @functools.lru_cache(maxsize=2)
@@ -203,8 +211,9 @@ def trained(steps: int = 400, batch: int = 48, length: int = 64, seed: int = 7)
     """The tagger's parameters; the same for the same arguments. The labelled sample is steps * batch texts."""
     r, rng = random.Random(seed), np.random.default_rng(seed)
     k = len(_TAGS)
-    shapes = {"e": (_N_CODES, _EMBED), "w1": (_EMBED, 4 * _HIDDEN), "u1": (_HIDDEN, 4 * _HIDDEN), "w2": (_EMBED, 4 * _HIDDEN), "u2": (_HIDDEN, 4 * _HIDDEN), "v": (2 * _HIDDEN, k)}
-    p = {n: rng.normal(0, 1 / np.sqrt(s[0]), s) for n, s in shapes.items()} | {"b1": np.zeros(4 * _HIDDEN), "b2": np.zeros(4 * _HIDDEN), "c": np.zeros(k), "t": np.zeros((k, k))}
+    shapes = {"e": (_N_CODES, _EMBED), "w": (2, _EMBED, 4 * _HIDDEN), "u": (2, _HIDDEN, 4 * _HIDDEN), "v": (2 * _HIDDEN, k)}
+    p = {n: rng.normal(0, 1 / np.sqrt(s[-2]), s).astype(np.float32) for n, s in shapes.items()}
+    p |= {n: np.zeros(s, np.float32) for n, s in {"b": (2, 4 * _HIDDEN), "c": k, "t": (k, k)}.items()}
     first, second = {n: np.zeros_like(a) for n, a in p.items()}, {n: np.zeros_like(a) for n, a in p.items()}
     for step in range(1, steps + 1):
         made = [labelled(r, length) for _ in range(batch)]
@@ -214,23 +223,21 @@ def trained(steps: int = 400, batch: int = 48, length: int = 64, seed: int = 7)
             for kind, start, end in spans:
                 tags[start:end, n] = _TAGS.index(f"I-{kind}")
                 tags[start, n] = _TAGS.index(f"B-{kind}")
-        embedded = p["e"][x]
-        both, scores, kept1, kept2 = _states(p, embedded)
+        into, both, scores, kept = _states(p, x)
         marginal, pairs = _crf(scores, p["t"])
-        d = (marginal - np.eye(k)[tags]) / batch
-        g = {"t": pairs / batch, "v": np.einsum("tnh,tnk->hk", both, d), "c": d.sum(axis=(0, 1))}
+        d = (marginal - np.eye(k, dtype=np.float32)[tags]) / batch
+        g = {"t": pairs / batch, "v": both.reshape(-1, 2 * _HIDDEN).T @ d.reshape(-1, k), "c": d.sum(axis=(0, 1))}
         np.add.at(g["t"], (tags[:-1].ravel(), tags[1:].ravel()), -1.0 / batch)
         back = d @ p["v"].T
-        g["w1"], g["u1"], g["b1"], dx1 = _lstm_back(embedded, p["w1"], p["u1"], kept1, back[:, :, :_HIDDEN])
-        g["w2"], g["u2"], g["b2"], dx2 = _lstm_back(embedded[::-1], p["w2"], p["u2"], kept2, back[::-1, :, _HIDDEN:])
+        g["w"], g["u"], g["b"], dx = _lstm_back(into, p["w"], p["u"], kept, np.stack([back[:, :, :_HIDDEN], back[::-1, :, _HIDDEN:]]))
         g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], x, dx1 + dx2[::-1])
+        np.add.at(g["e"], x, dx[0] + dx[1, ::-1])
         rate = 0.02 * min(1.0, step / 20) * (0.1 ** (step / steps))
         for n in p:
             grad = np.clip(g[n], -5, 5)
             first[n] = 0.9 * first[n] + 0.1 * grad
             second[n] = 0.999 * second[n] + 0.001 * grad * grad
-            p[n] = p[n] - rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
+            p[n] = (p[n] - rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return p
 
 
@@ -238,7 +245,7 @@ def decoded(p: dict[str, np.ndarray], windows: list[str]) -> list[list[tuple[flo
     """Spans of each window with their scores, by Viterbi. The score of a span is its length times its mean margin over O."""
     length = max(map(len, windows))
     x = np.stack([np.pad(codes(w), (0, length - len(w)), constant_values=4) for w in windows], axis=1)
-    _, scores, _, _ = _states(p, p["e"][x])
+    _, _, scores, _ = _states(p, x)
     best, came = scores[0], []
     for t in range(1, length):
         ways = best[:, :, None] + p["t"][None]
@@ -288,9 +295,7 @@ def reconciled(candidates: list[tuple[float, Span]]) -> list[Span]:
     spans = sorted(best, key=lambda s: (s[2], s[1], s[0]))
     totals, chosen = [0.0], []
     for n, span in enumerate(spans):
-        free = n
-        while free and spans[free - 1][2] > span[1]:
-            free -= 1
+        free = bisect.bisect_right(spans, span[1], hi=n, key=lambda s: s[2])
         take = totals[free] + max(0.0, best[span])
         chosen.append((take > totals[-1], free))
         totals.append(max(totals[-1], take))
@@ -303,6 +308,29 @@ def reconciled(candidates: list[tuple[float, Span]]) -> list[Span]:
     return out[::-1]
 
 
+def mended(parts: list[tuple[str, int, int, bool, bool, float]]) -> list[tuple[float, Span]]:
+    """Spans from parts (kind, start, end, cut off at the left, at the right, score) that windows have cut off: overlapping parts of a kind are joined, if the whole has both its ends."""
+    out: list[tuple[float, Span]] = []
+    held: list | None = None
+
+    def close() -> None:
+        if held and not held[3] and not held[4]:
+            out.append((held[5], (held[0], held[1], held[2])))
+
+    for kind, start, end, left, right, score in sorted(parts):
+        if held and held[0] == kind and start < held[2]:
+            held[3] = held[3] and not (start == held[1] and not left)
+            if end >= held[2]:
+                held[4] = right if end > held[2] else held[4] and right
+                held[2] = end
+            held[5] = max(held[5], score)
+        else:
+            close()
+            held = [kind, start, end, left, right, score]
+    close()
+    return out
+
+
 def further_spans(p: dict[str, np.ndarray], texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
     """What the tagger finds besides the base spans."""
     asked: list[tuple[int, int]] = []
@@ -312,21 +340,27 @@ def further_spans(p: dict[str, np.ndarray], texts: list[str], bases: list[list[S
             starts.update(s for s in ((m.start() // STRIDE - 1) * STRIDE, m.start() // STRIDE * STRIDE) if s >= 0)
         asked += [(n, s) for s in sorted(starts)]
     found: list[list[tuple[float, Span]]] = [[] for _ in texts]
+    torn: list[list[tuple[str, int, int, bool, bool, float]]] = [[] for _ in texts]
     for at in range(0, len(asked), _BATCH):
         part = asked[at : at + _BATCH]
         for (n, start), spans in zip(part, decoded(p, [texts[n][s : s + WINDOW] for n, s in part]), strict=True):
             for score, (kind, a, b) in spans:
-                cut_off = (a == 0 and start > 0) or (b == WINDOW and start + WINDOW < len(texts[n]))
-                if not cut_off:
+                left, right = a == 0 and start > 0, b == WINDOW and start + WINDOW < len(texts[n])
+                if left or right:
+                    torn[n].append((kind, start + a, start + b, left, right, score))
+                else:
                     found[n].append((score, (kind, start + a, start + b)))
+    for n, parts in enumerate(torn):
+        found[n] += mended(parts)
     out = []
     for text, base, candidates in zip(texts, bases, found, strict=True):
-        out.append([s for s in reconciled([c for c in candidates if plausible(c[1], text)]) if not overlaps(s, base)])
+        taken = Taken(base)
+        out.append([s for s in reconciled([c for c in candidates if plausible(c[1], text)]) if not taken.overlaps(s[1], s[2])])
     return out
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans."""
     model = docs.sparkSession.sparkContext.broadcast(trained())
 
     def finder(texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
