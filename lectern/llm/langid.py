@@ -2,7 +2,7 @@
 
 Training counts hashed 2- and 3-grams of a bounded, hash-chosen sample of labelled texts in the executors; only the
 count matrix (languages x BUCKETS) reaches the driver. Its log-probabilities are broadcast, and scoring sums
-table rows over all n-grams of every whole text in numpy, a few million characters at a time.
+table rows over all n-grams of every whole text in numpy, a few million characters at a time, also of one very long text.
 
 Defined results: null text, or text without a letter: 'und' with score 0; without any training row every text is 'und';
 ties go to the first language in code-point order; repeated rows are scored alike; further columns are ignored by
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import fold, pieces, sample_rank
+from lectern.llm.common import STEP_CHARS, fold, pieces, sample_rank
 
 #: Hash buckets; the model is languages x BUCKETS x 8 bytes.
 BUCKETS = 1 << 15
@@ -54,6 +54,23 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def gram_sums(texts: list[str], tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of each table's entries over each text's n-grams, characters of each text and its end). A very long text is read in slices that overlap by an n-gram."""
+    if max(map(len, texts), default=0) <= STEP_CHARS:
+        grams, starts = gram_buckets(texts)
+        return np.array([np.add.reduceat(t[grams[0]] + t[grams[1]], starts) for t in tables]), np.diff([*starts, grams.shape[1]])
+    sums, lengths = [], []
+    for text in texts:
+        lower, total = text.lower(), np.zeros(len(tables))
+        for at in range(0, len(lower), STEP_CHARS):
+            grams, _ = gram_buckets([lower[at : at + STEP_CHARS + 2]])
+            grams = grams[:, :STEP_CHARS]  # those that begin in this slice
+            total += [(t[grams[0]] + t[grams[1]]).sum() for t in tables]
+        sums.append(total)
+        lengths.append(len(lower) + 2)
+    return np.array(sums).T, np.array(lengths)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of shape (languages, BUCKETS + 1)); rows of the held-out fold are never read."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held_out))
@@ -68,11 +85,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for part, texts in pieces(batch):
-                grams, starts = gram_buckets(texts)
-                ends = [*starts[1:], grams.shape[1]]
-                for lang, start, end in zip(part.column(0).to_pylist(), starts, ends, strict=True):
+                for lang, text in zip(part.column(0).to_pylist(), map(str.lower, texts), strict=True):
                     held.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
-                    np.add.at(held[lang], grams[:, start:end].ravel(), 1)
+                    for at in range(0, len(text), STEP_CHARS):
+                        grams, _ = gram_buckets([text[at : at + STEP_CHARS + 2]])
+                        held[lang] += np.bincount(grams[:, :STEP_CHARS].ravel(), minlength=BUCKETS + 1)
         for lang, sums in held.items():
             used = np.flatnonzero(sums[:BUCKETS])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(sums[used], pa.int64())], ["lang", "bucket", "n"])
@@ -90,11 +107,7 @@ def classify(texts: list[str | None], languages: list[str], logs: np.ndarray) ->
     able = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if languages else []
     if not able:
         return names, scores
-    grams, starts = gram_buckets([texts[i] for i in able])
-    lengths = np.diff([*starts, grams.shape[1]])
-    like = np.empty((len(languages), len(able)))
-    for k in range(len(languages)):
-        like[k] = np.add.reduceat(logs[k][grams[0]] + logs[k][grams[1]], starts)
+    like, lengths = gram_sums([texts[i] for i in able], logs)
     like = like / np.sqrt(lengths)
     best = like.argmax(axis=0)
     posterior = 1.0 / np.exp(like - like.max(axis=0)).sum(axis=0)
