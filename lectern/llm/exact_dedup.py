@@ -60,14 +60,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row")))
     won = cut(winners(rows, rows.count()))
     frequent = rows.join(F.broadcast(won), "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
-    same = Window.partitionBy("digest")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).over(same)
-    rare = (
-        rows.join(F.broadcast(won.select("digest")), "digest", "left_anti")
-        .withColumn("first", first)
-        .withColumn("group_size", F.count(F.lit(1)).over(same))
-        .select("digest", "doc_id", "row", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
-    )
+    # A group is summed up before it is shuffled, and met by a join, whose large partitions Spark may split.
+    rest = rows.join(F.broadcast(won.select("digest")), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    rare = rest.join(groups, "digest").select("digest", "doc_id", "row", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
     out = [F.col("doc_id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")]
     return frequent.select(*out).unionByName(rare.select(*out))
 
