@@ -30,7 +30,9 @@ from lectern.llm.common import cut, new_folder
 SHARED_BYTES = 1000
 #: Compressed size at which an archive ends.
 ARCHIVE_BYTES = 64 << 20
-CHUNK = 1 << 18
+CHUNK = 1 << 16
+#: Most bytes of a record's header, or of the HTTP header within it.
+MOST_HEADER = 1 << 20
 #: Revisits are broadcast to the pages up to this many rows (about 100 bytes each), and joined by a shuffle beyond.
 MOST_BROADCAST = 100_000
 
@@ -91,6 +93,8 @@ def read_record(chunks: Iterator[bytes]) -> dict:
         if more is None:
             raise WarcError("a record without header")
         held += more
+        if len(held) > MOST_HEADER + CHUNK:
+            raise WarcError("a record's header does not end")
     lines = held[:end].decode("utf-8", "surrogatepass").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise WarcError(f"not a WARC record: {lines[0][:40]!r}")
@@ -108,6 +112,8 @@ def read_record(chunks: Iterator[bytes]) -> dict:
             http += part
             at = http.find(b"\r\n\r\n")
             if at < 0:
+                if len(http) > MOST_HEADER + CHUNK:
+                    raise WarcError("an HTTP header does not end")
                 continue
             in_head, part = False, http[at + 4 :]
             if m := re.search(rb"(?i)\r\ncontent-length:\s*([0-9]+)", http[:at]):
