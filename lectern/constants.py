@@ -61,5 +61,14 @@ NAME_END = "，。、；：,;:!?"
 
 # Texts of answers and exports
 NO_TITLE, NO_CHAPTER_TITLE = "未命名教材", "未命名章节"
+IMAGE_TEXT = "（插图）"
+NO_EVIDENCE_TEXT = "教材中未找到直接依据"
+NO_EVIDENCE_HINT = "可以换个问法：点出教材里的具体概念（例如「导数的定义」）；或者直接选中相关原文再提问——划词追问不受依据判定限制。"
+NO_MODEL_NOTICE = "（未接入大模型，这里直接给出教材中与你的问题最相关的原文，可对照核对。）"
+EMPTY_REPLY_NOTICE = "（模型这次没有返回内容，先给出教材中与你的问题最相关的原文，可对照核对。）"
+BOX_NOTE, DRAWING_NOTE = "个文本框", "张图片"
+QUESTION_CHARS = 200
+TABLE_PAGES, HEADING_PAGES = 200, 200
+TASK_FIELDS = ("status", "total_pages", "done_pages", "book_id", "message", "title", "updated_at")
 EVENT_KINDS = ("open", "read", "ask", "complete", "quiz")
 STATUSES = ("planned", "learning", "learned")

@@ -126,18 +126,23 @@ def summary_chunks(paragraphs: DataFrame, keys: Sequence[str], order: str = "pos
 
 
 def page_packs(boxes: DataFrame, keys: Sequence[str], height: float = K.PAGE_HEIGHT) -> DataFrame:
-    """keys, ord, top, bottom, pack: boxes in order, a new pack where a box's bottom is more than height below its pack's first top."""
-    state = "struct<pack:int,top:double,out:array<int>>"
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "top", "bottom")))
-    start = F.struct(F.lit(-1).alias("pack"), F.lit(0.0).alias("top"), F.array().cast("array<int>").alias("out")).cast(state)
-
-    def step(s, b):  # noqa: ANN001, ANN202
-        new = (s["pack"] < 0) | (b["bottom"] - s["top"] > height)
-        pack = F.when(new, s["pack"] + 1).otherwise(s["pack"])
-        return F.struct(pack.alias("pack"), F.when(new, b["top"]).otherwise(s["top"]).alias("top"), F.concat(s["out"], F.array(pack)).alias("out")).cast(state)
-
-    packed = boxes.groupBy(*keys).agg(ordered.alias("b")).withColumn("packs", F.aggregate("b", start, step)["out"])
-    return packed.select(*keys, F.explode(F.arrays_zip("b", "packs")).alias("z")).select(*keys, "z.b.*", F.col("z.packs").alias("pack"))
+    """keys, ord, top, bottom, pack: boxes in order, a new pack where a box's bottom is more than height below its pack's first top. Boxes stream by in order."""
+    rows = boxes.select(*keys, "ord", "top", "bottom").repartition(*keys).sortWithinPartitions(*keys, "ord")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, first, pack = None, 0.0, -1
+        for frame in frames:
+            packs = []
+            for row in frame.itertuples(index=False):
+                key, top, bottom = tuple(row[: len(keys)]), row[-2], row[-1]
+                if key != now:
+                    now, pack = key, -1
+                if pack < 0 or bottom - first > height:
+                    first, pack = top, pack + 1
+                packs.append(pack)
+            yield frame.assign(pack=pd.Series(packs, dtype="int32", index=frame.index))
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("pack", T.IntegerType())]))
 
 
 def within_budget(paragraphs: DataFrame, keys: Sequence[str], order: str, length, budget: int) -> DataFrame:  # noqa: ANN001

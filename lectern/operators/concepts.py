@@ -70,8 +70,16 @@ def normalized_concepts(replies: DataFrame, known: DataFrame, chapter: str = "ch
 # ---- graph ----
 
 
-def _ordered_union(name: str) -> Column:
-    return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chapter_ord", "ord", F.col(name).alias("v")))), lambda s: s["v"])))
+def _unions(named: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """keys, key, and for each of names (array columns) its values over all rows of a key, once each, in the order of their first place. A value counts once before anything is collected."""
+
+    def named_values(name: str) -> Column:
+        return F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(name).alias("name"), v.alias("v"), i.alias("i")))
+
+    values = F.concat(*map(named_values, names))
+    every = named.select(*keys, "key", "chapter_ord", "ord", F.explode(values).alias("x")).groupBy(*keys, "key", "x.name", "x.v").agg(F.min(F.struct("chapter_ord", "ord", "x.i")).alias("place"))
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == n, F.struct("place", "v")))), lambda s: s["v"]).alias(n) for n in names]
+    return every.groupBy(*keys, "key").agg(*lists)
 
 
 def graph_nodes(concepts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -79,23 +87,22 @@ def graph_nodes(concepts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     The first spelling, definition and example that are not empty count; chapters, anchors and prerequisites are united in order."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in K.STATUSES]), F.col("status")), F.lit(1))
-    named = concepts.withColumn("key", F.lower("concept")).withColumn("chapters", F.array("chapter_id")).withColumn("rank", rank)
+    named = concepts.withColumn("key", F.lower("concept")).withColumn("chapters", F.array(F.col("chapter_id").cast("string"))).withColumn("rank", rank)
     place = F.struct("chapter_ord", "ord")
 
     def first(name: str) -> Column:
         return F.coalesce(F.min_by(F.col(name), F.when(F.coalesce(F.col(name), F.lit("")) != "", place)), F.lit(""))
 
-    return named.groupBy(*keys, "key").agg(
+    single = named.groupBy(*keys, "key").agg(
         F.min_by("concept", place).alias("concept"),
         first("definition").alias("definition"),
         first("example").alias("example"),
-        _ordered_union("chapters").alias("chapters"),
-        _ordered_union("anchors").alias("anchors"),
-        _ordered_union("prerequisites").alias("prerequisites"),
         F.element_at(F.array(*[F.lit(s) for s in K.STATUSES]), F.max("rank").cast("int")).alias("status"),
         F.max(F.coalesce("mastery", F.lit(0.0))).alias("mastery"),
         F.when(F.coalesce(F.max(F.col("method") == "llm"), F.lit(False)), "llm").otherwise("rule").alias("method"),
     )
+    united = _unions(named, keys, ["chapters", "anchors", "prerequisites"])
+    return single.join(united, [*keys, "key"]).select(*keys, "key", "concept", "definition", "example", "chapters", "anchors", "prerequisites", "status", "mastery", "method")
 
 
 def prerequisite_edges(nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -131,6 +138,31 @@ def graph_stats(nodes: DataFrame, prerequisite: DataFrame, sequence: DataFrame,
     return out
 
 
+def concepts_of(kept: DataFrame, paragraphs: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """The columns of kept: the concepts kept of a chapter, or, where none are, those that rules find in its paragraphs."""
+    missing = paragraphs.join(kept.select(chapter).distinct(), chapter, "left_anti")
+    found = rule_concepts(missing, chapter)
+    return kept.unionByName(found.select(*[c for c in kept.columns if c in found.columns]), allowMissingColumns=True)
+
+
+def knowledge(concepts: DataFrame, progress: DataFrame, books: DataFrame, keys: Sequence[str] = ("book_id",)) -> dict[str, DataFrame]:
+    """Tables of all books' graphs (keys first): nodes, relations (source, target, type), unresolved, and stats, one row a book.
+    concepts: keys, chapter_id and what graph_nodes asks for; progress: keys, chapter_id, status, mastery; books: keys, title."""
+    placed = concepts.drop("status", "mastery").join(progress.select(*keys, "chapter_id", "status", "mastery"), [*keys, "chapter_id"], "left")
+    nodes = graph_nodes(placed, keys)
+    needed = prerequisite_edges(nodes, keys)
+    following = sequence_edges(placed, nodes, needed, keys=keys)
+    relations = needed.withColumn("type", F.lit("prerequisite")).unionByName(following.withColumn("type", F.lit("sequence")))
+    missing = unresolved(nodes, keys)
+    counts = [nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("status") != "planned").alias("learned"), F.count_if(F.col("method") == "llm").alias("by_model"))]
+    counts.append(relations.groupBy(*keys).agg(F.count_if(F.col("type") == "prerequisite").alias("prerequisites"), F.count_if(F.col("type") == "sequence").alias("sequences")))
+    counts.append(missing.groupBy(*keys).agg(F.count(F.lit(1)).alias("unresolved")))
+    stats = books
+    for rows in counts:
+        stats = stats.join(rows, list(keys), "left")
+    return {"nodes": nodes, "relations": relations, "unresolved": missing, "stats": stats.na.fill(0)}
+
+
 def graph_b(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pipeline's (nodes, edges): anchors are counted with repeats, chapters sorted; an edge may lead to its own node."""
     clean = concepts.withColumn("name", F.regexp_replace("concept", "(?U)^[\\s，。；：、]+|[\\s，。；：、]+$", "")).where(F.col("name") != "").withColumn("key", F.lower("name"))
@@ -144,26 +176,37 @@ def graph_b(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def lesson_order(concepts: DataFrame, chapter: str = "chapter_id") -> DataFrame:
     """chapter, concept, position: concepts after their prerequisites in the chapter, else as they stand. Passes over the list are
-    repeated, each putting out what has become ready, also by what the same pass put out; a cycle's concepts come last. A chapter has few concepts."""
-    schema = T.StructType([concepts.schema[chapter], T.StructField("concept", T.StringType()), T.StructField("position", T.IntegerType())])
-
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        names, needs = list(rows["concept"]), [set(p) if p is not None else set() for p in rows["prerequisites"]]
-        inside, done, out, left = set(names), set(), [], list(range(len(names)))
-        while left:
-            ready_before = len(out)
-            for n in list(left):
-                if all(p in done for p in needs[n] & inside - {names[n]}):
-                    out.append(names[n])
-                    done.add(names[n])
-                    left.remove(n)
-            if len(out) == ready_before:
-                out += [names[n] for n in left]
-                break
-        return pd.DataFrame({chapter: rows[chapter].iloc[0], "concept": out, "position": range(1, len(out) + 1)})
-
-    return concepts.select(chapter, "ord", "concept", "prerequisites").groupBy(chapter).applyInPandas(order, schema)
+    repeated, each putting out what has become ready, also by what the same pass put out; a cycle's concepts, and what needs them, come last.
+
+    A concept's pass is the latest of its prerequisites', and one more where such a one stands behind it. Only concepts that are linked to others reach
+    the step that follows links (linear in their number); all are put in order by a window. Names are unique in a chapter."""
+    held = concepts.select(chapter, "ord", "concept", F.array_except(F.coalesce("prerequisites", F.array().cast("array<string>")), F.array("concept")).alias("needs"))
+    asked = held.select(chapter, F.col("concept").alias("of"), F.explode("needs").alias("concept"))
+    inside = asked.join(held.select(chapter, "concept", F.col("ord").alias("need_ord")), [chapter, "concept"]).select(chapter, "of", F.col("concept").alias("need"), "need_ord")
+    links = inside.join(held.select(chapter, F.col("concept").alias("of"), "ord"), [chapter, "of"])
+    schema = T.StructType([concepts.schema[chapter], T.StructField("concept", T.StringType()), T.StructField("pass", T.IntegerType())])
+
+    def passes(rows: pd.DataFrame) -> pd.DataFrame:
+        needs, users = {}, {}
+        for of, need, at, need_at in rows[["of", "need", "ord", "need_ord"]].itertuples(index=False):
+            needs.setdefault(of, set()).add(need)
+            users.setdefault(need, []).append((of, int(need_at > at)))
+        done = {name: 1 for name in users if name not in needs}
+        ready = list(done)
+        while ready:
+            name = ready.pop()
+            for of, later in users.get(name, ()):
+                done[of] = max(done.get(of, 1), done[name] + later)
+                needs[of].discard(name)
+                if not needs[of]:
+                    ready.append(of)
+        found = [(of, done[of] if not left else None) for of, left in needs.items()]
+        return pd.DataFrame({chapter: rows[chapter].iloc[0], "concept": [of for of, _ in found], "pass": pd.array([n for _, n in found], dtype="Int32")})
+
+    linked = links.groupBy(chapter).applyInPandas(passes, schema).withColumn("linked", F.lit(True))
+    placed = held.join(linked, [chapter, "concept"], "left").withColumn("pass", F.when(F.col("linked"), F.col("pass")).otherwise(1))
+    order = Window.partitionBy(chapter).orderBy(F.col("pass").asc_nulls_last(), "ord")
+    return placed.select(chapter, "concept", F.row_number().over(order).alias("position"))
 
 
 def lessons(concepts_of: DataFrame, titles: DataFrame, known: DataFrame, chapter: str = "chapter_id") -> DataFrame:
@@ -202,6 +245,38 @@ def plan(chapters: DataFrame) -> DataFrame:
     )
 
 
+def planned(replies: DataFrame, chapters: DataFrame, book: str = "book_id") -> DataFrame:
+    """book, chapter_id, order, minutes, goal, overview of a model's plan (book, reply): items of chapters that there are, with values brought into their bounds."""
+    items = "struct<items:array<struct<chapterId:string,order:int,duration_minutes:int,goal:string,overview:string>>>"
+    listed = replies.select(book, F.posexplode(F.from_json(X.json_text(F.col("reply")), items)["items"]).alias("pos", "i")).select(book, "pos", F.col("i.chapterId").alias("chapter_id"), "i.*")
+    known = listed.join(chapters.select(book, "chapter_id", "title"), [book, "chapter_id"])
+    nth = F.row_number().over(Window.partitionBy(book).orderBy("pos"))
+    return known.select(
+        book,
+        "chapter_id",
+        F.coalesce(F.nullif("order", F.lit(0)), nth).alias("order"),
+        F.least(F.lit(120), F.greatest(F.lit(15), F.coalesce(F.nullif("duration_minutes", F.lit(0)), F.lit(30)))).alias("minutes"),
+        F.substring(F.coalesce(F.nullif("goal", F.lit("")), F.concat(F.lit("理解「"), "title", F.lit("」。"))), 1, 120).alias("goal"),
+        F.substring(F.coalesce("overview", F.lit("")), 1, 160).alias("overview"),
+    )
+
+
+def lesson_points(replies: DataFrame, anchors: DataFrame, chapter: str = "chapter_id", most: int = 3) -> DataFrame:
+    """chapter, nth, id, title, body, source of a model's lesson (chapter, reply): its first points, each with an anchor of the chapter, or else the chapter's first. anchors: chapter, anchor, seq."""
+    points = "struct<points:array<struct<id:string,title:string,body:string,sourceId:string>>>"
+    listed = replies.select(chapter, F.posexplode(F.slice(F.from_json(X.json_text(F.col("reply")), points)["points"], 1, most)).alias("pos", "p")).where(F.col("p").isNotNull())
+    known = anchors.groupBy(chapter).agg(F.collect_set("anchor").alias("known"), F.min_by("anchor", "seq").alias("first"))
+    nth = (F.col("pos") + 1).cast("string")
+    return listed.join(known, chapter, "left").select(
+        chapter,
+        (F.col("pos") + 1).alias("nth"),
+        F.coalesce(F.nullif("p.id", F.lit("")), F.concat(F.lit("kp"), nth)).alias("id"),
+        F.substring(F.coalesce(F.nullif("p.title", F.lit("")), F.concat(F.lit("知识点 "), nth)), 1, 40).alias("title"),
+        F.substring(F.coalesce("p.body", F.lit("")), 1, 500).alias("body"),
+        F.when(F.coalesce(F.array_contains("known", F.col("p.sourceId")), F.lit(False)), F.col("p.sourceId")).otherwise(F.col("first")).alias("source"),
+    )
+
+
 def distractors(names: DataFrame, chapter: str = "chapter_id", k: int = K.DISTRACTORS) -> DataFrame:
     """chapter, concept, others: the k other names of the chapter nearest in length, then by name. A chapter has MAX_CONCEPTS names at most."""
     usable = names.where(F.length(X.strip(F.col("concept"))) >= K.LEAST_NAME).select(chapter, X.strip(F.col("concept")).alias("concept")).distinct()

@@ -66,6 +66,44 @@ def sources(answers: DataFrame, found: DataFrame, doc_id: str, fallback: int = 1
     return used.select("query_id", F.posexplode(filled).alias("position", "ordinal")).join(found, ["query_id", "ordinal"]).select("query_id", doc_id, (F.col("position") + 1).alias("position"))
 
 
+def notice(connected: Column) -> Column:
+    """What stands before an answer by rule: no model is there, or it gave nothing."""
+    return F.when(connected, F.lit(K.EMPTY_REPLY_NOTICE)).otherwise(F.lit(K.NO_MODEL_NOTICE))
+
+
+def answers(hits: DataFrame, found: DataFrame, replies: DataFrame, doc_id: str, chapter: str) -> DataFrame:
+    """query_id, answer, sources, scope, no_evidence, closest, hint: one record a query, of an answer or of a refusal.
+
+    hits: query_id, rank, doc_id, chapter, coverage, recurring; found: query_id, ordinal, doc_id, chapter_title, page, text; replies: query_id,
+    preferred, connected (whether a model is there), reply. A model's reply counts if it isn't blank, else the answer is made by rule."""
+    ruled = rule_answer(found, "").join(replies, "query_id")
+    said = F.when(~X.blank(F.col("reply")), X.strip(F.col("reply"))).otherwise(F.concat(notice(F.col("connected")), F.col("answer")))
+    answered = ruled.select("query_id", said.alias("answer"))
+    cited = sources(answered, found, doc_id).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", F.col(doc_id).alias("id")))), lambda s: s["id"]).alias("sources"))
+    nearest = closest(hits, doc_id).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(doc_id).alias("id")))), lambda s: s["id"]).alias("closest"))
+    scope = scope_of(hits.join(replies.select("query_id", "preferred"), "query_id"), chapter, "preferred")
+    every = replies.select("query_id").join(answered, "query_id", "left").join(cited, "query_id", "left").join(nearest, "query_id", "left").join(scope, "query_id", "left")
+    refused, none = F.col("answer").isNull(), F.slice(F.array(F.lit(None).cast(dict(hits.dtypes)[doc_id])), 1, 0)
+    return every.select(
+        "query_id",
+        F.coalesce("answer", F.lit(K.NO_EVIDENCE_TEXT)).alias("answer"),
+        F.coalesce("sources", none).alias("sources"),
+        F.coalesce("scope", F.lit("book")).alias("scope"),
+        refused.alias("no_evidence"),
+        F.when(refused, F.coalesce("closest", none)).otherwise(none).alias("closest"),
+        F.when(refused, K.NO_EVIDENCE_HINT).otherwise("").alias("hint"),
+    )
+
+
+def exchange(asked: DataFrame, records: DataFrame, thread: str = "thread_id") -> DataFrame:
+    """thread, turn, role, text, sources, detail: a question and its answer as messages; what else the record says, also of a refusal, stands in detail as JSON. asked: query_id, thread, query."""
+    both = asked.join(records, "query_id")
+    none = F.slice(F.col("sources"), 1, 0)
+    question = F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("query").alias("text"), none.alias("sources"), F.lit("").alias("detail"))
+    answer = F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"), F.col("sources"), F.to_json(F.struct("scope", "no_evidence", "closest", "hint")).alias("detail"))
+    return both.select(thread, "query_id", F.explode(F.array(question, answer)).alias("m")).select(thread, "query_id", "m.*")
+
+
 def source_details(found: DataFrame, current_chapter: Column) -> DataFrame:
     return found.withColumn("cross_chapter", F.col("chapter_id") != current_chapter)
 
@@ -78,6 +116,12 @@ def answer_events(answers: DataFrame, size: int = K.STREAM_CHARS) -> DataFrame:
     return answers.select("request_id", F.posexplode(F.concat(meta, deltas, done)).alias("seq", "e")).select("request_id", "seq", "e.event", "e.payload")
 
 
+def broken_off(events: DataFrame, failures: DataFrame) -> DataFrame:
+    """events (request_id, seq, event, payload) of which those of failed requests (request_id, after, message) stop after a number of events and end in an error."""
+    kept = events.join(failures.select("request_id", "after"), "request_id", "left").where(F.col("after").isNull() | (F.col("seq") < F.col("after"))).drop("after")
+    return kept.unionByName(failures.select("request_id", F.col("after").cast("int").alias("seq"), F.lit("error").alias("event"), F.col("message").alias("payload")))
+
+
 def frames(events: DataFrame) -> DataFrame:
     """Events as server-sent frames."""
     return events.withColumn("frame", F.concat(F.lit("event: "), "event", F.lit("\ndata: "), F.to_json(F.struct("payload")), F.lit("\n\n")))

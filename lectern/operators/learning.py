@@ -23,6 +23,11 @@ def valid_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 
+def recorded(events: DataFrame) -> DataFrame:
+    """events as they are kept: a question is stripped and cut to QUESTION_CHARS characters, other kinds have no detail."""
+    return events.withColumn("detail", F.when(F.col("kind") == "ask", F.substring(X.strip(F.coalesce("detail", F.lit(""))), 1, K.QUESTION_CHARS)).otherwise(""))
+
+
 def first_reads(events: DataFrame, anchors: DataFrame, keys: Sequence[str], anchor: str = "anchor_id", order: str = "id", seen: DataFrame | None = None) -> DataFrame:
     """Read events of known anchors, the first of each anchor only, none that was seen before."""
     reads = events.where(F.col("kind") == "read").join(anchors.select(*keys, anchor).distinct(), [*keys, anchor], "left_semi")

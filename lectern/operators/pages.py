@@ -18,7 +18,7 @@ VERTICAL_RATIO, LARGE, SMALL = 0.3, 1.15, 0.85
 
 def body_size(lines: DataFrame, book: str = "book") -> DataFrame:
     """book, body: the size at half of all sizes in order."""
-    return lines.groupBy(book).agg(structure.upper_median(F.collect_list("size")).alias("body"))
+    return structure.upper_median(lines, [book], "size", "body")
 
 
 def headings(lines: DataFrame, sizes: DataFrame, book: str = "book") -> DataFrame:
@@ -89,3 +89,50 @@ def bookmarks(marks: DataFrame, book: str = "book") -> DataFrame:
     """Marks (book, page, title, level, ord), each page and title once, noise titles gone."""
     first = F.row_number().over(Window.partitionBy(book, "page", "title").orderBy("ord"))
     return marks.where(~X.is_noise_title(F.col("title"))).withColumn("__n", first).where("__n = 1").drop("__n")
+
+
+def stripped_runs(runs: Column, count: Column) -> Column:
+    """runs (text, style) without their first characters, so that they stay in step with a text that has lost them."""
+    before = F.transform(runs, lambda r, i: F.struct(F.aggregate(F.slice(runs, 1, i), F.lit(0), lambda n, x: n + F.length(x["text"])).alias("at"), r["text"].alias("text"), r["style"].alias("style")))
+    cut = F.transform(before, lambda r: F.struct(F.substr(r["text"], F.greatest(count - r["at"], F.lit(0)) + 1).alias("text"), r["style"].alias("style")))
+    return F.filter(cut, lambda r: r["text"] != "")
+
+
+def chapter_starts(lines: DataFrame, marks: DataFrame, pages: DataFrame, title: str = K.NO_TITLE, book: str = "book") -> DataFrame:
+    """book, num, title, page_start, page_end (from 0): by the outline (marks: book, ord, level, title, page from 1), else by large lines of the first
+    HEADING_PAGES pages below the page's head, else the whole book. lines: book, page (from 0), y, ord, size, height, text; pages: book, pages."""
+    levels = structure.page_chapter_level(structure.level_counts(marks.withColumnRenamed("title", "text"), book=book), book=book)
+    chosen = bookmarks(marks, book).join(levels, book).where(F.col("level") == F.col("chapter_level")).join(pages, book)
+    page = F.least(F.greatest(F.col("page") - 1, F.lit(0)), F.col("pages") - 1).cast("int")
+    outline = chosen.select(book, page.alias("page"), X.strip(F.col("title")).alias("title"), F.col("ord").cast("double").alias("place"))
+    outline = outline.groupBy(book, "page", "title").agg(F.min("place").alias("place"))
+    heights = lines.groupBy(book, "page").agg(F.max("height").alias("height"))
+    large = headings(lines.where(F.col("page") < K.HEADING_PAGES), body_size(lines, book), book).join(heights, [book, "page"]).where(F.col("y") >= F.col("height") * TOP_BAND)
+    large = large.join(outline.select(book).distinct(), book, "left_anti").select(book, F.col("page").cast("int").alias("page"), F.col("text").alias("title"), F.col("y").cast("double").alias("place"))
+    told = outline.unionByName(large)
+    whole = pages.join(told.select(book).distinct(), book, "left_anti").select(book, F.lit(0).alias("page"), F.lit(title).alias("title"), F.lit(0.0).alias("place"))
+    order = Window.partitionBy(book).orderBy("page", "place")
+    numbered = told.unionByName(whole).withColumn("num", F.row_number().over(order)).withColumn("next", F.lead("page").over(order)).join(pages, book)
+    return numbered.select(book, "num", "title", F.col("page").alias("page_start"), F.greatest(F.coalesce(F.col("next") - 1, F.col("pages") - 1), F.col("page")).cast("int").alias("page_end"))
+
+
+def page_book(lines: DataFrame, marks: DataFrame, assets: DataFrame, title: str = K.NO_TITLE, book: str = "book") -> DataFrame:
+    """book, num, title, page_start, page_end, seq, page (from 1), kind, text: a book of pages, with images and tables where they stand.
+
+    assets: book, page, y, kind (image or table), text, area. Small images go, and tables of books over TABLE_PAGES pages. Lines that recur on a chapter's pages
+    go, lines are joined to paragraphs page by page, and a chapter's first paragraph loses the chapter's title. Chapters that share a page both have it."""
+    counted = lines.select(book, "page").unionByName(assets.select(book, "page")).groupBy(book).agg((F.max("page") + 1).cast("int").alias("pages"))
+    starts = chapter_starts(lines, marks, counted, title, book)
+    inside = (F.col("l.page") >= F.col("s.page_start")) & (F.col("l.page") <= F.col("s.page_end")) & (F.col(f"l.{book}") == F.col(f"s.{book}"))
+    key = F.struct(F.col(f"l.{book}").alias("book"), "s.num")
+    placed = lines.alias("l").join(starts.alias("s"), inside).select(key.alias("k"), "l.page", "l.y", "l.ord", "l.text")
+    margins = structure.margin_lines(placed, "k")
+    bare = placed.withColumn("line", X.line_form(F.col("text"))).join(margins, ["k", "line"], "left_anti").withColumn("at", F.struct("y", "ord")).withColumn("p", F.struct("k", "page"))
+    body = structure.reflow(bare, None, "p", "at", least=["y"]).select("p.k", "p.page", "y", F.col("paragraph").alias("ord"), F.when(X.looks_like_formula(F.col("text")), "formula").otherwise("p").alias("kind"), "text")
+    used = assets.join(counted, book).where(((F.col("kind") == "image") & (F.col("area") >= 4000)) | ((F.col("kind") == "table") & (F.col("pages") <= K.TABLE_PAGES)))
+    shown = used.alias("l").join(starts.alias("s"), inside).select(key.alias("k"), "l.page", F.col("l.y"), F.lit(1 << 40).alias("ord"), "l.kind", F.when(F.col("l.kind") == "image", K.IMAGE_TEXT).otherwise(F.col("l.text")).alias("text"))
+    every = body.unionByName(shown).withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("page", "y", "ord", "kind", "text")))
+    named = every.select(F.col("k.book").alias(book), "k.num", "seq", "page", "kind", "text").join(starts, [book, "num"])
+    first = without_title(named).select(*named.columns)
+    whole = first.where("seq = 1").unionByName(named.where("seq > 1"))
+    return whole.select(book, "num", "title", (F.col("page_start") + 1).alias("page_start"), (F.col("page_end") + 1).alias("page_end"), "seq", (F.col("page") + 1).cast("int").alias("page"), "kind", "text")

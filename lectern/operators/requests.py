@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def failing(kind: str) -> Column:
     return out
 
 
+def only_known(update: DataFrame, fields: Sequence[str] = K.TASK_FIELDS, key: str = "id") -> DataFrame:
+    """update, if it sets no other fields than these of what its key names; a ValueError otherwise."""
+    if unknown := sorted(set(update.columns) - {key, *fields}):
+        raise ValueError(f"unknown fields: {unknown}")
+    return update
+
+
 def checked(requests: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with field)."""
     marked = requests.withColumn("field", failing(kind))

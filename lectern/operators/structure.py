@@ -6,6 +6,8 @@ and gaps-and-islands, so a book is one window partition and books are spread ove
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,24 +50,37 @@ def page_chapter_level(counts: DataFrame, most: int = 80, least: int = 3, book:
     return counts.groupBy(book).agg(F.coalesce(hit, F.when(F.min_by("n", "level") < 2, F.coalesce(some, first)).otherwise(first)).alias("chapter_level"))
 
 
+def leveled(rows: DataFrame, book: str = "book") -> DataFrame:
+    """rows (book, pos, text, level) with chapter_level, from their book's outline; null means that chapters are told by the text of body lines.
+
+    Rows are shuffled once, by book, and read once: the counts of a book's levels are windows over it."""
+    title, in_level, in_book = F.col("text").rlike(K.CHAPTER_TITLE), Window.partitionBy(book, "level"), Window.partitionBy(book)
+    usable = (F.col("level") >= 1) & ~X.blank(F.col("text")) & ~X.is_noise_title(F.col("text"))
+    counted = rows.repartition(book).withColumn("__usable", usable).withColumn("__n", F.count_if("__usable").over(in_level)).withColumn("__hits", F.count_if(F.col("__usable") & title).over(in_level))
+
+    def least(condition: Column) -> Column:
+        return F.min(F.when(F.col("__usable") & condition, F.col("level"))).over(in_book)
+
+    clear, some, first = least((F.col("__hits") >= 2) & (F.col("__hits") * 2 >= F.col("__n"))), least(F.col("__hits") >= 1), least(F.lit(True))
+    alone = F.min_by("__n", F.when(F.col("__usable"), F.col("level"))).over(in_book) == 1
+    lone = alone & (F.count_if((F.col("level") == 0) & title).over(in_book) >= 2)
+    return counted.withColumn("chapter_level", F.coalesce(clear, some, F.when(~F.coalesce(lone, F.lit(False)), first))).drop("__usable", "__n", "__hits")
+
+
 def chapter_level(rows: DataFrame, book: str = "book") -> DataFrame:
-    """book, chapter_level, from an outline; null means that chapters are told by the text of body lines."""
-    counts = level_counts(rows, book=book)
-    typed = rows.where(F.col("level") == 0).groupBy(book).agg(F.count_if(F.col("text").rlike(K.CHAPTER_TITLE)).alias("typed"))
-    levels = counts.groupBy(book).agg(
-        F.min(F.when((F.col("hits") >= 2) & (F.col("hits") * 2 >= F.col("n")), F.col("level"))).alias("clear"),
-        F.min(F.when(F.col("hits") >= 1, F.col("level"))).alias("some"),
-        F.min("level").alias("first"),
-        F.min_by("n", "level").alias("n_first"),
-    )
-    joined = rows.select(book).distinct().join(levels, book, "left").join(typed, book, "left")
-    lone = (F.col("n_first") == 1) & (F.coalesce("typed", F.lit(0)) >= 2)
-    return joined.select(book, F.coalesce("clear", "some", F.when(~lone, F.col("first"))).alias("chapter_level"))
+    """book, chapter_level (see leveled)."""
+    return leveled(rows, book).groupBy(book).agg(F.max("chapter_level").alias("chapter_level"))
+
+
+def titled(rows: DataFrame, book: str = "book") -> DataFrame:
+    """book, title: the first level-1 heading of a book whose chapters are deeper; empty otherwise."""
+    top = F.when((F.col("level") == 1) & (F.col("chapter_level") > 1), F.col("text"))
+    return leveled(rows, book).groupBy(book).agg(F.coalesce(X.strip(F.min_by(top, F.when(top.isNotNull(), F.col("pos")))), F.lit("")).alias("title"))
 
 
 def blocks(rows: DataFrame, levels: DataFrame | None = None, book: str = "book") -> DataFrame:
     """book, pos, chapter, title, kind, text: rows dealt to chapters. Rows before the first chapter belong to it; a chapter's title is no row of its own."""
-    placed = rows.join(levels if levels is not None else chapter_level(rows, book), book)
+    placed = rows.join(levels, book) if levels is not None else leveled(rows, book)
     by_text, noise = F.col("chapter_level").isNull(), X.is_noise_title(F.col("text"))
     shallow = (F.col("level") >= 1) & (F.col("level") < F.col("chapter_level"))
     starts = F.when(by_text, F.col("text").rlike(K.CHAPTER_TITLE)).otherwise(F.col("level") == F.col("chapter_level")) & ~noise
@@ -96,8 +111,9 @@ def virtual_pages(paragraphs: DataFrame, book: str = "book", order: str = "pos",
 
 
 def assemble(found: DataFrame, book: str = "book") -> DataFrame:
-    """book, num, title, seq, page, kind, text: blocks with pages; chapters without text go, chapters and sections are numbered from 1."""
-    paged = virtual_pages(found.where(~X.blank(F.col("text"))), book)
+    """book, num, title, seq, page, kind, text: blocks with pages; an image stands as a short text, chapters without text go, chapters and sections are numbered from 1."""
+    shown = F.when(X.blank(F.col("text")) & (F.col("kind") == "image"), F.lit(K.IMAGE_TEXT)).otherwise(F.col("text"))
+    paged = virtual_pages(found.withColumn("text", shown).where(~X.blank(F.col("text"))), book)
     num = F.dense_rank().over(Window.partitionBy(book).orderBy("chapter"))
     seq = F.row_number().over(Window.partitionBy(book, "chapter").orderBy("pos"))
     return paged.withColumn("num", num).withColumn("seq", seq).select(book, "num", "title", "seq", "page", "kind", "text")
@@ -116,8 +132,13 @@ def margin_lines(page_lines: DataFrame, book: str = "book", page: str = "page",
     return counted.join(pages, book).where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("pages") * ratio))).select(book, "line")
 
 
-def reflow(page_lines: DataFrame, margins: DataFrame | None = None, book: str = "book", order: str = "pos", text: str = "text") -> DataFrame:
-    """book, paragraph, text: lines joined to paragraphs. A paragraph ends at a blank line and after a line over 6 characters that ends a sentence; margins and noise go before."""
+def page_set(paragraphs: DataFrame, keys: Sequence[str], page: str = "page") -> DataFrame:
+    """keys, pages: the pages that a group's paragraphs stand on, in order; page 0 is none."""
+    return paragraphs.groupBy(*keys).agg(F.sort_array(F.collect_set(F.when(F.col(page) != 0, F.col(page)))).alias("pages"))
+
+
+def reflow(page_lines: DataFrame, margins: DataFrame | None = None, book: str = "book", order: str = "pos", text: str = "text", least: Sequence[str] = ()) -> DataFrame:
+    """book, paragraph, text, and of the columns least their least value in the paragraph: lines joined to paragraphs. A paragraph ends at a blank line and after a line over 6 characters that ends a sentence; margins and noise go before."""
     bare = page_lines.withColumn("t", X.strip(F.col(text)))
     if margins is not None:
         bare = bare.withColumn("line", X.line_form(F.col("t"))).join(margins, [book, "line"], "left_anti")
@@ -125,9 +146,9 @@ def reflow(page_lines: DataFrame, margins: DataFrame | None = None, book: str =
     w = Window.partitionBy(book).orderBy(order)
     ends = (F.col("t") == "") | (X.ends_sentence(F.col("t")) & (F.length("t") > 6))
     numbered = used.withColumn("ends", ends).withColumn("paragraph", F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = numbered.where(F.col("t") != "").groupBy(book, "paragraph").agg(F.array_sort(F.collect_list(F.struct(order, "t"))).alias("parts"))
+    joined = numbered.where(F.col("t") != "").groupBy(book, "paragraph").agg(F.array_sort(F.collect_list(F.struct(order, "t"))).alias("parts"), *[F.min(c).alias(c) for c in least])
     body = F.array_join(F.transform("parts", lambda p: p["t"]), "")
-    return joined.select(book, "paragraph", X.strip(F.regexp_replace(body, "(?U)" + K.URL_AFTER_CJK, "")).alias("text")).where(F.col("text") != "")
+    return joined.select(book, "paragraph", X.strip(F.regexp_replace(body, "(?U)" + K.URL_AFTER_CJK, "")).alias("text"), *least).where(F.col("text") != "")
 
 
 def probe(pages: DataFrame, book: str = "book") -> DataFrame:
@@ -139,22 +160,24 @@ def probe(pages: DataFrame, book: str = "book") -> DataFrame:
     return out.withColumn("scanned", (F.col("chars_per_page") < K.SPARSE_CHARS_PER_PAGE) & (F.col("pages") >= 3))
 
 
-def upper_median(values: Column) -> Column:
-    """Of collected values, the one at half their number in ascending order."""
-    ordered = F.array_sort(values)
-    return F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+def upper_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """keys, name: of a group's values (nulls aside) the one at half their number in ascending order. Values are counted first, so a group is as large as its different values."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("__n").over(group.orderBy("__value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counted.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(group)).where(F.col("__upto") > F.floor(F.col("__all") / 2)).groupBy(*keys).agg(F.min("__value").alias(name))
 
 
 def body_height(ocr_lines: DataFrame, book: str = "book") -> DataFrame:
     """book, height: the median height of lines, again without those over 1.5 times of it."""
-    rough = ocr_lines.groupBy(book).agg(upper_median(F.collect_list("height")).alias("rough"))
-    return ocr_lines.join(rough, book).where(F.col("height") <= 1.5 * F.col("rough")).groupBy(book).agg(upper_median(F.collect_list("height")).alias("height"))
+    rough = upper_median(ocr_lines, [book], "height", "rough")
+    return upper_median(ocr_lines.join(rough, book).where(F.col("height") <= 1.5 * F.col("rough")), [book], "height", "height")
 
 
 def page_offset(numbers: DataFrame, book: str = "book", samples: int = 3, most: int = 100) -> DataFrame:
     """book, page_offset: the median of printed less physical page numbers, 0 where there are few or it is large. numbers: book, page, ord, number; a page's last number counts."""
-    last = numbers.groupBy(book, "page").agg(F.max_by("number", "ord").alias("number"))
-    found = last.groupBy(book).agg(upper_median(F.collect_list(F.col("number") - F.col("page"))).alias("offset"), F.count(F.lit(1)).alias("n"))
+    last = numbers.groupBy(book, "page").agg(F.max_by("number", "ord").alias("number")).withColumn("off", F.col("number") - F.col("page"))
+    found = last.groupBy(book).agg(F.count(F.lit(1)).alias("n")).join(upper_median(last, [book], "off", "offset"), book, "left")
     return found.select(book, F.when((F.col("n") >= samples) & (F.abs("offset") <= most), F.col("offset")).otherwise(0).alias("page_offset"))
 
 

@@ -134,6 +134,34 @@ def rule_concepts_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.rule_concepts_b(rows, "is the|was the").select("doc_id", "concept", "definition")
 
 
+def knowledge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books are sizes modulo 3; every third chapter is learned, every third being learned."""
+    rows = _concepts(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), (F.col("p_size") % 3).alias("book_id")), "ord")
+    chapters = rows.select("book_id", "chapter_id", "chapter_ord").distinct()
+    progress = chapters.select("book_id", "chapter_id", F.when(F.col("chapter_ord") % 3 == 0, "learned").when(F.col("chapter_ord") % 3 == 1, "learning").alias("status"), (F.col("chapter_ord") * 10.0).alias("mastery"))
+    books = chapters.select("book_id").distinct().withColumn("title", F.concat(F.lit("Book "), F.col("book_id").cast("string")))
+    return concepts.knowledge(rows, progress, books)["stats"]
+
+
+def plan_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's plans in noisy JSON: regions are books and nations chapters, of which every fourth is unknown."""
+    k = F.col("n_nationkey")
+    item = F.struct(k.alias("at"), F.struct(F.col("n_name").alias("chapterId"), (k % 3).alias("order"), (k * 9).alias("duration_minutes"), F.when(k % 2 == 1, F.repeat("n_name", 30)).otherwise("").alias("goal"), F.lit("o").alias("overview")).alias("i"))
+    nations = table(spark, sf_dir, "nation").withColumn("book_id", F.col("n_regionkey"))
+    listed = nations.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["i"]).alias("items"))
+    replies = listed.select("book_id", F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct("items")), F.lit("\n```")).alias("reply"))
+    return concepts.planned(replies, nations.where(k % 4 != 3).select("book_id", F.col("n_name").alias("chapter_id"), F.col("n_name").alias("title")))
+
+
+def lesson_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's lessons: suppliers are points of their nation's lesson, every other one with a source that isn't there."""
+    k = F.col("s_suppkey")
+    item = F.struct(k.alias("at"), F.struct(F.lit("").alias("id"), F.when(k % 3 == 0, "").otherwise(F.col("s_name")).alias("title"), F.repeat("s_name", 40).alias("body"), F.when(k % 2 == 0, k.cast("string")).otherwise("none").alias("sourceId")).alias("i"))
+    suppliers = table(spark, sf_dir, "supplier").withColumn("chapter_id", F.col("s_nationkey"))
+    replies = suppliers.groupBy("chapter_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["i"]).alias("points"))).alias("reply"))
+    return concepts.lesson_points(replies, suppliers.select("chapter_id", k.cast("string").alias("anchor"), k.alias("seq")))
+
+
 _CONCEPTS = """c AS (SELECT 'c' || (p_size % 10) AS chapter_id, p_size % 10 AS chapter_ord, p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand) ELSE p_brand END AS concept, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS definition,
   ['Brand#' || (p_size % 5 + 1) || (p_partkey % 5 + 1), p_type] AS prerequisites, 'a' || (p_partkey % 50) AS anchor, CASE WHEN p_partkey % 97 = 0 THEN 1 ELSE 0 END AS llm, CASE WHEN p_partkey % 400 = 0 THEN 3 ELSE 1 END AS rank, CAST(p_partkey % 90 AS DOUBLE) AS mastery FROM part),
 n AS (SELECT lower(concept) AS key, arg_min(concept, (chapter_ord, ord)) AS concept, coalesce(arg_min(definition, (chapter_ord, ord)) FILTER (WHERE definition <> ''), '') AS definition, array_to_string(list_sort(list(DISTINCT chapter_id)), ' ') AS chapters,
@@ -150,11 +178,26 @@ QUERIES = {
     f.__name__: f
     for f in (
         concept_merge, graph_edges, sequence_edges, unresolved_prereqs, graph_stats, graph_b_nodes, graph_b_edges, topo_order, lesson_outline, lesson_contract_errors, quiz_distractors, quiz_cloze, quiz_questions, quiz_grade,
-        plan_durations, plan_totals, language_target, first_sentence, rule_summary, rule_concepts_b,
+        plan_durations, plan_totals, language_target, first_sentence, rule_summary, rule_concepts_b, knowledge_stats, plan_replies, lesson_replies,
     )
 }
 
 ORACLE = {
+    "knowledge_stats": """WITH c AS (SELECT p_size % 3 AS book_id, p_size % 10 AS chapter, p_partkey AS ord, lower(p_brand) AS key, ['Brand#' || (p_size % 5 + 1) || (p_partkey % 5 + 1), p_type] AS needs, p_partkey % 97 = 0 AS llm,
+  CASE p_size % 10 % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS rank FROM part),
+n AS (SELECT book_id, key, max(rank) AS rank, bool_or(llm) AS llm FROM c GROUP BY ALL),
+r AS (SELECT DISTINCT book_id, key AS source, unnest(needs) AS name FROM c),
+p AS (SELECT DISTINCT book_id, source, lower(name) AS target FROM r WHERE lower(name) <> source AND (book_id, lower(name)) IN (SELECT (book_id, key) FROM n)),
+g AS (SELECT book_id, key AS target, lag(key) OVER (PARTITION BY book_id, chapter ORDER BY ord) AS source FROM c),
+q AS (SELECT DISTINCT book_id, least(source, target) AS lo, greatest(source, target) AS hi FROM g WHERE source <> target),
+s AS (SELECT * FROM q WHERE (book_id, lo, hi) NOT IN (SELECT (book_id, least(source, target), greatest(source, target)) FROM p)),
+u AS (SELECT DISTINCT book_id, name FROM r WHERE lower(name) <> source AND (book_id, lower(name)) NOT IN (SELECT (book_id, key) FROM n))
+SELECT book_id, 'Book ' || book_id AS title, count(*) AS concepts, count(*) FILTER (WHERE rank > 1) AS learned, count(*) FILTER (WHERE llm) AS by_model, (SELECT count(*) FROM p WHERE p.book_id = n.book_id) AS prerequisites,
+  (SELECT count(*) FROM s WHERE s.book_id = n.book_id) AS sequences, (SELECT count(*) FROM u WHERE u.book_id = n.book_id) AS unresolved FROM n GROUP BY book_id""",
+    "plan_replies": """SELECT n_regionkey AS book_id, n_name AS chapter_id, CAST(coalesce(nullif(n_nationkey % 3, 0), row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)) AS INT) AS "order", CAST(least(120, greatest(15, CASE WHEN n_nationkey = 0 THEN 30 ELSE n_nationkey * 9 END)) AS INT) AS minutes,
+  substr(CASE WHEN n_nationkey % 2 = 1 THEN repeat(n_name, 30) ELSE '理解「' || n_name || '」。' END, 1, 120) AS goal, 'o' AS overview FROM nation WHERE n_nationkey % 4 <> 3""",
+    "lesson_replies": """WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nth, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS least FROM supplier)
+SELECT s_nationkey AS chapter_id, CAST(nth AS INT) AS nth, 'kp' || nth AS id, substr(CASE WHEN s_suppkey % 3 = 0 THEN '知识点 ' || nth ELSE s_name END, 1, 40) AS title, substr(repeat(s_name, 40), 1, 500) AS body, CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE least END AS VARCHAR) AS source FROM s WHERE nth <= 3""",
     "concept_merge": f"WITH {_CONCEPTS} SELECT key, concept, definition, chapters, anchors, CAST((SELECT count(DISTINCT name) FROM r WHERE r.source = n.key) AS INT) AS needs, ['planned', 'learning', 'learned'][rank] AS status, mastery, CASE WHEN llm = 1 THEN 'llm' ELSE 'rule' END AS method FROM n",
     "graph_edges": f"WITH {_CONCEPTS} SELECT source, target FROM p",
     "sequence_edges": f"WITH {_CONCEPTS} SELECT lo, hi FROM q",

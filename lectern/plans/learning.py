@@ -93,9 +93,16 @@ def _mastery_sql(name: str, where: str = "TRUE") -> str:
 {name}s AS (SELECT *, CASE WHEN completed OR mastery >= 80 THEN 'learned' ELSE 'learning' END AS status FROM {name})"""
 
 
-QUERIES = {f.__name__: f for f in (event_validation, read_dedupe, visible_reads, mastery_breakdown, mastery_upsert, progress_average, event_gaps_stall, progress_throttle, debounce_sessions)}
+def question_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks are questions with a long text; other events keep none."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "ask").otherwise("open").alias("kind"), F.concat(F.lit("  "), F.repeat("props", 30)).alias("detail"))
+    return learning.recorded(events)
+
+
+QUERIES = {f.__name__: f for f in (question_events, event_validation, read_dedupe, visible_reads, mastery_breakdown, mastery_upsert, progress_average, event_gaps_stall, progress_throttle, debounce_sessions)}
 
 ORACLE = {
+    "question_events": "SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'ask' ELSE 'open' END AS kind, CASE WHEN event_type = 'click' THEN substr(repeat(props, 30), 1, 200) ELSE '' END AS detail FROM events",
     "event_validation": f"WITH {_EVENTS} SELECT kind, CASE WHEN kind = 'ask' AND trim(detail) = '' THEN 'question' ELSE '' END AS reason, count(*) AS n FROM e GROUP BY ALL",
     "read_dedupe": f"WITH {_EVENTS} SELECT min(id) AS id, book, chapter, anchor_id FROM e WHERE kind = 'read' AND CAST(anchor_id AS INT) % 3 <> 0 AND CAST(anchor_id AS INT) < 100 GROUP BY book, chapter, anchor_id",
     "visible_reads": f"WITH {_EVENTS} SELECT book, anchor_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS at FROM e WHERE CAST(anchor_id AS INT) / 100.0 > 0.25 GROUP BY ALL",

@@ -102,6 +102,12 @@ def answer_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.answer_events(answers)
 
 
+def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of which every fifth breaks off after two events."""
+    failed = table(spark, sf_dir, "conversations").where("turn = 1 and conv_id % 5 = 0").select(F.col("conv_id").alias("request_id"), F.lit(2).alias("after"), F.lit("gone").alias("message"))
+    return evidence.broken_off(answer_event_rows(spark, sf_dir), failed)
+
+
 def sse_frame_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("event: meta\ndata: "), "role", F.lit("\n\nevent: done\ndata: "), F.col("turn").cast("string"), F.lit("\n\n: pause\n\n"))
     return evidence.parse_frames(table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body")))
@@ -160,12 +166,19 @@ def mindmap_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.mind_map(nodes, "World")
 
 
+_ASSEMBLED = r"""WITH l AS (SELECT doc_id AS book, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+o AS (SELECT book, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text, CASE WHEN pos % 7 = 0 THEN 1 WHEN pos % 3 = 0 THEN 2 ELSE 0 END AS level FROM l),
+c AS (SELECT *, greatest(CAST(sum(CAST(level = 1 AS INT)) OVER (PARTITION BY book ORDER BY pos) AS BIGINT), 1) AS chapter FROM o WHERE text <> ''),
+t AS (SELECT *, coalesce(max(text) FILTER (WHERE level = 1) OVER (PARTITION BY book, chapter), '') AS title FROM c),
+a AS (SELECT book, title, text, CAST(dense_rank() OVER (PARTITION BY book ORDER BY chapter) AS INT) AS num, CAST(row_number() OVER (PARTITION BY book, chapter ORDER BY pos) AS INT) AS seq,
+  CAST(1 + coalesce(sum(length(text)) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1200 AS INT) AS page,
+  CASE WHEN level = 2 THEN 'heading' WHEN length(text) <= 80 AND regexp_matches(text, '[=∑∫→≤≥]|[a-zA-Z]\s*\(|x\^|_\{') THEN 'formula' ELSE 'p' END AS kind FROM t WHERE level <> 1)"""
 _TRIM = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 QUERIES = {
     f.__name__: f
     for f in (
-        book_char_totals, low_content_warning, anchors_ordered, notes_with_titles, upsert_replace, latest_by_key, cascade_delete, dropped_counts, replace_diff, orphans, reanchor_counts, thread_titles, latest_threads, answer_event_rows,
+        book_char_totals, low_content_warning, anchors_ordered, notes_with_titles, upsert_replace, latest_by_key, cascade_delete, dropped_counts, replace_diff, orphans, reanchor_counts, thread_titles, latest_threads, answer_event_rows, error_events,
         sse_frame_parse, normalize_match, format_detect, html_text_clean, json_extract, noisy_json_array, bundle_sections, markdown_export, manifest_nested, mindmap_outline,
     )
 }
@@ -196,6 +209,15 @@ SELECT * FROM (SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY u
     "answer_event_rows": """WITH a AS (SELECT conv_id AS request_id, role, text, CAST(ceil(length(text) / 14.0) AS INT) AS n FROM conversations WHERE turn = 1),
 e AS (SELECT request_id, role, text, n, unnest(range(0, n + 2)) AS seq FROM a)
 SELECT request_id, CAST(seq AS INT) AS seq, CASE WHEN seq = 0 THEN 'meta' WHEN seq = n + 1 THEN 'done' ELSE 'delta' END AS event, CASE WHEN seq = 0 THEN role WHEN seq = n + 1 THEN 'ok' ELSE substr(text, (seq - 1) * 14 + 1, 14) END AS payload FROM e""",
+    "error_events": """WITH a AS (SELECT conv_id AS request_id, role, text, CAST(ceil(length(text) / 14.0) AS INT) AS n FROM conversations WHERE turn = 1),
+e AS (SELECT request_id, role, text, n, unnest(range(0, n + 2)) AS seq FROM a)
+SELECT request_id, CAST(seq AS INT) AS seq, CASE WHEN seq = 0 THEN 'meta' WHEN seq = n + 1 THEN 'done' ELSE 'delta' END AS event, CASE WHEN seq = 0 THEN role WHEN seq = n + 1 THEN 'ok' ELSE substr(text, (seq - 1) * 14 + 1, 14) END AS payload FROM e WHERE request_id % 5 <> 0 OR seq < 2
+UNION ALL SELECT request_id, 2, 'error', 'gone' FROM a WHERE request_id % 5 = 0""",
+    "bundle_sections": f"""{_ASSEMBLED} SELECT book || '-s' || num || '-' || seq AS id, CAST(book AS VARCHAR) AS book_id, book || '-ch' || num AS chapter_id, seq, text, page, kind FROM a""",
+    "markdown_export": f"""{_ASSEMBLED},
+s AS (SELECT book, num, title, string_agg('<!-- page: ' || page || ' -->' || chr(10) || CASE kind WHEN 'heading' THEN '### ' || text WHEN 'formula' THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END, chr(10) || chr(10) ORDER BY seq) AS body FROM a GROUP BY ALL),
+b AS (SELECT book, string_agg('## ' || CASE WHEN title = '' THEN '未命名章节' ELSE title END || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY num) AS chapters FROM s GROUP BY book)
+SELECT CAST(doc_id AS VARCHAR) AS book_id, regexp_replace('# ' || source || chr(10) || chr(10) || '> ' || lang || coalesce(chr(10) || chr(10) || chapters, ''), '\\s+$', '') || chr(10) AS markdown FROM documents LEFT JOIN b ON book = doc_id""",
     "sse_frame_parse": "SELECT conv_id, turn, 0 AS seq, 'meta' AS event, role AS data FROM conversations UNION ALL SELECT conv_id, turn, 1, 'done', CAST(turn AS VARCHAR) FROM conversations",
     "normalize_match": r"SELECT doc_id, md5(regexp_replace(text, '[\s\-\x{2010}-\x{2014}]', '', 'g')) AS form FROM documents",
     "format_detect": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'doc' WHEN 3 THEN 'text' ELSE CASE WHEN page_id % 4 = 0 THEN 'text' END END AS format FROM pages",

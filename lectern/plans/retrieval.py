@@ -179,6 +179,33 @@ def cited_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.sources(answers, evidence.evidence(_ten(spark, sf_dir), "doc_id"), "doc_id")
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions, every fourth of them of invented words and one that occurs, so that some are refused."""
+    odd = F.concat(F.lit("zzyzx qwyjibo grault plugh xyzzy "), F.element_at(F.split("query", " "), 1))
+    return questions(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 4 == 3, odd).otherwise(F.col("query")))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("query_id")
+    asked = _asked(spark, sf_dir)
+    hits = search.top(index.scores(sections(spark, sf_dir), asked, "doc_id").where("score > 0"), 10, F.round("score", 9), ["doc_id"]).join(sections(spark, sf_dir).select("doc_id", "chapter"), "doc_id")
+    hits = joins.cut(hits)
+    found = evidence.evidence(hits, "doc_id").join(sections(spark, sf_dir).select("doc_id", F.col("chapter").alias("chapter_title"), (F.col("doc_id") % 50 + 1).alias("page"), "text"), "doc_id")
+    replies = asked.select("query_id", "preferred", (k % 2 == 0).alias("connected"), F.when(k % 3 == 2, " See [2] and [1]\n").when(k % 3 == 1, "  ").alias("reply"))
+    return evidence.answers(hits, found, replies, "doc_id", "chapter")
+
+
+def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by a model that is there, that says nothing, or that is missing, and refusals."""
+    return _records(spark, sf_dir).select("query_id", "answer", F.array_join(F.col("sources").cast("array<string>"), " ").alias("sources"), "scope", "no_evidence", F.array_join(F.col("closest").cast("array<string>"), " ").alias("closest"), "hint")
+
+
+def exchange_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as messages of threads; a thread is a question's chapter."""
+    asked = _asked(spark, sf_dir).select("query_id", F.col("preferred").alias("thread_id"), "query")
+    return evidence.exchange(asked, _records(spark, sf_dir)).select("thread_id", "query_id", "turn", "role", F.length("text").alias("chars"), F.size("sources").alias("sources"), F.get_json_object("detail", "$.no_evidence").alias("no_evidence"))
+
+
 _TEN = "ten AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10)"
 _EVIDENT = "best AS (SELECT query_id, len(recurring) > 0 OR coverage >= 0.22 AS evident FROM ten WHERE rank = 1)"
 _EVIDENCE = f"{_TEN}, {_EVIDENT}, ev AS (SELECT query_id, doc_id, rank AS ordinal FROM ten JOIN best USING (query_id) WHERE evident)"
@@ -199,16 +226,30 @@ s AS (SELECT query_id, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), CAS
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)"""
 
 
+_RECORDS = f"""WITH {_scored()}, {_EVIDENCE},
+l AS (SELECT query_id, ordinal, doc_id, '[' || ordinal || '] 《' || source || '》第 ' || (doc_id % 50 + 1) || ' 页：' || CASE WHEN length(trim(text, chr(10) || ' ')) > 120 THEN substr(trim(text, chr(10) || ' '), 1, 120) || '…' ELSE trim(text, chr(10) || ' ') END AS line FROM ev JOIN documents USING (doc_id)),
+r AS (SELECT query_id, string_agg(line, chr(10) ORDER BY ordinal) AS lines, list(doc_id ORDER BY ordinal) AS ids FROM l GROUP BY query_id),
+o AS (SELECT query_id, list(doc_id ORDER BY rank) FILTER (WHERE rank <= 3 AND NOT evident) AS near, CASE WHEN bool_and(chapter = preferred) THEN 'chapter' ELSE 'book' END AS scope FROM ten JOIN best USING (query_id) GROUP BY query_id),
+a AS (SELECT q.query_id, q.query, q.preferred, r.lines IS NULL AS no_evidence, coalesce(o.scope, 'book') AS scope,
+  CASE WHEN r.lines IS NULL THEN '教材中未找到直接依据' WHEN q.query_id % 3 = 2 THEN 'See [2] and [1]'
+       ELSE CASE WHEN q.query_id % 2 = 0 THEN '（模型这次没有返回内容，先给出教材中与你的问题最相关的原文，可对照核对。）' ELSE '（未接入大模型，这里直接给出教材中与你的问题最相关的原文，可对照核对。）' END || chr(10) || r.lines END AS answer,
+  CASE WHEN r.lines IS NULL THEN [] WHEN q.query_id % 3 <> 2 THEN r.ids WHEN len(r.ids) > 1 THEN [r.ids[2], r.ids[1]] ELSE r.ids END AS sources,
+  CASE WHEN r.lines IS NULL THEN coalesce(o.near, []) ELSE [] END AS closest, CASE WHEN r.lines IS NULL THEN '可以换个问法：点出教材里的具体概念（例如「导数的定义」）；或者直接选中相关原文再提问——划词追问不受依据判定限制。' ELSE '' END AS hint
+  FROM q LEFT JOIN r USING (query_id) LEFT JOIN o USING (query_id))""".replace("text AS query", "CASE WHEN item_id % 4 = 3 THEN 'zzyzx qwyjibo grault plugh xyzzy ' || string_split(text, ' ')[1] ELSE text END AS query")
+
 QUERIES = {
     f.__name__: f
     for f in (
         tok_term_frequency, tok_document_frequency, tok_corpus_stats, bm25_topk, bm25_multi_query, coverage_per_doc, recurring_terms, evidence_decision, evidence_rows, closest_when_refused,
         chapter_scope_search, book_search_boosted, whole_book_search, search_scope, fulltext_search_joined, substring_search, cosine_topk, cosine_allowed_ids, rrf_fusion, hash_embedding, hybrid_search_b,
-        anchor_containment, rule_answer_text, cited_anchors,
+        anchor_containment, rule_answer_text, cited_anchors, answer_records, exchange_messages,
     )
 }
 
 ORACLE = {
+    "answer_records": f"{_RECORDS} SELECT query_id, answer, array_to_string(sources, ' ') AS sources, scope, no_evidence, array_to_string(closest, ' ') AS closest, hint FROM a",
+    "exchange_messages": f"""{_RECORDS} SELECT preferred AS thread_id, query_id, 0 AS turn, 'user' AS role, CAST(length(query) AS INT) AS chars, 0 AS sources, CAST(NULL AS VARCHAR) AS no_evidence FROM a
+UNION ALL SELECT preferred, query_id, 1, 'assistant', CAST(length(answer) AS INT), CAST(len(sources) AS INT), CAST(no_evidence AS VARCHAR) FROM a""",
     "tok_term_frequency": "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) GROUP BY ALL",
     "tok_document_frequency": "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) GROUP BY ALL",
     "tok_corpus_stats": f"WITH {_DOCS} SELECT book, chapter, count(*) AS n, round(sum(len(toks)) / count(*), 6) AS avgdl FROM d GROUP BY ALL",

@@ -59,7 +59,22 @@ def margin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("book", "pos", X.strip(F.col("raw")).alias("t")).where(X.is_noise_line(F.col("t"))).select("book", "pos")
+    """Some lines become page numbers, dot leaders and addresses; an address within a line is none."""
+    odd = F.col("pos") % 11
+    planted = F.when(odd == 3, F.concat(F.lit("- "), F.col("pos").cast("string"), F.lit(" -"))).when(odd == 5, F.concat(F.substring("raw", 1, 20), F.lit(" . . . . . . 7"))).when(odd == 7, "https://example.com/a?b=1").when(odd == 9, F.concat(F.lit("at www.example.com "), "raw"))
+    return _lines(spark, sf_dir).withColumn("raw", F.coalesce(planted, "raw")).select("book", "pos", X.strip(F.col("raw")).alias("t")).where(X.is_noise_line(F.col("t"))).select("book", "pos")
+
+
+def book_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's first line is its only heading of level 1, chapters are of level 2."""
+    odd = F.col("pos") % 7 == 3
+    rows = _lines(spark, sf_dir).select("book", "pos", F.when(odd, F.concat(F.lit("Chapter "), F.col("pos").cast("string"))).otherwise(X.strip(F.col("raw"))).alias("text"), F.when(F.col("pos") == 0, 1).when(odd, 2).otherwise(0).alias("level"))
+    return structure.titled(rows)
+
+
+def page_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 7).alias("page"))
+    return structure.page_set(pages, ["source"]).select("source", F.array_join(F.col("pages").cast("array<string>"), " ").alias("pages"))
 
 
 def paragraph_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,12 +145,25 @@ b AS (SELECT book, pos, chapter, CASE WHEN level > 1 THEN 'heading' ELSE 'p' END
 QUERIES = {
     f.__name__: f
     for f in (
-        virtual_pages, fence_filter, heading_levels, chapter_segments, assembled_book, pipeline_chapters, page_ranges, margin_lines, noise_lines, paragraph_reflow, scan_probe, body_height, page_offset,
+        virtual_pages, fence_filter, heading_levels, chapter_segments, assembled_book, pipeline_chapters, page_ranges, margin_lines, noise_lines, book_titles, page_sets, paragraph_reflow, scan_probe, body_height, page_offset,
         chunk_packing, part_packing, summary_chunks, page_packing, material_budget, text_stats, token_estimate,
     )
 }
 
 ORACLE = {
+    "book_titles": f"""WITH {_LINES}, t AS (SELECT book, pos, {_TRIM} AS t FROM l)
+SELECT book, CASE WHEN max(pos) >= 3 THEN max(t) FILTER (WHERE pos = 0) ELSE '' END AS title FROM t GROUP BY book""",
+    "page_sets": "SELECT source, array_to_string(list_sort(list(DISTINCT doc_id % 7) FILTER (WHERE doc_id % 7 <> 0)), ' ') AS pages FROM documents GROUP BY source",
+    "paragraph_reflow": rf"""WITH {_LINES}, t AS (SELECT book, pos, {_TRIM} AS t FROM l),
+u AS (SELECT *, t = '' OR ((regexp_matches(t, '[。．？！；：!?;”』」…]$') OR regexp_matches(t, '(^|[^0-9])\.\s*$')) AND length(t) > 6) AS ends FROM t
+      WHERE NOT ((length(t) <= 8 AND regexp_matches(t, '^[\d\s\-—.·]+$')) OR regexp_matches(t, '(?:\.\s*){{5,}}|…{{4,}}|⋯{{4,}}') OR regexp_matches(t, '^(?:https?://|www\.)\S+$')) OR t = ''),
+p AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS paragraph FROM u)
+SELECT book, CAST(paragraph AS BIGINT) AS paragraph, regexp_replace(string_agg(t, '' ORDER BY pos), '^\s+|\s+$', '', 'g') AS text FROM p WHERE t <> '' GROUP BY ALL""",
+    "page_packing": f"""WITH RECURSIVE {_LINES}, h AS (SELECT book, pos, CAST(length(raw) AS DOUBLE) / 5.0 AS h FROM l),
+b AS (SELECT book, pos, coalesce(sum(h) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS top, h FROM h),
+p AS (SELECT book, pos, top AS first, 0 AS pack FROM b WHERE pos = 0
+      UNION ALL SELECT b.book, b.pos, CASE WHEN b.top + b.h - p.first > 660 THEN b.top ELSE p.first END, CASE WHEN b.top + b.h - p.first > 660 THEN p.pack + 1 ELSE p.pack END FROM p JOIN b ON b.book = p.book AND b.pos = p.pos + 1)
+SELECT book, CAST(pos AS INT) AS ord, CAST(pack AS INT) AS pack FROM p""",
     "virtual_pages": f"WITH {_LINES} SELECT book, CAST(pos AS INT) AS pos, CAST(1 + coalesce(sum(length(raw)) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1200 AS INT) AS page FROM l",
     "fence_filter": f"""WITH {_LINES}, s AS (SELECT *, sum(CAST(pos % 9 = 3 AS INT)) OVER (PARTITION BY book ORDER BY pos) % 2 AS inside FROM l)
 SELECT book, count(*) AS rows, CAST(sum(pos) AS BIGINT) AS places FROM s WHERE pos % 9 <> 3 AND inside = 0 GROUP BY book""",
@@ -151,7 +179,7 @@ SELECT book, CAST(pos // 7 + 1 AS INT) AS num, CAST(page AS INT) AS page_start,
     "margin_lines": """WITH l AS (SELECT source AS book, doc_id AS page, regexp_replace(unnest(string_split(text, chr(10))), '\\s+', '', 'g') AS line FROM documents),
 p AS (SELECT book, count(DISTINCT page) AS pages FROM l GROUP BY book HAVING count(DISTINCT page) >= 3)
 SELECT book, line FROM (SELECT book, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL) JOIN p USING (book) WHERE n >= greatest(3, floor(pages * 0.1))""",
-    "noise_lines": rf"""WITH {_LINES}, t AS (SELECT book, pos, {_TRIM} AS t FROM l)
+    "noise_lines": rf"""WITH {_LINES}, m AS (SELECT book, pos, CASE pos % 11 WHEN 3 THEN '- ' || pos || ' -' WHEN 5 THEN substr(raw, 1, 20) || ' . . . . . . 7' WHEN 7 THEN 'https://example.com/a?b=1' WHEN 9 THEN 'at www.example.com ' || raw ELSE raw END AS raw FROM l), t AS (SELECT book, pos, {_TRIM} AS t FROM m)
 SELECT book, CAST(pos AS INT) AS pos FROM t WHERE (length(t) <= 8 AND regexp_matches(t, '^[\d\s\-—.·]+$')) OR regexp_matches(t, '(?:\.\s*){{5,}}|…{{4,}}|⋯{{4,}}') OR regexp_matches(t, '^(?:https?://|www\.)\S+$')""",
     "scan_probe": f"""WITH {_LINES}, n AS (SELECT book, count(*) AS pages FROM l GROUP BY book),
 s AS (SELECT book, pages, avg(length({_TRIM})) AS c FROM l JOIN n USING (book) WHERE pos % greatest(1, pages // 12) = 0 GROUP BY ALL)

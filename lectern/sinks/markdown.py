@@ -77,6 +77,13 @@ def publish(tables: dict[str, DataFrame], folder: str, snapshot: str) -> str:
     return f"{folder}/{snapshot}"
 
 
+def write_split(paragraphs: DataFrame, folder: str, book: str = "book") -> None:
+    """The split book: a folder of text files for each chapter's part, and the manifests as JSON. paragraphs: book, chapter, title, part, nth, text."""
+    lines = paragraphs.groupBy(book, "chapter", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda s: s["text"]), "\n").alias("value"))
+    lines.write.mode("overwrite").partitionBy(book, "chapter", "part").text(f"{folder}/parts")
+    manifest(paragraphs, book).write.mode("overwrite").json(f"{folder}/manifest")
+
+
 def write_lessons(lessons: DataFrame, folder: str, chapter: str = "chapter_id") -> None:
     """Lessons as JSON, a partition a chapter, and an index of their titles and numbers of steps."""
     lessons.write.mode("overwrite").partitionBy(chapter).json(f"{folder}/lessons")

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern import constants as K
 from lectern.operators import structure
 
 #: Suffixes and content types by format (fixed values).
@@ -70,60 +71,137 @@ _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _HEADING = re.compile(r"(?i)^heading\s*(\d+)$")
 
 
-def style_level(style: str, dialect: str = "a") -> int:
-    """A style's outline level; 0 for body text, and in dialect b for titles."""
+def style_level(style: str) -> int:
+    """A style's outline level, 0 for body text and for titles."""
     m = _HEADING.match(style.strip())
     return min(int(m[1]), 9) if m else 0
 
 
-def _paragraph(p: ElementTree.Element, names: dict[str, str]) -> tuple[str, str, list[str]]:
-    style = p.find(f"{_W}pPr/{_W}pStyle")
-    name = names.get(style.get(f"{_W}val", ""), style.get(f"{_W}val", "")) if style is not None else "Normal"
-    text = "".join(t.text or "" if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" for t in p.iter() if t.tag in (f"{_W}t", f"{_W}tab", f"{_W}br"))
-    return text, name, [b.get(f"{_R}embed", "") for b in p.iter(f"{_A}blip")]
+#: Styles of a book's title (fixed values).
+TITLE_STYLES = ("title", "subtitle")
+_BREAKS = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
 
 
-def docx_items(content: bytes) -> Iterator[tuple[int, str, str, str, int, list[list[str]] | None]]:
-    """(pos, kind, text, style, level, cells) of a document's body in order: paragraphs, tables, images."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        names: dict[str, str] = {}
-        if "word/styles.xml" in archive.namelist():
-            for style in ElementTree.fromstring(archive.read("word/styles.xml")).iter(f"{_W}style"):
+def _text(element: ElementTree.Element) -> str:
+    return "".join(t.text or "" if t.tag == f"{_W}t" else _BREAKS.get(t.tag, "") for t in element.iter())
+
+
+def _on(marks: ElementTree.Element | None, name: str) -> bool:
+    mark = marks.find(f"{_W}{name}") if marks is not None else None
+    return mark is not None and mark.get(f"{_W}val", "1") not in ("0", "false", "off")
+
+
+def _run(run: ElementTree.Element) -> dict:
+    marks = run.find(f"{_W}rPr")
+    size, place = (marks.find(f"{_W}{n}") if marks is not None else None for n in ("sz", "vertAlign"))
+    return {"text": _text(run), "size": float(size.get(f"{_W}val", "0")) / 2 if size is not None else None, "bold": _on(marks, "b"), "italic": _on(marks, "i"), "position": place.get(f"{_W}val") if place is not None else None}
+
+
+class Docx:
+    """An open document: its body, the names of its styles, and the files its relations lead to."""
+
+    def __init__(self, content: bytes) -> None:
+        self.archive = zipfile.ZipFile(io.BytesIO(content))
+        self.body = ElementTree.fromstring(self.archive.read("word/document.xml")).find(f"{_W}body")
+        self.names, self.targets = {}, {}
+        there = set(self.archive.namelist())
+        if "word/styles.xml" in there:
+            for style in ElementTree.fromstring(self.archive.read("word/styles.xml")).iter(f"{_W}style"):
                 label = style.find(f"{_W}name")
-                names[style.get(f"{_W}styleId", "")] = label.get(f"{_W}val", "") if label is not None else ""
-        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
-    pos = 0
-    for child in body if body is not None else ():
-        if child.tag == f"{_W}p":
-            text, style, images = _paragraph(child, names)
-            if text.strip():
-                yield pos, "p", text.strip(), style, style_level(style), None
-                pos += 1
-            for image in images:
-                yield pos, "image", "", image, 0, None
-                pos += 1
-        elif child.tag == f"{_W}tbl":
-            cells = [[" ".join("".join(t.text or "" for t in cell.iter(f"{_W}t")).split()) for cell in row.iter(f"{_W}tc")] for row in child.iter(f"{_W}tr")]
-            yield pos, "table", "\n".join(" | ".join(row) for row in cells), "", 0, cells
-            pos += 1
-
-
-DOCX_SCHEMA = "book string, pos int, kind string, text string, style string, level int, cells array<array<string>>"
+                self.names[style.get(f"{_W}styleId", "")] = label.get(f"{_W}val", "") if label is not None else ""
+        if "word/_rels/document.xml.rels" in there:
+            for relation in ElementTree.fromstring(self.archive.read("word/_rels/document.xml.rels")):
+                path = "word/" + relation.get("Target", "")
+                if path in there:
+                    self.targets[relation.get("Id", "")] = path
+
+    def style(self, paragraph: ElementTree.Element) -> str:
+        style = paragraph.find(f"{_W}pPr/{_W}pStyle")
+        return self.names.get(style.get(f"{_W}val", ""), style.get(f"{_W}val", "")) if style is not None else "Normal"
+
+    def items(self) -> Iterator[dict]:
+        """The body's children in order: images (those that the archive has) before their paragraph's text, paragraphs with their runs, tables without empty rows."""
+        images = 0
+        for child in self.body if self.body is not None else ():
+            if child.tag == f"{_W}p":
+                for blip in child.iter(f"{_A}blip"):
+                    if path := self.targets.get(blip.get(f"{_R}embed", "")):
+                        yield {"kind": "image", "asset": f"img{images}.{(path.rpartition('.')[2] or 'png').lower()}", "content": self.archive.read(path)}
+                        images += 1
+                if text := _text(child).strip():
+                    style = self.style(child)
+                    runs = [_run(r) for r in child.findall(f"{_W}r")]
+                    # Runs within links are no runs of the paragraph's own; where they hold text, no styles are told.
+                    yield {"kind": "p", "text": text, "style": style, "level": style_level(style), "runs": runs if "".join(r["text"] for r in runs) == _text(child) else []}
+            elif child.tag == f"{_W}tbl":
+                cells = [[" ".join("".join(t.text or "" for t in cell.iter(f"{_W}t")).split()) for cell in row.iter(f"{_W}tc")] for row in child.iter(f"{_W}tr")]
+                if any(any(row) for row in cells):
+                    yield {"kind": "table", "text": "\n".join(" | ".join(row) for row in cells), "cells": [row for row in cells if any(row)]}
+
+    def skipped(self) -> tuple[int, int]:
+        """How many text boxes and drawings there are, whose words are not read."""
+        return sum(1 for _ in self.body.iter(f"{_W}txbxContent")), sum(1 for _ in self.body.iter(f"{_W}drawing"))
+
+
+DOCX_SCHEMA = "book string, pos int, kind string, text string, style string, level int, cells array<array<string>>, runs array<struct<text:string,size:double,bold:boolean,italic:boolean,position:string>>, asset string, content binary"
+_BROKEN = (zipfile.BadZipFile, KeyError, ElementTree.ParseError)
+
+
+def _docx(found: DataFrame) -> DataFrame:
+    return found.where((F.col("format") == "docx") & (F.col("status") == "ok")).select("path", "content")
 
 
 def docx_rows(found: DataFrame, tables: bool = True) -> DataFrame:
-    """book, pos, kind, text, style, level, cells of the docx files among files; a broken file gives one row of kind 'error'. tables=False: paragraphs only."""
+    """Rows of DOCX_SCHEMA of the docx files among files, in the order of the documents; a broken file gives one row of kind 'error'. tables=False: paragraphs only.
+    Images are rows with their name and bytes."""
+    names = [part.split()[0] for part in DOCX_SCHEMA.split(", ")]
+    blank = {"text": "", "style": "", "level": 0, "cells": None, "runs": [], "asset": None, "content": None}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    items = [item for item in Docx(content).items() if tables or item["kind"] == "p"]
+                except _BROKEN as broken:
+                    items = [{"kind": "error", "text": str(broken)}]
+                rows = [blank | {"book": path, "pos": pos} | item for pos, item in enumerate(items)]
+                yield pd.DataFrame(rows, columns=names).astype({"pos": "int32", "level": "int32"})
+
+    return _docx(found).mapInPandas(run, DOCX_SCHEMA)
+
+
+def docx_notes(found: DataFrame) -> DataFrame:
+    """book, boxes, drawings, notes of the docx files among files: what their rows leave out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    rows = [(path, *item) for item in docx_items(content) if tables or item[1] == "p"]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as broken:
-                    rows = [(path, 0, "error", str(broken), "", 0, None)]
-                yield pd.DataFrame(rows, columns=["book", "pos", "kind", "text", "style", "level", "cells"])
+                    rows.append((path, *Docx(content).skipped()))
+                except _BROKEN:
+                    continue
+            yield pd.DataFrame(rows, columns=["book", "boxes", "drawings"]).astype({"boxes": "int32", "drawings": "int32"})
+
+    counted = _docx(found).mapInPandas(run, "book string, boxes int, drawings int")
+    said = [F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {label}"))) for n, label in (("boxes", K.BOX_NOTE), ("drawings", K.DRAWING_NOTE))]
+    return counted.withColumn("notes", F.array_compact(F.array(*said)))
+
 
-    return found.where((F.col("format") == "docx") & (F.col("status") == "ok")).select("path", "content").mapInPandas(run, DOCX_SCHEMA)
+def docx_titles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(book, title: the first paragraph in a title style; the other rows, without all of these) of docx_rows."""
+    title = F.lower("style").isin(*TITLE_STYLES) & (F.col("kind") == "p")
+    titles = rows.groupBy("book").agg(F.coalesce(F.min_by("text", F.when(title, F.col("pos"))), F.lit("")).alias("title"))
+    return titles, rows.where(~title)
+
+
+def docx_content(rows: DataFrame) -> DataFrame:
+    """book, pos, runs (text, style; empty where no run has a style) of the paragraphs of docx_rows."""
+    split = rows.where(F.col("kind") == "p").select("book", "pos", F.posexplode_outer("runs").alias("ord", "r")).select("book", "pos", "ord", "r.*")
+    styled = run_styles(split.where(F.col("text").isNotNull()))
+    merged = merged_runs(styled, ["book", "pos"])
+    plain = ~F.exists("runs", lambda r: F.size(r["style"]) > 0)
+    return merged.select("book", "pos", F.when(plain, F.slice("runs", 1, 0)).otherwise(F.col("runs")).alias("runs"))
 
 
 def table_content(cells: Column) -> Column:
@@ -143,27 +221,24 @@ def body_size(runs: DataFrame, book: str = "book") -> DataFrame:
 def run_styles(runs: DataFrame, large: float = 1.15, small: float = 0.9, book: str = "book") -> DataFrame:
     """runs (book, text, size, bold, italic, position) with style: b, i, sup or sub, lg or sm against the body's size."""
     ratio = F.col("size") / F.col("body")
-    tokens = F.array_compact(F.array(F.when(F.col("bold"), "b"), F.when(F.col("italic"), "i"), F.when(F.col("position") == "superscript", "sup").when(F.col("position") == "subscript", "sub"), F.when(ratio >= large, "lg").when(ratio <= small, "sm")))
+    tokens = F.array_compact(F.array(F.when(F.col("bold"), "b"), F.when(F.col("italic"), "i"), F.when(F.col("position") == "superscript", "sup").when(F.col("position") == "subscript", "sub"), F.when(F.col("position").isNull() | ~F.col("position").isin("superscript", "subscript"), F.when(ratio >= large, "lg").when(ratio <= small, "sm"))))
     return runs.join(body_size(runs, book), book, "left").withColumn("style", tokens).drop("body")
 
 
 def merged_runs(runs: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """keys, runs: a paragraph's runs in order, adjacent ones of one style joined, empty ones gone."""
-    state = "array<struct<text:string,style:array<string>>>"
-    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct(order, "text", "style")))), lambda s: F.struct(s["text"].alias("text"), s["style"].alias("style")))
-
-    def step(done, run):  # noqa: ANN001, ANN202
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.concat(last["text"], run["text"]).alias("text"), run["style"].alias("style")))).cast(state)
-        return F.when((F.size(done) > 0) & (last["style"] == run["style"]), joined).otherwise(F.concat(done, F.array(run)).cast(state))
-
-    return runs.groupBy(*keys).agg(ordered.alias("r")).select(*keys, F.aggregate(F.col("r").cast(state), F.array().cast(state), step).alias("runs"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    live = runs.where(F.col("text") != "").withColumn("__new", (~F.col("style").eqNullSafe(F.lag("style").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
+    numbered = live.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]), "")
+    joined = numbered.groupBy(*keys, "__run").agg(text.alias("text"), F.first("style").alias("style"))
+    lists = joined.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__run", "text", "style"))), lambda s: F.struct(s["text"].alias("text"), s["style"].alias("style"))).alias("runs"))
+    none = F.array().cast("array<struct<text:string,style:array<string>>>")
+    return runs.select(*keys).distinct().join(lists, keys, "left").select(*keys, F.coalesce("runs", none).alias("runs"))
 
 
 def page_items(lines: DataFrame, images: DataFrame, tables: DataFrame, keys: list[str], least_area: float = 4000.0) -> DataFrame:
     """keys, ord, kind, text: a page's lines, images (not the small ones) and tables from top to bottom."""
-    from pyspark.sql import Window
-
     parts = [lines.select(*keys, "y", F.lit("line").alias("kind"), "text"), images.where(F.col("area") >= least_area).select(*keys, "y", F.lit("image").alias("kind"), F.lit("").alias("text")), tables.select(*keys, "y", F.lit("table").alias("kind"), "text")]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return every.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("y", "kind", "text"))).select(*keys, "ord", "kind", "text")

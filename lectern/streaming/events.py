@@ -44,7 +44,8 @@ def first_reads(events: DataFrame, delay: str = "60 days") -> DataFrame:
 
 
 def mastery(events: DataFrame, paragraphs: int) -> DataFrame:
-    """Mastery of each book and chapter, for complete mode. What is counted distinctly is deduplicated first: anchors read, questions asked."""
+    """Mastery of each book and chapter, for complete mode. What is counted distinctly is deduplicated first: anchors read, questions asked. It counts
+    over all time, so the state holds every different anchor and question for good (on disk, with a RocksDB state store); windows() and first_reads() drop theirs."""
     key = F.when(F.col("kind") == "read", F.col("anchor_id")).when(F.col("kind") == "ask", X.strip(F.col("detail"))).otherwise(F.col("id").cast("string"))
     once = events.where((F.col("kind") != "ask") | ~X.blank(F.col("detail"))).withColumn("key", key).dropDuplicates(["book", "chapter", "kind", "key"])
     kind = F.col("kind")
@@ -64,12 +65,14 @@ def windows(events: DataFrame, size: str = "1 day", slide: str | None = None, de
 
 
 def best_so_far(scores: DataFrame) -> DataFrame:
-    """book, best, n for update mode: state of our own that never falls. scores: book, value."""
+    """book, best, n for update mode: state of our own that never falls. scores: book, value; null values are counted, but are no best."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, n = state.get if state.exists else (0.0, 0)
+        best, n = state.get if state.exists else (None, 0)
         for frame in frames:
-            best, n = max(best, float(frame["value"].max())), n + len(frame)
+            values, n = frame["value"].dropna(), n + len(frame)
+            if len(values):
+                best = float(values.max()) if best is None else max(best, float(values.max()))
         state.update((best, n))
         yield pd.DataFrame({"book": [key[0]], "best": [best], "n": [n]})
 
