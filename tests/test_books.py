@@ -112,6 +112,143 @@ def test_files(spark, tmp_path):
     assert {("b.md", 1, "标题"), ("b.md", 0, "正文"), ("c.txt", 0, "第一章 国标")} <= texts
 
 
+DOCX = """<w:document xmlns:w="{w}" xmlns:a="{a}" xmlns:r="{r}"><w:body>
+<w:p><w:pPr><w:pStyle w:val="T"/></w:pPr><w:r><w:t>The Book</w:t></w:r></w:p>
+<w:p><w:pPr><w:pStyle w:val="H1"/></w:pPr><w:r><w:t>One</w:t></w:r></w:p>
+<w:p><w:r><w:rPr><w:sz w:val="22"/></w:rPr><w:t>plain </w:t></w:r><w:r><w:rPr><w:b/><w:sz w:val="22"/></w:rPr><w:t>bo</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>ld</w:t></w:r><w:r><w:rPr><w:vertAlign w:val="superscript"/><w:sz w:val="16"/></w:rPr><w:t>2</w:t></w:r><w:r><w:rPr><w:b w:val="0"/><w:sz w:val="40"/></w:rPr><w:t>big</w:t></w:r></w:p>
+<w:p><w:r><w:t>before </w:t></w:r><w:hyperlink><w:r><w:rPr><w:b/></w:rPr><w:t>a link</w:t></w:r></w:hyperlink></w:p>
+<w:p><w:r><w:drawing><a:blip r:embed="rId7"/></w:drawing></w:r><w:r><w:drawing><a:blip r:embed="gone"/></w:drawing></w:r><w:r><w:t>caption</w:t></w:r></w:p>
+<w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc/></w:tr></w:tbl><w:tbl><w:tr><w:tc/></w:tr></w:tbl>
+<w:p><w:r><w:txbxContent><w:p/></w:txbxContent></w:r></w:p>
+</w:body></w:document>"""
+
+
+def test_docx_images_styles_titles_and_what_is_skipped(spark, tmp_path):
+    names = {"w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "a": "http://schemas.openxmlformats.org/drawingml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        z.writestr("word/document.xml", DOCX.format(**names))
+        z.writestr("word/styles.xml", f'<w:styles xmlns:w="{names["w"]}"><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="T"><w:name w:val="Title"/></w:style></w:styles>')
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="rId7" Target="media/image1.PNG"/><Relationship Id="rId8" Target="media/none.png"/></Relationships>')
+        z.writestr("word/media/image1.PNG", b"\x89PNG")
+    found = files.files(spark, str(tmp_path))
+    rows = files.docx_rows(found)
+    titles, body = files.docx_titles(rows)
+    assert [r["title"] for r in titles.collect()] == ["The Book"]
+    got = [(r["kind"], r["text"], r["level"], r["asset"], bytes(r["content"]) if r["content"] else None, r["cells"]) for r in body.orderBy("pos").collect()]
+    assert got == [
+        ("p", "One", 1, None, None, None),
+        ("p", "plain bold2big", 0, None, None, None),
+        ("p", "before a link", 0, None, None, None),
+        ("image", "", 0, "img0.png", b"\x89PNG", None),
+        ("p", "caption", 0, None, None, None),
+        ("table", "x\n", 0, None, None, [["x"]]),
+    ]
+    styled = [[(x["text"], x["style"]) for x in r["runs"]] for r in files.docx_content(body).orderBy("pos").collect()]
+    assert styled == [[], [("plain ", []), ("bold", ["b"]), ("2", ["sup"]), ("big", ["lg"])], [], []] or styled == [[], [("plain ", []), ("bold", ["b"]), ("2", ["sup"]), ("big", ["lg"])], []]
+    notes = files.docx_notes(found).first()
+    assert (notes["boxes"], notes["drawings"], notes["notes"]) == (1, 2, ["1 个文本框", "2 张图片"])
+
+
+def test_title_and_images_of_a_book(spark):
+    rows = spark.createDataFrame([("b", 0, "Whole", 1), ("b", 1, "Chapter 1", 2), ("b", 2, "x", 0), ("b", 3, "Chapter 2", 2), ("c", 0, "Only", 1), ("c", 1, "y", 0)], "book string, pos int, text string, level int")
+    assert {r["book"]: r["title"] for r in structure.titled(rows).collect()} == {"b": "Whole", "c": ""}
+    found = spark.createDataFrame([("b", 0, 1, "t", "p", "a"), ("b", 1, 1, "t", "image", ""), ("b", 2, 1, "t", "p", " ")], "book string, pos int, chapter int, title string, kind string, text string")
+    assert [(r["kind"], r["text"]) for r in structure.assemble(found).orderBy("seq").collect()] == [("p", "a"), ("image", "（插图）")]
+
+
+def page_lines(spark):
+    """Two books of four pages: 'm' has an outline, 'h' large lines; both have a line that recurs at the top of each page."""
+    rows = []
+    for book in ("m", "h"):
+        for page in range(4):
+            rows.append((book, page, 10.0, 0, 10.0, 800.0, "Running head"))
+            if page % 2 == 0:
+                rows.append((book, page, 100.0, 1, 20.0 if book == "h" else 10.0, 800.0, f"Part {page}"))
+            rows += [(book, page, 200.0, 2, 10.0, 800.0, f"A sentence that goes on, page {page},"), (book, page, 220.0, 3, 10.0, 800.0, "and ends here."), (book, page, 400.0, 4, 10.0, 800.0, f"Another one {page}.")]
+    return spark.createDataFrame(rows, "book string, page int, y double, ord int, size double, height double, text string")
+
+
+def test_page_book_by_outline_by_size_and_as_a_whole(spark):
+    marks = spark.createDataFrame([("m", 1, 1, "First", 1), ("m", 2, 1, "Second", 3), ("m", 3, 1, "Second", 3), ("m", 4, 2, "deeper", 3), ("m", 5, 1, "Third", 99)], "book string, ord int, level int, title string, page int")
+    assets = spark.createDataFrame([("m", 0, 300.0, "image", "", 9000.0), ("m", 0, 310.0, "image", "", 9.0), ("m", 2, 300.0, "table", "a | b", 0.0)], "book string, page int, y double, kind string, text string, area double")
+    out = pages.page_book(page_lines(spark), marks, assets).orderBy("book", "num", "seq").collect()
+    m = [r for r in out if r["book"] == "m"]
+    assert [(r["num"], r["title"], r["page_start"], r["page_end"]) for r in m if r["seq"] == 1] == [(1, "First", 1, 2), (2, "Second", 3, 3), (3, "Third", 4, 4)]
+    first = [(r["page"], r["kind"], r["text"]) for r in m if r["num"] == 1]
+    assert first == [(1, "p", "Running headPart 0A sentence that goes on, page 0,and ends here."), (1, "image", "（插图）"), (1, "p", "Another one 0."), (2, "p", "Running headA sentence that goes on, page 1,and ends here."), (2, "p", "Another one 1.")]
+    assert [r["text"] for r in m if r["kind"] == "table"] == ["a | b"]
+    h = [(r["num"], r["title"], r["page_start"], r["page_end"]) for r in out if r["book"] == "h" and r["seq"] == 1]
+    assert h == [(1, "Part 0", 1, 2), (2, "Part 2", 3, 4)]
+    plain = page_lines(spark).where("book = 'm'")
+    whole = pages.page_book(plain, marks.where("false"), assets.where("false"), "Untitled").collect()
+    assert {(r["num"], r["title"], r["page_start"], r["page_end"]) for r in whole} == {(1, "Untitled", 1, 4)}
+    assert not any("Running head" in r["text"] for r in whole)
+
+
+def test_runs_lose_what_their_text_loses(spark):
+    runs = spark.createDataFrame([([("One", ["b"]), (" tw", []), ("o", ["i"])],)], "r array<struct<text:string,style:array<string>>>")
+    for n, want in ((0, [("One", ["b"]), (" tw", []), ("o", ["i"])]), (4, [("tw", []), ("o", ["i"])]), (6, [("o", ["i"])]), (9, [])):
+        got = runs.select(pages.stripped_runs(F.col("r"), F.lit(n)).alias("r")).first()["r"]
+        assert [(x["text"], x["style"]) for x in got] == want
+
+
+def test_lesson_order_against_passes_over_the_list(spark):
+    r = random.Random(5)
+    rows = []
+    for chapter in range(25):
+        names = [f"n{i}" for i in range(r.randint(1, 12))]
+        r.shuffle(names)
+        rows += [(chapter, i, n, r.sample([*names, "elsewhere"], r.randint(0, min(2, len(names))))) for i, n in enumerate(names)]
+    rows.append((99, 0, "alone", None))
+    got = {(x["chapter_id"], x["concept"]): x["position"] for x in concepts.lesson_order(spark.createDataFrame(rows, "chapter_id int, ord int, concept string, prerequisites array<string>")).collect()}
+    for chapter in {c for c, *_ in rows}:
+        left = [(n, set(p or ())) for c, _, n, p in sorted(rows) if c == chapter]
+        names, out = {n for n, _ in left}, []
+        while left:
+            before = len(out)
+            for n, needs in list(left):
+                if all(m in out for m in needs & names - {n}):
+                    out.append(n)
+                    left.remove((n, needs))
+            if len(out) == before:
+                out += [n for n, _ in left]
+                break
+        assert [got[chapter, n] for n in out] == list(range(1, len(out) + 1))
+
+
+def test_medians_are_those_of_sorted_values(spark):
+    r = random.Random(3)
+    rows = [(g, r.choice((None, *range(6)))) for g in range(6) for _ in range(r.randint(1, 20))]
+    got = {x["g"]: x["m"] for x in structure.upper_median(spark.createDataFrame(rows, "g int, v int"), ["g"], "v", "m").collect()}
+    for g in {g for g, _ in rows}:
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        assert got.get(g) == (values[len(values) // 2] if values else None)
+
+
+def test_split_books_are_written(spark, tmp_path):
+    from lectern.sinks import markdown
+
+    rows = spark.createDataFrame([("b", 1, "t", 1, 1, "one"), ("b", 1, "t", 1, 2, "two"), ("b", 2, "u", 1, 1, "three")], "book string, chapter int, title string, part int, nth int, text string")
+    markdown.write_split(rows, str(tmp_path))
+    read = spark.read.text(f"{tmp_path}/parts", wholetext=True).collect()
+    assert sorted((r["chapter"], r["value"].strip()) for r in read) == [(1, "one\ntwo"), (2, "three")]
+    assert spark.read.json(f"{tmp_path}/manifest").count() == 1
+
+
+def test_updates_set_known_fields_only(spark):
+    from lectern.operators import requests
+
+    assert requests.only_known(spark.createDataFrame([("1", "done")], "id string, status string")).count() == 1
+    with pytest.raises(ValueError, match="colour"):
+        requests.only_known(spark.createDataFrame([("1", "done")], "id string, colour string"))
+
+
+def test_concepts_that_are_kept_stand_before_rules(spark):
+    kept = spark.createDataFrame([("c1", "k", "kept", "d", ["a"])], "chapter_id string, id string, concept string, definition string, anchors array<string>")
+    rows = spark.createDataFrame([("c1", 1, "a1", "沿负方向更新参数的方法称为梯度下降。"), ("c2", 1, "a2", "沿负方向更新参数的方法称为梯度下降。")], "chapter_id string, seq int, anchor string, text string")
+    assert {(r["chapter_id"], r["concept"]) for r in concepts.concepts_of(kept, rows).collect()} == {("c1", "kept"), ("c2", "梯度下降")}
+
+
 def test_runs_merge_and_keep_all_text(spark):
     runs = spark.createDataFrame([("p", 0, "a", ["b"]), ("p", 1, "", []), ("p", 2, "b", ["b"]), ("p", 3, "c", [])], "p string, ord int, text string, style array<string>")
     got = files.merged_runs(runs, ["p"]).first()["runs"]
