@@ -2,32 +2,34 @@
 
 Targets come from water-filling over the sources. A document gets floor(target / source size) complete epochs; the rest
 of the target is filled by Efraimidis-Spirakis sampling: the exponential key -ln(u) / quality is sorted within the
-source, and sizes are prefix-summed to the budget. The prefix sum is done in two levels: each source's keys are cut into ordered
-buckets of about BUCKET_ROWS rows, buckets are summed first, and only the bucket in which the budget ends is sorted, so a
-source with a third of all rows is no larger a task than others. The gap that the prefix leaves goes to the one
-remaining document of that bucket whose size fits it best, or stays where none fits better than nothing.
+source, and sizes are prefix-summed to the budget. The prefix sum is done in three levels: sizes are summed by source and coarse place
+of the key, then by fine place within the coarse one where the budget ends, and only the rows of that fine place are sorted, some
+hundred-thousandths of a source. So a source with a third of all rows is no larger a task than others; what
+decides on a row is its key and one row of its source, which is broadcast. The gap that the prefix leaves goes to the one
+remaining document of the source whose size fits it best, or stays where none fits better than nothing.
 
 Defined results: null or empty text has size 0 and takes 0; a null source is a source of its own, the last; u depends on
-doc_id and text alone, so reruns agree; repeated rows are documents of their own, with ties broken by size; where all
+doc_id and text alone, so reruns agree; repeated rows (same id and text) are taken equally often; where all
 sizes are 0 every target is 0; an empty table gives an empty table; further columns are kept by mixed() alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, small
 
 #: Weights of the sources in code-point order, repeated.
 WEIGHTS = (1, 2, 3)
 #: A target stops at this many times its source's size.
 MOST_EPOCHS = 3
-#: Rows that one bucket of a source's keys holds, about.
-BUCKET_ROWS = 50_000
+#: Coarse places of the keys grow by this factor from one to the next, and each is cut into so many fine ones.
+COARSE, FINE = 1.05, 1024
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
-_FULL, _PART = "full", "part"
 
 
 def size_of(text: Column) -> Column:
@@ -48,7 +50,7 @@ def quality_of(text: Column, size: Column) -> Column:
 
 
 def targets(sources: DataFrame) -> DataFrame:
-    """source, source_size, rows -> with weight, target. One row a source; water-filling by sorting sources by cap / weight."""
+    """source, source_size -> with weight, target. One row a source; water-filling by sorting sources by cap / weight."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
@@ -63,69 +65,96 @@ def targets(sources: DataFrame) -> DataFrame:
     after = Window.orderBy("level", F.col("source").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
     tried = weighed.withColumn("water", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
     water = F.max(F.when(F.col("water") <= F.col("level"), F.col("water"))).over(everything)
-    return tried.withColumn("target", F.least(F.col("cap"), F.coalesce(water * F.col("weight"), F.col("cap")))).select("source", "source_size", "rows", "weight", "target")
+    return tried.withColumn("target", F.least(F.col("cap"), F.coalesce(water * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
-    """doc_id, source, row, mark (a hash of the text), size, source_size, target, copies for every row of docs; row tells repeated rows apart."""
+def _keyed(docs: DataFrame, text_col: str, id_col: str, quality: Column | None) -> tuple[Column, Column]:
+    """(size, key) of each row of docs."""
     text = F.col(text_col)
     size = size_of(text)
-    thin = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.monotonically_increasing_id().alias("row"),
-            F.xxhash64(text).alias("mark"),
-            size.alias("size"),
-            (-F.log(uniform(F.col(id_col), text)) / (quality if quality is not None else quality_of(text, size))).alias("key"),
-        )
-    )
+    return size, -F.log(uniform(F.col(id_col), text)) / (quality if quality is not None else quality_of(text, size))
+
+
+def _coarse(key: Column) -> Column:
+    """The place of a key on a logarithmic scale: it grows with the key, and however qualities are spread no place holds many more keys than another."""
+    return F.floor(F.log(key) / F.lit(math.log(COARSE))).cast("int")
+
+
+def _fine(key: Column) -> Column:
+    """The place of a key among FINE within its coarse one."""
+    low = F.pow(F.lit(COARSE), _coarse(key))
+    return F.greatest(F.lit(0), F.least(F.lit(FINE - 1), F.floor((key - low) / (low * F.lit(COARSE - 1.0)) * FINE))).cast("int")
+
+
+def _crossing(thin: DataFrame, goals: DataFrame, place: Column, name: str) -> DataFrame:
+    """goals with the place where the prefix of thin's rows passes the budget (null if it never does), and what lies before it.
+    Rows are summed by source and place before they are shuffled; a source has few places."""
+    summed = thin.groupBy("named", "no_source", place.alias(name)).agg(F.sum("size").alias("held"))
+    run = Window.partitionBy("named", "no_source").orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = summed.join(small(goals.select("named", "no_source", "budget", "before")), ["named", "no_source"]).withColumn("upto", F.col("before") + F.sum("held").over(run))
+    inside, out = F.col("upto") <= F.col("budget"), F.col("upto") > F.col("budget")
+    passed = upto.groupBy("named", "no_source").agg(F.max(F.when(inside, F.col("upto"))).alias("within"), F.min(F.when(out, F.col(name))).alias(name))
+    known = goals.drop("within", name).join(passed, ["named", "no_source"], "left")
+    return cut(known.withColumn("before", F.coalesce("within", "before")).drop("within"))
+
+
+def _goals(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None) -> tuple[DataFrame, DataFrame]:
+    """(thin: doc_id, source, named, no_source, size, key of every row; goals: one row a source, with the key from which on its rows are
+    out, and the key of the document that fills the gap)."""
+    size, key = _keyed(docs, text_col, id_col, quality)
     # A null source is told apart by a flag, so that joins are plain equi-joins.
-    thin = thin.withColumn("no_source", F.col("source").isNull()).withColumn("named", F.coalesce("source", F.lit("")))
-    by_source = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    source = F.col(source_col).cast("string")
+    thin = cut(docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("named"), size.alias("size"), key.alias("key")))
     goals = (
-        targets(by_source)
+        targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")))
         .withColumn("no_source", F.col("source").isNull())
         .withColumn("named", F.coalesce("source", F.lit("")))
         .drop("source")
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("int"))
         .withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-        .withColumn("buckets", F.ceil(F.col("rows") / F.lit(BUCKET_ROWS)).cast("long"))
+        .withColumn("before", F.lit(0).cast("long"))
     )
-    goals = cut(goals)
-    # 1 - exp(-key) grows with the key and is spread over 0 to 1, so it cuts the sorted keys into ordered buckets.
-    keyed = thin.join(goals, ["named", "no_source"]).withColumn("bucket", F.least(F.col("buckets") - 1, F.floor(F.col("buckets") * (F.lit(1.0) - F.exp(-F.col("key"))))))
-    summed = keyed.groupBy("named", "no_source", "bucket").agg(F.sum("size").alias("held"), F.first("budget").alias("budget"))
-    run = Window.partitionBy("named", "no_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = summed.withColumn("upto", F.sum("held").over(run)).where(F.col("upto") - F.col("held") <= F.col("budget")).select("named", "no_source", "bucket", (F.col("upto") - F.col("held")).alias("before"), F.when(F.col("upto") <= F.col("budget"), F.lit(_FULL)).otherwise(F.lit(_PART)).alias("state"))
-    marked = keyed.join(placed, ["named", "no_source", "bucket"], "left")
-    within = Window.partitionBy("named", "no_source", "bucket").orderBy("key", "doc_id", "size", "row")
-    whole = Window.partitionBy("named", "no_source", "bucket")
-    part = marked.where(F.col("state") == _PART).withColumn("upto", F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    part = part.withColumn("inside", F.col("upto") <= F.col("budget"))
-    part = part.withColumn("gap", F.col("budget") - F.col("before") - F.coalesce(F.sum(F.when(F.col("inside"), F.col("size"))).over(whole), F.lit(0)))
+    goals = _crossing(thin, cut(goals), _coarse(F.col("key")), "coarse")
+
+    def at(*places: str) -> DataFrame:
+        """The rows of thin at the places where their source's prefix passes its budget."""
+        here = thin.withColumn("coarse", _coarse(F.col("key"))).withColumn("fine", _fine(F.col("key")))
+        return here.join(small(goals.select("named", "no_source", *places)), ["named", "no_source", *places], "left_semi")
+
+    goals = _crossing(at("coarse"), goals, F.col("fine"), "fine")
+    # Of the few rows left, rows of one key (repeated rows) are taken or left together.
+    goals = _crossing(at("coarse", "fine"), goals, F.col("key"), "out").withColumn("gap", F.col("budget") - F.col("before"))
     off = F.abs(F.col("size") - F.col("gap"))
-    best = F.min(F.when(~F.col("inside") & (off < F.col("gap")), F.struct(off.alias("off"), "key", "doc_id", "size", "row"))).over(whole)
-    part = part.withColumn("extra", F.when(F.col("inside") | (F.col("row") == best.getField("row")), 1).otherwise(0)).drop("upto", "inside", "gap")
-    rest = marked.where(F.coalesce(F.col("state"), F.lit("none")) != _PART).withColumn("extra", F.when(F.col("state") == _FULL, 1).otherwise(0))
-    both = part.unionByName(rest)
-    return both.select("doc_id", "source", "row", "mark", "size", "source_size", "target", (F.col("epochs") + F.when(F.col("epochs") >= MOST_EPOCHS, 0).otherwise(F.col("extra"))).alias("copies"))
+    free = thin.join(small(goals.select("named", "no_source", "out", "gap")), ["named", "no_source"]).where((F.col("key") >= F.col("out")) & (off < F.col("gap")))
+    best = free.groupBy("named", "no_source").agg(F.min(F.struct(off.alias("off"), F.col("key").alias("key"))).getField("key").alias("filler"))
+    # Repeated rows of that key would be taken together, so they must fit together.
+    met = thin.join(small(best), ["named", "no_source"]).where(F.col("key") == F.col("filler")).groupBy("named", "no_source", "filler").agg(F.sum("size").alias("filled"))
+    goals = goals.join(small(cut(met)), ["named", "no_source"], "left")
+    fits = F.abs(F.col("filled") - F.col("gap")) < F.col("gap")
+    return thin, cut(goals.select("named", "no_source", "source_size", "target", "epochs", "out", F.when(fits, F.col("filler")).alias("filler")))
+
+
+def _copies(key: Column, epochs: Column, out: Column, filler: Column) -> Column:
+    """How often a row is taken, by its key and its source's goals."""
+    extra = out.isNull() | (key < out) | F.coalesce(key == filler, F.lit(False))
+    return epochs + F.when(epochs >= MOST_EPOCHS, 0).otherwise(extra.cast("int"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source for every row."""
-    planned = plan(docs, id_col, text_col, source_col)
-    return planned.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("long").alias("copies"), "source")
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs as the mix takes them: each row as often as it is taken, all columns kept."""
-    # Rows are met again by id and text, which any reading of docs agrees on. Repeated rows share what they take together.
-    keys = ["__id", "__mark"]
-    tagged = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__mark", F.xxhash64(F.col(text_col)))
-    planned = plan(docs, id_col, text_col, source_col).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("mark").alias("__mark"), "copies")
-    taken = planned.groupBy(*keys).agg(F.sum("copies").cast("int").alias("__taken"), F.count(F.lit(1)).cast("int").alias("__rows")).where(F.col("__taken") > 0)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(id_col)))
-    met = tagged.join(taken, keys).withColumn("__nth", nth)
-    copies = F.floor(F.col("__taken") / F.col("__rows")).cast("int") + (F.col("__nth") <= F.col("__taken") % F.col("__rows")).cast("int")
+    thin, goals = _goals(docs, id_col, text_col, source_col, quality)
+    planned = thin.join(small(goals), ["named", "no_source"]).withColumn("copies", _copies(F.col("key"), F.col("epochs"), F.col("out"), F.col("filler")).cast("long"))
+    return planned.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
+    """docs as the mix takes them: each row as often as it is taken, all columns kept. Keys are computed again from the texts, so no text is shuffled."""
+    _, goals = _goals(docs, id_col, text_col, source_col, quality)
+    source = F.col(source_col).cast("string")
+    _, key = _keyed(docs, text_col, id_col, quality)
+    names = {c: f"__goal_{c}" for c in goals.columns}
+    met = docs.withColumn("__key", key).withColumn("__named", F.coalesce(source, F.lit(""))).withColumn("__no_source", source.isNull())
+    aside = small(goals.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    met = met.join(aside, (F.col("__named") == F.col("__goal_named")) & (F.col("__no_source") == F.col("__goal_no_source")))
+    copies = _copies(F.col("__key"), *[F.col(names[c]) for c in ("epochs", "out", "filler")])
     return met.withColumn("__copies", copies).where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
+import importlib
 import os
 from collections.abc import Callable
 
@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import exact_dedup, fingerprint, langid, mixing, near_dedup, packing, pii, secrets, toxicity, warc
 
-#: Folder of the public tokenizers' files; a parameter of the queries that need one.
-TOKENIZERS = os.environ.get("LECTERN_TOKENIZERS", "/opt/tokenizers")
+#: Folder of the public tokenizers' files, if they are not those of the installed package public_tokenizers.
+TOKENIZERS = os.environ.get("LECTERN_TOKENIZERS")
 
 
 def vocabulary(name: str) -> str:
-    """Path of a tokenizer file: in TOKENIZERS, or in the installed package public_tokenizers."""
-    if not os.path.isdir(TOKENIZERS) and (found := importlib.util.find_spec("public_tokenizers")):
-        return os.path.join(os.path.dirname(found.origin), name)
-    return os.path.join(TOKENIZERS, name)
+    """Path of a tokenizer file, on the driver and on every executor."""
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    return importlib.import_module("public_tokenizers").path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,11 +90,11 @@ t AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY level, source ROWS BET
          sum(weight) OVER (ORDER BY level, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water FROM c),
 w AS (SELECT source, source_size, least(cap, (SELECT max(water) FROM t WHERE water <= level) * weight) AS target FROM t),
 b AS (SELECT k.doc_id, k.size, k.key, w.*, floor(target / source_size) AS epochs, target - floor(target / source_size) * source_size AS budget FROM k JOIN w ON k.source IS NOT DISTINCT FROM w.source),
-r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= budget AS inside FROM b),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) <= budget AS inside, sum(size) OVER (PARTITION BY source, key) AS filled FROM b),
 g AS (SELECT *, budget - coalesce(sum(size) FILTER (WHERE inside) OVER (PARTITION BY source), 0) AS gap FROM r),
-e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT inside AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), key, doc_id) AS nth FROM g)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (epochs + CASE WHEN epochs >= 3 THEN 0 WHEN inside OR (nth = 1 AND abs(size - gap) < gap) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+e AS (SELECT *, first_value(key) OVER (PARTITION BY source ORDER BY CASE WHEN NOT inside AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), key) = key
+                AND NOT inside AND abs(size - gap) < gap AND abs(filled - gap) < gap AS fills FROM g)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN epochs >= 3 THEN 0 WHEN inside OR fills THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM e
 """
 
