@@ -16,18 +16,22 @@ from pyspark.sql import functions as F
 STEP_CHARS = 2_000_000
 #: Rows of a narrow table in one file of the shared folder, where their number is known beforehand. Each file costs calls to the store.
 FILE_ROWS = 200_000
+#: Tasks that write a table which would be fewer files by that measure.
+FEW_TASKS = 12
 
 _SPACE = re.compile("[\x20\x09-\x0d]")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset and all runs in one process, as in tests) a folder of our own."""
     context = spark.sparkContext
     set_by_session = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if set_by_session:
         return set_by_session.rstrip("/")
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -35,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, most_rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """df, materialised once in the shared folder, so that it is neither computed again nor lost with an executor.
-    most_rows: what df and what its last stage reads have at most, if that is known; it is then written as one file for each file_rows."""
+    most_rows: what df and what its last stage reads have at most, if that is known; it is then written as one file for each file_rows, but by FEW_TASKS tasks if so many can run at once."""
     shared_dir(df.sparkSession)
-    return (df if most_rows is None else df.coalesce(max(1, -(-most_rows // file_rows)))).checkpoint(eager=True)
+    tasks = min(FEW_TASKS, df.sparkSession.sparkContext.defaultParallelism)
+    return (df if most_rows is None else df.coalesce(max(tasks, -(-most_rows // file_rows)))).checkpoint(eager=True)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:

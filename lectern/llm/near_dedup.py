@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import cut, pieces, small
+from lectern.llm.common import STEP_CHARS, cut, pieces, slices, small
 from lectern.llm.graph import connected, grown
 
 SHINGLE = 5
@@ -74,7 +74,11 @@ _STEP = 1 << 16
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z in lower case. Words are hashed as polynomials of their bytes, by prefix sums over the text."""
+    """A 64-bit hash of each word, A-Z in lower case. Words are hashed as polynomials of their bytes, by prefix sums over a slice of the text."""
+    return np.concatenate([_slice_hashes(part) for part in slices(text)])
+
+
+def _slice_hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
@@ -132,7 +136,7 @@ _SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set; null for the empty set), packed, bands. docs: doc_id, text."""
+    """doc_id, mark, n_shingles, node (a digest of the set; null for the empty set), packed, bands. docs: doc_id, mark, text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +149,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     low, keys = signature(shingles) if len(shingles) else (None, None)
                     packed.append(low)
                     bands.append(keys)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(packed, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", *_SIGNED.names])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(packed, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", *_SIGNED.names])
 
-    return docs.mapInArrow(sign, T.StructType([docs.schema["doc_id"], *_SIGNED.fields]))
+    return docs.select("doc_id", "mark", "text").mapInArrow(sign, T.StructType([docs.schema["doc_id"], docs.schema["mark"], *_SIGNED.fields]))
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -291,19 +295,24 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, joined(component, *more)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, component_id, kept for every row."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
     signed = cut(signatures(plain).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
     nodes, component = links(plain, signed)
     named = nodes.select("node", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(smallest, "component").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = signed.select("doc_id", "mark", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "mark", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    return _placed(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, all columns kept."""
-    dropped = cut(components(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct())
-    return docs.join(small(dropped), id_col, "left_anti")
+    """docs with one document of each component, all columns kept. Rows are told by id and text, so a text that shares its id with another is judged by itself."""
+    dropped = cut(_placed(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__doc_id"), F.col("mark").alias("__mark")).distinct())
+    return docs.join(small(dropped), (docs[id_col] == F.col("__doc_id")) & (F.xxhash64(docs[text_col]) == F.col("__mark")), "left_anti")
