@@ -3,6 +3,7 @@ import random
 import re
 
 from lectern.llm import exact_dedup, near_dedup
+from lectern.llm.common import slices
 from lectern.llm.graph import connected
 from tests.llm.helpers import EDGES, table
 
@@ -108,6 +109,21 @@ def test_near_dedupe_keeps_one_of_each(spark):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "2", "3", "7", "8", "9", "None"]
 
 
+def test_near_dedupe_tells_texts_of_one_id_apart(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near), (5, near + " end"), (5, "a text of its own that is like no other one here"), (6, "a text of its own that is like no other one here")]
+    out = near_dedup.dedupe(table(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [rows[0], rows[2]]
+
+
+def test_words_are_the_same_by_slices(monkeypatch):
+    text = "  Some words, \t more\nwords " * 50 + "x" * 300 + " end"
+    whole = near_dedup.word_hashes(text).tolist()
+    for most in (1, 5, 64):
+        assert [h for part in slices(text, most) for h in near_dedup.word_hashes(part).tolist()] == whole
+        assert "".join(slices(text, most)) == text
+
+
 def test_estimate_is_corrected_for_chance():
     import numpy as np
 

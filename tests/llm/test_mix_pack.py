@@ -1,9 +1,12 @@
+import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lectern.llm import mixing, packing
+from lectern.llm import langid, mixing, packing
 from lectern.llm.queries import vocabulary
 from tests.llm.helpers import EDGES, table
 
@@ -42,6 +45,41 @@ def test_mix_targets_and_takings(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in out) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_mix_takes_the_keys_up_to_the_budget(spark):
+    """Against a plain loop over each source's sorted keys; one source has most rows, repeated rows are taken alike, and qualities differ by thousands."""
+    r = random.Random(3)
+    rows = [(i, " ".join(["w"] * r.randint(0, 60)), None, "hot" if i % 3 else r.choice("abc")) for i in range(900)]
+    rows += [rows[5]] * 3
+    docs = table(spark, rows)
+    for quality in (None, F.when(F.col("doc_id") % 2 == 0, 0.001).otherwise(5.0)):
+        size, key = mixing._keyed(docs, "text", "doc_id", quality)
+        keys = {(x["doc_id"]): (x["k"], x["s"]) for x in docs.select("doc_id", key.alias("k"), size.alias("s")).collect()}
+        out = mixing.mix(docs, quality=quality).collect()
+        assert len(out) == len(rows)
+        for source in {x["source"] for x in out}:
+            mine = [x for x in out if x["source"] == source]
+            epochs = int(mine[0]["target"] / mine[0]["source_size"])
+            budget, used, over = mine[0]["target"] - epochs * mine[0]["source_size"], 0, False
+            many, inside = Counter(x["doc_id"] for x in mine), set()
+            for doc_id in sorted(many, key=lambda i: keys[i][0]):
+                over = over or used + many[doc_id] * keys[doc_id][1] > budget
+                if not over:
+                    used += many[doc_id] * keys[doc_id][1]
+                    inside.add(doc_id)
+            gap = budget - used
+            fits = sorted((abs(keys[i][1] - gap), keys[i][0], i) for i in many if i not in inside and abs(keys[i][1] - gap) < gap)
+            if fits and abs(many[fits[0][2]] * keys[fits[0][2]][1] - gap) < gap:
+                inside.add(fits[0][2])
+            assert all(x["copies"] == epochs + (epochs < 3 and x["doc_id"] in inside) for x in mine)
+
+
+def test_mix_shuffles_no_row_by_its_source(spark):
+    docs = table(spark, [(i, f"a b {i}", None, "hot" if i % 3 else "b") for i in range(60)])
+    for plan in (mixing.mix(docs), mixing.mixed(docs)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in text and "BroadcastHashJoin" in text
+
+
 def test_mix_edges(spark):
     docs = table(spark, EDGES)
     out = mixing.mix(docs).collect()
@@ -83,6 +121,57 @@ def test_pack_is_an_exact_round_trip(spark):
     assert packing.pack(table(spark, []), VOCABULARY).count() == 0
 
 
+def test_ids_are_those_of_the_plain_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    r, tokenizer = random.Random(1), Tokenizer.from_file(VOCABULARY)
+    signs = [chr(c) for c in [*range(9, 14), *range(28, 128), 0x85, 0xA0, 0xB5, 0xAA, 0xD7, 0xDF, 0xE9, 0xC9, 0xFF, 0x130, 0x131, 0x3A3, 0x3C3, 0x301, 0x2003, 0x2028, 0x3000, 0x4E2D, 0x1F600, 0x200D, 0xFB01, 0x1E9E]] + ["'s", "'LL", "<|endoftext|>", " ", " ", "don't", "Straße"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(4000)]
+    want = [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    encoder = packing.WordIds(VOCABULARY)
+    assert [ids for at in range(0, len(texts), 50) for ids in encoder.encode(texts[at : at + 50])] == want
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 100)
+    monkeypatch.setattr(packing, "STEP_CHARS", 20)
+    assert [ids for at in range(0, 1000, 50) for ids in encoder.encode(texts[at : at + 50])] == want[:1000]
+
+
+def test_groups_hand_their_rest_on(spark, monkeypatch):
+    """Only what a task has left at its end is in sequences of less than CAPACITY."""
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 3 * packing.CAPACITY)
+    r = random.Random(2)
+    rows = [(i, " ".join(["word"] * r.choice((1, 10, 700, 3000, 9000)))) for i in range(60)]
+    out = packing.pack(table(spark, rows).coalesce(1), VOCABULARY).collect()
+    size, parts = {}, {}
+    for p in out:
+        size[p["sequence_id"]] = size.get(p["sequence_id"], 0) + p["length"]
+        parts.setdefault(p["doc_id"], []).append((p["start"], p["length"], p["doc_tokens"]))
+    total = sum(len(t.split()) + 1 for _, t in rows)
+    assert sorted(size.values(), reverse=True) == [4096] * (total // 4096) + packing.powers(total % 4096)
+    for doc_id, text in rows:
+        at = 0
+        for start, length, whole in sorted(parts[doc_id]):
+            assert start == at and whole == len(text.split()) + 1
+            at += length
+        assert at == len(text.split()) + 1
+
+
+def test_a_worker_keeps_no_words_after_a_task(spark):
+    """What packing remembers ends with its task, so that stages after it have the memory."""
+    docs = table(spark, [(i, " ".join(f"w{i}x{k}" for k in range(2000))) for i in range(40)])
+    packing.pack(docs, VOCABULARY).count()
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(isinstance(o, packing.WordIds) for o in gc.get_objects())], pa.int64())})
+
+    assert {r["n"] for r in docs.select("doc_id").mapInArrow(held, "n long").collect()} == {0}
+    assert langid.predict(docs).count() == 40
+
+
 def test_fill_balances_cost():
     rng = np.random.default_rng(1)
     lengths = rng.integers(10, 3000, 400).tolist()

@@ -1,5 +1,10 @@
+import math
 import random
+import re
+import string
+import time
 import zlib
+from collections import Counter
 
 from lectern.llm import langid, pii, secrets, toxicity
 from lectern.llm.queries import vocabulary
@@ -40,8 +45,6 @@ def test_language_id_edges(spark):
 def test_language_scores_match_a_plain_sum(spark):
     rows = [(i, t, lang) for k, lang in enumerate(("en", "de")) for i, t in enumerate(texts_of(lang, 20, k), 100 * k)]
     languages, logs = langid.train(table(spark, rows))
-    import math
-
     for text in ("ein ich", "a", LONG[:500]):
         grams, _ = langid.gram_buckets([text])
         sums = [sum(logs[k][b] for b in grams.ravel()) / math.sqrt(grams.shape[1]) for k in range(len(languages))]
@@ -50,6 +53,20 @@ def test_language_scores_match_a_plain_sum(spark):
         assert abs(score - 1 / sum(math.exp(s - max(sums)) for s in sums)) < 1e-9
 
 
+def test_very_long_texts_are_scored_in_slices(monkeypatch):
+    rows = [(t, lang) for k, lang in enumerate(("en", "de")) for t in texts_of(lang, 20, k)]
+    r = random.Random(2)
+    tables = [[r.random() for _ in range(langid.BUCKETS)] + [0.0] for _ in range(2)]
+    import numpy as np
+
+    texts = [t for t, _ in rows] + ["", "a", LONG[:5000] + "İÉ"]
+    whole = langid.gram_sums(texts, np.array(tables))
+    for step in (1, 7, 64):
+        monkeypatch.setattr(langid, "STEP_CHARS", step)
+        sliced = langid.gram_sums(texts, np.array(tables))
+        assert np.allclose(whole[0], sliced[0]) and whole[1].tolist() == sliced[1].tolist()
+
+
 def toxic_rows():
     r = random.Random(3)
     docs, labels = [], []
@@ -83,28 +100,54 @@ def test_toxicity_edges(spark):
     assert toxicity.predict(table(spark, []), none).count() == 0
 
 
-def test_block_max_search_is_exact():
+def plain_vectors(counts, labels):
+    """Weights of length 1 of each text's terms by the stated formula, from the examples' counts alone."""
+    n, n_toxic = len(counts), sum(labels)
+    df = Counter(t for c in counts for t in c)
+    toxic = Counter(t for c, y in zip(counts, labels, strict=True) if y for t in c)
+    odds = {t: math.log((toxic[t] + 0.5) / (n_toxic + 1) * (n - n_toxic + 1) / (df[t] - toxic[t] + 0.5)) for t in df}
+    weight = {t: (math.log((1 + n) / (1 + df[t])) + 1) * (toxicity.LEAST_TELLING + abs(odds[t])) for t in df}
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / length for t, x in v.items()}
+
+    return vector
+
+
+def test_block_max_search_is_exact_against_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "HEAD", 40)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    docs, labels = toxic_rows()
+    counts = [toxicity.term_counts(t) for _, t in docs]
+    index = toxicity.build([(i, c, labels[i][2]) for (i, _), c in zip(docs, counts, strict=True)], {0: 1.0, 1: 1.0})
+    vector = plain_vectors(counts, [y for *_, y in labels])
+    examples = [vector(c) for c in counts]
+    asked = [*counts[:60], toxicity.term_counts("w1 w2 idiot idiot"), toxicity.term_counts("nothing known")]
+    for c, (rows, cosines) in zip(asked, index.nearest([index.vector(c) for c in asked]), strict=True):
+        v = vector(c)
+        every = sorted((sum(w * e.get(t, 0.0) for t, w in v.items()) for e in examples), reverse=True)[: toxicity.NEIGHBOURS]
+        assert [round(x, 9) for x in cosines] == [round(x, 9) for x in every if x > 0]
+        assert all(round(sum(w * examples[index.ids[r]].get(t, 0.0) for t, w in v.items()), 9) == round(x, 9) for r, x in zip(rows, cosines, strict=True))
+
+
+def test_toxicity_examples_are_exact_in_number_and_defined(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EXAMPLES", 50)
     docs, labels = toxic_rows()
-    index = toxicity.build([(i, t, labels[i][2]) for i, t in docs], {0: 1.0, 1: 1.0})
-    vectors = []
-    for row in range(len(docs)):
-        terms = {}
-        for t in range(len(index.vocabulary)):
-            for k in range(index.ends[t, 0], index.ends[t, -1]):
-                if index.rows[k] == row:
-                    terms[t] = index.weights[k]
-        vectors.append(terms)
-    for i in (0, 5, 10, 25):
-        terms, weights = index.vector(toxicity.term_counts(docs[i][1]))
-        _, cosines = index.nearest(terms, weights)
-        every = sorted((sum(w * v.get(t, 0.0) for t, w in zip(terms.tolist(), weights, strict=True)) for v in vectors), reverse=True)
-        assert [round(c, 9) for c in cosines] == [round(c, 9) for c in every[: len(cosines)]]
+    doubtful = [*labels, *[(i, 1, 1 - y) for i, _, y in labels if i % 10 == 0]]
+    twice = [*docs, *[(i, "a later text") for i, _ in docs if i % 7 == 0]]
+    read = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    one, two = (toxicity.fit(table(spark, twice).repartition(n), read(rows)) for n, rows in ((3, doubtful), (5, doubtful[::-1])))
+    assert len(one.ids) == 100 and one.toxic.sum() == 50
+    assert one.ids.tolist() == two.ids.tolist() and one.vocabulary == two.vocabulary and (one.slope, one.offset) == (two.slope, two.offset)
+    assert all(y for i, y in zip(one.ids, one.toxic, strict=True) if i % 10 == 0)
 
 
 def test_rare_toxic_words_have_neighbours():
     common = " ".join(f"w{i}" for i in range(30))
     docs = [(i, f"{common} slur{i // 2}", 1) for i in range(40)] + [(100 + i, f"{common} plain{i // 2}", 0) for i in range(40)]
-    index = toxicity.build(docs, {0: 1.0, 1: 1.0})
+    index = toxicity.build([(i, toxicity.term_counts(t), y) for i, t, y in docs], {0: 1.0, 1: 1.0})
     assert set(index.vocabulary) == {t for _, text, _ in docs for t in text.split()}
     for k in range(20):
         (score, evidence), (clean, _) = index.scores([toxicity.term_counts(f"{common} {word}{k}") for word in ("slur", "plain")])
@@ -113,7 +156,7 @@ def test_rare_toxic_words_have_neighbours():
 
 def test_one_telling_word_does_not_make_a_text():
     docs, labels = toxic_rows()
-    index = toxicity.build([(i, t, labels[i][2]) for i, t in docs], {0: 1.0, 1: 1.0})
+    index = toxicity.build([(i, toxicity.term_counts(t), labels[i][2]) for i, t in docs], {0: 1.0, 1: 1.0})
     terms, weights = index.vector(toxicity.term_counts(" ".join(f"w{i}" for i in range(200)) + " idiot"))
     assert len(terms) == 201 and weights[list(terms).index(index.vocabulary["idiot"])] < 0.9
 
@@ -126,8 +169,6 @@ def test_pii_base_patterns():
 
 
 def test_pii_base_matches_the_stated_patterns():
-    import re
-
     r = random.Random(1)
     stated = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     for _ in range(3000):
@@ -163,6 +204,74 @@ def test_pii_windows_are_reconciled_to_the_best_set():
     assert pii.reconciled(spans) == [("phone", 0, 4), ("ip", 5, 10)]
 
 
+def test_pii_spans_that_every_window_cuts_are_joined():
+    parts = [("email", 90, 144, False, True, 2.0), ("email", 96, 170, True, False, 3.0), ("card", 10, 48, False, True, 1.0), ("phone", 200, 230, True, False, 1.0)]
+    assert pii.mended(parts) == [(3.0, ("email", 90, 170))]
+
+
+def test_pii_recall_on_planted_forms():
+    """The tagger finds forms that no pattern matches; all of a kind together are found more often than not, and few spans are wrong."""
+    r, p = random.Random(5), pii.trained()
+    texts, spans = zip(*(pii.labelled(r, 300) for _ in range(150)), strict=True)
+    bases = [pii.base_spans(t) for t in texts]
+    more = pii.further_spans(p, list(texts), bases)
+    there, patterns, both, wrong = Counter(), Counter(), Counter(), Counter()
+    for gold, base, tagged in zip(spans, bases, more, strict=True):
+        for span in gold:
+            there[span[0]] += 1
+            patterns[span[0]] += span in base
+            both[span[0]] += span in base or span in tagged
+        wrong.update(s[0] for s in tagged if s not in gold)
+    assert all(both[k] >= 0.85 * there[k] for k in pii.KINDS), (there, patterns, both)
+    assert all(wrong[k] <= 0.15 * there[k] for k in pii.KINDS), wrong
+    assert both["phone"] > 2 * patterns["phone"] and both["email"] > 1.4 * patterns["email"]
+
+
+def test_long_texts_with_very_many_spans():
+    """A megabyte with some ten thousand spans takes seconds, not minutes."""
+    r, start = random.Random(6), time.time()
+    strings = ["".join(r.choices(string.ascii_letters + string.digits, k=24)) for _ in range(10_000)]
+    text = " ".join(f"token={i:012d} {s}, a{i}@b.example.com 10.0.{i % 256}.{i % 199}" for i, s in enumerate(strings))
+    base = secrets.base_spans(text)
+    found = secrets.random_strings(text, RANKS, base)
+    assert len(text) > 700_000 and len(base) == 10_000 and len(found) > 9_000
+    personal = pii.base_spans(text)
+    assert len(personal) >= 20_000 and pii.Taken(personal).overlaps(*personal[5][1:])
+    assert time.time() - start < 60
+
+
+def test_taken_against_brute_force():
+    r = random.Random(9)
+    for _ in range(300):
+        spans = [("x", s, s + r.randint(1, 9)) for s in (r.randint(0, 60) for _ in range(r.randint(0, 8)))]
+        taken = pii.Taken(spans)
+        for start in range(0, 70, 3):
+            for end in (start + 1, start + 5):
+                assert taken.overlaps(start, end) == any(s < end and start < e for _, s, e in spans)
+
+
+def test_secrets_base_matches_the_stated_patterns():
+    r = random.Random(4)
+    words = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "AKIA", "=", ":", '"', "'", " ", "  ", "abcdef", "0123456789abcdef", "A1B2C3D4E5F6G7H8", "x", ".", "/", "ff00", "Z", "\n", "é"]
+    for _ in range(4000):
+        text = "".join(r.choice(words) for _ in range(r.randint(1, 14)))
+        want = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 6]
+        want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        assert sorted(secrets.base_spans(text)) == sorted(want), text
+
+
+def test_random_strings_are_told_from_words():
+    r = random.Random(8)
+    least = {string.ascii_letters + string.digits: (0.97, 0.99), string.ascii_lowercase + string.digits: (0.9, 0.97), string.ascii_letters: (0.9, 0.97), string.ascii_lowercase: (0.6, 0.7)}
+    for alphabet, shares in least.items():
+        for length, share in zip((16, 32), shares, strict=True):
+            made = ["".join(r.choices(alphabet, k=length)) for _ in range(500)]
+            assert sum(len(secrets.random_strings(f"a {s} b", RANKS, [])) for s in made) >= share * len(made), (alphabet, length)
+    for word in ("getUserAccountInformation", "MAX_CONNECTION_TIMEOUT", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "user_profile_image_url_2024", "=" * 30, "-" * 20, "2024-01-01T00-00-00", "0" * 20):
+        assert secrets.random_strings(word, RANKS, []) == [], word
+
+
 def test_secrets(spark):
     key = "Zx9fQ2mL7vTr4KpW8sYd"
     digest = "d41d8cd98f00b204e9800998ecf8427e"

@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import io
+import math
+import random
 
 import pytest
 
@@ -34,6 +36,25 @@ def test_fingerprints_against_brute_force(spark):
     assert sum(r["near_edited"] > r["near_next"] for r in long) >= 0.98 * len(long)
 
 
+def cosine(a, b):
+    size = math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+    return sum(n * b[k] for k, n in a.items()) / size if size else float(a == b)
+
+
+def test_likeness_against_true_cosines(spark):
+    """Within four standard errors of an inner product of LOOSE signs."""
+    r = random.Random(4)
+    rows = [(i, "\n".join(r.choice(("a common line of words", "another line", f"line {r.randrange(9)}", f"own {i} {k}")) for k in range(r.randrange(1, 60)))) for i in range(200)]
+    rows += [(1000, "one and the same line\n" * 100_000), (1001, "one and the same line\n" * 70_000), (1002, "one and the same line\n" * 40_000 + "other\n" * 30_000)]
+    out = {r["doc_id"]: r for r in fingerprint.fingerprints(table(spark, rows)).collect()}
+    for n, (i, text) in enumerate(rows):
+        following = rows[(n + 1) % len(rows)][1]
+        parts = fingerprint.paragraphs(text)
+        assert abs(out[i]["near_next"] - cosine(parts, fingerprint.paragraphs(following))) < 4 / math.sqrt(fingerprint.LOOSE)
+        assert abs(out[i]["near_edited"] - cosine(parts, fingerprint.paragraphs(fingerprint.edited(text, following)))) < 4 / math.sqrt(fingerprint.LOOSE)
+    assert out[1000]["near_next"] > 0.999
+
+
 def test_fingerprint_edges(spark):
     assert fingerprint.fingerprints(table(spark, [])).count() == 0
     one = fingerprint.fingerprints(table(spark, [(5, "abcd")])).first()
@@ -74,3 +95,5 @@ def test_reader_verifies_and_frames():
             list(warc.read_records(io.BytesIO(gzip.compress(bad))))
     with pytest.raises(warc.WarcError):
         list(warc.read_records(io.BytesIO(stream[:-20])))
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(gzip.compress(b"WARC/1.1\r\nno end " * 10**6))))
