@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lectern import constants as K
 from lectern.functions import text as X
-from lectern.operators.joins import first_rows
+from lectern.operators.joins import cut, first_rows
 
 
 # ---- extraction ----
@@ -341,3 +341,10 @@ def with_model(rows: DataFrame, prompt: str, make_client, reply: str = "reply",
             yield frame.assign(**{reply: out})
 
     return rows.mapInPandas(run, schema)
+
+
+def with_retry(rows: DataFrame, prompt: str, shorter: str, make_client, reply: str = "reply", usable=lambda r: ~X.blank(r)) -> DataFrame:  # noqa: ANN001
+    """rows with a model's reply to each prompt; those without a usable one are asked once more, with the shorter prompt (of half the material, say). First replies are kept in the shared folder, so none is asked for twice."""
+    first = cut(with_model(rows, prompt, make_client, reply))
+    good = F.coalesce(usable(F.col(reply)), F.lit(False))
+    return first.where(good).unionByName(with_model(first.where(~good).drop(reply), shorter, make_client, reply))

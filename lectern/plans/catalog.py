@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import knowledge, learning, lifecycle, reading, retrieval, streams, structure
+from lectern.plans import forms, knowledge, learning, lifecycle, reading, retrieval, streams, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (retrieval, structure, learning, knowledge, lifecycle, reading, streams)
+_MODULES = (retrieval, forms, structure, learning, knowledge, lifecycle, reading, streams)
 
 
 def queries() -> dict[str, Query]:

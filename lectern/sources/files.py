@@ -209,6 +209,14 @@ def table_content(cells: Column) -> Column:
     return F.struct(F.transform(cells, lambda row: F.transform(row, lambda c: F.struct(c.alias("text")))).alias("rows"), (F.size(cells) > 1).alias("header"))
 
 
+def books(found: DataFrame, dialect: str = "a") -> tuple[DataFrame, DataFrame]:
+    """(book, title; book, pos, text, level) of the text and docx files among files, whatever their format; a title is that of a title style, or the lone heading above the chapters."""
+    titles, rows = docx_titles(docx_rows(found, tables=False))
+    texts = text_books(found, dialect)
+    every = texts.unionByName(rows.where(F.col("kind") == "p").select("book", "pos", "text", "level"))
+    return titles.unionByName(structure.titled(texts)), every
+
+
 # ---- line and run tables of page formats ----
 
 
