@@ -1,3 +1,5 @@
+import zipfile
+
 from pyspark.sql import functions as F
 
 from lectern.operators import index, requests, tools
@@ -14,6 +16,58 @@ def test_build_and_ask(spark, tmp_path):
     assert got["found"] and got["anchors"][0].endswith("ch2-p001")
 
 
+def test_all_formats_are_books(spark, tmp_path):
+    from lectern.sources import files
+
+    (tmp_path / "book.md").write_text("# Whole\n## Chapter 1\none\n## Chapter 2\ntwo\n", encoding="utf-8")
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="Title"/></w:pPr><w:r><w:t>Deep</w:t></w:r></w:p><w:p><w:r><w:t>body</w:t></w:r></w:p></w:body></w:document>')
+    titles, rows = files.books(files.files(spark, str(tmp_path)))
+    assert sorted(r["title"] for r in titles.collect()) == ["Deep", "Whole"]
+    assert {"body", "one", "two"} <= {r["text"] for r in rows.collect()}
+
+
+def test_model_is_asked_once_more_with_less(spark):
+    from lectern.operators import concepts
+
+    def make():  # noqa: ANN202
+        return lambda prompts: [None if len(p) > 5 else p.upper() for p in prompts]
+
+    rows = spark.createDataFrame([(1, "short", "s"), (2, "too long", "half")], "id int, prompt string, less string")
+    assert {r["id"]: r["reply"] for r in concepts.with_retry(rows, "prompt", "less", make).collect()} == {1: "SHORT", 2: "HALF"}
+
+
+def test_scores_read_the_corpus_once(spark, tmp_path):
+    spark.createDataFrame([(i, f"red fish {i} blue " * (1 + i % 3)) for i in range(50)], "doc_id int, text string").write.parquet(f"{tmp_path}/docs")
+    reads = []
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    asked = spark.createDataFrame([(1, "red 7"), (2, "blue")], "query_id int, query string")
+    plan = index.scores(docs, asked, "doc_id")
+    reads.append(plan._jdf.queryExecution().executedPlan().toString().count("FileScan parquet"))
+    assert reads == [0] and plan.count() == 100  # all that is left to read is in the shared folder
+
+
+def test_nearest_vectors_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from lectern.operators import search
+
+    monkeypatch.setattr(search, "VECTORS", 7)
+    monkeypatch.setattr(search, "ASKED", 3)
+    rng = np.random.default_rng(1)
+    held, posed = rng.normal(size=(40, 5)), rng.normal(size=(11, 5))
+    held[3] = 0
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)], "id int, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(posed)], "query_id int, vector array<double>")
+    got = {}
+    for r in search.vector_hits(vectors, queries, 4, "id").orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    norms = np.linalg.norm(held, axis=1)
+    cosines = np.where(norms > 0, (posed @ held.T) / np.where(norms > 0, norms, 1) / np.linalg.norm(posed, axis=1)[:, None], 0)
+    assert got == {q: np.lexsort((np.arange(40), -cosines[q]))[:4].tolist() for q in range(11)}
+
+
 def test_persisted_index_gives_the_same_scores(spark, tmp_path):
     docs = spark.createDataFrame([("a", 1, "red fish blue"), ("a", 2, "red red"), ("b", 3, "blue sky")], "book string, doc_id int, text string")
     asked = spark.createDataFrame([(1, "a", "red blue"), (2, "b", "blue")], "query_id int, book string, query string")
