@@ -33,6 +33,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 says that SQL can say too."""
+    return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_warc_round_trip, op2_fingerprints, op3_personal_data, op4_mix_sources, op5_toxicity, op6_pack_sequences, op7_secrets, op8_language_id, op9_exact_dedup, op10_near_dedup)
+    every = (op1_warc_round_trip, op2_fingerprints, op3_personal_data, op4_mix_sources, op5_toxicity, op6_pack_sequences, op7_secrets, op8_language_id, op9_exact_dedup, op10_near_dedup, edited_texts)
     return {f.__name__: f for f in every}
 
 
@@ -122,5 +127,11 @@ FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.do
 """
 
 
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS following FROM documents)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(following, 1, length(t) // 2)) AS edited_sha256 FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_round_trip": OP1_SQL, "op4_mix_sources": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}
+    return {"edited_texts": EDITED_SQL, "op1_warc_round_trip": OP1_SQL, "op4_mix_sources": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}
