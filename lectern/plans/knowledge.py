@@ -205,6 +205,12 @@ SELECT s_nationkey AS chapter_id, CAST(nth AS INT) AS nth, 'kp' || nth AS id, su
     "graph_stats": f"WITH {_CONCEPTS} SELECT (SELECT count(*) FROM n) AS concepts, (SELECT count(*) FROM n WHERE rank > 1) AS learned, (SELECT count(*) FROM p) AS prerequisites, (SELECT count(*) FROM q) AS sequences, (SELECT count(*) FROM u) AS unresolved",
     "graph_b_nodes": f"WITH {_CONCEPTS} SELECT key, concept, chapters, anchor_count FROM n",
     "graph_b_edges": f"WITH {_CONCEPTS} SELECT DISTINCT source, lower(name) AS target FROM r WHERE lower(name) IN (SELECT key FROM n)",
+    "topo_order": f"""WITH RECURSIVE {_CONCEPTS},
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id, concept ORDER BY ord) AS nth FROM c) WHERE nth = 1),
+e AS (SELECT f.chapter_id, f.concept AS taker, m.concept AS need, CAST(m.ord > f.ord AS INT) AS later FROM f JOIN f m ON m.chapter_id = f.chapter_id AND list_contains(f.prerequisites, m.concept) AND m.concept <> f.concept),
+w(chapter_id, concept, late, steps) AS (SELECT chapter_id, concept, 0, 0 FROM f UNION SELECT w.chapter_id, e.taker, w.late + e.later, w.steps + 1 FROM w JOIN e ON e.chapter_id = w.chapter_id AND e.need = w.concept WHERE w.steps < 60),
+x AS (SELECT chapter_id, concept, CASE WHEN max(steps) < 60 THEN max(late) END AS pass FROM w GROUP BY ALL)
+SELECT chapter_id, concept, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY pass NULLS LAST, ord) AS INT) AS position FROM x JOIN f USING (chapter_id, concept)""",
     "lesson_outline": """WITH s AS (SELECT source AS chapter_id, doc_id AS seq, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id AS VARCHAR) END AS anchor, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE doc_id % 4 <> 0)
 SELECT chapter_id, seq, anchor FROM s WHERE nth <= 3 AND anchor IS NOT NULL""",
     "lesson_contract_errors": """WITH e AS (SELECT s_nationkey AS chapter_id, unnest([CASE WHEN s_suppkey % 11 = 0 THEN 'no title' END, CASE WHEN s_suppkey % 5 = 0 THEN 'a step without source' END,

@@ -97,15 +97,19 @@ def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunks(_paragraphs(spark, sf_dir), ["book"])
+    return _joined(chunking.chunks(_paragraphs(spark, sf_dir), ["book"]))
+
+
+def _joined(packs: DataFrame) -> DataFrame:
+    return packs.withColumn("anchors", F.array_join("anchors", " "))
 
 
 def part_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.parts(_paragraphs(spark, sf_dir), ["book"], limit=2000)
+    return _joined(chunking.parts(_paragraphs(spark, sf_dir), ["book"], limit=2000))
 
 
 def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.summary_chunks(_paragraphs(spark, sf_dir), ["book"])
+    return _joined(chunking.summary_chunks(_paragraphs(spark, sf_dir), ["book"]))
 
 
 def page_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +154,39 @@ QUERIES = {
     )
 }
 
+
+
+def _packed(segments: str, start: str, step: str, state: str, number: str, glue: str) -> str:
+    """SQL of a greedy packing: segments (book, pos, k, t) in order, the state of the first one, what each next one makes of it, and the pack's column."""
+    return f"""WITH RECURSIVE {_LINES}, g AS ({segments}),
+s AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pos, k) AS i FROM g),
+p AS (SELECT book, i, {start} FROM s WHERE i = 1 UNION ALL SELECT s.book, s.i, {step} FROM p JOIN s ON s.book = p.book AND s.i = p.i + 1),
+a AS (SELECT book, {state}, pos, min(i) AS i FROM p JOIN s USING (book, i) GROUP BY ALL)
+SELECT book, CAST({state} AS INT) AS {number}, string_agg(t, {glue} ORDER BY i) AS text, (SELECT string_agg('p' || a.pos, ' ' ORDER BY a.i) FROM a WHERE a.book = q.book AND a.{state} = q.{state}) AS anchors
+FROM (SELECT * FROM p JOIN s USING (book, i)) q GROUP BY book, {state}"""
+
+
+_SLICED = "SELECT book, pos, raw, unnest(range(0, CAST(ceil(greatest(length(raw), 1) / {size}) AS INT))) AS k FROM l"
+
 ORACLE = {
+    "chunk_packing": _packed(
+        r"SELECT book, pos, k, regexp_replace(substr(raw, k * size + 1, size), '^\s+|\s+$', '', 'g') AS t FROM (SELECT *, unnest(range(0, CAST(ceil(length(raw) / CAST(size AS DOUBLE)) AS INT))) AS k FROM (SELECT *, CASE WHEN length(raw) > 1000 THEN 500 ELSE greatest(length(raw), 1) END AS size FROM l)) WHERE regexp_replace(substr(raw, k * size + 1, size), '^\s+|\s+$', '', 'g') <> ''",
+        "1 AS c, length(t) AS held",
+        "CASE WHEN p.held + length(s.t) > 500 THEN p.c + 1 ELSE p.c END, CASE WHEN p.held + length(s.t) > 500 THEN length(s.t) ELSE p.held + length(s.t) END",
+        "c", "chunk", "''",
+    ),
+    "part_packing": _packed(
+        "SELECT book, pos, k, substr(raw, k * 2000 + 1, 2000) AS t, k = 0 AND length(raw) > 2000 AS opens FROM (" + _SLICED.format(size="2000.0") + ")",
+        "1 AS c, length(t) AS held",
+        "CASE WHEN s.opens OR p.held + length(s.t) > 2000 THEN p.c + 1 ELSE p.c END, CASE WHEN NOT s.opens AND p.held + length(s.t) > 2000 THEN length(s.t) ELSE p.held + length(s.t) END",
+        "c", "part", "chr(10)",
+    ),
+    "summary_chunks": _packed(
+        "SELECT book, pos, 0 AS k, raw AS t FROM l WHERE raw <> ''",
+        "1 AS c, length(t) AS held, 1 AS n",
+        "CASE WHEN p.n >= 8 OR p.held + length(s.t) > 4000 THEN p.c + 1 ELSE p.c END, CASE WHEN p.n >= 8 OR p.held + length(s.t) > 4000 THEN length(s.t) ELSE p.held + length(s.t) END, CASE WHEN p.n >= 8 OR p.held + length(s.t) > 4000 THEN 1 ELSE p.n + 1 END",
+        "c", "chunk", "''",
+    ),
     "book_titles": f"""WITH {_LINES}, t AS (SELECT book, pos, {_TRIM} AS t FROM l)
 SELECT book, CASE WHEN max(pos) >= 3 THEN max(t) FILTER (WHERE pos = 0) ELSE '' END AS title FROM t GROUP BY book""",
     "page_sets": "SELECT source, array_to_string(list_sort(list(DISTINCT doc_id % 7) FILTER (WHERE doc_id % 7 <> 0)), ' ') AS pages FROM documents GROUP BY source",
