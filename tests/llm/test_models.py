@@ -263,7 +263,7 @@ def test_secrets_base_matches_the_stated_patterns():
 
 def test_random_strings_are_told_from_words():
     r = random.Random(8)
-    least = {string.ascii_letters + string.digits: (0.97, 0.99), string.ascii_lowercase + string.digits: (0.9, 0.97), string.ascii_letters: (0.9, 0.97), string.ascii_lowercase: (0.6, 0.7)}
+    least = {string.ascii_letters + string.digits: (0.97, 0.99), string.ascii_lowercase + string.digits: (0.9, 0.97), string.ascii_letters: (0.9, 0.97), string.ascii_lowercase: (0.5, 0.6)}
     for alphabet, shares in least.items():
         for length, share in zip((16, 32), shares, strict=True):
             made = ["".join(r.choices(alphabet, k=length)) for _ in range(500)]
