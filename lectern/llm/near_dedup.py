@@ -44,8 +44,8 @@ FINE_HASHES, LEAST_FINE = 1024, 0.69
 BEST = 8
 #: Nodes of a bucket that one block of the exhaustive comparison holds.
 BLOCK = 256
-#: Shingle sets (about 10 MB), and signatures, in one file of the shared folder.
-SETS, SIGNATURES = 2_000, 20_000
+#: Shingle sets (about 50 MB), signatures, and links in one file of the shared folder.
+SETS, SIGNATURES, LINKS = 10_000, 20_000, 50_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -171,35 +171,44 @@ def agreement(a: Column, b: Column) -> Column:
     return (F.lit(1.0) - unequal / F.lit(float(_HASHES)) - F.lit(chance)) / F.lit(1.0 - chance)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, most_rows: int | None = None, make=lambda s: s.view(np.int64)) -> DataFrame:  # noqa: ANN001
-    """node, and what make has of its set as shingles, for each of nodes (node, doc_id), from the texts of the documents that stand for them."""
-    chosen = docs.join(small(cut(nodes, most_rows)), "doc_id").select("node", "text")
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles (its set) for each of nodes (node, doc_id), from the texts of the documents that stand for them."""
+    chosen = docs.join(small(nodes), "doc_id").select("node", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch):
                 sets = [shingle_set(t) for t in texts]
                 right = [xxhash.xxh3_128_digest(s.tobytes()) == node for s, node in zip(sets, part.column(0).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([make(s) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
 
     return chosen.mapInArrow(read, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n_nodes: int, most_pairs: int | None = None) -> tuple[DataFrame, int]:
-    """The pairs (a, b) that are links by their full sets, and how many there are at most. nodes: node, doc_id, packed, n_shingles."""
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, n_nodes: int, most_pairs: int | None = None) -> tuple[DataFrame, int]:
+    """The pairs (a, b) that are links by their full sets, and how many there are at most. nodes: node, packed, n_shingles; sets: node, shingles."""
     near = pairs.join(nodes.select(F.col("node").alias("a"), F.col("packed").alias("pa"), F.col("n_shingles").alias("na")), "a").join(nodes.select(F.col("node").alias("b"), F.col("packed").alias("pb"), F.col("n_shingles").alias("nb")), "b")
     near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (agreement(F.col("pa"), F.col("pb")) >= LEAST_ESTIMATE))
     near = cut(near.select("a", "b", "na", "nb"), most_pairs and most_pairs + n_nodes)
     n = near.count()
-    asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_sets(docs, nodes.join(asked, "node", "left_semi").select("node", "doc_id"), n_nodes + 2 * n), 2 * n, SETS)
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    asked = cut(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(), n_nodes + 2 * n)
+    mine = sets.join(small(asked), "node", "left_semi")
+    both = near.join(mine.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(mine.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * PERCENT).select("a", "b"), n
 
 
-def _fine(shingles: np.ndarray) -> np.ndarray:
-    return low_bits(minima(shingles, FINE_HASHES)) if len(shingles) else np.zeros(FINE_HASHES // _PER_LONG, dtype=np.int64)
+def _fine(sets: DataFrame) -> DataFrame:
+    """node, packed: finer signatures of sets (node, shingles)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                packed = [low_bits(minima(part.column(1)[at].values.to_numpy().view(np.uint64), FINE_HASHES)) for at in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.list_(pa.int64()))], ["node", "packed"])
+
+    return sets.select("node", "shingles").mapInArrow(sign, "node binary, packed array<long>")
 
 
 def _mixed_buckets(members: DataFrame) -> DataFrame:
@@ -275,8 +284,11 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1).select("key", "leader"), BANDS * n_nodes)
     members = cut(rows.join(shared, "key"), BANDS * n_nodes)
     n_members = members.count()
+    # The texts are read a second and last time for the sets of all nodes that share a bucket with another.
+    shared = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
+    sets = cut(_sets(docs, cut(shared, n_nodes)), n_nodes, SETS)
     stars = members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    component = connected(*confirmed(stars, nodes, docs, n_nodes, n_members), SETS)
+    component = connected(*confirmed(stars, nodes, sets, n_nodes, n_members), LINKS)
     placed = members.select("key", "node")
 
     def labelled(component: DataFrame) -> DataFrame:
@@ -287,11 +299,11 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # First each component's likeliest pairs with others, which join nearly all that belong together; then all that is left.
     likeliest = _across(labelled(component).join(nodes.select("node", "packed"), "node"), n_members, BEST)
-    component = joined(component, *confirmed(likeliest, nodes, docs, n_nodes, BEST * n_nodes))
+    component = joined(component, *confirmed(likeliest, nodes, sets, n_nodes, BEST * n_nodes))
     rest = cut(labelled(component), n_members)
     rest = cut(rest.join(_mixed_buckets(rest), "key", "left_semi"), n_members)
-    fine = cut(_sets(docs, nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), n_members, _fine).withColumnRenamed("shingles", "packed"), n_nodes, SIGNATURES)
-    more = confirmed(_across(rest.join(fine.join(full.select("node", "bands"), "node"), "node"), rest.count(), 0, FINE_HASHES, LEAST_FINE), nodes, docs, n_nodes)
+    fine = cut(_fine(sets.join(rest.select("node").distinct(), "node", "left_semi")), n_nodes, SIGNATURES)
+    more = confirmed(_across(rest.join(fine.join(full.select("node", "bands"), "node"), "node"), rest.count(), 0, FINE_HASHES, LEAST_FINE), nodes, sets, n_nodes)
     return nodes, joined(component, *more)
 
 
