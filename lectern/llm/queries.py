@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, fingerprint, langid, mixing, near_dedup, packing, pii, secrets, toxicity, warc
+from lectern.llm import clusters, exact_dedup, fingerprint, langid, merkle, mixing, near_dedup, packing, pii, secrets, token_counts, toxicity, warc
 
 #: Folder of the public tokenizers' files, if they are not those of the installed package public_tokenizers.
 TOKENIZERS = os.environ.get("LECTERN_TOKENIZERS")
@@ -70,8 +70,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_warc_round_trip, op2_fingerprints, op3_personal_data, op4_mix_sources, op5_toxicity, op6_pack_sequences, op7_secrets, op8_language_id, op9_exact_dedup, op10_near_dedup, edited_texts)
+    every = (
+        op1_warc_round_trip, op2_fingerprints, op3_personal_data, op4_mix_sources, op5_toxicity, op6_pack_sequences, op7_secrets, op8_language_id, op9_exact_dedup, op10_near_dedup,
+        op11_centroid_clusters, op12_merkle_manifest, op13_token_counts, edited_texts,
+    )
     return {f.__name__: f for f in every}
 
 
@@ -133,5 +148,70 @@ SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(
 """
 
 
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Assignments and centroids of all rounds, one after the other."""
+    parts = [
+        "k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))",
+        "v AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, CAST(floor(64 * CAST(unnest(e) AS DOUBLE)) AS HUGEINT) AS x FROM k)",
+        f"s AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS c FROM k QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, i, x FROM s JOIN v USING (r))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} AS (SELECT r, c, CAST(sum((v.x - q.x) * (v.x - q.x)) AS BIGINT) AS d FROM v JOIN c{n} q USING (i) GROUP BY r, c)")
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, c, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if n < rounds:
+            parts.append(f"m{n} AS (SELECT c, i, CAST(sum(x) AS HUGEINT) AS t, CAST(count(*) AS HUGEINT) AS n FROM a{n} JOIN v USING (r) GROUP BY c, i)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (t - ((t % n) + n) % n) // n END AS x FROM c{n} LEFT JOIN m{n} USING (c, i))")
+    return (
+        f"WITH {', '.join(parts)}, h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) "
+        "SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 "
+        f"FROM a{rounds} JOIN k USING (r) JOIN h USING (c)"
+    )
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return " || ".join(map(_field_sql, ("doc_id", "source", "lang", n_chars, "text")))
+
+
+#: crc32 of the decimal id, byte by byte and bit by bit.
+_CRC_SQL = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda ch: CAST(ord(ch) AS BIGINT))), "
+    "lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, sha256({_leaf_sql("n_chars")}) AS leaf,
+         sha256(CASE WHEN {_CRC_SQL} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END) AS claimed
+  FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+t(g, lvl, pos, n, digest) AS (
+  SELECT g, 0, pos, n, leaf FROM p
+  UNION ALL SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY g, lvl, n, pos // 2),
+b AS MATERIALIZED (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, pos, n, digest) AS (
+  SELECT 0, pos, n, subroot FROM b
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, n, pos // 2),
+high AS (SELECT g, subroot, b.pos, b.n, coalesce(string_agg(digest, '' ORDER BY lvl), '') AS proof FROM b LEFT JOIN u ON u.n > 1 AND u.pos = xor(b.pos >> lvl, 1) GROUP BY ALL),
+low AS (SELECT r, coalesce(string_agg(digest, '' ORDER BY lvl), '') AS proof FROM p LEFT JOIN t ON t.g = p.g AND t.n > 1 AND t.pos = xor(p.pos >> lvl, 1) GROUP BY r),
+f(r, g, lvl, pos, n, node) AS (
+  SELECT r, g, 0, pos, n, claimed FROM p
+  UNION ALL SELECT f.r, f.g, f.lvl + 1, f.pos // 2, (f.n + 1) // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN t.digest || node ELSE node || coalesce(t.digest, '') END)
+  FROM f LEFT JOIN t ON t.g = f.g AND t.lvl = f.lvl AND t.pos = xor(f.pos, 1) WHERE f.n > 1),
+e(r, lvl, pos, n, node) AS (
+  SELECT r, 0, b.pos, b.n, node FROM f JOIN b USING (g) WHERE f.n = 1
+  UNION ALL SELECT e.r, e.lvl + 1, e.pos // 2, (e.n + 1) // 2, sha256(CASE WHEN e.pos % 2 = 1 THEN u.digest || node ELSE node || coalesce(u.digest, '') END)
+  FROM e LEFT JOIN u ON u.lvl = e.lvl AND u.pos = xor(e.pos, 1) WHERE e.n > 1)
+SELECT doc_id, leaf, subroot, u.digest AS root, sha256(low.proof || high.proof) AS proof_sha256, e.node AS folded_root, e.node = u.digest AS verified
+FROM p JOIN low USING (r) JOIN high USING (g) JOIN e ON e.r = p.r AND e.n = 1 JOIN u ON u.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"edited_texts": EDITED_SQL, "op1_warc_round_trip": OP1_SQL, "op4_mix_sources": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}
+    return {"edited_texts": EDITED_SQL, "op1_warc_round_trip": OP1_SQL, "op4_mix_sources": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL, "op11_centroid_clusters": _clusters_sql(), "op12_merkle_manifest": OP12_SQL}
