@@ -73,20 +73,3 @@ def scores(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str
         F.array_sort(F.collect_list(F.when(F.col("df") >= K.RECURRING_DF, F.col("term")))).alias("recurring"),
         (F.count(F.lit(1)) / F.first("asked")).alias("coverage"),
     )
-
-
-def persist(docs: DataFrame, folder: str, book: str, doc_id: str, tokenize=X.tokens) -> None:
-    """Postings and document lengths below a folder, one partition of files a book; a book that is written again replaces its own partition only."""
-    tables = {"postings": postings(docs, [book, doc_id], tokenize=tokenize), "docs": doc_stats(docs, [book, doc_id], tokenize=tokenize)}
-    for name, rows in tables.items():
-        rows.repartition(book).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(book).parquet(f"{folder}/{name}")
-
-
-def persisted_scores(held: DataFrame, lengths: DataFrame, queries: DataFrame, book: str, doc_id: str, tokenize=X.tokens) -> DataFrame:
-    """query_id, book, doc_id, score from persisted tables. Only postings of asked terms in asked books are read. queries: query_id, book, query."""
-    asked = queries.select("query_id", book, F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
-    near = held.join(small(asked.select(book, "term").distinct()), [book, "term"], "left_semi")
-    sized = lengths.join(small(queries.select(book).distinct()), book, "left_semi")  # prunes the books' partitions as it runs
-    weighed = term_stats(near, [book]).join(corpus_stats(sized, [book]), book).select(book, "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    matched = near.join(weighed, [book, "term"]).join(sized, [book, doc_id]).join(small(asked), [book, "term"])
-    return matched.groupBy("query_id", book, doc_id).agg(F.sum(term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))

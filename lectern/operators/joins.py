@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -20,15 +21,27 @@ def small(side: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder that driver and executors share (spark.checkpoint.dir), so that several uses read it once
-    and no lost executor takes it away."""
-    context = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset and all runs in one process, as in tests) one of our own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a fresh folder below the shared one."""
+    return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder, so that several uses read it once and no lost executor takes it away."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

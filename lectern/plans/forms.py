@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import concepts, evidence, index, lifecycle, pages, search, structure, tools
+from lectern.operators import concepts, evidence, joins, lifecycle, pages, search, segments, structure, tools
 from lectern.plans.retrieval import questions, table
 from lectern.sinks import markdown
 from lectern.sources import files
@@ -197,23 +197,55 @@ def quiz_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chapter_id", "id", "prompt", "concept", "anchor", F.array_join(F.array_sort("options"), "|").alias("options"), F.try_element_at("options", F.col("answer_index") + 1).alias("answer"))
 
 
+def _index(spark: SparkSession) -> segments.SegmentedIndex:
+    return segments.SegmentedIndex(spark, joins.shared_folder(spark, "index"))
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("book"), "text")
+
+
 def persisted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of two books against postings that are written by book and read again."""
-    from lectern.streaming.events import shared_folder
+    """Every question, asked of every book of an index that was written and is read again."""
+    held = _index(spark)
+    held.change(_books(spark, sf_dir))
+    hits = segments.SegmentedIndex(spark, held.folder).scores(questions(spark, sf_dir))
+    return search.top(hits, 10, F.round("score", 9), ["doc_id"], group=["query_id", "book"]).select("query_id", "book", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> segments.SegmentedIndex:
+    """An index that gets its documents in parts, some in an older form first, and loses some; small segments are merged on the way."""
+    docs, held = _books(spark, sf_dir), _index(spark)
+    held.change(docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("an older form of this "), "text")).otherwise(F.col("text"))))
+    held.change(docs.where("doc_id % 3 = 0 OR doc_id % 5 = 1"), docs.where("doc_id % 14 = 3"))
+    held.merge()
+    held.change(deleted=docs.where("doc_id % 7 = 3"))
+    return held
+
+
+def grown_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question, asked of every book of the index after its changes."""
+    hits = _grown(spark, sf_dir).scores(questions(spark, sf_dir))
+    best = search.top(hits, 10, F.round("score", 9), ["doc_id"], group=["query_id", "book"])
+    return best.select("query_id", "book", "rank", "doc_id", F.round("score", 6).alias("score"), "matched", F.array_join("recurring", " ").alias("recurring"), F.round("coverage", 9).alias("coverage"))
 
-    folder = shared_folder(spark, "postings")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("book"), "text")
-    index.persist(docs, folder, "book", "doc_id")
-    asked = questions(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 2 == 0, "en").otherwise("fr").alias("book"), "query")
-    hits = index.persisted_scores(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/docs"), asked, "book", "doc_id")
-    return search.top(hits, 10, F.round("score", 9), ["doc_id"]).select("query_id", "book", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+def stale_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books whose documents differ from the index after its changes: before and after it is brought up to date with documents of which one book's have changed."""
+    held = _grown(spark, sf_dir)
+    now = _books(spark, sf_dir).where("doc_id % 7 <> 3").withColumn("text", F.when((F.col("book") == "de") & (F.col("doc_id") % 2 == 0), F.concat(F.lit("changed "), "text")).otherwise(F.col("text"))).where("book <> 'fr' OR doc_id % 4 <> 0")
+    before = joins.cut(held.stale(now))
+    held.refresh(now)
+    held.merge()
+    left = held.stale(now).agg(F.count(F.lit(1)).alias("left"))
+    return held.books().select("book", "n", "tokens").join(before.select("book", F.col("held").alias("stale_n")), "book", "left").crossJoin(left)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         concept_paragraphs, body_paragraphs, formula_lines, clean_names, outline_a, reading_order, tidy_forms, sentences, clause_names, seeds, small_numbers, short_forms, numbered_blocks, outline_levels, bookmark_rows,
-        notes_owned, model_concepts, book_cards, shown_segments, dispositions, cross_chapter, task_states, content_kinds, page_entries, styled_runs, translations, quiz_prompts, persisted_search,
+        notes_owned, model_concepts, book_cards, shown_segments, dispositions, cross_chapter, task_states, content_kinds, page_entries, styled_runs, translations, quiz_prompts, persisted_search, grown_index_search, stale_books,
     )
 }
 
@@ -229,6 +261,20 @@ _NAME = r"""CASE WHEN length({0}) BETWEEN 2 AND 16 AND length({0}) >= 3 THEN {0}
 _ODD = "'<b>*[a & ''b''](c)*</b> `x` ' || substr(text, 1, 40)"
 _CLAUSE = _trim("regexp_extract(text, '^([^，。、；：,;:!?]*)', 1)")
 
+
+def _bm25_of(where: str) -> str:
+    """SQL of BM25 from scratch, of one corpus a book, over the documents that satisfy where."""
+    return f"""WITH d AS (SELECT doc_id, lang AS book, regexp_extract_all(lower(text), '[a-z0-9_]+') AS toks FROM documents WHERE {where}),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS term FROM benchmark),
+qn AS (SELECT query_id, count(*) AS asked FROM q GROUP BY query_id),
+n AS (SELECT book, count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM d GROUP BY book),
+tf AS (SELECT doc_id, book, term, dl, count(*) AS tf FROM (SELECT doc_id, book, len(toks) AS dl, unnest(toks) AS term FROM d) GROUP BY ALL),
+w AS (SELECT book, term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(avgdl) AS avgdl FROM tf JOIN n USING (book) GROUP BY ALL),
+s AS (SELECT query_id, book, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS matched, count(*) / any_value(asked) AS coverage, list_sort(coalesce(list(term) FILTER (WHERE df >= 2), [])) AS recurring
+      FROM tf JOIN w USING (book, term) JOIN q USING (term) JOIN qn USING (query_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, book ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"""
+
+
 ORACLE = {
     "concept_paragraphs": f"SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN {_KIND} ELSE 'p' END AS kind FROM documents WHERE (doc_id % 4 = 0 OR doc_id % 3 = 2) AND length({_trim('CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 6) ELSE text END')}) >= 8",
     "body_paragraphs": f"SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 = 2 AND doc_id % 7 <> 0 AND {_trim('text')} <> ''",
@@ -289,12 +335,11 @@ o AS (SELECT a.chapter_id, a.concept, b.concept AS other, row_number() OVER (PAR
 d AS (SELECT chapter_id, concept, list(other) AS others FROM o WHERE nth <= 3 GROUP BY ALL HAVING count(*) = 3),
 q AS (SELECT p_size % 5 AS chapter_id, p_partkey, p_type AS concept, others, row_number() OVER (PARTITION BY p_size % 5 ORDER BY p_partkey) AS nth FROM part JOIN d ON d.chapter_id = p_size % 5 AND d.concept = p_type)
 SELECT chapter_id, chapter_id || '-q' || nth AS id, 'A thing is ____ as said.' AS prompt, concept, CAST(p_partkey AS VARCHAR) AS anchor, array_to_string(list_sort(list_append(others, concept)), '|') AS options, concept AS answer FROM q WHERE nth <= 5""",
-    "persisted_search": """WITH d AS (SELECT doc_id, lang AS book, regexp_extract_all(lower(text), '[a-z0-9_]+') AS toks FROM documents),
-q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS book, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS term FROM benchmark),
-n AS (SELECT book, count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM d GROUP BY book),
-tf AS (SELECT doc_id, book, term, dl, count(*) AS tf FROM (SELECT doc_id, book, len(toks) AS dl, unnest(toks) AS term FROM d) GROUP BY ALL),
-w AS (SELECT book, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(avgdl) AS avgdl FROM tf JOIN n USING (book) GROUP BY ALL),
-s AS (SELECT query_id, q.book, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN w USING (book, term) JOIN q USING (book, term) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
-SELECT query_id, book, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
+    "persisted_search": f"{_bm25_of('TRUE')} SELECT query_id, book, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10",
+    "grown_index_search": f"{_bm25_of('doc_id % 7 <> 3')} SELECT query_id, book, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score, matched, array_to_string(recurring, ' ') AS recurring, round(coverage, 9) AS coverage FROM r WHERE rank <= 10",
+    "stale_books": """WITH h AS (SELECT lang AS book, doc_id, text FROM documents WHERE doc_id % 7 <> 3),
+n AS (SELECT book, doc_id, CASE WHEN book = 'de' AND doc_id % 2 = 0 THEN 'changed ' || text ELSE text END AS text FROM h WHERE book <> 'fr' OR doc_id % 4 <> 0),
+a AS (SELECT book, count(*) AS held, string_agg(md5(text), '' ORDER BY doc_id) AS was FROM h GROUP BY book),
+b AS (SELECT book, count(*) AS n, CAST(sum(len(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS BIGINT) AS tokens, string_agg(md5(text), '' ORDER BY doc_id) AS now FROM n GROUP BY book)
+SELECT book, n, tokens, CASE WHEN was <> now THEN held END AS stale_n, CAST(0 AS BIGINT) AS "left" FROM b JOIN a USING (book)""",
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,12 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions import text as X
 from lectern.operators import learning
-
-
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, or (where that is unset, as in tests) of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-stream-")
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+from lectern.operators.joins import shared_folder
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:  # noqa: ANN001

@@ -68,17 +68,6 @@ def test_nearest_vectors_by_blocks(spark, monkeypatch):
     assert got == {q: np.lexsort((np.arange(40), -cosines[q]))[:4].tolist() for q in range(11)}
 
 
-def test_persisted_index_gives_the_same_scores(spark, tmp_path):
-    docs = spark.createDataFrame([("a", 1, "red fish blue"), ("a", 2, "red red"), ("b", 3, "blue sky")], "book string, doc_id int, text string")
-    asked = spark.createDataFrame([(1, "a", "red blue"), (2, "b", "blue")], "query_id int, book string, query string")
-    index.persist(docs, str(tmp_path), "book", "doc_id")
-    index.persist(docs.where("book = 'b'"), str(tmp_path), "book", "doc_id")
-    read = lambda n: spark.read.parquet(f"{tmp_path}/{n}")
-    one = {(r["query_id"], r["doc_id"]): round(r["score"], 9) for r in index.persisted_scores(read("postings"), read("docs"), asked, "book", "doc_id").collect()}
-    two = {(r["query_id"], r["doc_id"]): round(r["score"], 9) for r in index.scores(docs, asked, "doc_id", ["book"]).collect()}
-    assert one == two and len(one) == 3
-
-
 def test_requests(spark):
     rows = spark.createDataFrame([("b", "why?", ""), ("b", "  ", ""), ("", "why?", "")], "book_id string, question string, selection string")
     accepted, rejected = requests.checked(rows, "ask")
