@@ -10,8 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import text as X
-
 #: Rows up to which a side is broadcast; beyond, the join is left to the optimizer.
 MOST_BROADCAST = 100_000
 
@@ -62,19 +60,5 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def contained(needles: DataFrame, paragraphs: DataFrame, scope: Sequence[str], needle_id: str, paragraph_id: str, order: Sequence[str]) -> DataFrame:
-    """needle_id, paragraph_id: the longest paragraph of the same scope that holds the needle (4 characters or more, in match form); the first of several.
-
-    needles: needle_id, scope, needle; paragraphs: paragraph_id, scope, text, order. An equi-join on the scope with containment as a residual condition.
-    With few needles they are the broadcast side, so that no scope's paragraphs meet in one task."""
-    asked = needles.select(needle_id, *scope, X.match_form(F.col("needle")).alias("needle_form")).where(F.length("needle_form") >= 4)
-    held = paragraphs.select(paragraph_id, *scope, *[F.col(c).alias(f"__{c}") for c in order], X.match_form(F.col("text")).alias("form"))
-    condition = F.contains(F.col("p.form"), F.col("n.needle_form"))
-    for s in scope:
-        condition = condition & (F.col(f"p.{s}") == F.col(f"n.{s}"))
-    both = held.alias("p").join(small(asked).alias("n"), condition)
-    return both.groupBy(F.col(f"n.{needle_id}").alias(needle_id)).agg(F.min_by(F.col(f"p.{paragraph_id}"), F.struct(-F.length("p.form"), *[F.col(f"p.__{c}") for c in order])).alias(paragraph_id))
-
-
 def first_rows(rows: DataFrame, k: int, group: Sequence[str], order: Sequence[str | Column], name: str = "nth") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)

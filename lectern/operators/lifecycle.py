@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import constants as K
 from lectern.functions import text as X
-from lectern.operators.joins import contained
+from lectern.operators.containment import contained
 
 
 def bundle(assembled: DataFrame, book: str = "book") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import evidence, index, joins, search
+from lectern.operators import containment, evidence, index, joins, search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,7 +165,7 @@ def hybrid_search_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchor_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts in documents of all books."""
     needles = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
-    return joins.contained(needles, sections(spark, sf_dir), [], "item_id", "doc_id", ["doc_id"])
+    return containment.contained(needles, sections(spark, sf_dir), [], "item_id", "doc_id", ["doc_id"])
 
 
 def rule_answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
