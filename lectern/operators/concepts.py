@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from lectern import constants as K
 from lectern.functions import text as X
-from lectern.operators.joins import cut, first_rows
+from lectern.operators.joins import cut, first_rows, small
+from lectern.operators.prefix import numbered
 
 
 # ---- extraction ----
@@ -178,35 +179,27 @@ def lesson_order(concepts: DataFrame, chapter: str = "chapter_id") -> DataFrame:
     """chapter, concept, position: concepts after their prerequisites in the chapter, else as they stand. Passes over the list are
     repeated, each putting out what has become ready, also by what the same pass put out; a cycle's concepts, and what needs them, come last.
 
-    A concept's pass is the latest of its prerequisites', and one more where such a one stands behind it. Only concepts that are linked to others reach
-    the step that follows links (linear in their number); all are put in order by a window. Names are unique in a chapter."""
-    held = concepts.select(chapter, "ord", "concept", F.array_except(F.coalesce("prerequisites", F.array().cast("array<string>")), F.array("concept")).alias("needs"))
-    asked = held.select(chapter, F.col("concept").alias("of"), F.explode("needs").alias("concept"))
-    inside = asked.join(held.select(chapter, "concept", F.col("ord").alias("need_ord")), [chapter, "concept"]).select(chapter, "of", F.col("concept").alias("need"), "need_ord")
-    links = inside.join(held.select(chapter, F.col("concept").alias("of"), "ord"), [chapter, "of"])
-    schema = T.StructType([concepts.schema[chapter], T.StructField("concept", T.StringType()), T.StructField("pass", T.IntegerType())])
-
-    def passes(rows: pd.DataFrame) -> pd.DataFrame:
-        needs, users = {}, {}
-        for of, need, at, need_at in rows[["of", "need", "ord", "need_ord"]].itertuples(index=False):
-            needs.setdefault(of, set()).add(need)
-            users.setdefault(need, []).append((of, int(need_at > at)))
-        done = {name: 1 for name in users if name not in needs}
-        ready = list(done)
-        while ready:
-            name = ready.pop()
-            for of, later in users.get(name, ()):
-                done[of] = max(done.get(of, 1), done[name] + later)
-                needs[of].discard(name)
-                if not needs[of]:
-                    ready.append(of)
-        found = [(of, done[of] if not left else None) for of, left in needs.items()]
-        return pd.DataFrame({chapter: rows[chapter].iloc[0], "concept": [of for of, _ in found], "pass": pd.array([n for _, n in found], dtype="Int32")})
-
-    linked = links.groupBy(chapter).applyInPandas(passes, schema).withColumn("linked", F.lit(True))
-    placed = held.join(linked, [chapter, "concept"], "left").withColumn("pass", F.when(F.col("linked"), F.col("pass")).otherwise(1))
-    order = Window.partitionBy(chapter).orderBy(F.col("pass").asc_nulls_last(), "ord")
-    return placed.select(chapter, "concept", F.row_number().over(order).alias("position"))
+    A concept's pass is the latest of its prerequisites', and one more where such a one stands behind it. Links are peeled off from those
+    that need nothing: a round joins what has just become ready to the links that wait for it, for all chapters at once, and ends with what is ready then. There are as many
+    rounds as the longest chain of prerequisites has links; each works on the links that are left, and none has a chapter in one task. Names are unique in a chapter."""
+    held = cut(concepts.select(chapter, "ord", "concept", F.array_except(F.coalesce("prerequisites", F.array().cast("array<string>")), F.array("concept")).alias("needs")))
+    asked = held.select(chapter, F.col("concept").alias("of"), "ord", F.explode("needs").alias("need"))
+    links = asked.join(held.select(chapter, F.col("concept").alias("need"), F.col("ord").alias("need_ord")), [chapter, "need"])
+    # pass: the first in which a link's concept may come out, once the link's prerequisite has; null before.
+    waiting = cut(links.select(chapter, "of", "need", (F.col("need_ord") > F.col("ord")).cast("int").alias("later"), F.lit(None).cast("int").alias("pass")))
+    ready = cut(waiting.select(chapter, F.col("need").alias("concept")).distinct().join(waiting.select(chapter, F.col("of").alias("concept")), [chapter, "concept"], "left_anti").withColumn("pass", F.lit(1)))
+    out = []
+    while ready.limit(1).count():
+        met = waiting.join(small(ready.select(chapter, F.col("concept").alias("need"), F.col("pass").alias("__pass"))), [chapter, "need"], "left")
+        waiting = cut(met.select(chapter, "of", "need", "later", F.coalesce("pass", F.col("__pass") + F.col("later")).alias("pass")))
+        ready = cut(waiting.groupBy(chapter, F.col("of").alias("concept")).agg(F.max("pass").alias("pass"), F.count_if(F.col("pass").isNull()).alias("left")).where("left = 0").drop("left"))
+        waiting = waiting.join(small(ready.select(chapter, F.col("concept").alias("of"))), [chapter, "of"], "left_anti")
+        out.append(ready)
+    linked = waiting.select(chapter, F.col("of").alias("concept"), F.lit(None).cast("int").alias("pass")).distinct()
+    for found in out:
+        linked = linked.union(found)
+    placed = held.join(linked.withColumn("linked", F.lit(True)), [chapter, "concept"], "left").select(chapter, "concept", "ord", F.when(F.col("linked"), F.col("pass")).otherwise(1).alias("pass"))
+    return numbered(placed, [chapter], [F.col("pass").asc_nulls_last(), "ord"], "position").select(chapter, "concept", "position")
 
 
 def lessons(concepts_of: DataFrame, titles: DataFrame, known: DataFrame, chapter: str = "chapter_id") -> DataFrame:

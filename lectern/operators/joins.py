@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def attached(rows: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
+    """rows with the other columns of side, which has at most one row a key; nulls of a key are equal, rows without a match get nulls."""
+    named = side.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(on)], *[c for c in side.columns if c not in on])
+    same = F.lit(True)
+    for i, k in enumerate(on):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return rows.join(named, same, "left").drop(*[f"__key{i}" for i in range(len(on))])
+
+
 def left_total(parents: DataFrame, children: DataFrame, on: Column, by: Sequence[str], amount: Column, name: str) -> DataFrame:
     """parents with the sum of amount over children that satisfy on; 0 where there is none."""
     return parents.join(children, on, "left").groupBy(*by).agg(F.coalesce(F.sum(amount), F.lit(0)).alias(name))

@@ -1,7 +1,7 @@
 """From lines to books: levels, chapters, sections, pages, paragraphs.
 
-Rows of a book are ordered by pos; every operator works on all books at once, partitioned by book. Loops over rows are running sums
-and gaps-and-islands, so a book is one window partition and books are spread over the cluster.
+Rows of a book are ordered by pos; every operator works on all books at once. Loops over rows are running sums (prefix.running, in two levels, so that a
+book of any size is spread over many tasks) and gaps-and-islands; what belongs to a book or a chapter is an aggregate that is joined back.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lectern import constants as K
 from lectern.functions import text as X
+from lectern.operators.joins import attached, cut
+from lectern.operators.prefix import numbered, running
 
 
 def lines(texts: DataFrame, text: str = "text", book: str = "book") -> DataFrame:
@@ -23,10 +25,9 @@ def lines(texts: DataFrame, text: str = "text", book: str = "book") -> DataFrame
 def outline_rows(rows: DataFrame, dialect: str = "a", book: str = "book") -> DataFrame:
     """book, pos, text, level of lines (book, pos, raw) in Markdown or plain text. A heading's level is its number of # signs (6 at most in dialect a,
     9 in b); fence lines go; what is fenced is body text in dialect a and goes in dialect b."""
-    so_far = Window.partitionBy(book).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bare = X.strip(F.col("raw"))
     fenced = rows.withColumn("text", bare).withColumn("mark", F.col("text").startswith("```") | F.col("text").startswith("~~~"))
-    fenced = fenced.withColumn("inside", (F.sum(F.col("mark").cast("int")).over(so_far) % 2) == 1).where(~F.col("mark"))
+    fenced = running(fenced, [book], "pos", {"marks": F.col("mark").cast("int")}).withColumn("inside", (F.col("marks") % 2) == 1).where(~F.col("mark"))
     most = 6 if dialect == "a" else 9
     pattern = f"^(#{{1,{most}}})\\s+(.*?)\\s*#*\\s*$"
     heading = ~F.col("inside") & F.col("text").rlike(pattern)
@@ -50,26 +51,29 @@ def page_chapter_level(counts: DataFrame, most: int = 80, least: int = 3, book:
     return counts.groupBy(book).agg(F.coalesce(hit, F.when(F.min_by("n", "level") < 2, F.coalesce(some, first)).otherwise(first)).alias("chapter_level"))
 
 
-def leveled(rows: DataFrame, book: str = "book") -> DataFrame:
-    """rows (book, pos, text, level) with chapter_level, from their book's outline; null means that chapters are told by the text of body lines.
-
-    Rows are shuffled once, by book, and read once: the counts of a book's levels are windows over it."""
-    title, in_level, in_book = F.col("text").rlike(K.CHAPTER_TITLE), Window.partitionBy(book, "level"), Window.partitionBy(book)
+def outline_levels(rows: DataFrame, book: str = "book") -> DataFrame:
+    """book, chapter_level of rows (book, pos, text, level), from each book's outline; null means that chapters are told by the text of body lines."""
+    title = F.col("text").rlike(K.CHAPTER_TITLE)
     usable = (F.col("level") >= 1) & ~X.blank(F.col("text")) & ~X.is_noise_title(F.col("text"))
-    counted = rows.repartition(book).withColumn("__usable", usable).withColumn("__n", F.count_if("__usable").over(in_level)).withColumn("__hits", F.count_if(F.col("__usable") & title).over(in_level))
+    counts = rows.groupBy(book, "level").agg(F.count_if(usable).alias("n"), F.count_if(usable & title).alias("hits"), F.count_if(title).alias("titles"))
 
     def least(condition: Column) -> Column:
-        return F.min(F.when(F.col("__usable") & condition, F.col("level"))).over(in_book)
+        return F.min(F.when((F.col("n") > 0) & condition, F.col("level")))
+
+    clear, some, first = least((F.col("hits") >= 2) & (F.col("hits") * 2 >= F.col("n"))), least(F.col("hits") >= 1), least(F.lit(True))
+    alone = F.min_by("n", F.when(F.col("n") > 0, F.col("level"))) == 1
+    lone = alone & (F.coalesce(F.max(F.when(F.col("level") == 0, F.col("titles"))), F.lit(0)) >= 2)
+    return counts.groupBy(book).agg(F.coalesce(clear, some, F.when(~F.coalesce(lone, F.lit(False)), first)).alias("chapter_level"))
 
-    clear, some, first = least((F.col("__hits") >= 2) & (F.col("__hits") * 2 >= F.col("__n"))), least(F.col("__hits") >= 1), least(F.lit(True))
-    alone = F.min_by("__n", F.when(F.col("__usable"), F.col("level"))).over(in_book) == 1
-    lone = alone & (F.count_if((F.col("level") == 0) & title).over(in_book) >= 2)
-    return counted.withColumn("chapter_level", F.coalesce(clear, some, F.when(~F.coalesce(lone, F.lit(False)), first))).drop("__usable", "__n", "__hits")
+
+def leveled(rows: DataFrame, book: str = "book") -> DataFrame:
+    """rows (book, pos, text, level) with chapter_level (see outline_levels). rows is read twice: cut it before if it is costly."""
+    return attached(rows, cut(outline_levels(rows, book)), [book])
 
 
 def chapter_level(rows: DataFrame, book: str = "book") -> DataFrame:
     """book, chapter_level (see leveled)."""
-    return leveled(rows, book).groupBy(book).agg(F.max("chapter_level").alias("chapter_level"))
+    return outline_levels(rows, book)
 
 
 def titled(rows: DataFrame, book: str = "book") -> DataFrame:
@@ -80,43 +84,44 @@ def titled(rows: DataFrame, book: str = "book") -> DataFrame:
 
 def blocks(rows: DataFrame, levels: DataFrame | None = None, book: str = "book") -> DataFrame:
     """book, pos, chapter, title, kind, text: rows dealt to chapters. Rows before the first chapter belong to it; a chapter's title is no row of its own."""
+    rows = cut(rows)
     placed = rows.join(levels, book) if levels is not None else leveled(rows, book)
     by_text, noise = F.col("chapter_level").isNull(), X.is_noise_title(F.col("text"))
     shallow = (F.col("level") >= 1) & (F.col("level") < F.col("chapter_level"))
     starts = F.when(by_text, F.col("text").rlike(K.CHAPTER_TITLE)).otherwise(F.col("level") == F.col("chapter_level")) & ~noise
     kept = placed.where(~X.blank(F.col("text")) & ~F.coalesce(shallow, F.lit(False))).withColumn("text", X.strip(F.col("text"))).withColumn("starts", starts)
-    so_far = Window.partitionBy(book).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = kept.withColumn("chapter", F.greatest(F.sum(F.col("starts").cast("int")).over(so_far), F.lit(1)))
-    title = F.max(F.when(F.col("starts"), F.col("text"))).over(Window.partitionBy(book, "chapter"))
+    dealt = cut(running(kept, [book], "pos", {"chapter": F.col("starts").cast("int")}).withColumn("chapter", F.greatest("chapter", F.lit(1))))
+    dealt = attached(dealt, dealt.where("starts").groupBy(book, "chapter").agg(F.max("text").alias("title")), [book, "chapter"])
     heading = F.when(by_text, (F.length("text") <= K.HEADING_CHARS) & F.col("text").rlike(K.SECTION_TITLE)).otherwise(F.col("level") > F.col("chapter_level"))
     kind = F.when(heading, "heading").when(X.looks_like_formula(F.col("text")), "formula").otherwise("p")
-    return dealt.withColumn("title", F.coalesce(title, F.lit(""))).withColumn("kind", kind).where(~F.col("starts")).select(book, "pos", "chapter", "title", "kind", "text")
+    return dealt.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("kind", kind).where(~F.col("starts")).select(book, "pos", "chapter", "title", "kind", "text")
 
 
 def pipeline_chapters(rows: DataFrame, book: str = "book") -> DataFrame:
     """book, chapter, nth, pos, title, text: the pipeline's chapters; a title is its chapter's first paragraph, before what stands in front of the first chapter."""
     kept = rows.where(~X.blank(F.col("text")))
     starts = (F.col("level") == 1) | F.col("text").rlike(K.PIPELINE_CHAPTER_TITLE)
-    so_far = Window.partitionBy(book).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = kept.withColumn("starts", starts).withColumn("chapter", F.greatest(F.sum(F.col("starts").cast("int")).over(so_far), F.lit(1)))
-    order = Window.partitionBy(book, "chapter").orderBy((~F.col("starts")).cast("int"), "pos")
-    title = F.max(F.when(F.col("starts"), F.col("text"))).over(Window.partitionBy(book, "chapter"))
-    return dealt.withColumn("nth", F.row_number().over(order)).withColumn("title", F.coalesce(title, F.lit(""))).select(book, "chapter", "nth", "pos", "title", "text")
+    dealt = cut(running(kept.withColumn("starts", starts), [book], "pos", {"chapter": F.col("starts").cast("int")}).withColumn("chapter", F.greatest("chapter", F.lit(1))))
+    titles = dealt.where("starts").groupBy(book, "chapter").agg(F.max("text").alias("title"), F.min("pos").alias("__title"))
+    # What stands before the first chapter's title comes after it: the title's place is before all.
+    shown = attached(dealt, titles, [book, "chapter"]).withColumn("__place", F.when(F.col("pos") == F.col("__title"), F.lit(-1)).otherwise(F.col("pos")))
+    nth = running(shown, [book, "chapter"], "__place", {"nth": F.lit(1)})
+    return nth.select(book, "chapter", F.col("nth").cast("int").alias("nth"), "pos", F.coalesce("title", F.lit("")).alias("title"), "text")
 
 
 def virtual_pages(paragraphs: DataFrame, book: str = "book", order: str = "pos", text: str = "text", size: int = K.PAGE_CHARS) -> DataFrame:
     """paragraphs with page: 1 + the characters before the paragraph, in pages of so many."""
-    before = Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return paragraphs.withColumn("page", (F.lit(1) + F.floor(F.coalesce(F.sum(F.length(text)).over(before), F.lit(0)) / size)).cast("int"))
+    return running(paragraphs, [book], order, {"page": F.length(text)}, before=True).withColumn("page", (F.lit(1) + F.floor(F.col("page") / size)).cast("int"))
 
 
 def assemble(found: DataFrame, book: str = "book") -> DataFrame:
     """book, num, title, seq, page, kind, text: blocks with pages; an image stands as a short text, chapters without text go, chapters and sections are numbered from 1."""
     shown = F.when(X.blank(F.col("text")) & (F.col("kind") == "image"), F.lit(K.IMAGE_TEXT)).otherwise(F.col("text"))
-    paged = virtual_pages(found.withColumn("text", shown).where(~X.blank(F.col("text"))), book)
-    num = F.dense_rank().over(Window.partitionBy(book).orderBy("chapter"))
-    seq = F.row_number().over(Window.partitionBy(book, "chapter").orderBy("pos"))
-    return paged.withColumn("num", num).withColumn("seq", seq).select(book, "num", "title", "seq", "page", "kind", "text")
+    paged = cut(virtual_pages(found.withColumn("text", shown).where(~X.blank(F.col("text"))), book))
+    # A book's chapters are rows of their own; a chapter's sections are counted in parts.
+    nums = numbered(paged.select(book, "chapter").distinct(), [book], ["chapter"], "num")
+    counted = running(attached(paged, nums, [book, "chapter"]), [book, "chapter"], "pos", {"seq": F.lit(1)})
+    return counted.select(book, "num", "title", F.col("seq").cast("int").alias("seq"), "page", "kind", "text")
 
 
 def page_ranges(starts: DataFrame, last: Column, book: str = "book") -> DataFrame:
@@ -143,10 +148,9 @@ def reflow(page_lines: DataFrame, margins: DataFrame | None = None, book: str =
     if margins is not None:
         bare = bare.withColumn("line", X.line_form(F.col("t"))).join(margins, [book, "line"], "left_anti")
     used = bare.where(~X.is_noise_line(F.col("t")) | (F.col("t") == ""))
-    w = Window.partitionBy(book).orderBy(order)
     ends = (F.col("t") == "") | (X.ends_sentence(F.col("t")) & (F.length("t") > 6))
-    numbered = used.withColumn("ends", ends).withColumn("paragraph", F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = numbered.where(F.col("t") != "").groupBy(book, "paragraph").agg(F.array_sort(F.collect_list(F.struct(order, "t"))).alias("parts"), *[F.min(c).alias(c) for c in least])
+    parted = running(used, [book], order, {"paragraph": ends.cast("int")}, before=True)
+    joined = parted.where(F.col("t") != "").groupBy(book, "paragraph").agg(F.array_sort(F.collect_list(F.struct(order, "t"))).alias("parts"), *[F.min(c).alias(c) for c in least])
     body = F.array_join(F.transform("parts", lambda p: p["t"]), "")
     return joined.select(book, "paragraph", X.strip(F.regexp_replace(body, "(?U)" + K.URL_AFTER_CJK, "")).alias("text"), *least).where(F.col("text") != "")
 
