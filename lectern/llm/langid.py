@@ -4,6 +4,8 @@ Training counts hashed 2- and 3-grams of a bounded, hash-chosen sample of labell
 count matrix (languages x BUCKETS) reaches the driver. Its log-probabilities are broadcast, and scoring sums
 table rows over all n-grams of every whole text in numpy, a few million characters at a time, also of one very long text.
 
+Only the MOST_LANGUAGES most frequent labels are learned.
+
 Defined results: null text, or text without a letter: 'und' with score 0; without any training row every text is 'und';
 ties go to the first language in code-point order; repeated rows are scored alike; further columns are ignored by
 predict() and kept by accepted().
@@ -26,6 +28,8 @@ from lectern.llm.common import STEP_CHARS, fold, pieces, sample_rank
 BUCKETS = 1 << 15
 #: Most training texts of one language (chosen by hash); the classifier's only bounded sample.
 TRAIN_TEXTS = 4000
+#: Most languages that are learned: the most frequent labels, ties in code-point order. Bounds the table whatever the label column holds.
+MOST_LANGUAGES = 256
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
@@ -74,7 +78,7 @@ def gram_sums(texts: list[str], tables: np.ndarray) -> tuple[np.ndarray, np.ndar
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of shape (languages, BUCKETS + 1)); rows of the held-out fold are never read."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held_out))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((0, BUCKETS + 1))

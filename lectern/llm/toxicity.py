@@ -1,12 +1,12 @@
 """Toxicity by nearest labelled examples: exact cosine of label-weighted TF-IDF over an inverted index.
 
 The index is fitted on a bounded sample of labelled texts: the EXAMPLES of each label whose ids have the least hashes; only their term counts reach the driver. Its vocabulary is every
-term of these. A term weighs its idf times LEAST_TELLING plus its log-odds between the labels, so that no term is left out
-and telling ones count more; lengths are over all terms of a text that the examples have. Examples stand in blocks, and a block's greatest
+term of these. A term weighs its idf, by default times LEAST_TELLING plus its log-odds between the labels, so that no term is left out
+and telling ones count more (label_weights=False leaves plain TF-IDF, which finds far fewer toxic texts: see the README); lengths are over all terms of a text that the examples have. Examples stand in blocks, and a block's greatest
 weight of each term bounds its cosines: blocks that cannot hold a neighbour are passed over, so the neighbours are exact. Blocks
 are compared by a matrix product for the HEAD most frequent terms and by postings for the others, BATCH texts at a time.
-Votes are weighted by distance and calibrated by logistic regression on the examples' own votes, each left out of its own (term weights are of all examples), with
-labels weighed as in all rows.
+Votes are weighted by distance and calibrated by logistic regression on the votes that each half of the examples has from an index of the
+other half, so that no label has a part in the vote it is held against, with labels weighed as in all rows.
 
 Defined results: null and empty texts, and texts without a term of the index, get the rate of toxic examples that have no term
 either; without labelled rows every score is 0; labels that are null or belong to no document are not used, a doc_id with both labels counts as
@@ -157,8 +157,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(theta[0]), float(theta[1])
 
 
-def build(examples: list[tuple[int | None, dict[str, int], int]], share: dict[int, float]) -> Index:
-    """examples: (doc_id, counts of its text's terms, label). share: of all labelled rows of a label, the part that the examples are."""
+def build(examples: list[tuple[int | None, dict[str, int], int]], share: dict[int, float], label_weights: bool = True) -> Index:
+    """The calibrated index. examples: (doc_id, counts of its text's terms, label). share: of all labelled rows of a label, the part that the examples are."""
+    index = _index(examples, label_weights)
+    # Halves with as many of each label.
+    by_label = sorted(examples, key=lambda e: e[2])
+    votes, labels, empty = [], [], []
+    for held, rest in ((by_label[0::2], by_label[1::2]), (by_label[1::2], by_label[0::2])):
+        half = _index(rest, label_weights)
+        for start in range(0, len(held) if rest else 0, BATCH):
+            some = held[start : start + BATCH]
+            for (_, _, label), (rows, cosines) in zip(some, half.nearest([half.vector(c) for _, c, _ in some]), strict=True):
+                if len(rows):
+                    votes.append(half.vote(rows, cosines))
+                    labels.append(label)
+                else:
+                    empty.append(label)
+    weight = {y: 1.0 / share[y] for y in share}
+    mean = sum(weight[y] for _, _, y in examples) / max(1, len(examples))
+    if votes:
+        index.slope, index.offset = _logistic(np.array(votes), np.array(labels, dtype=float), np.array([weight[y] / mean for y in labels]))
+    prior = sum(weight[y] * y for _, _, y in examples) / (mean * len(examples)) if examples else 0.0
+    index.none = (sum(weight[y] / mean * y for y in empty) + prior) / (sum(weight[y] / mean for y in empty) + 1.0) if examples else 0.0
+    return index
+
+
+def _index(examples: list[tuple[int | None, dict[str, int], int]], label_weights: bool) -> Index:
+    """The index before its votes are calibrated."""
     counts = [c for _, c, _ in examples]
     toxic = np.array([y for _, _, y in examples], dtype=float)
     with_term: Counter = Counter()
@@ -171,6 +196,8 @@ def build(examples: list[tuple[int | None, dict[str, int], int]], share: dict[in
 
     def telling(term: str) -> float:
         """The log-odds between the labels, either way, which is weighed but never a reason to leave a term out."""
+        if not label_weights:
+            return 1.0
         a, b = toxic_with[term], with_term[term] - toxic_with[term]
         return LEAST_TELLING + abs(math.log((a + 0.5) / (n_toxic + 1.0) * (n - n_toxic + 1.0) / (b + 0.5)))
 
@@ -194,7 +221,7 @@ def build(examples: list[tuple[int | None, dict[str, int], int]], share: dict[in
         order = np.lexsort((along[np.arange(n), strongest], strongest, toxic))
     place = np.argsort(order)
     index.toxic, index.ids, index.head = toxic[order], index.ids[order], head[:, order]
-    vectors, toxic, row = [vectors[i] for i in order], toxic[order], place[row]
+    row = place[row]
     starts = np.arange(0, n, BLOCK)
     index.head_most = np.maximum.reduceat(index.head, starts, axis=1) if n else np.zeros((len(head), 0))
     sorting = np.lexsort((row, term))
@@ -204,23 +231,10 @@ def build(examples: list[tuple[int | None, dict[str, int], int]], share: dict[in
     index.block, index.postings = index.rows[begins] // BLOCK, np.append(begins, len(key))
     index.most = np.maximum.reduceat(index.weights, begins) if len(begins) else np.zeros(0)
     index.cells = np.searchsorted(term[begins], np.arange(len(ranked) + 1))
-    real = np.array([1.0 / share[int(y)] for y in toxic])
-    real = real / (real.mean() if len(real) else 1.0)
-    near = []
-    for start in range(0, n, BATCH):
-        for i, (rows, cosines) in enumerate(index.nearest(vectors[start : start + BATCH], NEIGHBOURS + 1), start):
-            near.append((rows[rows != i][:NEIGHBOURS], cosines[rows != i][:NEIGHBOURS]))
-    has = np.array([len(r) > 0 for r, _ in near], dtype=bool)
-    if has.any():
-        votes = np.array([index.vote(*near[i]) for i in np.flatnonzero(has)])
-        index.slope, index.offset = _logistic(votes, toxic[has], real[has])
-    empty = ~has
-    prior = float((real * toxic).sum() / real.sum()) if n else 0.0
-    index.none = float((real[empty] * toxic[empty]).sum() + prior) / (float(real[empty].sum()) + 1.0) if n else 0.0
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2, label_weights: bool = True) -> Index:
     """The index of EXAMPLES labelled texts of each label, or all if there are fewer; rows of the held-out fold are never read."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -240,12 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = [(r["doc_id"], dict(zip(r["terms"], r["counts"], strict=True)), r["label"]) for r in met.mapInArrow(count, schema).collect()]
     held = Counter(label for _, _, label in rows)
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return build(sorted(rows, key=lambda r: (r[2], str(r[0]))), {y: held[y] / sizes[y] for y in held})
+    return build(sorted(rows, key=lambda r: (r[2], str(r[0]))), {y: held[y] / sizes[y] for y in held}, label_weights)
 
 
-def predict(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2) -> DataFrame:
+def predict(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2, label_weights: bool = True) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the three nearest examples) for every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, folds, held_out))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, folds, held_out, label_weights))
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], rows.schema["held_out"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
 

@@ -6,6 +6,8 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from lectern.llm import langid, pii, secrets, toxicity
 from lectern.llm.queries import vocabulary
 from tests.llm.helpers import EDGES, LONG, table
@@ -116,6 +118,17 @@ def plain_vectors(counts, labels):
     return vector
 
 
+def plain_tfidf(counts):
+    n, df = len(counts), Counter(t for c in counts for t in c)
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * (math.log((1 + n) / (1 + df[t])) + 1) for t, k in c.items() if t in df}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / length for t, x in v.items()}
+
+    return vector
+
+
 def test_block_max_search_is_exact_against_brute_force(monkeypatch):
     monkeypatch.setattr(toxicity, "HEAD", 40)
     monkeypatch.setattr(toxicity, "BLOCK", 7)
@@ -132,6 +145,38 @@ def test_block_max_search_is_exact_against_brute_force(monkeypatch):
         assert all(round(sum(w * examples[index.ids[r]].get(t, 0.0) for t, w in v.items()), 9) == round(x, 9) for r, x in zip(rows, cosines, strict=True))
 
 
+def test_toxicity_scores_against_a_plain_version(monkeypatch):
+    """Votes, calibration on halves and scores, from the stated formulas; with and without the labels' part in terms' weights."""
+    docs, labels = toxic_rows()
+    rows = [(i, toxicity.term_counts(t), labels[i][2]) for i, t in docs]
+    share = {0: 0.2, 1: 0.5}
+
+    def votes_of(examples, asked, weights):
+        vector = plain_vectors([c for _, c, _ in examples], [y for *_, y in examples]) if weights else plain_tfidf([c for _, c, _ in examples])
+        held = [(vector(c), i, y) for i, c, y in examples]
+        for c in asked:
+            v = vector(c)
+            near = sorted(((-sum(w * e.get(t, 0.0) for t, w in v.items()), i, y) for e, i, y in held), key=lambda n: n[0])
+            near = [n for n in near if n[0] < 0][: toxicity.NEIGHBOURS]
+            close = [(1 / (1.05 + max(n[0], -1.0)), n[2]) for n in near]
+            yes = sum(w for w, y in close if y)
+            yield math.log((yes + 0.5) / (sum(w for w, _ in close) - yes + 0.5)) if close else None
+
+    for weights in (True, False):
+        by_label = sorted(rows, key=lambda e: e[2])
+        votes, ys = [], []
+        for held, rest in ((by_label[0::2], by_label[1::2]), (by_label[1::2], by_label[0::2])):
+            votes += list(votes_of(rest, [c for _, c, _ in held], weights))
+            ys += [y for *_, y in held]
+        real = [1 / share[y] for y in ys]
+        slope, offset = toxicity._logistic(np.array(votes), np.array(ys, dtype=float), np.array(real) / (sum(real) / len(real)))
+        index = toxicity.build(rows, share, weights)
+        assert abs(index.slope - slope) < 1e-6 and abs(index.offset - offset) < 1e-6
+        asked = [c for _, c, _ in rows[:40]]
+        for (score, _), vote in zip(index.scores(asked), votes_of(rows, asked, weights), strict=True):
+            assert abs(score - 1 / (1 + math.exp(-(slope * vote + offset)))) < 1e-6
+
+
 def test_toxicity_examples_are_exact_in_number_and_defined(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "EXAMPLES", 50)
     docs, labels = toxic_rows()
@@ -283,3 +328,9 @@ def test_secrets(spark):
     assert (out[70]["n_assign"], out[70]["n_access"], out[70]["n_hex"]) == (2, 1, 1)
     assert out[3]["spans"] == out[1]["spans"] == "" and secrets.find(table(spark, []), RANKS).count() == 0
     assert secrets.base_spans("ſecret=abcdefgh") == []
+
+
+def test_only_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, "the house and the garden", "en") for i in range(30)] + [(100 + i, "das haus und der garten", "de") for i in range(20)] + [(200 + i, f"junk{i}", f"junk{i}") for i in range(25)]
+    assert langid.train(table(spark, rows))[0] == ["de", "en"]
