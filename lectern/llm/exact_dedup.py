@@ -12,10 +12,10 @@ ignored by classes() and kept by dedupe().
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, small
 
 #: Counters of the sketch. A text held by more than about 1.4 / SKETCH_SIZE of the rows is always found.
 SKETCH_SIZE = 8192
@@ -69,11 +69,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without later copies, all columns kept. Copies of frequent texts go on the map side; the rest is shuffled by digest once."""
-    names = docs.columns
-    tagged = docs.withColumn("__digest", digest_of(F.col(text_col)))
-    rows = cut(tagged.select(F.col(id_col).alias("doc_id"), F.col("__digest").alias("digest"), F.monotonically_increasing_id().alias("row")))
-    won = cut(winners(rows, rows.count()).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id")))
-    left = tagged.join(F.broadcast(won.withColumn("__hot", F.lit(True))), "__digest", "left").where(F.col("__hot").isNull() | F.col(id_col).eqNullSafe(F.col("__keep_id")))
-    order = Window.partitionBy("__digest").orderBy(F.col(id_col).asc_nulls_last())
-    return left.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") == 1).select(*names)
+    """docs without later copies, all columns kept. Of rows that share id and normalised text, the one whose text comes first in code-point order stays.
+
+    What goes is decided on rows of id and digest alone (see classes), and met by these two, so no group of copies is brought together with its texts."""
+    names, keys = docs.columns, ["__id", "__digest"]
+    thin = classes(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep"))
+    # Of an id and a digest: gone, or the one that stays, of which there may be several rows.
+    judged = thin.groupBy(*keys).agg((~F.first("__id").eqNullSafe(F.first("__keep"))).alias("__gone"), F.count(F.lit(1)).alias("__rows"))
+    marked = cut(judged.where(F.col("__gone") | (F.col("__rows") > 1)).select(*[F.col(k).alias(f"{k}2") for k in keys], "__gone"))
+    tagged = docs.withColumn("__id", F.col(id_col)).withColumn("__digest", digest_of(F.col(text_col)))
+    met = tagged.join(small(marked), F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__digest") == F.col("__digest2")), "left")
+    alone = met.where(F.col("__gone").isNull()).select(*names)
+    if not marked.where(~F.col("__gone")).limit(1).count():
+        return alone
+    # Rows of the same id and text: summed up before they are shuffled.
+    again = met.where(~F.col("__gone")).groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{n}`") for n in names]), F.coalesce(F.col(text_col), F.lit(""))).alias("row"))
+    return alone.unionByName(again.select("row.*"))

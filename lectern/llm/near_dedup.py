@@ -220,10 +220,12 @@ def _across(members: DataFrame, most_rows: int, best: int = 0, hashes: int = _HA
     """Pairs (a, b) of nodes that share a bucket but not a component and may be similar. members: key, node, component, packed [, bands].
     most_rows: rows of members at most. With bands, a pair that shares several buckets is put out by the first of them alone.
     best: if given, only the likeliest pair of each component in each two blocks, and of those so many of each node."""
-    blocked = members.join(_mixed_buckets(members), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    blocks = blocked.groupBy("key", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.flatten(F.collect_list("packed")).alias("packed"), *([F.flatten(F.collect_list("bands")).alias("bands")] if "bands" in members.columns else []))
+    blocked = members.join(_mixed_buckets(members), "key").withColumn("of", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    blocks = blocked.groupBy("key", "of", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.flatten(F.collect_list("packed")).alias("packed"), *([F.flatten(F.collect_list("bands")).alias("bands")] if "bands" in members.columns else []))
     blocks = cut(blocks, most_rows, SIGNATURES)
-    left, right = blocks, blocks.select("key", *[F.col(c).alias(f"{c}2") for c in blocks.columns[1:]])
+    # Each pair of a bucket's blocks is a key of its own, so that the pairs of a large bucket are many tasks.
+    left = blocks.withColumn("block2", F.explode(F.sequence(F.col("block"), (F.col("of") - 1).cast("int")))).drop("of")
+    right = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), *[F.col(c).alias(f"{c}2") for c in blocks.columns if c not in ("key", "of")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = hashes // _PER_LONG
@@ -266,7 +268,7 @@ def _across(members: DataFrame, most_rows: int, best: int = 0, hashes: int = _HA
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["a", "b", "equal"])
 
-    pairs = left.join(right, "key").where(F.col("block") <= F.col("block2")).mapInArrow(compare, "a binary, b binary, equal int").distinct()
+    pairs = left.join(right, ["key", "block", "block2"]).mapInArrow(compare, "a binary, b binary, equal int").distinct()
     if not best:
         return pairs.select("a", "b")
     ways = pairs.union(pairs.select("b", "a", "equal"))
