@@ -308,11 +308,16 @@ def test_secrets_base_matches_the_stated_patterns():
 
 def test_random_strings_are_told_from_words():
     r = random.Random(8)
-    least = {string.ascii_letters + string.digits: (0.97, 0.99), string.ascii_lowercase + string.digits: (0.9, 0.97), string.ascii_letters: (0.9, 0.97), string.ascii_lowercase: (0.5, 0.6)}
-    for alphabet, shares in least.items():
-        for length, share in zip((16, 32), shares, strict=True):
+    text = "The committee will meet again because several members could not travel through the storm, and the report {} has been delayed."
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters, string.ascii_lowercase):
+        for length in (16, 32):
             made = ["".join(r.choices(alphabet, k=length)) for _ in range(500)]
-            assert sum(len(secrets.random_strings(f"a {s} b", RANKS, [])) for s in made) >= share * len(made), (alphabet, length)
+            for around in (text, "a {} b"):
+                assert sum(len(secrets.random_strings(around.format(s), RANKS, [])) for s in made) >= 0.95 * len(made), (alphabet, length)
+    # A word made like all others of its text is none, however few characters its tokens have; with digits in it, it is told by itself.
+    made_up = "Engeberö auf schötz tztege erkeitpf achlichß einung einpfauaueinchpf verkeitpf enheitä aueinchpf pfverein tzschein chchgebe"
+    assert secrets.random_strings(made_up, RANKS, []) == []
+    assert [made_up.replace("einpfauaueinchpf", "q7xw2kz9vjf4hp3q")[s:e] for _, s, e in secrets.random_strings(made_up.replace("einpfauaueinchpf", "q7xw2kz9vjf4hp3q"), RANKS, [])] == ["q7xw2kz9vjf4hp3q"]
     for word in ("getUserAccountInformation", "MAX_CONNECTION_TIMEOUT", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "user_profile_image_url_2024", "=" * 30, "-" * 20, "2024-01-01T00-00-00", "0" * 20):
         assert secrets.random_strings(word, RANKS, []) == [], word
 
