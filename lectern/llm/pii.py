@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The tagger is trained in numpy from labelled spans (generated sentences whose e-mail addresses, IP addresses, card and
-phone numbers are known). Texts are tagged in overlapping windows; every window is decoded by itself, and
+phone numbers are known); its parameters are kept in the shared folder. Texts are tagged in overlapping windows; every window is decoded by itself, and
 the spans of all windows of a text are reconciled together: what window edges have cut is joined, then the set of spans that do not overlap and have the highest total
 score is kept. Every kind holds a digit or an @ sign, so windows without either have nothing to find and are not decoded.
 
@@ -13,12 +13,16 @@ from __future__ import annotations
 
 import bisect
 import functools
+import hashlib
 import random
 import re
+import uuid
+from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.common import shared_dir
 from lectern.llm.spans import Span, Taken, scan
 
 KINDS = ("email", "ip", "card", "phone")
@@ -89,14 +93,16 @@ def _card(r: random.Random) -> str:
     return r.choice(("", " ", "-")).join(re.findall(".{1,4}", digits))
 
 
-def _phone(r: random.Random) -> str:
+def _phone(r: random.Random, without: frozenset[str]) -> str:
     a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
-    return r.choice((f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a} {b} {c}", f"+{_digits(r, 2)} {a} {b} {c}", f"00{_digits(r, 2)} {a} {b}{c}"))
+    forms = {"+1 (a) b-c": f"+1 ({a}) {b}-{c}", "(a) b-c": f"({a}) {b}-{c}", "a-b-c": f"{a}-{b}-{c}", "a.b.c": f"{a}.{b}.{c}", "0a b c": f"0{a} {b} {c}", "+n a b c": f"+{_digits(r, 2)} {a} {b} {c}", "00n a bc": f"00{_digits(r, 2)} {a} {b}{c}"}
+    return r.choice([form for name, form in forms.items() if name not in without])
 
 
-def _email(r: random.Random) -> str:
+def _email(r: random.Random, without: frozenset[str]) -> str:
     name, host = _word(r).strip(",.;:!?"), _word(r).strip(",.;:!?").lower()
-    return name + r.choice(("", ".", "_", "")) + r.choice((_digits(r, 2), "", _word(r).strip(",.;:!?"))) + r.choice(("@", "@", " @ ", "(@)")) + host + r.choice(("", _digits(r, 1))) + r.choice((".com", ".org", ".co.uk", ".example.com"))
+    ats = [at for at in ("@", "@", " @ ", "(@)") if at not in without]
+    return name + r.choice(("", ".", "_", "")) + r.choice((_digits(r, 2), "", _word(r).strip(",.;:!?"))) + r.choice(ats) + host + r.choice(("", _digits(r, 1))) + r.choice((".com", ".org", ".co.uk", ".example.com"))
 
 
 def _ip(r: random.Random) -> str:
@@ -107,10 +113,10 @@ def _other(r: random.Random) -> str:
     return r.choice((f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(0, 99)}.{_digits(r, 2)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", _digits(r, r.randint(1, 7)), "%0*x" % (r.choice((32, 40)), r.getrandbits(128)), f"#{_digits(r, 4)}", f"{r.randint(1, 23)}:{_digits(r, 2)}", f"{_word(r)}{_digits(r, 2)}", f"{r.randint(1, 999)},{_digits(r, 3)}", f"@{_word(r)}", f"{r.randint(1, 31)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", _digits(r, r.randint(20, 30)), f"ISBN {_digits(r, 3)}-{_digits(r, 1)}-{_digits(r, 5)}"))
 
 
-def labelled(r: random.Random, length: int = WINDOW) -> tuple[str, list[Span]]:
-    """A text of the given length with its spans; each kind is as likely as a number that is none."""
+def labelled(r: random.Random, length: int = WINDOW, without: frozenset[str] = frozenset()) -> tuple[str, list[Span]]:
+    """A text of the given length with its spans; each kind is as likely as a number that is none. without: forms of phone numbers and signs of addresses that are left out."""
     text, spans = "", []
-    makers = {"email": _email, "ip": _ip, "card": _card, "phone": _phone}
+    makers = {"email": lambda r: _email(r, without), "ip": _ip, "card": _card, "phone": lambda r: _phone(r, without)}
     while len(text) < length:
         text += "".join(_word(r) + " " for _ in range(r.randint(0, 5)))
         kind = r.choice((*KINDS, None, None))
@@ -206,9 +212,24 @@ def _states(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.nda
     return into, both, both @ p["v"] + p["c"], kept
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean negative log-likelihood of the tags. x, tags: (T, N)."""
+    k, batch = len(_TAGS), x.shape[1]
+    into, both, scores, kept = _states(p, x)
+    marginal, pairs = _crf(scores, p["t"])
+    d = (marginal - np.eye(k, dtype=scores.dtype)[tags]) / batch
+    g = {"t": pairs / batch, "v": both.reshape(-1, 2 * _HIDDEN).T @ d.reshape(-1, k), "c": d.sum(axis=(0, 1))}
+    np.add.at(g["t"], (tags[:-1].ravel(), tags[1:].ravel()), -1.0 / batch)
+    back = d @ p["v"].T
+    g["w"], g["u"], g["b"], dx = _lstm_back(into, p["w"], p["u"], kept, np.stack([back[:, :, :_HIDDEN], back[::-1, :, _HIDDEN:]]))
+    g["e"] = np.zeros_like(p["e"])
+    np.add.at(g["e"], x, dx[0] + dx[1, ::-1])
+    return g
+
+
 @functools.lru_cache(maxsize=2)
-def trained(steps: int = 400, batch: int = 48, length: int = 64, seed: int = 7) -> dict[str, np.ndarray]:
-    """The tagger's parameters; the same for the same arguments. The labelled sample is steps * batch texts."""
+def trained(steps: int = 400, batch: int = 48, length: int = 64, seed: int = 7, without: frozenset[str] = frozenset()) -> dict[str, np.ndarray]:
+    """The tagger's parameters; the same for the same arguments. The labelled sample is steps * batch texts, none with the forms of without."""
     r, rng = random.Random(seed), np.random.default_rng(seed)
     k = len(_TAGS)
     shapes = {"e": (_N_CODES, _EMBED), "w": (2, _EMBED, 4 * _HIDDEN), "u": (2, _HIDDEN, 4 * _HIDDEN), "v": (2 * _HIDDEN, k)}
@@ -216,22 +237,14 @@ def trained(steps: int = 400, batch: int = 48, length: int = 64, seed: int = 7)
     p |= {n: np.zeros(s, np.float32) for n, s in {"b": (2, 4 * _HIDDEN), "c": k, "t": (k, k)}.items()}
     first, second = {n: np.zeros_like(a) for n, a in p.items()}, {n: np.zeros_like(a) for n, a in p.items()}
     for step in range(1, steps + 1):
-        made = [labelled(r, length) for _ in range(batch)]
+        made = [labelled(r, length, without) for _ in range(batch)]
         x = np.stack([codes(t) for t, _ in made], axis=1)
         tags = np.zeros((length, batch), dtype=np.int64)
         for n, (_, spans) in enumerate(made):
             for kind, start, end in spans:
                 tags[start:end, n] = _TAGS.index(f"I-{kind}")
                 tags[start, n] = _TAGS.index(f"B-{kind}")
-        into, both, scores, kept = _states(p, x)
-        marginal, pairs = _crf(scores, p["t"])
-        d = (marginal - np.eye(k, dtype=np.float32)[tags]) / batch
-        g = {"t": pairs / batch, "v": both.reshape(-1, 2 * _HIDDEN).T @ d.reshape(-1, k), "c": d.sum(axis=(0, 1))}
-        np.add.at(g["t"], (tags[:-1].ravel(), tags[1:].ravel()), -1.0 / batch)
-        back = d @ p["v"].T
-        g["w"], g["u"], g["b"], dx = _lstm_back(into, p["w"], p["u"], kept, np.stack([back[:, :, :_HIDDEN], back[::-1, :, _HIDDEN:]]))
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], x, dx[0] + dx[1, ::-1])
+        g = gradients(p, x, tags)
         rate = 0.02 * min(1.0, step / 20) * (0.1 ** (step / steps))
         for n in p:
             grad = np.clip(g[n], -5, 5)
@@ -241,6 +254,22 @@ def trained(steps: int = 400, batch: int = 48, length: int = 64, seed: int = 7)
     return p
 
 
+def kept_parameters(spark: SparkSession, **how: object) -> dict[str, np.ndarray]:
+    """trained(**how), from the shared folder if a session has left it there: by the arguments and this module's text, so that other code trains anew."""
+    key = hashlib.sha256(repr(sorted(how.items())).encode() + Path(__file__).read_bytes()).hexdigest()[:24]
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pii-{key}-*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    if found:
+        rows = spark.read.parquet(found[0].getPath().getParent().toString()).collect()
+        return {r["name"]: np.array(r["numbers"], dtype=np.float32).reshape(r["shape"]) for r in rows}
+    p = trained(**how)
+    rows = [(n, list(a.shape), a.ravel().tolist()) for n, a in p.items()]
+    # A folder of its own: another session that trains at the same time is not in the way.
+    spark.createDataFrame(rows, "name string, shape array<int>, numbers array<float>").coalesce(1).write.parquet(f"{shared_dir(spark)}/pii-{key}-{uuid.uuid4().hex}")
+    return p
+
+
 def decoded(p: dict[str, np.ndarray], windows: list[str]) -> list[list[tuple[float, Span]]]:
     """Spans of each window with their scores, by Viterbi. The score of a span is its length times its mean margin over O."""
     length = max(map(len, windows))
@@ -361,7 +390,7 @@ def further_spans(p: dict[str, np.ndarray], texts: list[str], bases: list[list[S
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans."""
-    model = docs.sparkSession.sparkContext.broadcast(trained())
+    model = docs.sparkSession.sparkContext.broadcast(kept_parameters(docs.sparkSession))
 
     def finder(texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
         bases = [base_spans(t) for t in texts]
