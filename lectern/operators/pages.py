@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lectern import constants as K
 from lectern.functions import text as X
 from lectern.operators import structure
+from lectern.operators.joins import attached, cut
+from lectern.operators.prefix import numbered
 
 HEADING_RATIO = 1.18
 #: OCR: headings and body stand between these shares of the page's height; a heading is so much higher than body lines.
@@ -29,19 +31,23 @@ def headings(lines: DataFrame, sizes: DataFrame, book: str = "book") -> DataFram
 
 
 def span_styles(spans: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("book", "page", "block")) -> DataFrame:
-    """spans with style: bold and italic by flags, raised or lowered against the block's baseline (of its largest span), large or small against the body."""
-    base = F.max_by("y", F.struct("size", -F.col("ord"))).over(Window.partitionBy(*keys))
-    shift = (base - F.col("y")) / F.col("size")
-    ratio = F.col("size") / F.col("body")
+    """spans (keys, ord, text, size, flags, y [, font]) with style: bold and italic by flags or the font's name; raised or lowered by flags, or against the block's baseline (that of its
+    largest span, the first of several); large or small against the body, unless raised or lowered."""
+    font = F.lower(F.coalesce("font", F.lit(""))) if "font" in spans.columns else F.lit("")
+    known = F.when(F.col("size") > 0, F.col("y"))
+    base = F.max_by(known, F.when(known.isNotNull(), F.struct("size", -F.col("ord")))).over(Window.partitionBy(*keys))
+    shift, ratio = (base - F.col("y")) / F.nullif("size", F.lit(0)), F.nullif("size", F.lit(0)) / F.nullif("body", F.lit(0))
+    flagged = F.col("flags").bitwiseAND(1) != 0
+    up, down = F.coalesce(flagged | (shift > VERTICAL_RATIO), F.lit(False)), F.coalesce(~flagged & (shift < -VERTICAL_RATIO), F.lit(False))
     tokens = F.array_compact(
         F.array(
-            F.when(F.col("flags").bitwiseAND(16) != 0, "b"),
-            F.when(F.col("flags").bitwiseAND(2) != 0, "i"),
-            F.when(shift > VERTICAL_RATIO, "sup").when(shift < -VERTICAL_RATIO, "sub"),
-            F.when(ratio >= LARGE, "lg").when(ratio <= SMALL, "sm"),
+            F.when((F.col("flags").bitwiseAND(16) != 0) | font.rlike("bold|black$|-heavy$"), "b"),
+            F.when((F.col("flags").bitwiseAND(2) != 0) | font.rlike("italic|oblique"), "i"),
+            F.when(up, "sup").when(down, "sub"),
+            F.when(up | down, None).when(ratio >= LARGE, "lg").when(ratio <= SMALL, "sm"),
         )
     )
-    return spans.join(sizes, keys[0]).withColumn("style", tokens).drop("body")
+    return attached(spans, sizes, [keys[0]]).withColumn("style", tokens).drop("body")
 
 
 def in_band(y0: Column, y1: Column, height: Column) -> Column:
@@ -79,10 +85,16 @@ def ocr_book(ocr_lines: DataFrame, book: str = "book") -> DataFrame:
     return body.unionByName(titles).join(offset, book, "left").withColumn("page", F.greatest(F.col("page") + F.coalesce("page_offset", F.lit(0)), F.lit(1))).drop("page_offset")
 
 
-def without_title(paragraphs: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
-    """paragraphs whose text does not repeat the title before it."""
-    t = F.col(title)
-    return paragraphs.withColumn(text, F.when((F.length(t) > 0) & F.startswith(F.col(text), t) & (F.length(text) > F.length(t)), X.strip(F.substr(F.col(text), F.length(t) + 1))).otherwise(F.col(text)))
+def without_title(paragraphs: DataFrame, title: str = "title", text: str = "text", runs: str | None = None) -> DataFrame:
+    """paragraphs whose text does not repeat the title before it, whatever spaces either has; a text that is the title alone stays. runs lose the same characters."""
+    solid = F.length(F.replace(F.col(title), F.lit(" "), F.lit("")))
+    same = (solid > 0) & F.startswith(F.replace(F.col(text), F.lit(" "), F.lit("")), F.replace(F.col(title), F.lit(" "), F.lit("")))
+    # As many signs as the title has, with the spaces before, between and after them.
+    lost = F.length(F.call_function("regexp_extract", F.col(text), F.concat(F.lit("^(?: *[^ ]){"), solid.cast("string"), F.lit("} *")), F.lit(0)))
+    out = paragraphs.withColumn("__lost", F.when(same, lost).otherwise(0)).withColumn("__lost", F.when(F.col("__lost") < F.length(text), F.col("__lost")).otherwise(0))
+    if runs:
+        out = out.withColumn(runs, F.when(F.col("__lost") > 0, stripped_runs(F.col(runs), F.col("__lost"))).otherwise(F.col(runs)))
+    return out.withColumn(text, F.substr(F.col(text), F.col("__lost") + 1)).drop("__lost")
 
 
 def bookmarks(marks: DataFrame, book: str = "book") -> DataFrame:
@@ -112,27 +124,37 @@ def chapter_starts(lines: DataFrame, marks: DataFrame, pages: DataFrame, title:
     told = outline.unionByName(large)
     whole = pages.join(told.select(book).distinct(), book, "left_anti").select(book, F.lit(0).alias("page"), F.lit(title).alias("title"), F.lit(0.0).alias("place"))
     order = Window.partitionBy(book).orderBy("page", "place")
-    numbered = told.unionByName(whole).withColumn("num", F.row_number().over(order)).withColumn("next", F.lead("page").over(order)).join(pages, book)
-    return numbered.select(book, "num", "title", F.col("page").alias("page_start"), F.greatest(F.coalesce(F.col("next") - 1, F.col("pages") - 1), F.col("page")).cast("int").alias("page_end"))
+    placed = told.unionByName(whole).withColumn("num", F.row_number().over(order)).withColumn("next", F.lead("page").over(order)).join(pages, book)
+    return placed.select(book, "num", "title", F.col("page").alias("page_start"), F.greatest(F.coalesce(F.col("next") - 1, F.col("pages") - 1), F.col("page")).cast("int").alias("page_end"))
 
 
-def page_book(lines: DataFrame, marks: DataFrame, assets: DataFrame, title: str = K.NO_TITLE, book: str = "book") -> DataFrame:
+def page_book(lines: DataFrame, marks: DataFrame, assets: DataFrame, title: str = K.NO_TITLE, book: str = "book", spans: DataFrame | None = None) -> DataFrame:
     """book, num, title, page_start, page_end, seq, page (from 1), kind, text: a book of pages, with images and tables where they stand.
 
     assets: book, page, y, kind (image or table), text, area. Small images go, and tables of books over TABLE_PAGES pages. Lines that recur on a chapter's pages
-    go, lines are joined to paragraphs page by page, and a chapter's first paragraph loses the chapter's title. Chapters that share a page both have it."""
+    go, lines are joined to paragraphs page by page, and a chapter's first paragraph loses the chapter's title. Chapters that share a page both have it.
+    spans (book, page, block, ord of the line, span, text, size, flags, y [, font]): with them a column runs has each paragraph's text in pieces of one style."""
     counted = lines.select(book, "page").unionByName(assets.select(book, "page")).groupBy(book).agg((F.max("page") + 1).cast("int").alias("pages"))
-    starts = chapter_starts(lines, marks, counted, title, book)
-    inside = (F.col("l.page") >= F.col("s.page_start")) & (F.col("l.page") <= F.col("s.page_end")) & (F.col(f"l.{book}") == F.col(f"s.{book}"))
-    key = F.struct(F.col(f"l.{book}").alias("book"), "s.num")
-    placed = lines.alias("l").join(starts.alias("s"), inside).select(key.alias("k"), "l.page", "l.y", "l.ord", "l.text")
+    starts = cut(chapter_starts(lines, marks, counted, title, book))
+    # A chapter's pages, so that lines and assets meet their chapters by page.
+    held = cut(starts.select(book, "num", F.explode(F.sequence("page_start", "page_end")).alias("page")))
+    placed = lines.join(held, [book, "page"]).select(F.struct(F.col(book).alias("book"), "num").alias("k"), "page", "y", "ord", "text")
     margins = structure.margin_lines(placed, "k")
-    bare = placed.withColumn("line", X.line_form(F.col("text"))).join(margins, ["k", "line"], "left_anti").withColumn("at", F.struct("y", "ord")).withColumn("p", F.struct("k", "page"))
-    body = structure.reflow(bare, None, "p", "at", least=["y"]).select("p.k", "p.page", "y", F.col("paragraph").alias("ord"), F.when(X.looks_like_formula(F.col("text")), "formula").otherwise("p").alias("kind"), "text")
+    bare = placed.withColumn("line", X.line_form(F.col("text"))).join(margins, ["k", "line"], "left_anti").withColumn("p", F.struct("k", "page"))
+    bare = bare.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("y", "ord")))
+    if spans is None:
+        body = structure.reflow(bare, None, "p", "n", least=["y"])
+    else:
+        bare = cut(bare)
+        styled = span_styles(spans.withColumnRenamed("ord", "__line").withColumnRenamed("span", "ord"), body_size(lines, book), (book, "page", "block"))
+        runs = bare.select("p", "n", F.col("k.book").alias(book), "page", F.col("ord").alias("__line")).join(styled.select(book, "page", "__line", F.col("ord").alias("span"), "text", "style"), [book, "page", "__line"])
+        body = structure.reflow_runs(bare, runs.select("p", "n", "span", "text", "style"), None, "p", "n", least=["y"])
+    more = ["runs"] if spans is not None else []
+    body = body.select("p.k", "p.page", "y", F.col("paragraph").alias("ord"), F.when(X.looks_like_formula(F.col("text")), "formula").otherwise("p").alias("kind"), "text", *more)
     used = assets.join(counted, book).where(((F.col("kind") == "image") & (F.col("area") >= 4000)) | ((F.col("kind") == "table") & (F.col("pages") <= K.TABLE_PAGES)))
-    shown = used.alias("l").join(starts.alias("s"), inside).select(key.alias("k"), "l.page", F.col("l.y"), F.lit(1 << 40).alias("ord"), "l.kind", F.when(F.col("l.kind") == "image", K.IMAGE_TEXT).otherwise(F.col("l.text")).alias("text"))
-    every = body.unionByName(shown).withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("page", "y", "ord", "kind", "text")))
-    named = every.select(F.col("k.book").alias(book), "k.num", "seq", "page", "kind", "text").join(starts, [book, "num"])
-    first = without_title(named).select(*named.columns)
+    shown = used.join(held, [book, "page"]).select(F.struct(F.col(book).alias("book"), "num").alias("k"), "page", "y", F.lit(1 << 40).alias("ord"), "kind", F.when(F.col("kind") == "image", K.IMAGE_TEXT).otherwise(F.col("text")).alias("text"), *[F.array().cast("array<struct<text:string,style:array<string>>>").alias(c) for c in more])
+    every = numbered(body.unionByName(shown), ["k"], ["page", "y", "ord", "kind", "text"], "seq")
+    named = every.select(F.col("k.book").alias(book), "k.num", "seq", "page", "kind", "text", *more).join(starts, [book, "num"])
+    first = without_title(named, runs="runs" if more else None).select(*named.columns)
     whole = first.where("seq = 1").unionByName(named.where("seq > 1"))
-    return whole.select(book, "num", "title", (F.col("page_start") + 1).alias("page_start"), (F.col("page_end") + 1).alias("page_end"), "seq", (F.col("page") + 1).cast("int").alias("page"), "kind", "text")
+    return whole.select(book, "num", "title", (F.col("page_start") + 1).alias("page_start"), (F.col("page_end") + 1).alias("page_end"), "seq", (F.col("page") + 1).cast("int").alias("page"), "kind", "text", *more)

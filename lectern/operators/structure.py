@@ -142,17 +142,62 @@ def page_set(paragraphs: DataFrame, keys: Sequence[str], page: str = "page") ->
     return paragraphs.groupBy(*keys).agg(F.sort_array(F.collect_set(F.when(F.col(page) != 0, F.col(page)))).alias("pages"))
 
 
-def reflow(page_lines: DataFrame, margins: DataFrame | None = None, book: str = "book", order: str = "pos", text: str = "text", least: Sequence[str] = ()) -> DataFrame:
-    """book, paragraph, text, and of the columns least their least value in the paragraph: lines joined to paragraphs. A paragraph ends at a blank line and after a line over 6 characters that ends a sentence; margins and noise go before."""
+def paragraph_lines(page_lines: DataFrame, margins: DataFrame | None = None, book: str = "book", order: str = "pos", text: str = "text") -> DataFrame:
+    """The lines that paragraphs are made of, with t (their text, bare) and paragraph (numbered from 0 in a book). A paragraph ends at a blank line and after a line over 6
+    characters that ends a sentence; margins and noise go before. order: a line's number in its book."""
     bare = page_lines.withColumn("t", X.strip(F.col(text)))
     if margins is not None:
-        bare = bare.withColumn("line", X.line_form(F.col("t"))).join(margins, [book, "line"], "left_anti")
+        bare = bare.withColumn("line", X.line_form(F.col("t"))).join(margins, [book, "line"], "left_anti").drop("line")
     used = bare.where(~X.is_noise_line(F.col("t")) | (F.col("t") == ""))
     ends = (F.col("t") == "") | (X.ends_sentence(F.col("t")) & (F.length("t") > 6))
-    parted = running(used, [book], order, {"paragraph": ends.cast("int")}, before=True)
-    joined = parted.where(F.col("t") != "").groupBy(book, "paragraph").agg(F.array_sort(F.collect_list(F.struct(order, "t"))).alias("parts"), *[F.min(c).alias(c) for c in least])
+    return running(used, [book], order, {"paragraph": ends.cast("int")}, before=True).where(F.col("t") != "")
+
+
+def tidied(body: Column) -> Column:
+    """A paragraph's text without what a page's foot has left at its end, and without white space around."""
+    return X.strip(F.regexp_replace(body, "(?U)" + K.URL_AFTER_CJK, ""))
+
+
+def reflow(page_lines: DataFrame, margins: DataFrame | None = None, book: str = "book", order: str = "pos", text: str = "text", least: Sequence[str] = ()) -> DataFrame:
+    """book, paragraph, text, and of the columns least their least value in the paragraph: lines joined to paragraphs (see paragraph_lines)."""
+    parted = paragraph_lines(page_lines, margins, book, order, text)
+    joined = parted.groupBy(book, "paragraph").agg(F.array_sort(F.collect_list(F.struct(order, "t"))).alias("parts"), *[F.min(c).alias(c) for c in least])
     body = F.array_join(F.transform("parts", lambda p: p["t"]), "")
-    return joined.select(book, "paragraph", X.strip(F.regexp_replace(body, "(?U)" + K.URL_AFTER_CJK, "")).alias("text"), *least).where(F.col("text") != "")
+    return joined.select(book, "paragraph", tidied(body).alias("text"), *least).where(F.col("text") != "")
+
+
+def reflow_runs(page_lines: DataFrame, runs: DataFrame, margins: DataFrame | None = None, book: str = "book", order: str = "pos", text: str = "text", least: Sequence[str] = ()) -> DataFrame:
+    """As reflow, with runs (array of text and style) whose texts are the paragraph's text when joined.
+
+    runs: book, order, span, text, style: a line's runs in order. Each has its place in the paragraph's characters (a running sum); what the text loses at its ends
+    (white space, an address), the runs lose by place. A line without runs is one without style. The paragraph's text is that of its runs, with the white space that
+    they have at the ends of lines."""
+    lines = paragraph_lines(page_lines, margins, book, order, text)
+    given = runs.select(book, order, F.col("span").alias("__span"), F.col("text").alias("__text"), "style")
+    none = F.array().cast("array<string>")
+    parts = lines.join(given, [book, order], "left").select(book, "paragraph", order, F.coalesce("__span", F.lit(0)).alias("__span"), F.coalesce("__text", "t").alias("__text"), F.coalesce("style", none).alias("style"), *least)
+    place = Window.partitionBy(book, "paragraph").orderBy(order, "__span").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut(parts.withColumn("__at", F.coalesce(F.sum(F.length("__text")).over(place), F.lit(0))))
+    joined = parts.groupBy(book, "paragraph").agg(F.array_sort(F.collect_list(F.struct("__at", order, "__span", "__text"))).alias("__parts"), *[F.min(c).alias(c) for c in least])
+    body = F.array_join(F.transform("__parts", lambda p: p["__text"]), "")
+    texts = joined.withColumn("__body", body).select(book, "paragraph", tidied(F.col("__body")).alias("text"), F.length(F.regexp_extract("__body", r"(?U)^[\s\x1c-\x1f]*", 0)).alias("__from"), *least).where(F.col("text") != "")
+    # Of a run's characters those from __from on, and no more than the text has.
+    start, end = F.greatest(F.col("__from") - F.col("__at"), F.lit(0)), F.least(F.col("__from") + F.length("text") - F.col("__at"), F.length("__text"))
+    cropped = attached(parts.select(book, "paragraph", "__at", order, "__span", "__text", "style"), texts.select(book, "paragraph", "text", "__from"), [book, "paragraph"]).where(F.col("text").isNotNull())
+    cropped = cropped.select(book, "paragraph", F.struct("__at", order, "__span").alias("ord"), F.substr("__text", (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")).alias("text"), "style")
+    return attached(texts.drop("__from"), merged_runs(cropped, [book, "paragraph"]), [book, "paragraph"])
+
+
+def merged_runs(runs: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """keys, runs: a paragraph's runs in order, adjacent ones of one style joined, empty ones gone."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    live = runs.where(F.col("text") != "").withColumn("__new", (~F.col("style").eqNullSafe(F.lag("style").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
+    numbered = live.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]), "")
+    joined = numbered.groupBy(*keys, "__run").agg(text.alias("text"), F.first("style").alias("style"))
+    lists = joined.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__run", "text", "style"))), lambda s: F.struct(s["text"].alias("text"), s["style"].alias("style"))).alias("runs"))
+    none = F.array().cast("array<struct<text:string,style:array<string>>>")
+    return attached(runs.select(*keys).distinct(), lists, keys).select(*keys, F.coalesce("runs", none).alias("runs"))
 
 
 def probe(pages: DataFrame, book: str = "book") -> DataFrame:

@@ -179,10 +179,25 @@ def styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven parts in a row are a paragraph's runs; adjacent runs of one style are joined."""
     k, size = F.col("p_partkey"), F.col("p_size")
     runs = table(spark, sf_dir, "part").select(F.floor(k / 7).alias("paragraph"), (F.floor(k / 7) % 5).alias("book"), (k % 7).alias("ord"), F.when(k % 5 == 4, "").otherwise(F.concat(F.lit("r"), (k % 7).cast("string"))).alias("text"), F.floor(size / 10).cast("double").alias("size"), (k % 4 < 2).alias("bold"), (size % 5 == 0).alias("italic"), F.when(size % 7 == 0, "superscript").alias("position"))
-    merged = files.merged_runs(files.run_styles(runs), ["paragraph"])
+    merged = structure.merged_runs(files.run_styles(runs), ["paragraph"])
     return merged.select("paragraph", F.array_join(F.transform("runs", lambda r: F.concat(r["text"], F.lit(":"), F.array_join(r["style"], ","))), "|").alias("runs"))
 
 
+def paragraph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a document is two spans, of which some are bold, italic, large or raised; paragraphs keep them."""
+    lines = structure.lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), "text"))
+    half, pos = F.floor(F.length("raw") / 2).cast("int"), F.col("pos")
+    raised = pos % 5 == 1
+    left = F.struct(F.lit(0).alias("ord"), F.substr("raw", F.lit(1), half).alias("text"), F.when(pos % 7 == 2, 20.0).otherwise(10.0).alias("size"), F.when(pos % 2 == 0, 16).otherwise(0).alias("flags"), F.lit(100.0).alias("y"))
+    right = F.struct(F.lit(1).alias("ord"), F.substr("raw", half + 1).alias("text"), F.when(raised, 5.0).otherwise(10.0).alias("size"), F.when(pos % 3 == 0, 2).otherwise(0).alias("flags"), F.when(raised, 90.0).otherwise(100.0).alias("y"))
+    spans = lines.select("book", "pos", F.inline(F.array(left, right)))
+    styled = pages.span_styles(spans, lines.select("book", F.lit(10.0).alias("body")).distinct(), ("book", "pos")).withColumnRenamed("ord", "span")
+    found = structure.reflow_runs(lines, styled, text="raw")
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(r["text"], F.lit(":"), F.array_join(r["style"], ","))), "|")
+    same = F.array_join(F.transform("runs", lambda r: r["text"]), "") == F.col("text")
+    return found.select("book", "paragraph", F.md5("text").alias("text"), F.md5(shown).alias("runs"), F.size("runs").alias("n"), same.alias("same"))
+
+
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third text has a reply of a model."""
     asked = tools.translation_requests(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text"))
@@ -245,7 +260,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         concept_paragraphs, body_paragraphs, formula_lines, clean_names, outline_a, reading_order, tidy_forms, sentences, clause_names, seeds, small_numbers, short_forms, numbered_blocks, outline_levels, bookmark_rows,
-        notes_owned, model_concepts, book_cards, shown_segments, dispositions, cross_chapter, task_states, content_kinds, page_entries, styled_runs, translations, quiz_prompts, persisted_search, grown_index_search, stale_books,
+        notes_owned, model_concepts, book_cards, shown_segments, dispositions, cross_chapter, task_states, content_kinds, page_entries, styled_runs, translations, quiz_prompts, persisted_search, grown_index_search, stale_books, paragraph_runs,
     )
 }
 
@@ -328,6 +343,21 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY paragraph ORDER BY ord) AS run FROM
 m AS (SELECT paragraph, run, string_agg(text, '' ORDER BY ord) || ':' || any_value(style) AS t FROM g GROUP BY ALL),
 o AS (SELECT paragraph, string_agg(t, '|' ORDER BY run) AS runs FROM m GROUP BY paragraph)
 SELECT paragraph, coalesce(runs, '') AS runs FROM (SELECT DISTINCT paragraph FROM r) LEFT JOIN o USING (paragraph)""",
+    "paragraph_runs": rf"""WITH {_LINES}, t AS (SELECT book, pos, raw, {_trim('raw')} AS t FROM l),
+u AS (SELECT *, t = '' OR ((regexp_matches(t, '[。．？！；：!?;”』」…]$') OR regexp_matches(t, '(^|[^0-9])\.\s*$')) AND length(t) > 6) AS ends FROM t
+      WHERE NOT ((length(t) <= 8 AND regexp_matches(t, '^[\d\s\-—.·]+$')) OR regexp_matches(t, '(?:\.\s*){{5,}}|…{{4,}}|⋯{{4,}}') OR regexp_matches(t, '^(?:https?://|www\.)\S+$')) OR t = ''),
+p AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS paragraph FROM u),
+q AS (SELECT * FROM p WHERE t <> ''),
+r AS (SELECT book, paragraph, pos, 0 AS span, substr(raw, 1, length(raw) // 2) AS text, array_to_string(list_filter([CASE WHEN pos % 2 = 0 THEN 'b' END, CASE WHEN pos % 7 = 2 THEN 'lg' END], lambda x: x IS NOT NULL), ',') AS style FROM q
+      UNION ALL SELECT book, paragraph, pos, 1, substr(raw, length(raw) // 2 + 1), array_to_string(list_filter([CASE WHEN pos % 3 = 0 THEN 'i' END, CASE WHEN pos % 5 = 1 THEN 'sup' END], lambda x: x IS NOT NULL), ',') FROM q),
+a AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY book, paragraph ORDER BY pos, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM r),
+b AS (SELECT book, paragraph, string_agg(text, '' ORDER BY pos, span) AS body FROM r GROUP BY ALL),
+c AS (SELECT book, paragraph, length(body) - length(regexp_replace(body, '^\s+', '')) AS start, {_trim('body')} AS kept FROM b),
+d AS (SELECT book, paragraph, pos, span, style, kept, substr(text, CAST(greatest(start - place, 0) + 1 AS BIGINT), CAST(greatest(least(start + length(kept) - place, length(text)) - greatest(start - place, 0), 0) AS BIGINT)) AS text FROM a JOIN c USING (book, paragraph) WHERE kept <> ''),
+e AS (SELECT *, CAST(style IS DISTINCT FROM lag(style) OVER w OR row_number() OVER w = 1 AS INT) AS new FROM d WHERE text <> '' WINDOW w AS (PARTITION BY book, paragraph ORDER BY pos, span)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY book, paragraph ORDER BY pos, span) AS run FROM e),
+m AS (SELECT book, paragraph, run, any_value(kept) AS kept, string_agg(text, '' ORDER BY pos, span) || ':' || any_value(style) AS t FROM g GROUP BY ALL)
+SELECT book, CAST(paragraph AS BIGINT) AS paragraph, md5(any_value(kept)) AS text, md5(string_agg(t, '|' ORDER BY run)) AS runs, CAST(count(*) AS INT) AS n, true AS same FROM m GROUP BY ALL""",
     "translations": """WITH t AS (SELECT doc_id AS request_id, CASE WHEN doc_id % 3 = 0 THEN length('a reply of the model') ELSE length('（未接入大模型，无法翻译。下面是原文，请自行对照阅读。）') + 1 + least(length(text), 3000) END AS chars FROM documents)
 SELECT request_id, CAST(ceil(chars / 14.0) + 2 AS BIGINT) AS events, CAST(chars AS BIGINT) AS chars, 'zh' AS language FROM t""",
     "quiz_prompts": """WITH n AS (SELECT DISTINCT p_size % 5 AS chapter_id, p_type AS concept FROM part),

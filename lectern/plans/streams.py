@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.plans import learning as batch
@@ -36,11 +38,59 @@ def best_score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("book").agg(F.max("best").alias("best"), F.max("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (mastery_stream, dedupe_stream, windows_stream, best_score_stream)}
+PARTS = 6
+
+
+def _files(spark: SparkSession, sf_dir: str, *parts: Column) -> tuple[DataFrame, DataFrame]:
+    """The events table (raw) as a stream of PARTS files and a heartbeat, and as it is. parts: what deals events to files; by default every file has events of all times."""
+    events = table(spark, sf_dir, "events")
+    folder = S.dealt(events, parts[0] if parts else F.pmod(F.col("event_id") * 7, F.lit(PARTS)), PARTS)
+    return S.source(spark, f"{folder}/", events.schema), events
+
+
+def progress_throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What progress_throttle gives, from files that are out of order."""
+    stream, _ = _files(spark, sf_dir)
+    done = S.drained(S.throttled(stream, "user_id", seconds=86400, quiet=400 * 86400, delay="90 days"), "append", "throttle")
+    return done.select("event_id", F.col("user_id").alias("book"))
+
+
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What debounce_sessions gives, from files that are out of order."""
+    stream, _ = _files(spark, sf_dir)
+    done = S.drained(S.sessions(stream, "user_id", pause="6 hours", delay="90 days"), "append", "sessions")
+    return done.select(F.col("user_id").alias("book"), F.unix_timestamp("start").alias("start"), "n", "last")
+
+
+def answers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error (a question) with the views (what is read for it) of the same user within the day after it: two streams."""
+    stream, events = _files(spark, sf_dir)
+    beat = F.col("event_type").isNull()
+    asked, read = stream.where((F.col("event_type") == "error") | beat), stream.where((F.col("event_type") == "view") | beat)
+    return S.drained(S.followed(asked, read, "user_id", "1 DAY", delay="90 days"), "append", "answers")
+
+
+def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By batch and kind, rows that came in time and too late for a delay of five days. Files have events of their own time, and each seventh event two files late."""
+    bounds = table(spark, sf_dir, "events").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
+    own = F.floor((F.col("event_id") - bounds["a"]) * PARTS / (bounds["b"] - bounds["a"] + 1))
+    stream, _ = _files(spark, sf_dir, F.least(own + F.when(F.col("event_id") % 7 == 0, 2).otherwise(0), F.lit(PARTS - 1)))
+    on_time, late = S.split_late(stream, datetime.timedelta(days=5))
+    both = on_time.withColumn("late", F.lit(0)).unionByName(late.withColumn("late", F.lit(1))).where(F.col("event_type").isNotNull())
+    return both.groupBy("batch", F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("late").alias("late"))
+
+
+QUERIES = {f.__name__: f for f in (mastery_stream, dedupe_stream, windows_stream, best_score_stream, progress_throttle_stream, sessions_stream, answers_stream, late_stream)}
 
 ORACLE = {
     "mastery_stream": f"WITH {batch._EVENTS}, {batch._mastery_sql('m')} SELECT book, chapter, read, questions, round(accuracy, 9) AS accuracy, completed, mastery FROM ms",
     "dedupe_stream": f"WITH {batch._EVENTS} SELECT DISTINCT book, chapter, anchor_id FROM e WHERE kind = 'read'",
     "windows_stream": f"WITH {batch._EVENTS} SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, kind, count(*) AS n FROM e GROUP BY ALL",
     "best_score_stream": f"WITH {batch._EVENTS} SELECT book, max(CAST(anchor_id AS DOUBLE)) AS best, count(*) AS n FROM e GROUP BY book",
+    "progress_throttle_stream": batch.ORACLE["progress_throttle"],
+    "sessions_stream": batch.ORACLE["debounce_sessions"],
+    "answers_stream": "SELECT a.user_id, a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'view' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 DAY",
+    "late_stream": f"""WITH f AS (SELECT *, least((event_id - (SELECT min(event_id) FROM events)) * {PARTS} // (SELECT max(event_id) - min(event_id) + 1 FROM events) + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END, {PARTS - 1}) AS batch FROM events),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM f GROUP BY batch)
+SELECT CAST(batch AS BIGINT) AS batch, event_type AS kind, count(*) AS n, CAST(sum(CASE WHEN ts < seen - INTERVAL 5 DAYS THEN 1 ELSE 0 END) AS BIGINT) AS late FROM f JOIN m USING (batch) GROUP BY ALL""",
 }

@@ -199,7 +199,7 @@ def docx_content(rows: DataFrame) -> DataFrame:
     """book, pos, runs (text, style; empty where no run has a style) of the paragraphs of docx_rows."""
     split = rows.where(F.col("kind") == "p").select("book", "pos", F.posexplode_outer("runs").alias("ord", "r")).select("book", "pos", "ord", "r.*")
     styled = run_styles(split.where(F.col("text").isNotNull()))
-    merged = merged_runs(styled, ["book", "pos"])
+    merged = structure.merged_runs(styled, ["book", "pos"])
     plain = ~F.exists("runs", lambda r: F.size(r["style"]) > 0)
     return merged.select("book", "pos", F.when(plain, F.slice("runs", 1, 0)).otherwise(F.col("runs")).alias("runs"))
 
@@ -233,18 +233,6 @@ def run_styles(runs: DataFrame, large: float = 1.15, small: float = 0.9, book: s
     return runs.join(body_size(runs, book), book, "left").withColumn("style", tokens).drop("body")
 
 
-def merged_runs(runs: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """keys, runs: a paragraph's runs in order, adjacent ones of one style joined, empty ones gone."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    live = runs.where(F.col("text") != "").withColumn("__new", (~F.col("style").eqNullSafe(F.lag("style").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
-    numbered = live.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]), "")
-    joined = numbered.groupBy(*keys, "__run").agg(text.alias("text"), F.first("style").alias("style"))
-    lists = joined.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__run", "text", "style"))), lambda s: F.struct(s["text"].alias("text"), s["style"].alias("style"))).alias("runs"))
-    none = F.array().cast("array<struct<text:string,style:array<string>>>")
-    return runs.select(*keys).distinct().join(lists, keys, "left").select(*keys, F.coalesce("runs", none).alias("runs"))
-
-
 def page_items(lines: DataFrame, images: DataFrame, tables: DataFrame, keys: list[str], least_area: float = 4000.0) -> DataFrame:
     """keys, ord, kind, text: a page's lines, images (not the small ones) and tables from top to bottom."""
     parts = [lines.select(*keys, "y", F.lit("line").alias("kind"), "text"), images.where(F.col("area") >= least_area).select(*keys, "y", F.lit("image").alias("kind"), F.lit("").alias("text")), tables.select(*keys, "y", F.lit("table").alias("kind"), "text")]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions import text as X
@@ -27,10 +31,37 @@ def drained(stream: DataFrame, mode: str, kind: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/last" if mode == "complete" else f"{out}/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    with rocksdb(spark):
+        _run(stream, mode, check, write)
     return spark.read.parquet(f"{out}/last" if mode == "complete" else out).drop("batch")
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB: on disk, so that it may pass the memory, with what changes written to the checkpoint folder."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def _run(stream: DataFrame, mode: str, check: str, write) -> None:  # noqa: ANN001
+    stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def dealt(events: DataFrame, part: Column, parts: int, ts: str = "ts") -> str:
+    """A folder with events as so many files, which a stream reads in their order, and a last one with a single heartbeat: a row of nulls but for a time ten years on, which ends all that waits for time to pass."""
+    folder = shared_folder(events.sparkSession, "dealt")
+    for at in range(parts):
+        events.where(part == at).coalesce(1).write.mode("append").parquet(folder)
+    end = events.agg((F.max(ts) + F.expr("INTERVAL 10 YEARS")).cast(events.schema[ts].dataType).alias(ts))
+    end.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]).write.mode("append").parquet(folder)
+    return folder
+
+
 def first_reads(events: DataFrame, delay: str = "60 days") -> DataFrame:
     """The first event of each anchor read; state older than the delay is dropped."""
     return events.where(F.col("kind") == "read").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["book", "chapter", "anchor_id"])
@@ -70,3 +101,102 @@ def best_so_far(scores: DataFrame) -> DataFrame:
         yield pd.DataFrame({"book": [key[0]], "best": [best], "n": [n]})
 
     return scores.groupBy("book").applyInPandasWithState(fold, "book long, best double, n long", "best double, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+class Throttle(StatefulProcessor):
+    """A key's first event of each interval, once no earlier one can come, and its last event, once none has come for so long. Then the key's state is gone."""
+
+    def __init__(self, seconds: int, quiet: int) -> None:
+        self.seconds, self.quiet = seconds, quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        event = T.StructType([T.StructField("ts", T.LongType()), T.StructField("event_id", T.LongType())])
+        self.handle = handle
+        #: Of intervals that are still open, the first event; of the key, the last one, and the one put out last.
+        self.open = handle.getMapState("open", T.StructType([T.StructField("slot", T.LongType())]), event)
+        self.last = handle.getValueState("last", event)
+        self.told = handle.getValueState("told", event)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: ANN401, N802, N803
+        firsts: dict[int, tuple[int, int]] = {}
+        latest = tuple(self.last.get()) if self.last.exists() else None
+        before = latest
+        for row in rows:
+            event = (row["ts_us"], row["event_id"])
+            slot = event[0] // (self.seconds * 1_000_000)
+            firsts[slot] = min(event, firsts.get(slot, event))
+            latest = event if latest is None else max(latest, event)
+        for slot, event in firsts.items():
+            if not self.open.containsKey((slot,)):
+                self.handle.registerTimer((slot + 1) * self.seconds * 1000)
+                self.open.updateValue((slot,), event)
+            elif event < tuple(self.open.getValue((slot,))):
+                self.open.updateValue((slot,), event)
+        if latest != before:
+            self.last.update(latest)
+            self.handle.registerTimer(latest[0] // 1000 + self.quiet * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        slot, rest = divmod(at, self.seconds * 1000)
+        if rest == 0 and self.open.containsKey((slot - 1,)):
+            first = tuple(self.open.getValue((slot - 1,)))
+            self.open.removeKey((slot - 1,))
+            self.told.update(max(first, tuple(self.told.get())) if self.told.exists() else first)
+            yield Row(key=key[0], event_id=first[1])
+        if self.last.exists() and at == self.last.get()[0] // 1000 + self.quiet * 1000:
+            last = tuple(self.last.get())
+            if not self.told.exists() or tuple(self.told.get()) != last:
+                yield Row(key=key[0], event_id=last[1])
+            self.last.clear()
+            self.told.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def throttled(events: DataFrame, key: str, ts: str = "ts", seconds: int = 1, quiet: int = 3600, delay: str = "1 hour") -> DataFrame:
+    """key, event_id: what learning.throttled keeps, as a stream (append mode): events may come in any order within delay; a key that is silent for quiet seconds (no fewer than an
+    interval) is over, so that its last event counts. Rows without a key only move time on."""
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("event_id", T.LongType())])
+    kept = rows.groupBy("key").transformWithState(Throttle(seconds, max(quiet, seconds)), schema, "append", "EventTime")
+    return kept.where(F.col("key").isNotNull()).withColumnRenamed("key", key)
+
+
+def sessions(events: DataFrame, key: str, ts: str = "ts", pause: str = "250 milliseconds", delay: str = "1 hour") -> DataFrame:
+    """key, start, n, last: what learning.debounced gives, as a stream (append mode): a burst is put out, and its state dropped, once no event can join it."""
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    found = timed.groupBy(key, F.session_window(ts, pause).alias("w")).agg(F.count(key).alias("n"), F.max_by("event_id", F.struct(ts, "event_id")).alias("last"))
+    # By the count, not by the key: a filter on the key would stand before the watermark, and rows without a key move time on.
+    return found.where("n > 0").select(key, F.col("w.start").alias("start"), "n", "last")
+
+
+def followed(first: DataFrame, second: DataFrame, key: str, within: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """key, first_id, second_id: each event of first with those of second that come within so long after it. Both sides' rows are kept only as long as time allows a partner."""
+    a = first.select(F.col(key).alias("__a"), F.col("event_id").alias("first_id"), F.col(ts).cast("timestamp").alias("__from")).withWatermark("__from", delay)
+    b = second.select(F.col(key).alias("__b"), F.col("event_id").alias("second_id"), F.col(ts).cast("timestamp").alias("__to")).withWatermark("__to", delay)
+    met = a.join(b, (F.col("__a") == F.col("__b")) & (F.col("__to") >= F.col("__from")) & (F.col("__to") <= F.col("__from") + F.expr(f"INTERVAL {within}")))
+    return met.select(F.col("__a").alias(key), "first_id", "second_id")
+
+
+def split_late(stream: DataFrame, delay: datetime.timedelta, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(on time, late) rows of a stream that is read to its end, both with their batch. A row is late if it is older than the latest of all earlier batches less the delay: those that a
+    watermark of that delay drops without a word. Each batch's tables are written by its number, so a batch that is done twice is there once."""
+    spark, folder, check = stream.sparkSession, shared_folder(stream.sparkSession, "late"), shared_folder(stream.sparkSession, "late-state")
+    seen_schema = T.StructType([T.StructField("latest", T.TimestampType()), T.StructField("batch", T.LongType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest = None
+        if number:
+            seen = spark.read.schema(seen_schema).option("basePath", f"{folder}/seen").parquet(f"{folder}/seen/batch=*")
+            latest = seen.where(F.col("batch") < number).agg(F.max("latest").alias("latest")).first()["latest"]
+        time = F.col(ts).cast("timestamp")
+        late = F.coalesce(time < F.lit(latest - delay), F.lit(False)) if latest else F.lit(False)
+        batch.agg(F.max(time).alias("latest")).write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{folder}/rows/batch={number}")
+
+    _run(stream, "append", check, write)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("late", T.BooleanType()), T.StructField("batch", T.LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*")
+    return rows.where(~F.col("late")).drop("late"), rows.where("late").drop("late")

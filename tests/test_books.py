@@ -251,7 +251,7 @@ def test_concepts_that_are_kept_stand_before_rules(spark):
 
 def test_runs_merge_and_keep_all_text(spark):
     runs = spark.createDataFrame([("p", 0, "a", ["b"]), ("p", 1, "", []), ("p", 2, "b", ["b"]), ("p", 3, "c", [])], "p string, ord int, text string, style array<string>")
-    got = files.merged_runs(runs, ["p"]).first()["runs"]
+    got = structure.merged_runs(runs, ["p"]).first()["runs"]
     assert [(r["text"], r["style"]) for r in got] == [("ab", ["b"]), ("c", [])]
 
 
