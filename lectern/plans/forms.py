@@ -38,7 +38,7 @@ def body_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("pos") % 5 == 1, F.concat(F.lit("y = "), F.substring("raw", 1, 60))).when(F.col("pos") % 5 == 3, F.concat(F.lit(" f (x) "), "raw")).otherwise(F.col("raw"))
+    raw = F.when(F.col("pos") % 5 == 1, F.concat(F.lit("y = "), "raw")).when(F.col("pos") % 5 == 3, F.concat(F.lit(" f (x) "), "raw")).otherwise(F.col("raw"))
     return _lines(spark, sf_dir).withColumn("t", raw).where(X.looks_like_formula(F.col("t"))).select("book", "pos")
 
 
@@ -90,8 +90,8 @@ def small_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = F.concat(F.lit("<b>*[a & 'b'](c)*</b> `x` "), F.substring("text", 1, 40))
-    return _texts(spark, sf_dir, short=X.short(F.col("text"), 30), escaped=X.html_escape(odd), plain=X.without_markdown(odd))
+    odd = F.concat(F.lit("<b>*[a & 'b'](c)*</b> `x` "), "text")
+    return _texts(spark, sf_dir, short=X.short(F.col("text"), 30), escaped=F.md5(X.html_escape(odd)), plain=F.md5(X.without_markdown(odd)))
 
 
 def numbered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +273,7 @@ def _trim(x: str) -> str:
 
 
 _NAME = r"""CASE WHEN length({0}) BETWEEN 2 AND 16 AND length({0}) >= 3 THEN {0} ELSE '' END"""
-_ODD = "'<b>*[a & ''b''](c)*</b> `x` ' || substr(text, 1, 40)"
+_ODD = "'<b>*[a & ''b''](c)*</b> `x` ' || text"
 _CLAUSE = _trim("regexp_extract(text, '^([^，。、；：,;:!?]*)', 1)")
 
 
@@ -293,7 +293,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, book ORDER BY round(sc
 ORACLE = {
     "concept_paragraphs": f"SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN {_KIND} ELSE 'p' END AS kind FROM documents WHERE (doc_id % 4 = 0 OR doc_id % 3 = 2) AND length({_trim('CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 6) ELSE text END')}) >= 8",
     "body_paragraphs": f"SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 = 2 AND doc_id % 7 <> 0 AND {_trim('text')} <> ''",
-    "formula_lines": rf"""WITH {_LINES}, t AS (SELECT book, pos, {_trim("CASE WHEN pos % 5 = 1 THEN 'y = ' || substr(raw, 1, 60) WHEN pos % 5 = 3 THEN ' f (x) ' || raw ELSE raw END")} AS t FROM l)
+    "formula_lines": rf"""WITH {_LINES}, t AS (SELECT book, pos, {_trim("CASE WHEN pos % 5 = 1 THEN 'y = ' || raw WHEN pos % 5 = 3 THEN ' f (x) ' || raw ELSE raw END")} AS t FROM l)
 SELECT book, CAST(pos AS INT) AS pos FROM t WHERE length(t) <= 80 AND regexp_matches(t, '[=∑∫→≤≥]|[a-zA-Z]\s*\(|x\^|_\{{')""",
     "clean_names": f"WITH n AS (SELECT p_partkey, trim(substr(p_name, 1, CAST(p_partkey % 20 AS INT))) AS n FROM part) SELECT p_partkey, {_NAME.format('n')} AS name FROM n",
     "outline_a": rf"""WITH {_LINES}, m AS (SELECT book, pos, {_trim("CASE WHEN pos % 13 = 5 THEN '~~~' WHEN pos % 3 = 1 THEN repeat('#', pos % 8) || ' ' || raw || ' ##' ELSE raw END")} AS t FROM l),
@@ -313,8 +313,8 @@ SELECT doc_id, substr(CASE WHEN length(sentence) > 120 THEN window_ ELSE sentenc
     "seeds": "SELECT p_partkey, CAST('0x' || substr(sha256(p_brand || ':' || p_name), 1, 12) AS BIGINT) AS seed FROM part",
     "small_numbers": "SELECT p_partkey, CAST(greatest(1, CAST(round(p_partkey / 2.0) AS INT) - 5) AS INT) AS page, CAST(greatest(45.0, (p_size * 4 + 30) * 0.5) AS DOUBLE) AS minutes, CAST(CASE WHEN p_partkey % 80 = 7 THEN 20 ELSE least(greatest(p_partkey % 80, 1), 50) END AS BIGINT) AS most, CAST(p_partkey % 17 % 3 * 220 AS BIGINT) AS x, CAST(p_partkey % 17 // 3 * 120 AS BIGINT) AS y FROM part",
     "short_forms": rf"""WITH t AS (SELECT doc_id, {_trim(r"regexp_replace(text, '\s+', ' ', 'g')")} AS flat, {_ODD} AS odd FROM documents)
-SELECT doc_id, CASE WHEN length(flat) > 30 THEN substr(flat, 1, 29) || '…' ELSE flat END AS short, replace(replace(replace(replace(replace(odd, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
-  {_trim(r"regexp_replace(regexp_replace(regexp_replace(odd, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~]+|[\[\]]', '', 'g'), '\s+', ' ', 'g')")} AS plain FROM t""",
+SELECT doc_id, CASE WHEN length(flat) > 30 THEN substr(flat, 1, 29) || '…' ELSE flat END AS short, md5(replace(replace(replace(replace(replace(odd, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped,
+  md5({_trim(r"regexp_replace(regexp_replace(regexp_replace(odd, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~]+|[\[\]]', '', 'g'), '\s+', ' ', 'g')")}) AS plain FROM t""",
     "numbered_blocks": "WITH n AS (SELECT doc_id, text, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS ordinal FROM documents) SELECT doc_id, ordinal, md5('[' || ordinal || '] ' || substr(text, 1, 400)) AS block FROM n",
     "outline_levels": rf"""WITH {_LINES}, m AS (SELECT book, pos % 5 + 1 AS level, count(*) AS n, count(*) FILTER (WHERE pos % 5 = book % 5 AND pos % 2 = 0) AS hits FROM l WHERE pos > 0 GROUP BY ALL),
 a AS (SELECT book, min(level) AS first, arg_min(n, level) AS n_first, min(level) FILTER (WHERE hits >= 3 AND hits * 2 >= n) AS hit, min(level) FILTER (WHERE n BETWEEN 3 AND 80) AS fair FROM m GROUP BY book)

@@ -111,7 +111,7 @@ def plan_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    minutes = table(spark, sf_dir, "documents").select("source", "doc_id", X.plan_minutes(F.length("text")).alias("minutes"), F.substring("text", 1, 20).alias("goal"))
+    minutes = table(spark, sf_dir, "documents").select("source", "doc_id", X.plan_minutes(F.length("text")).alias("minutes"), F.md5("text").alias("goal"))
     return minutes.groupBy("source").agg(F.count(F.lit(1)).alias("items"), F.sum("minutes").alias("minutes"), F.min_by("goal", "doc_id").alias("goal"))
 
 
@@ -222,7 +222,7 @@ SELECT chapter_id, concept, string_agg(other, '|' ORDER BY nth) AS others FROM o
 SELECT doc_id, CASE WHEN instr(t, w) > 0 THEN substr(t, 1, instr(t, w) - 1) || '____' || substr(t, instr(t, w) + length(w)) ELSE t END AS prompt FROM w""",
     "quiz_grade": "SELECT doc_id AS id, quality = doc_id % 2 AS correct, CAST(quality = doc_id % 2 AS DOUBLE) AS value FROM labels JOIN documents USING (doc_id)",
     "plan_durations": f"SELECT doc_id, {_MINUTES} AS minutes FROM documents",
-    "plan_totals": f"SELECT source, count(*) AS items, CAST(sum({_MINUTES}) AS BIGINT) AS minutes, arg_min(substr(text, 1, 20), doc_id) AS goal FROM documents GROUP BY source",
+    "plan_totals": f"SELECT source, count(*) AS items, CAST(sum({_MINUTES}) AS BIGINT) AS minutes, arg_min(md5(text), doc_id) AS goal FROM documents GROUP BY source",
     "language_target": "SELECT doc_id, CASE WHEN length(regexp_replace(substr(text, 1, 400), '[^\\x{4e00}-\\x{9fff}]', '', 'g')) >= greatest(4, length(substr(text, 1, 400)) * 0.3) THEN 'en' ELSE 'zh' END AS language FROM documents",
     "first_sentence": f"SELECT doc_id, {_FIRST} AS head FROM (SELECT doc_id, text AS t FROM documents)",
     "rule_summary": f"""WITH l AS (SELECT doc_id AS book, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),

@@ -25,10 +25,10 @@ def low_content_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchors_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders left-joined with their first line, those without last."""
+    """Orders left-joined with the first part of their later lines, those without last."""
     from pyspark.sql import Window
 
-    first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_shipdate >= '1995-01-01'").select("l_orderkey", F.col("l_partkey").alias("seq"))
+    first = table(spark, sf_dir, "lineitem").where("l_shipdate >= '1995-01-01'").groupBy("l_orderkey").agg(F.min("l_partkey").alias("seq"))
     joined = table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("seq").asc_nulls_last(), "o_orderkey"))
     return joined.select("o_custkey", "o_orderkey", "seq", place.alias("place"))
@@ -41,7 +41,7 @@ def notes_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
-    new = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity > 40").select(F.lit(0).cast("long").alias("o_custkey"), F.col("l_orderkey").alias("id"), F.lit("new").alias("state"))
+    new = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.lit(0).cast("long").alias("o_custkey"), F.col("l_orderkey").alias("id"), F.lit("new").alias("state")).distinct()
     return joins.upsert(old, new, ["id"])
 
 
@@ -98,13 +98,13 @@ def latest_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = table(spark, sf_dir, "conversations").where("turn = 1").select(F.col("conv_id").alias("request_id"), F.col("role").alias("meta"), F.col("text").alias("answer"), F.lit("ok").alias("result"))
+    answers = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("role").alias("meta"), F.col("text").alias("answer"), F.lit("ok").alias("result"))
     return evidence.answer_events(answers)
 
 
 def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of which every fifth breaks off after two events."""
-    failed = table(spark, sf_dir, "conversations").where("turn = 1 and conv_id % 5 = 0").select(F.col("conv_id").alias("request_id"), F.lit(2).alias("after"), F.lit("gone").alias("message"))
+    failed = table(spark, sf_dir, "conversations").where("(conv_id + turn) % 5 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.lit(2).alias("after"), F.lit("gone").alias("message"))
     return evidence.broken_off(answer_event_rows(spark, sf_dir), failed)
 
 
@@ -187,10 +187,10 @@ ORACLE = {
     "book_char_totals": "SELECT n_nationkey, n_name, CAST(coalesce(sum(length(c_name)), 0) AS BIGINT) AS chars FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_mktsegment <> 'BUILDING' GROUP BY ALL",
     "low_content_warning": """WITH d AS (SELECT doc_id AS id, CAST(CASE WHEN doc_id % 10 = 0 THEN 0 ELSE length(text) END AS BIGINT) AS chars FROM documents)
 SELECT id, chars, CASE WHEN chars < 500 THEN '整本教材只解析出 ' || chars || ' 个字的正文，内容可能大部分没被读出来' ELSE '' END AS warning FROM d""",
-    "anchors_ordered": """WITH f AS (SELECT l_orderkey, l_partkey AS seq FROM lineitem WHERE l_linenumber = 1 AND l_shipdate >= DATE '1995-01-01')
+    "anchors_ordered": """WITH f AS (SELECT l_orderkey, min(l_partkey) AS seq FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' GROUP BY l_orderkey)
 SELECT o_custkey, o_orderkey, seq, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY seq NULLS LAST, o_orderkey) AS INT) AS place FROM orders LEFT JOIN f ON o_orderkey = l_orderkey""",
     "notes_with_titles": "SELECT s_suppkey, coalesce(n_name, '') AS title FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey",
-    "upsert_replace": """WITH n AS (SELECT CAST(0 AS BIGINT) AS o_custkey, l_orderkey AS id, 'new' AS state FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 40)
+    "upsert_replace": """WITH n AS (SELECT DISTINCT CAST(0 AS BIGINT) AS o_custkey, l_orderkey AS id, 'new' AS state FROM lineitem WHERE l_quantity > 40)
 SELECT o_custkey, o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_orderkey NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n""",
     "latest_by_key": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1 AND event_type <> 'signup'",
     "cascade_delete": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)) GROUP BY ALL",
@@ -206,13 +206,13 @@ c AS (SELECT conv_id, messages, coalesce({_TRIM}, '新对话') AS t FROM t)
 SELECT conv_id, CASE WHEN length(t) > 24 THEN substr(t, 1, 24) || '…' ELSE t END AS title, messages FROM c""",
     "latest_threads": """WITH t AS (SELECT conv_id, conv_id % 5 AS book, max(turn) AS updated FROM conversations GROUP BY conv_id)
 SELECT * FROM (SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY updated DESC, conv_id DESC) AS INT) AS place, conv_id FROM t) WHERE place <= 3""",
-    "answer_event_rows": """WITH a AS (SELECT conv_id AS request_id, role, text, CAST(ceil(length(text) / 14.0) AS INT) AS n FROM conversations WHERE turn = 1),
-e AS (SELECT request_id, role, text, n, unnest(range(0, n + 2)) AS seq FROM a)
+    "answer_event_rows": """WITH a AS (SELECT conv_id * 1000 + turn AS request_id, (conv_id + turn) % 5 = 0 AS broken, role, text, CAST(ceil(length(text) / 14.0) AS INT) AS n FROM conversations),
+e AS (SELECT request_id, broken, role, text, n, unnest(range(0, n + 2)) AS seq FROM a)
 SELECT request_id, CAST(seq AS INT) AS seq, CASE WHEN seq = 0 THEN 'meta' WHEN seq = n + 1 THEN 'done' ELSE 'delta' END AS event, CASE WHEN seq = 0 THEN role WHEN seq = n + 1 THEN 'ok' ELSE substr(text, (seq - 1) * 14 + 1, 14) END AS payload FROM e""",
-    "error_events": """WITH a AS (SELECT conv_id AS request_id, role, text, CAST(ceil(length(text) / 14.0) AS INT) AS n FROM conversations WHERE turn = 1),
-e AS (SELECT request_id, role, text, n, unnest(range(0, n + 2)) AS seq FROM a)
-SELECT request_id, CAST(seq AS INT) AS seq, CASE WHEN seq = 0 THEN 'meta' WHEN seq = n + 1 THEN 'done' ELSE 'delta' END AS event, CASE WHEN seq = 0 THEN role WHEN seq = n + 1 THEN 'ok' ELSE substr(text, (seq - 1) * 14 + 1, 14) END AS payload FROM e WHERE request_id % 5 <> 0 OR seq < 2
-UNION ALL SELECT request_id, 2, 'error', 'gone' FROM a WHERE request_id % 5 = 0""",
+    "error_events": """WITH a AS (SELECT conv_id * 1000 + turn AS request_id, (conv_id + turn) % 5 = 0 AS broken, role, text, CAST(ceil(length(text) / 14.0) AS INT) AS n FROM conversations),
+e AS (SELECT request_id, broken, role, text, n, unnest(range(0, n + 2)) AS seq FROM a)
+SELECT request_id, CAST(seq AS INT) AS seq, CASE WHEN seq = 0 THEN 'meta' WHEN seq = n + 1 THEN 'done' ELSE 'delta' END AS event, CASE WHEN seq = 0 THEN role WHEN seq = n + 1 THEN 'ok' ELSE substr(text, (seq - 1) * 14 + 1, 14) END AS payload FROM e WHERE NOT broken OR seq < 2
+UNION ALL SELECT request_id, 2, 'error', 'gone' FROM a WHERE broken""",
     "bundle_sections": f"""{_ASSEMBLED} SELECT book || '-s' || num || '-' || seq AS id, CAST(book AS VARCHAR) AS book_id, book || '-ch' || num AS chapter_id, seq, text, page, kind FROM a""",
     "markdown_export": f"""{_ASSEMBLED},
 s AS (SELECT book, num, title, string_agg('<!-- page: ' || page || ' -->' || chr(10) || CASE kind WHEN 'heading' THEN '### ' || text WHEN 'formula' THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END, chr(10) || chr(10) ORDER BY seq) AS body FROM a GROUP BY ALL),

@@ -1,6 +1,9 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
+from lectern.functions import text as X
 from lectern.operators import anchors
 from lectern.plans import knowledge, reading
 
@@ -25,6 +28,27 @@ def test_selection_is_found_beyond_the_start_of_a_longer_document(spark, tmp_pat
     assert [tuple(r) for r in reading.selection_match(spark, str(tmp_path)).collect()] == [(20, 21, 1.0)]
 
 
+def test_selection_match_against_brute_force_on_all_rows(spark, sf_dir):
+    """Every selection with every document of the pages around it, by the stated scores."""
+    form = lambda column: F.collect_list(F.struct("doc_id", "lang", X.loose_match_form(column).alias("form")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = {r["doc_id"]: (r["lang"], r["form"]) for r in docs.select(form(F.col("text")).alias("x")).first()["x"]}
+    asked = {r["doc_id"]: r["form"] for r in docs.where("doc_id % 20 = 0").select(form(F.substring("text", 30, 60)).alias("x")).first()["x"]}
+    expected = set()
+    for i, needle in asked.items():
+        page, scored = i // 10 + (i % 40 == 0), []
+        for turn, offset in enumerate((0, -1, 1, -2, 2)):
+            for j in range(10 * (page + offset), 10 * (page + offset) + 10):
+                if len(needle) >= 4 and j in held and held[j][0] == held[i][0]:
+                    body = held[j][1]
+                    run = next((n for n in range(len(needle), 0, -1) if any(needle[a : a + n] in body for a in range(len(needle) - n + 1))), 0)
+                    scored.append((run / len(needle) * (1.0 if offset == 0 else 0.5), len(body), -turn, j, run / len(needle)))
+        best = max(scored, default=None, key=lambda x: x[:3])
+        if best and best[0] > 0 and best[4] >= 0.6:
+            expected.add((i, best[3], round(best[4], 9)))
+    assert len(expected) >= 5 and {(r["selection_id"], r["anchor"], round(r["ratio"], 9)) for r in reading.selection_match(spark, sf_dir).collect()} == expected
+
+
 def test_longest_common_run_against_brute_force():
     r = random.Random(1)
     for _ in range(300):
