@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import concepts, structure
+from lectern.operators import concepts, joins, replies, structure
 from lectern.plans.retrieval import table
 
 
@@ -174,15 +174,51 @@ u AS (SELECT name, count(DISTINCT source) AS n FROM r WHERE lower(name) NOT IN (
 _MINUTES = "CAST(least(greatest(25 + length(text) // 80, 20), 90) AS INT)"
 _FIRST = "CASE " + " ".join(f"WHEN instr(t, '{m}') BETWEEN 2 AND 91 THEN substr(t, 1, instr(t, '{m}'))" for m in "。！？.;；") + " WHEN length(t) > 90 THEN substr(t, 1, 90) || '…' ELSE t END"
 
+def _digesting():  # noqa: ANN202
+    """A stand-in for a model: it answers with a digest, and fails for a batch that holds too much text."""
+    import hashlib
+
+    def ask(prompts: list[str]) -> list[str]:
+        if any(len(p) > 3000 for p in prompts):
+            raise RuntimeError("too long")
+        return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+    return ask
+
+
+def kept_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sessions: two thirds of the documents are asked, then all, of which some have changed. With each reply the session that asked for it; documents too long for the model are asked with half of their text."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), joins.shared_folder(spark, "replies")
+    half = lambda p: F.substr(p, F.lit(1), F.floor(F.length(p) / 2).cast("int"))
+    single = lambda: (lambda ask: lambda prompts: [_one(ask, p) for p in prompts])(_digesting())
+    first = replies.Replies(spark, folder, "stand-in")
+    first.answered(docs.where("doc_id % 3 <> 0"), "text", single, shorter=half)
+    known = joins.cut(first.kept().select(F.col("key").alias("reply_key"), F.lit(1).alias("session")))
+    now = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    found = replies.Replies(spark, folder, "stand-in").answered(now, "text", single, shorter=half)
+    return found.join(known, "reply_key", "left").select("doc_id", "reply", F.when(F.col("reply").isNotNull(), F.coalesce("session", F.lit(2))).alias("session"))
+
+
+def _one(ask, prompt: str) -> str | None:  # noqa: ANN001
+    try:
+        return ask([prompt])[0]
+    except RuntimeError:
+        return None
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        concept_merge, graph_edges, sequence_edges, unresolved_prereqs, graph_stats, graph_b_nodes, graph_b_edges, topo_order, lesson_outline, lesson_contract_errors, quiz_distractors, quiz_cloze, quiz_questions, quiz_grade,
+        kept_replies, concept_merge, graph_edges, sequence_edges, unresolved_prereqs, graph_stats, graph_b_nodes, graph_b_edges, topo_order, lesson_outline, lesson_contract_errors, quiz_distractors, quiz_cloze, quiz_questions, quiz_grade,
         plan_durations, plan_totals, language_target, first_sentence, rule_summary, rule_concepts_b, knowledge_stats, plan_replies, lesson_replies,
     )
 }
 
 ORACLE = {
+    "kept_replies": """WITH f AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 <> 0),
+n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN text || ' changed' ELSE text END AS text FROM documents),
+r AS (SELECT doc_id, text, CASE WHEN length(text) <= 3000 THEN md5(text) WHEN length(text) // 2 <= 3000 THEN md5(substr(text, 1, length(text) // 2)) END AS reply FROM n)
+SELECT doc_id, reply, CASE WHEN reply IS NOT NULL THEN CASE WHEN text IN (SELECT text FROM f) THEN 1 ELSE 2 END END AS session FROM r""",
     "knowledge_stats": """WITH c AS (SELECT p_size % 3 AS book_id, p_size % 10 AS chapter, p_partkey AS ord, lower(p_brand) AS key, ['Brand#' || (p_size % 5 + 1) || (p_partkey % 5 + 1), p_type] AS needs, p_partkey % 97 = 0 AS llm,
   CASE p_size % 10 % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS rank FROM part),
 n AS (SELECT book_id, key, max(rank) AS rank, bool_or(llm) AS llm FROM c GROUP BY ALL),
