@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +45,18 @@ def cut(df: DataFrame, most_rows: int | None = None, file_rows: int = FILE_ROWS)
     return (df if most_rows is None else df.coalesce(max(tasks, -(-most_rows // file_rows)))).checkpoint(eager=True)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives back what Arrow has kept for reuse once a task is done: Python workers wait for further tasks, and would hold it meanwhile."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return released
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder below the shared one, removed when the application ends."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

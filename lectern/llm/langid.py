@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import STEP_CHARS, fold, pieces, sample_rank
+from lectern.llm.common import STEP_CHARS, fold, pieces, releasing, sample_rank
 
 #: Hash buckets; the model is languages x BUCKETS x 8 bytes.
 BUCKETS = 1 << 15
@@ -98,7 +98,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             used = np.flatnonzero(sums[:BUCKETS])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(sums[used], pa.int64())], ["lang", "bucket", "n"])
 
-    summed = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    summed = sample.mapInArrow(releasing(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(languages), BUCKETS), SMOOTHING)
     place = {lang: i for i, lang in enumerate(languages)}
     table[summed["lang"].map(place).to_numpy(dtype=np.int64), summed["bucket"].to_numpy(dtype=np.int64)] += summed["n"].to_numpy(dtype=float)
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], rows.schema["held_out"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(score, schema).withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(releasing(score), schema).withColumnRenamed("doc_id", id_col)
 
 
 def accepted(docs: DataFrame, least_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -146,4 +146,4 @@ def accepted(docs: DataFrame, least_score: float = 0.3, id_col: str = "doc_id",
                 names, scores = classify(texts, *model.value)
                 yield part.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(releasing(keep), docs.schema)

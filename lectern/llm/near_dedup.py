@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import STEP_CHARS, cut, pieces, slices, small
+from lectern.llm.common import STEP_CHARS, cut, pieces, releasing, slices, small
 from lectern.llm.graph import connected, grown
 
 SHINGLE = 5
@@ -151,7 +151,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append(keys)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(packed, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", *_SIGNED.names])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(sign, T.StructType([docs.schema["doc_id"], docs.schema["mark"], *_SIGNED.fields]))
+    return docs.select("doc_id", "mark", "text").mapInArrow(releasing(sign), T.StructType([docs.schema["doc_id"], docs.schema["mark"], *_SIGNED.fields]))
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -182,7 +182,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 right = [xxhash.xxh3_128_digest(s.tobytes()) == node for s, node in zip(sets, part.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
 
-    return chosen.mapInArrow(read, "node binary, shingles array<long>").dropDuplicates(["node"])
+    return chosen.mapInArrow(releasing(read), "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, n_nodes: int, most_pairs: int | None = None) -> tuple[DataFrame, int]:
@@ -208,7 +208,7 @@ def _fine(sets: DataFrame) -> DataFrame:
                 packed = [low_bits(minima(part.column(1)[at].values.to_numpy().view(np.uint64), FINE_HASHES)) for at in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.list_(pa.int64()))], ["node", "packed"])
 
-    return sets.select("node", "shingles").mapInArrow(sign, "node binary, packed array<long>")
+    return sets.select("node", "shingles").mapInArrow(releasing(sign), "node binary, packed array<long>")
 
 
 def _mixed_buckets(members: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def _across(members: DataFrame, most_rows: int, best: int = 0, hashes: int = _HA
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["a", "b", "equal"])
 
-    pairs = left.join(right, ["key", "block", "block2"]).mapInArrow(compare, "a binary, b binary, equal int").distinct()
+    pairs = left.join(right, ["key", "block", "block2"]).mapInArrow(releasing(compare), "a binary, b binary, equal int").distinct()
     if not best:
         return pairs.select("a", "b")
     ways = pairs.union(pairs.select("b", "a", "equal"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import STEP_CHARS, pieces, slices
+from lectern.llm.common import STEP_CHARS, pieces, releasing, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -191,4 +191,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         if held:
             yield flush([CAPACITY] * (total // CAPACITY) + powers(total % CAPACITY))
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(releasing(run), schema).withColumnRenamed("doc_id", id_col)
