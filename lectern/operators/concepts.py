@@ -131,11 +131,9 @@ def sequence_edges(concepts: DataFrame, nodes: DataFrame, edges: DataFrame, acro
 
 def graph_stats(nodes: DataFrame, prerequisite: DataFrame, sequence: DataFrame, missing: DataFrame) -> DataFrame:
     """Five counts in one row."""
-    counts = [(nodes, "concepts", F.count(F.lit(1))), (nodes, "learned", F.count_if(F.col("status") != "planned")), (prerequisite, "prerequisites", F.count(F.lit(1))), (sequence, "sequences", F.count(F.lit(1))), (missing, "unresolved", F.count(F.lit(1)))]
-    out = None
-    for rows, name, count in counts:
-        one = rows.agg(count.alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
+    out = nodes.agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("status") != "planned").alias("learned"))
+    for rows, name in ((prerequisite, "prerequisites"), (sequence, "sequences"), (missing, "unresolved")):
+        out = out.crossJoin(rows.agg(F.count(F.lit(1)).alias(name)))  # one row each
     return out
 
 
@@ -150,8 +148,8 @@ def knowledge(concepts: DataFrame, progress: DataFrame, books: DataFrame, keys:
     """Tables of all books' graphs (keys first): nodes, relations (source, target, type), unresolved, and stats, one row a book.
     concepts: keys, chapter_id and what graph_nodes asks for; progress: keys, chapter_id, status, mastery; books: keys, title."""
     placed = concepts.drop("status", "mastery").join(progress.select(*keys, "chapter_id", "status", "mastery"), [*keys, "chapter_id"], "left")
-    nodes = graph_nodes(placed, keys)
-    needed = prerequisite_edges(nodes, keys)
+    nodes = cut(graph_nodes(placed, keys))
+    needed = cut(prerequisite_edges(nodes, keys))
     following = sequence_edges(placed, nodes, needed, keys=keys)
     relations = needed.withColumn("type", F.lit("prerequisite")).unionByName(following.withColumn("type", F.lit("sequence")))
     missing = unresolved(nodes, keys)
@@ -271,9 +269,12 @@ def lesson_points(replies: DataFrame, anchors: DataFrame, chapter: str = "chapte
 
 
 def distractors(names: DataFrame, chapter: str = "chapter_id", k: int = K.DISTRACTORS) -> DataFrame:
-    """chapter, concept, others: the k other names of the chapter nearest in length, then by name. A chapter has MAX_CONCEPTS names at most."""
+    """chapter, concept, others: the k other names of the chapter nearest in length, then by name.
+
+    Of names of one length only the first k + 1 can be among another's nearest, so a name meets these of each length, not all names of its chapter."""
     usable = names.where(F.length(X.strip(F.col("concept"))) >= K.LEAST_NAME).select(chapter, X.strip(F.col("concept")).alias("concept")).distinct()
-    every = usable.groupBy(chapter).agg(F.collect_set("concept").alias("names"))
+    first = first_rows(usable.withColumn("__length", F.length("concept")), k + 1, [chapter, "__length"], ["concept"])
+    every = first.groupBy(chapter).agg(F.collect_list("concept").alias("names"))
     near = F.array_sort(F.transform(F.filter("names", lambda n: n != F.col("concept")), lambda n: F.struct(F.abs(F.length(n) - F.length("concept")).alias("off"), n.alias("name"))))
     return usable.join(every, chapter).select(chapter, "concept", F.transform(F.slice(near, 1, k), lambda s: s["name"]).alias("others")).where(F.size("others") == k)
 

@@ -54,6 +54,8 @@ def fused_top(channels: Sequence[DataFrame], k: int, doc_id: str, group: Sequenc
 
 #: Vectors, and queries, of one block of the comparison.
 VECTORS, ASKED = 16_384, 2_048
+#: Queries of a block that are compared at once: with a full block, 17 MB of scores.
+TOGETHER = 128
 
 
 def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, doc_id: str, normalized: bool = True) -> DataFrame:
@@ -75,9 +77,14 @@ def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, doc_id: str, nor
         a, b = (np.stack(side["embedding"].to_numpy()).astype(np.float64) for side in (mine, theirs))
         if normalized:
             a, b = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0) for m in (a, b))
-        scores, ids = np.round(b @ a.T, 9), mine[doc_id].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(theirs["query_id"].to_numpy(), order.shape[1]), doc_id: ids[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+        ids, names, found = mine[doc_id].to_numpy(), theirs["query_id"].to_numpy(), []
+        for start in range(0, len(b), TOGETHER):
+            for at, scores in enumerate(np.round(b[start : start + TOGETHER] @ a.T, 9), start):
+                # All that reach the k-th best score, so that ties with it are told by their ids.
+                near = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if k < len(scores) else np.arange(len(scores))
+                near = near[np.lexsort((ids[near], -scores[near]))[:k]]
+                found.append((np.repeat(names[at], len(near)), ids[near], scores[near]))
+        return pd.DataFrame(dict(zip(["query_id", doc_id, "score"], map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     found = dealt.groupBy("g", "h").cogroup(posed.groupBy("g", "h")).applyInPandas(best, schema)
     return top(found, k, F.col("score"), [doc_id])

@@ -36,8 +36,8 @@ def concept_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = _concepts(spark, sf_dir)
-    nodes = concepts.graph_nodes(rows)
-    edges = concepts.prerequisite_edges(nodes)
+    nodes = joins.cut(concepts.graph_nodes(rows))
+    edges = joins.cut(concepts.prerequisite_edges(nodes))
     return nodes, edges, concepts.sequence_edges(rows, nodes, edges), concepts.unresolved(nodes)
 
 
