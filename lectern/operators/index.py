@@ -45,9 +45,9 @@ def term_score(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
     return weight * tf * (K.BM25_K1 + 1) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avgdl))
 
 
-def scores(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str] = (), query_id: str = "query_id", text: str = "text", tokenize=X.tokens) -> DataFrame:
-    """query_id, scope, doc_id, score, matched (terms of the query in the document), recurring (those in RECURRING_DF documents or more),
-    coverage. queries: query_id, query [, scope]; without a scope of their own, queries are asked in every scope. Documents without a term are absent, as their score is 0.
+def matches(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str] = (), query_id: str = "query_id", text: str = "text", tokenize=X.tokens) -> DataFrame:
+    """query_id, scope, doc_id, term, tf, dl, df, avgdl, idf, asked (terms of the query): a row for each term of a query in a document, made of tables that are kept, so that it can be read
+    more than once. queries: query_id, query [, scope]; without a scope of their own, queries are asked in every scope.
 
     The corpus is read and tokenized once: of each document its length and its counts of asked terms are kept, and all statistics are made of these."""
     terms = queries.select(query_id, *[s for s in scope if s in queries.columns], F.array_distinct(tokenize(F.col("query"))).alias("terms")).withColumn("asked", F.size("terms"))
@@ -66,10 +66,21 @@ def scores(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str
     weighed = cut(weighed.select(*scope, "term", "df", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")))
     matched = found.join(small(weighed), [*scope, "term"])
     on = ["term", *[s for s in scope if s in queries.columns]]
-    joined = matched.join(small(asked), on)
-    return joined.groupBy(query_id, *scope, doc_id).agg(
-        F.sum(term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"),
-        F.count(F.lit(1)).alias("matched"),
-        F.array_sort(F.collect_list(F.when(F.col("df") >= K.RECURRING_DF, F.col("term")))).alias("recurring"),
-        (F.count(F.lit(1)) / F.first("asked")).alias("coverage"),
-    )
+    return matched.join(small(asked), on)
+
+
+def score() -> Column:
+    """A document's score, over its matches with a query."""
+    return F.sum(term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score")
+
+
+def details() -> list[Column]:
+    """matched (terms of the query in the document), recurring (those in RECURRING_DF documents or more), coverage."""
+    recurring = F.array_sort(F.collect_list(F.when(F.col("df") >= K.RECURRING_DF, F.col("term")))).alias("recurring")
+    return [F.count(F.lit(1)).alias("matched"), recurring, (F.count(F.lit(1)) / F.first("asked")).alias("coverage")]
+
+
+def scores(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str] = (), query_id: str = "query_id", text: str = "text", tokenize=X.tokens) -> DataFrame:
+    """query_id, scope, doc_id, score and details() of all documents that share a term with a query (see matches); for the best ones only, search.best is cheaper. Documents without a term
+    are absent, as their score is 0."""
+    return matches(docs, queries, doc_id, scope, query_id, text, tokenize).groupBy(query_id, *scope, doc_id).agg(score(), *details())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern import constants as K
 from lectern.functions import text as X
 from lectern.operators import index
-from lectern.operators.joins import small
+from lectern.operators.joins import cut, small
 
 
 def ranked(hits: DataFrame, by: Column, ties: Sequence[str], name: str = "rank", group: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -24,6 +24,17 @@ def top(hits: DataFrame, k: int | Column, by: Column, ties: Sequence[str], name:
     return ranked(hits, by, ties, name, group).where(F.col(name) <= k)
 
 
+def best(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text: str = "text", tokenize=X.tokens) -> DataFrame:  # noqa: ANN001
+    """query_id, doc_id, rank, score, matched, recurring, coverage of each query's k best documents by index.scores; ties by id.
+
+    Scores are sums that are added up before they are shuffled; what else is told of a document is gathered for the best alone."""
+    found = index.matches(docs, queries, doc_id, text=text, tokenize=tokenize)
+    hits = found.groupBy("query_id", doc_id).agg(index.score()).where("score > 0")
+    first = cut(top(hits, k, F.round("score", 9), [doc_id]))
+    told = found.join(small(first.select("query_id", doc_id)), ["query_id", doc_id], "left_semi").groupBy("query_id", doc_id).agg(*index.details())
+    return first.join(told, ["query_id", doc_id])
+
+
 def candidates(k: int) -> int:
     return max(K.CANDIDATE_MULTIPLIER * k, K.LEAST_CANDIDATES)
 
@@ -31,8 +42,8 @@ def candidates(k: int) -> int:
 def boosted(hits: DataFrame, k: int, preferred: Column | None, doc_id: str, group: Sequence[str] = ("query_id",)) -> DataFrame:
     """The lexical channel: the best candidates(k) by score, then those of the preferred chapter raised and ranked anew."""
     # Rounded, so that the order in which a score was summed does not tell equal scores apart.
-    cut = top(hits.where(F.col("score") > 0).withColumn("score", F.round("score", 9)), candidates(k), F.col("score"), [doc_id], "place", group)
-    raised = cut if preferred is None else cut.withColumn("score", F.when(preferred, F.col("score") * K.CHAPTER_BOOST).otherwise(F.col("score")))
+    kept = top(hits.where(F.col("score") > 0).withColumn("score", F.round("score", 9)), candidates(k), F.col("score"), [doc_id], "place", group)
+    raised = kept if preferred is None else kept.withColumn("score", F.when(preferred, F.col("score") * K.CHAPTER_BOOST).otherwise(F.col("score")))
     return ranked(raised, F.col("score"), ["place"], "rank", group)
 
 

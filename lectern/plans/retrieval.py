@@ -57,14 +57,13 @@ def tok_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents over all questions, each by the question it answers best."""
-    hits = index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").where("score > 0").withColumn("score", F.round("score", 6))
+    hits = index.matches(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").groupBy("query_id", "doc_id").agg(index.score()).where("score > 0").withColumn("score", F.round("score", 6))
     best = hits.groupBy("doc_id").agg(F.max("score").alias("score"), F.min_by("query_id", F.struct(-F.col("score"), "query_id")).alias("query_id"))
     return best.orderBy(F.col("score").desc(), "doc_id").limit(10)
 
 
 def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id")
-    return search.top(hits.where("score > 0"), 10, F.round("score", 9), ["doc_id"]).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return search.best(sections(spark, sf_dir), questions(spark, sf_dir), 10, "doc_id").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def coverage_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +75,7 @@ def recurring_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id")
-    return search.top(hits.where("score > 0"), 10, F.round("score", 9), ["doc_id"])
+    return search.best(sections(spark, sf_dir), questions(spark, sf_dir), 10, "doc_id")
 
 
 def evidence_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +91,7 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def closest_when_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of an invented word and one rare term, so that some are refused."""
     rare = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("zzyzx qwyjibo grault plugh xyzzy "), F.element_at(F.split("text", " "), 1)).alias("query"))
-    hits = index.scores(sections(spark, sf_dir), rare, "doc_id")
-    ten = search.top(hits.where("score > 0"), 10, F.round("score", 9), ["doc_id"])
-    return evidence.closest(ten, "doc_id")
+    return evidence.closest(search.best(sections(spark, sf_dir), rare, 10, "doc_id"), "doc_id")
 
 
 def chapter_scope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
