@@ -7,9 +7,11 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.joins import shared_folder
 from lectern.plans import learning as batch
 from lectern.plans.retrieval import table
 from lectern.streaming import events as S
+from lectern.streaming import ingest
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +82,17 @@ def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("batch", F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("late").alias("late"))
 
 
-QUERIES = {f.__name__: f for f in (mastery_stream, dedupe_stream, windows_stream, best_score_stream, progress_throttle_stream, sessions_stream, answers_stream, late_stream)}
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents are a text file; the files are taken in as a stream, in batches of some."""
+    folder, store = shared_folder(spark, "incoming"), shared_folder(spark, "store")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(folder)
+    ingest.ingest(spark, folder, store, per_batch=7)
+    rows = ingest.current(spark, store, "rows").withColumn("source", F.regexp_extract("book", "source=([^/]*)/", 1))
+    return rows.groupBy("source", F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"), F.sum(F.length("text")).alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (mastery_stream, dedupe_stream, windows_stream, best_score_stream, progress_throttle_stream, sessions_stream, answers_stream, late_stream, ingest_stream)}
 
 ORACLE = {
     "mastery_stream": f"WITH {batch._EVENTS}, {batch._mastery_sql('m')} SELECT book, chapter, read, questions, round(accuracy, 9) AS accuracy, completed, mastery FROM ms",
@@ -93,4 +105,10 @@ ORACLE = {
     "late_stream": f"""WITH f AS (SELECT *, least((event_id - (SELECT min(event_id) FROM events)) * {PARTS} // (SELECT max(event_id) - min(event_id) + 1 FROM events) + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END, {PARTS - 1}) AS batch FROM events),
 m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM f GROUP BY batch)
 SELECT CAST(batch AS BIGINT) AS batch, event_type AS kind, count(*) AS n, CAST(sum(CASE WHEN ts < seen - INTERVAL 5 DAYS THEN 1 ELSE 0 END) AS BIGINT) AS late FROM f JOIN m USING (batch) GROUP BY ALL""",
+    "ingest_stream": r"""WITH b AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY source),
+l AS (SELECT source, regexp_replace(unnest(string_split(body, chr(10))), '^\s+|\s+$', '', 'g') AS t, unnest(range(CAST(len(string_split(body, chr(10))) AS BIGINT))) AS pos FROM b),
+f AS (SELECT *, starts_with(t, '```') OR starts_with(t, '~~~') AS mark, sum(CAST(starts_with(t, '```') OR starts_with(t, '~~~') AS INT)) OVER (PARTITION BY source ORDER BY pos) % 2 = 1 AS inside FROM l),
+h AS (SELECT *, NOT inside AND regexp_matches(t, '^#{1,6}\s+(.*?)\s*#*\s*$') AS heading FROM f WHERE NOT mark)
+SELECT source, CAST(CASE WHEN heading THEN length(regexp_extract(t, '^(#{1,6})\s', 1)) ELSE 0 END AS INT) AS level, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places,
+  CAST(sum(length(CASE WHEN heading THEN regexp_extract(t, '^#{1,6}\s+(.*?)\s*#*\s*$', 1) ELSE t END)) AS BIGINT) AS chars FROM h GROUP BY ALL""",
 }
