@@ -168,7 +168,9 @@ def earliest_sentence(text: Column, most: int = 90) -> Column:
 def sentence_at(text: Column, position: Column, most: int = 120) -> Column:
     """The sentence around a 0-based position; if longer than most, a window about the position."""
     before, after = F.substr(text, F.lit(1), position), F.substr(text, position + 1)
-    head, tail = F.regexp_extract(before, "([^。！？；\\n]*)$", 1), F.regexp_extract(after, "^([^。！？；\\n]*[。！？；\\n]?)", 1)
+    # What follows the last mark is counted from the end; a pattern that ends in $ would start anew at every character.
+    since = F.length(F.substring_index(F.translate(before, "！？；\n", "。。。。"), "。", -1))
+    head, tail = F.right(before, since), F.regexp_extract(after, "^([^。！？；\\n]*[。！？；\\n]?)", 1)
     sentence = strip(F.concat(head, tail))
     start = F.greatest(position - 40, F.lit(0))
     window = strip(F.substr(text, start + 1, position + most - start))

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import pytest
@@ -71,3 +72,12 @@ def test_predicates(spark):
     for line, want in (("- 12 -", True), ("Intro ..... 3", True), ("https://a.b", True), ("text 12", False)):
         assert one(spark, X.is_noise_line(t), t=line) == want
     assert one(spark, X.is_noise_title(t), t=" 目 录 ") and not one(spark, X.is_noise_title(t), t="目录学")
+
+
+def test_sentence_after_a_line_break_and_in_a_long_text_without_marks(spark):
+    t = F.col("t")
+    assert one(spark, X.sentence_at(t, F.lit(3)), t="ab\ncd") == "cd"
+    # Each character was once the start of a search to the end: minutes for such a text.
+    start = time.monotonic()
+    assert one(spark, X.sentence_at(t, F.lit(250_000)), t="x" * 500_000) == "x" * 120
+    assert time.monotonic() - start < 20
