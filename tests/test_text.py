@@ -94,3 +94,7 @@ def _cosines(spark, folder, query):
 
 def test_cosine_topk_rounds_once(spark, tmp_path):
     assert _cosines(spark, tmp_path, retrieval.cosine_topk) == {0: 1.0, 1: 0.123456}
+
+
+def test_cosine_allowed_ids_rounds_once(spark, tmp_path):
+    assert _cosines(spark, tmp_path, retrieval.cosine_allowed_ids) == {0: 1.0, 1: 0.123456}
