@@ -38,8 +38,12 @@ def body_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("pos") % 5 == 1, F.concat(F.lit("y = "), "raw")).when(F.col("pos") % 5 == 3, F.concat(F.lit(" f (x) "), "raw")).otherwise(F.col("raw"))
-    return _lines(spark, sf_dir).withColumn("t", raw).where(X.looks_like_formula(F.col("t"))).select("book", "pos")
+    """Lines as they are, but every fifth one is a formula of many rows: its text in pieces of 60 characters, all of them, and an empty one where it has none."""
+    pos = F.col("pos")
+    pieces = X.slices(F.col("raw"), 60)
+    formula = F.transform(F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces), lambda p: F.concat(F.lit("y = "), p))
+    rows = F.when(pos % 5 == 1, formula).when(pos % 5 == 3, F.array(F.concat(F.lit(" f (x) "), "raw"))).otherwise(F.array("raw"))
+    return _lines(spark, sf_dir).select("book", "pos", F.posexplode(rows).alias("piece", "t")).where(X.looks_like_formula(F.col("t"))).select("book", "pos", "piece")
 
 
 def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,8 +297,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, book ORDER BY round(sc
 ORACLE = {
     "concept_paragraphs": f"SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN {_KIND} ELSE 'p' END AS kind FROM documents WHERE (doc_id % 4 = 0 OR doc_id % 3 = 2) AND length({_trim('CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 6) ELSE text END')}) >= 8",
     "body_paragraphs": f"SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 = 2 AND doc_id % 7 <> 0 AND {_trim('text')} <> ''",
-    "formula_lines": rf"""WITH {_LINES}, t AS (SELECT book, pos, {_trim("CASE WHEN pos % 5 = 1 THEN 'y = ' || raw WHEN pos % 5 = 3 THEN ' f (x) ' || raw ELSE raw END")} AS t FROM l)
-SELECT book, CAST(pos AS INT) AS pos FROM t WHERE length(t) <= 80 AND regexp_matches(t, '[=∑∫→≤≥]|[a-zA-Z]\s*\(|x\^|_\{{')""",
+    "formula_lines": rf"""WITH {_LINES}, k AS (SELECT book, pos, raw, unnest(range(0, CASE WHEN pos % 5 = 1 THEN greatest(CAST(ceil(length(raw) / 60.0) AS INT), 1) ELSE 1 END)) AS piece FROM l),
+t AS (SELECT book, pos, piece, {_trim("CASE WHEN pos % 5 = 1 THEN 'y = ' || substr(raw, piece * 60 + 1, 60) WHEN pos % 5 = 3 THEN ' f (x) ' || raw ELSE raw END")} AS t FROM k)
+SELECT book, CAST(pos AS INT) AS pos, CAST(piece AS INT) AS piece FROM t WHERE length(t) <= 80 AND regexp_matches(t, '[=∑∫→≤≥]|[a-zA-Z]\s*\(|x\^|_\{{')""",
     "clean_names": f"WITH n AS (SELECT p_partkey, trim(substr(p_name, 1, CAST(p_partkey % 20 AS INT))) AS n FROM part) SELECT p_partkey, {_NAME.format('n')} AS name FROM n",
     "outline_a": rf"""WITH {_LINES}, m AS (SELECT book, pos, {_trim("CASE WHEN pos % 13 = 5 THEN '~~~' WHEN pos % 3 = 1 THEN repeat('#', pos % 8) || ' ' || raw || ' ##' ELSE raw END")} AS t FROM l),
 f AS (SELECT *, sum(CAST(starts_with(t, '~~~') AS INT)) OVER (PARTITION BY book ORDER BY pos) % 2 = 1 AS inside FROM m),

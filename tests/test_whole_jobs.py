@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import anchors
-from lectern.plans import knowledge, reading
+from lectern.plans import forms, knowledge, reading
 
 
 def test_quiz_questions_reads_every_part(spark, tmp_path):
@@ -55,3 +55,8 @@ def test_longest_common_run_against_brute_force():
         a, b = ("".join(r.choice("ab é") for _ in range(r.randrange(15))) for _ in range(2))
         every = {a[i:j] for i, j in itertools.combinations(range(len(a) + 1), 2)}
         assert anchors.longest_common_run(a, b) == max((len(x) for x in every if x in b), default=0)
+
+
+def test_formula_lines_judge_the_whole_of_long_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "a\n" + "b" * 130), (2, "x = 1\n")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in forms.formula_lines(spark, str(tmp_path)).collect()) == [(1, 1, 0), (1, 1, 1), (1, 1, 2), (2, 0, 0), (2, 1, 0)]
