@@ -45,9 +45,9 @@ def term_score(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
     return weight * tf * (K.BM25_K1 + 1) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avgdl))
 
 
-def matches(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str] = (), query_id: str = "query_id", text: str = "text", tokenize=X.tokens) -> DataFrame:
-    """query_id, scope, doc_id, term, tf, dl, df, avgdl, idf, asked (terms of the query): a row for each term of a query in a document, made of tables that are kept, so that it can be read
-    more than once. queries: query_id, query [, scope]; without a scope of their own, queries are asked in every scope.
+def weighed(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str] = (), query_id: str = "query_id", text: str = "text", tokenize=X.tokens) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(found, asked, on): scope, doc_id, term, tf, dl, df, avgdl, idf of each asked term in a document; query_id, term, asked (terms of the query) of the queries; the columns that both are joined on. Both
+    are made of tables that are kept, so that they can be read more than once. queries: query_id, query [, scope]; without a scope of their own, queries are asked in every scope.
 
     The corpus is read and tokenized once: of each document its length and its counts of asked terms are kept, and all statistics are made of these."""
     terms = queries.select(query_id, *[s for s in scope if s in queries.columns], F.array_distinct(tokenize(F.col("query"))).alias("terms")).withColumn("asked", F.size("terms"))
@@ -62,11 +62,15 @@ def matches(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[st
     found = found.where(F.col("term").isNotNull())
     frequency = term_stats(found, scope)
     # Of each scope one row, and one of each of its asked terms.
-    weighed = frequency.join(small(sized), list(scope)) if scope else frequency.crossJoin(sized)
-    weighed = cut(weighed.select(*scope, "term", "df", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")))
-    matched = found.join(small(weighed), [*scope, "term"])
-    on = ["term", *[s for s in scope if s in queries.columns]]
-    return matched.join(small(asked), on)
+    weights = frequency.join(small(sized), list(scope)) if scope else frequency.crossJoin(sized)
+    weights = cut(weights.select(*scope, "term", "df", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")))
+    return found.join(small(weights), [*scope, "term"]), asked, ["term", *[s for s in scope if s in queries.columns]]
+
+
+def matches(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str] = (), query_id: str = "query_id", text: str = "text", tokenize=X.tokens) -> DataFrame:
+    """query_id, scope, doc_id, term, tf, dl, df, avgdl, idf, asked: a row for each term of a query in a document (see weighed)."""
+    found, asked, on = weighed(docs, queries, doc_id, scope, query_id, text, tokenize)
+    return found.join(small(asked), on)
 
 
 def score() -> Column:
@@ -84,3 +88,14 @@ def scores(docs: DataFrame, queries: DataFrame, doc_id: str, scope: Sequence[str
     """query_id, scope, doc_id, score and details() of all documents that share a term with a query (see matches); for the best ones only, search.best is cheaper. Documents without a term
     are absent, as their score is 0."""
     return matches(docs, queries, doc_id, scope, query_id, text, tokenize).groupBy(query_id, *scope, doc_id).agg(score(), *details())
+
+
+def shared(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str = "query_id", text: str = "text", tokenize=X.tokens) -> DataFrame:
+    """query_id, doc_id and details() of all documents that share a term with a query, of one corpus.
+
+    A document's asked terms are one row, which meets each query's where it is: documents are shuffled once, pairs never."""
+    found, asked, _ = weighed(docs, queries, doc_id, (), query_id, text, tokenize)
+    told = found.groupBy(doc_id).agg(F.collect_list("term").alias("held"), F.array_sort(F.collect_list(F.when(F.col("df") >= K.RECURRING_DF, F.col("term")))).alias("again"))
+    posed = cut(asked.groupBy(query_id, "asked").agg(F.collect_list("term").alias("terms")))
+    pairs = told.crossJoin(small(posed)).select(query_id, doc_id, F.size(F.array_intersect("held", "terms")).cast("long").alias("matched"), F.array_intersect("again", "terms").alias("recurring"), "asked")
+    return pairs.where("matched > 0").select(query_id, doc_id, "matched", "recurring", (F.col("matched") / F.col("asked")).alias("coverage"))

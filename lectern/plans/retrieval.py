@@ -57,7 +57,9 @@ def tok_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents over all questions, each by the question it answers best."""
-    hits = index.matches(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").groupBy("query_id", "doc_id").agg(index.score()).where("score > 0").withColumn("score", F.round("score", 6))
+    # A document among the ten best of all is among the ten best of every question that it answers best.
+    found, asked, _ = index.weighed(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id")
+    hits = search.ahead(found, asked, 10, "doc_id", digits=6).withColumn("score", F.round("score", 6))
     best = hits.groupBy("doc_id").agg(F.max("score").alias("score"), F.min_by("query_id", F.struct(-F.col("score"), "query_id")).alias("query_id"))
     return best.orderBy(F.col("score").desc(), "doc_id").limit(10)
 
@@ -67,11 +69,11 @@ def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").select("query_id", "doc_id", "matched", F.round("coverage", 9).alias("coverage"))
+    return index.shared(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").select("query_id", "doc_id", "matched", F.round("coverage", 9).alias("coverage"))
 
 
 def recurring_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").select("query_id", "doc_id", F.array_join("recurring", " ").alias("recurring"))
+    return index.shared(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").select("query_id", "doc_id", F.array_join("recurring", " ").alias("recurring"))
 
 
 def _ten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +148,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and vector channels, 30 deep; question i has vector 20 i, and vectors without a question are searched alone."""
     vectors, asked = _vectors(spark, sf_dir)
     asked = asked.withColumn("query_id", (F.col("query_id") / 20).cast("long"))
-    lexical = search.top(index.scores(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").where("score > 0"), 30, F.round("score", 9), ["doc_id"])
+    found, terms, _ = index.weighed(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id")
+    lexical = search.ahead(found, terms, 30, "doc_id")
     near = search.top(search.vector_hits(vectors, asked, 30, "vec_id").drop("rank"), 30, F.round("score", 9), ["vec_id"]).withColumnRenamed("vec_id", "doc_id")
     return search.fused_top([lexical.select("query_id", "doc_id", "rank"), near.select("query_id", "doc_id", "rank")], 10, "doc_id").select("query_id", "rank", "doc_id", F.round("fused", 9).alias("score"))
 
@@ -185,8 +188,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("query_id")
     asked = _asked(spark, sf_dir)
-    hits = search.top(index.scores(sections(spark, sf_dir), asked, "doc_id").where("score > 0"), 10, F.round("score", 9), ["doc_id"]).join(sections(spark, sf_dir).select("doc_id", "chapter"), "doc_id")
-    hits = joins.cut(hits)
+    hits = joins.small(search.best(sections(spark, sf_dir), asked, 10, "doc_id"))
+    hits = joins.cut(sections(spark, sf_dir).select("doc_id", "chapter").join(hits, "doc_id"))
     found = evidence.evidence(hits, "doc_id").join(sections(spark, sf_dir).select("doc_id", F.col("chapter").alias("chapter_title"), (F.col("doc_id") % 50 + 1).alias("page"), "text"), "doc_id")
     replies = asked.select("query_id", "preferred", (k % 2 == 0).alias("connected"), F.when(k % 3 == 2, " See [2] and [1]\n").when(k % 3 == 1, "  ").alias("reply"))
     return evidence.answers(hits, found, replies, "doc_id", "chapter")
