@@ -58,8 +58,7 @@ def tok_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents over all questions, each by the question it answers best."""
     # A document among the ten best of all is among the ten best of every question that it answers best.
-    found, asked, _ = index.weighed(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id")
-    hits = search.ahead(found, asked, 10, "doc_id", digits=6).withColumn("score", F.round("score", 6))
+    hits = search.ahead(*index.weighed(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id"), 10, "doc_id", digits=6).withColumn("score", F.round("score", 6))
     best = hits.groupBy("doc_id").agg(F.max("score").alias("score"), F.min_by("query_id", F.struct(-F.col("score"), "query_id")).alias("query_id"))
     return best.orderBy(F.col("score").desc(), "doc_id").limit(10)
 
@@ -69,7 +68,7 @@ def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.shared(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id").select("query_id", "doc_id", "matched", F.round("coverage", 9).alias("coverage"))
+    return index.shared(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id", recurring=False).select("query_id", "doc_id", "matched", F.round("coverage", 9).alias("coverage"))
 
 
 def recurring_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +120,7 @@ def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fulltext_search_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = sections(spark, sf_dir).groupBy("chapter").agg(F.concat(F.lit("Chapter "), "chapter").alias("title"))
     hits = _ten(spark, sf_dir).select("query_id", "rank", "doc_id")
-    return search.full_text(hits, sections(spark, sf_dir), chapters, "doc_id", "chapter").select("query_id", "rank", "doc_id", "title", F.substring("text", 1, 40).alias("head"))
+    return search.full_text(joins.small(hits), sections(spark, sf_dir), chapters, "doc_id", "chapter").select("query_id", "rank", "doc_id", "title", F.substring("text", 1, 40).alias("head"))
 
 
 def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +147,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and vector channels, 30 deep; question i has vector 20 i, and vectors without a question are searched alone."""
     vectors, asked = _vectors(spark, sf_dir)
     asked = asked.withColumn("query_id", (F.col("query_id") / 20).cast("long"))
-    found, terms, _ = index.weighed(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id")
-    lexical = search.ahead(found, terms, 30, "doc_id")
+    lexical = search.ahead(*index.weighed(sections(spark, sf_dir), questions(spark, sf_dir), "doc_id"), 30, "doc_id")
     near = search.top(search.vector_hits(vectors, asked, 30, "vec_id").drop("rank"), 30, F.round("score", 9), ["vec_id"]).withColumnRenamed("vec_id", "doc_id")
     return search.fused_top([lexical.select("query_id", "doc_id", "rank"), near.select("query_id", "doc_id", "rank")], 10, "doc_id").select("query_id", "rank", "doc_id", F.round("fused", 9).alias("score"))
 
@@ -168,9 +166,14 @@ def anchor_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(needles, sections(spark, sf_dir), [], "item_id", "doc_id", ["doc_id"])
 
 
+def _quoted(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Pieces of evidence with what an answer quotes, kept: texts are read once and not shuffled for the few that are quoted."""
+    texts = sections(spark, sf_dir).select("doc_id", F.col("chapter").alias("chapter_title"), (F.col("doc_id") % 50 + 1).alias("page"), "text")
+    return joins.cut(texts.join(joins.small(joins.cut(found)), "doc_id"))
+
+
 def rule_answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.evidence(_ten(spark, sf_dir), "doc_id").join(sections(spark, sf_dir).select("doc_id", F.col("chapter").alias("chapter_title"), (F.col("doc_id") % 50 + 1).alias("page"), "text"), "doc_id")
-    return evidence.rule_answer(found, "No model.")
+    return evidence.rule_answer(_quoted(spark, sf_dir, evidence.evidence(_ten(spark, sf_dir), "doc_id")), "No model.")
 
 
 def cited_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +193,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir)
     hits = joins.small(search.best(sections(spark, sf_dir), asked, 10, "doc_id"))
     hits = joins.cut(sections(spark, sf_dir).select("doc_id", "chapter").join(hits, "doc_id"))
-    found = evidence.evidence(hits, "doc_id").join(sections(spark, sf_dir).select("doc_id", F.col("chapter").alias("chapter_title"), (F.col("doc_id") % 50 + 1).alias("page"), "text"), "doc_id")
+    found = _quoted(spark, sf_dir, evidence.evidence(hits, "doc_id"))
     replies = asked.select("query_id", "preferred", (k % 2 == 0).alias("connected"), F.when(k % 3 == 2, " See [2] and [1]\n").when(k % 3 == 1, "  ").alias("reply"))
     return evidence.answers(hits, found, replies, "doc_id", "chapter")
 
