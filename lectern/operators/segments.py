@@ -1,6 +1,6 @@
 """An inverted index that grows: immutable segments, deletions by mark, merges, and published versions.
 
-    postings/segment=s/bucket=b   term, book, doc_id, tf, dl: sorted by term, a frequent term or a large book lies in many files
+    postings/segment=s/bucket=b   term, book, doc_id, tf, dl: sorted by term in each file; a file is what one task has read, so a frequent term or a large book lies in many
     docs/segment=s                book, doc_id, dl, digest of each document
     gone/segment=s                of, book, doc_id, dl, digest: documents of the older segment `of` that this one replaces or deletes
     sums/segment=s                book, n, tokens, mark: what the segment adds to (and, below 0, takes from) each book
@@ -21,14 +21,19 @@ change without rows publishes nothing; scores are those of index.scores on the d
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern import constants as K
 from lectern.functions import text as X
-from lectern.operators.index import idf, term_score
+from lectern.operators import search
+from lectern.operators.index import idf, posed, term_score
 from lectern.operators.joins import cut, small
 
 #: Folders that a segment's postings are dealt to by their terms' hashes. A search opens those of its terms only.
@@ -112,8 +117,7 @@ class SegmentedIndex:
         if added is not None:
             tokens = self.tokenize(F.col(self.text))
             rows = added.select(*keys, digest(F.col(self.text)).alias("digest"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
-            terms = rows.select(*keys, "dl", F.explode("tokens").alias("term")).groupBy("term", *keys, "dl").agg(F.count(F.lit(1)).alias("tf"))
-            self._postings(terms, segment)
+            self._postings(self._terms(rows.select(*keys, "dl", "tokens")), segment)
             self._write(rows.select(*keys, "dl", "digest"), "docs", segment)
             docs = self._read("docs", [segment])
             if docs.groupBy(*keys).count().where("count > 1").limit(1).count():
@@ -129,11 +133,27 @@ class SegmentedIndex:
         gone = self.spark.createDataFrame([], schema) if live is None else live.alias("d").join(touched.alias("t"), self._same("d", "t"), "left_semi").select(F.col("segment").alias("of"), *keys, "dl", "digest")
         self._seal(segment, docs, gone, [s for s in self.segments])
 
+    def _terms(self, rows: DataFrame) -> DataFrame:
+        """term, book, doc_id, dl, tf of documents (book, doc_id, dl, tokens), which a change names once each: counted where they are, without a shuffle."""
+        keys = [f.name for f in rows.schema.fields if f.name != "tokens"]
+        schema = T.StructType([T.StructField("term", T.StringType()), *[f for f in rows.schema.fields if f.name != "tokens"], T.StructField("tf", T.LongType())])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (whole.slice(at, 512) for whole in batches for at in range(0, len(whole), 512)):
+                tokens = batch.column(batch.schema.get_field_index("tokens"))
+                words = tokens.flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(batch)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                pairs, n = np.unique(row * max(len(words.dictionary), 1) + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                row, term = np.divmod(pairs, max(len(words.dictionary), 1))
+                told = batch.select(keys).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term)), *[told.column(told.schema.get_field_index(f.name)) for f in schema.fields[1:-1]], pa.array(n, pa.int64())], names=schema.names)
+
+        return rows.mapInArrow(count, schema)
+
     def _postings(self, terms: DataFrame, segment: str) -> None:
-        """term, book, doc_id, dl, tf by bucket. Ranges of (bucket, term, book, id) split a frequent term over tasks."""
-        keys = ["bucket", "term", self.book, self.doc_id]
+        """term, book, doc_id, dl, tf by bucket, sorted by (bucket, term, book, id) within a task. A frequent term lies in as many files as tasks have met it; nothing is shuffled."""
         dealt = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        self._write(dealt.repartitionByRange(*keys).sortWithinPartitions(*keys), "postings", segment, "bucket")
+        self._write(dealt.sortWithinPartitions("bucket", "term", self.book, self.doc_id), "postings", segment, "bucket")
 
     def _seal(self, segment: str, docs: DataFrame | None, gone: DataFrame, older: list[dict]) -> None:
         """Write what is left of a segment, and publish it behind the older ones; one without any row is dropped."""
@@ -214,6 +234,31 @@ class SegmentedIndex:
 
     # Search
 
+    def best(self, queries: DataFrame, k: int, details: bool = False) -> DataFrame:
+        """query_id, book, doc_id, rank, score, and with details matched, recurring, coverage, of each query's k best documents of each book (see scores); ties by id.
+
+        A document's asked terms are one row, and rows and queries meet in blocks (search.ahead), so no pair of them is shuffled."""
+        on = [self.book] if self.book in queries.columns else []
+        held, books = self._read("postings"), self.books()
+        if held is None:
+            raise ValueError("nothing was ever put into this index")
+        asked, numbers = posed(queries, on, tokenize=self.tokenize)
+        wanted = cut(numbers.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")))
+        near = held.join(small(wanted), ["bucket", "term"])
+        gone = self._read("gone").select("of", self.book, self.doc_id)
+        near = near.alias("d").join(small(cut(gone)).alias("g"), self._same("d", "g") & (F.col("d.segment") == F.col("g.of")), "left_anti")
+        listed = F.array_sort(F.collect_list(F.struct("code", "tf"))).alias("x")
+        rows = cut(near.groupBy(self.book, self.doc_id, "dl").agg(listed).select(self.book, self.doc_id, "dl", F.col("x.code").alias("codes"), F.col("x.tf").alias("tfs")))
+        if not rows.where(F.col(self.book).isNull() | F.col(self.doc_id).isNull()).isEmpty():
+            # Nulls are equal here and nowhere in the blocks.
+            found = search.top(self.scores(queries), k, F.round("score", 9), [self.doc_id], group=["query_id", self.book])
+            return found if details else found.drop("matched", "recurring", "coverage")
+        sized = books.select(self.book, "n", (F.when(F.col("tokens") == 0, F.col("n")).otherwise(F.col("tokens")) / F.col("n")).alias("avgdl"))
+        frequency = rows.select(self.book, F.explode("codes").alias("code")).groupBy(self.book, "code").agg(F.count(F.lit(1)).alias("df"))
+        weights = cut(frequency.join(small(cut(sized)), self.book).join(small(numbers), "code").select(self.book, "code", "term", "df", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")))
+        first = cut(search.ahead(rows, weights, asked, k, self.doc_id, [self.book]))
+        return first.join(small(search.told(rows, weights, asked, first, self.doc_id, [self.book], [self.book])), ["query_id", self.book, self.doc_id]) if details else first
+
     def scores(self, queries: DataFrame, query_id: str = "query_id") -> DataFrame:
         """query_id, book, doc_id, score, matched, recurring, coverage, as index.scores has them, of one corpus a book. Queries with a column of the
         book's name are asked of that book, others of every book."""

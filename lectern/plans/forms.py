@@ -228,8 +228,7 @@ def persisted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question, asked of every book of an index that was written and is read again."""
     held = _index(spark)
     held.change(_books(spark, sf_dir))
-    hits = segments.SegmentedIndex(spark, held.folder).scores(questions(spark, sf_dir))
-    return search.top(hits, 10, F.round("score", 9), ["doc_id"], group=["query_id", "book"]).select("query_id", "book", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return segments.SegmentedIndex(spark, held.folder).best(questions(spark, sf_dir), 10).select("query_id", "book", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _grown(spark: SparkSession, sf_dir: str) -> segments.SegmentedIndex:
@@ -244,8 +243,7 @@ def _grown(spark: SparkSession, sf_dir: str) -> segments.SegmentedIndex:
 
 def grown_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question, asked of every book of the index after its changes."""
-    hits = _grown(spark, sf_dir).scores(questions(spark, sf_dir))
-    best = search.top(hits, 10, F.round("score", 9), ["doc_id"], group=["query_id", "book"])
+    best = _grown(spark, sf_dir).best(questions(spark, sf_dir), 10, details=True)
     return best.select("query_id", "book", "rank", "doc_id", F.round("score", 6).alias("score"), "matched", F.array_join("recurring", " ").alias("recurring"), F.round("coverage", 9).alias("coverage"))
 
 

@@ -48,3 +48,17 @@ def test_the_best_are_kept(spark):
     plan = search.best(docs, asked, 2, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan and "Join" not in plan
     assert search.best(docs, asked, 2, "doc_id").where(F.col("rank") == 1).count() == 2
+
+
+def test_an_index_of_segments_finds_the_best_without_shuffling_pairs(spark, tmp_path):
+    from lectern.operators.segments import SegmentedIndex
+
+    rows = [("a", i, f"red w{i % 3} " * (1 + i % 4)) for i in range(9)] + [("b", i, f"red sky{i}") for i in range(5)]
+    made = SegmentedIndex(spark, str(tmp_path / "i"), buckets=2)
+    made.change(spark.createDataFrame(rows, "book string, doc_id int, text string"))
+    asked = spark.createDataFrame([(1, "red w1"), (2, "sky3")], "query_id int, query string")
+    told = lambda found: {(r["query_id"], r["book"], r["rank"], r["doc_id"], round(r["score"], 8), r["matched"], tuple(r["recurring"]), r["coverage"]) for r in found.collect()}
+    every = search.top(made.scores(asked), 3, F.round("score", 9), ["doc_id"], group=["query_id", "book"])
+    assert len(told(every)) == 7 and told(made.best(asked, 3, details=True)) == told(every)
+    made.change(spark.createDataFrame([(None, 1, "red"), ("b", None, "red red")], "book string, doc_id int, text string"))
+    assert {(r["book"], r["doc_id"]) for r in made.best(asked, 9).where("query_id = 1").collect()} >= {(None, 1), ("b", None)}
