@@ -12,9 +12,13 @@ def _lit(x: Column | str | int | float) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+#: Unicode's white space, and U+001C to U+001F.
+_WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, by Unicode's notion of it and the separators U+001C to U+001F."""
-    return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    return F.trim(text, F.lit(_WHITE))
 
 
 def blank(text: Column) -> Column:

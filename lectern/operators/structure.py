@@ -30,7 +30,7 @@ def outline_rows(rows: DataFrame, dialect: str = "a", book: str = "book") -> Dat
     fenced = running(fenced, [book], "pos", {"marks": F.col("mark").cast("int")}).withColumn("inside", (F.col("marks") % 2) == 1).where(~F.col("mark"))
     most = 6 if dialect == "a" else 9
     pattern = f"^(#{{1,{most}}})\\s+(.*?)\\s*#*\\s*$"
-    heading = ~F.col("inside") & F.col("text").rlike(pattern)
+    heading = ~F.col("inside") & F.col("text").startswith("#") & F.col("text").rlike(pattern)
     out = fenced.withColumn("level", F.when(heading, F.length(F.regexp_extract("text", pattern, 1))).otherwise(0)).withColumn("text", F.when(heading, F.regexp_extract("text", pattern, 2)).otherwise(F.col("text")))
     if dialect == "b":
         out = out.where(~F.col("inside"))
@@ -78,8 +78,9 @@ def chapter_level(rows: DataFrame, book: str = "book") -> DataFrame:
 
 def titled(rows: DataFrame, book: str = "book") -> DataFrame:
     """book, title: the first level-1 heading of a book whose chapters are deeper; empty otherwise."""
-    top = F.when((F.col("level") == 1) & (F.col("chapter_level") > 1), F.col("text"))
-    return leveled(rows, book).groupBy(book).agg(F.coalesce(X.strip(F.min_by(top, F.when(top.isNotNull(), F.col("pos")))), F.lit("")).alias("title"))
+    # Of a book only its first heading meets the book's level, not its rows.
+    first = rows.groupBy(book).agg(F.min_by("text", F.when((F.col("level") == 1) & F.col("text").isNotNull(), F.col("pos"))).alias("top"))
+    return attached(first, outline_levels(rows, book), [book]).select(book, F.coalesce(X.strip(F.when(F.col("chapter_level") > 1, F.col("top"))), F.lit("")).alias("title"))
 
 
 def blocks(rows: DataFrame, levels: DataFrame | None = None, book: str = "book") -> DataFrame:

@@ -87,7 +87,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, store = shared_folder(spark, "incoming"), shared_folder(spark, "store")
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(folder)
-    ingest.ingest(spark, folder, store, per_batch=7)
+    ingest.ingest(spark, folder, store, per_batch=7, long_texts=True)
     rows = ingest.current(spark, store, "rows").withColumn("source", F.regexp_extract("book", "source=([^/]*)/", 1))
     return rows.groupBy("source", F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"), F.sum(F.length("text")).alias("chars"))
 

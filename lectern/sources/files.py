@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from lectern import constants as K
 from lectern.operators import structure
+from lectern.operators.joins import cut, small
 
 #: Suffixes and content types by format (fixed values).
 SUFFIXES = {"pdf": (".pdf",), "docx": (".docx",), "doc": (".doc",), "text": (".txt", ".md", ".markdown", ".text")}
@@ -31,8 +32,10 @@ def format_of(name: Column, content_type: Column) -> Column:
     return out.when(kind == "application/pdf", "pdf").when(F.contains(kind, F.lit("wordprocessingml")), "docx").when(kind == "application/msword", "doc").when(kind.startswith("text/"), "text")
 
 
-def upload_status(size: Column, fmt: Column) -> Column:
-    return F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > MOST_UPLOAD_BYTES, "too large").when(fmt.isNull(), "unknown format").when(fmt == "doc", "unavailable").otherwise("ok")
+def upload_status(size: Column, fmt: Column, long_texts: bool = False) -> Column:
+    """long_texts: text files may be of any size, where they are read in splits (text_lines)."""
+    over = (size > MOST_UPLOAD_BYTES) & ~F.coalesce((fmt == "text") & F.lit(long_texts), F.lit(False))
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(over, "too large").when(fmt.isNull(), "unknown format").when(fmt == "doc", "unavailable").otherwise("ok")
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -63,6 +66,66 @@ def text_books(found: DataFrame, dialect: str = "a") -> DataFrame:
     return structure.outline_rows(structure.lines(texts), dialect)
 
 
+# ---- text files in splits ----
+
+
+def _ends_in_a_break(spark: SparkSession, path: str) -> bool:
+    """Whether a file's last byte ends a line."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size, stream = fs.getFileStatus(at).getLen(), fs.open(at)
+    try:
+        stream.seek(max(size - 1, 0))
+        return stream.read() in (10, 13)
+    finally:
+        stream.close()
+
+
+def literal(paths: Sequence[str]) -> list[str]:
+    """Paths as Spark's readers take them literally."""
+    return [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+
+
+def text_lines(spark: SparkSession, paths: Sequence[str], folder: str) -> DataFrame:
+    """book, pos, raw of the lines of text files (some; each has a byte or more), as decoded() and structure.lines give them. A file is read in splits, so one of any size is
+    spread over many tasks; its bytes are lines of the table in folder, where a line's place is its split's beginning and its place in the split."""
+    # Rows tell their file by its URI.
+    uri = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    wanted = F.broadcast(spark.createDataFrame([(uri(p).toUri().toString(), p, _ends_in_a_break(spark, p)) for p in paths], "uri string, book string, more boolean"))
+    read = spark.read.text(literal(paths)).select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"), F.is_valid_utf8("value").alias("utf8"))
+    read.withColumn("at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(folder)
+    kept = spark.read.parquet(folder).join(wanted, "uri")
+    blocks = kept.groupBy("book", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("from"), F.bool_and("utf8").alias("utf8"))
+    earlier = Window.partitionBy("book").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("book")
+    blocks = cut(blocks.select("book", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("from")).alias("shift"), F.sum("n").over(whole).alias("lines"), F.bool_and("utf8").over(whole).alias("whole")))
+    placed = kept.join(small(blocks), ["book", "block"]).select("book", (F.col("at") + F.col("shift")).cast("int").alias("pos"), "line", "whole")
+    rows = placed.where("whole").select("book", "pos", F.col("line").cast("string").alias("raw"))
+    if blocks.where("NOT whole").limit(1).count():
+        rows = rows.unionByName(_other_lines(placed.where("NOT whole").select("book", "pos", "line")))
+    # The last break is followed by an empty line; a file that is a mark alone is one.
+    ends = wanted.drop("uri").join(blocks.groupBy("book").agg(F.max("lines").alias("lines")), "book", "left").where(F.col("more") | F.col("lines").isNull())
+    return rows.unionByName(ends.select("book", F.coalesce("lines", F.lit(0)).cast("int").alias("pos"), F.lit("").alias("raw")))
+
+
+def _other_lines(lines: DataFrame) -> DataFrame:
+    """book, pos, raw of lines (book, pos, line) of books that aren't UTF-8 throughout: all of a book's as GB18030, or else as UTF-8 with replacements. No sign of either goes over a line's end."""
+
+    def fits(raw: bytes) -> bool:
+        try:
+            raw.decode("gb18030")
+        except UnicodeDecodeError:
+            return False
+        return True
+
+    ok = F.pandas_udf(lambda raw: raw.map(fits), T.BooleanType())("line")
+    books = cut(lines.groupBy("book").agg(F.min(ok).alias("gb")))
+    as_gb = F.pandas_udf(lambda raw: raw.map(lambda b: b.decode("gb18030", "replace")), T.StringType())("line")
+    as_utf8 = F.pandas_udf(lambda raw: raw.map(lambda b: b.decode("utf-8", "replace")), T.StringType())("line")
+    told = lines.join(small(books), "book")
+    return told.where("gb").select("book", "pos", as_gb.alias("raw")).unionByName(told.where("NOT gb").select("book", "pos", as_utf8.alias("raw")))
+
+
 # ---- docx ----
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -209,10 +272,11 @@ def table_content(cells: Column) -> Column:
     return F.struct(F.transform(cells, lambda row: F.transform(row, lambda c: F.struct(c.alias("text")))).alias("rows"), (F.size(cells) > 1).alias("header"))
 
 
-def books(found: DataFrame, dialect: str = "a") -> tuple[DataFrame, DataFrame]:
-    """(book, title; book, pos, text, level) of the text and docx files among files, whatever their format; a title is that of a title style, or the lone heading above the chapters."""
+def books(found: DataFrame, dialect: str = "a", texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(book, title; book, pos, text, level) of the text and docx files among files, whatever their format; a title is that of a title style, or the lone heading above the chapters.
+    texts: the rows of the text files, if they are read already."""
     titles, rows = docx_titles(docx_rows(found, tables=False))
-    texts = text_books(found, dialect)
+    texts = text_books(found, dialect) if texts is None else texts
     every = texts.unionByName(rows.where(F.col("kind") == "p").select("book", "pos", "text", "level"))
     return titles.unionByName(structure.titled(texts)), every
 

@@ -16,6 +16,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators import structure
 from lectern.operators.joins import cut
 from lectern.sources import files
 
@@ -34,32 +35,59 @@ def publish(spark: SparkSession, store: str, number: int) -> None:
     spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").json(f"{store}/published/batch={number}")
 
 
-def taken_in(store: str, dialect: str = "a", published: Callable[[SparkSession, str, int], None] = publish) -> Callable[[DataFrame, int], None]:
-    """What a batch of files does."""
+def taken_in(store: str, dialect: str = "a", published: Callable[[SparkSession, str, int], None] = publish, long_texts: bool = False) -> Callable[[DataFrame, int], None]:
+    """What a batch of files (path, length) does. Texts are read in splits of their files, other formats file by file."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         kind = files.format_of(F.col("path"), F.lit(""))
         named = batch.withColumn("book", F.regexp_replace("path", VERSION, "$2")).withColumn("version", F.coalesce(F.nullif(F.regexp_extract("path", VERSION, 1), F.lit("")).cast("int"), F.lit(1)))
         last = named.groupBy("book").agg(F.max("version").alias("version"))
-        found = cut(named.join(last, ["book", "version"], "left_semi").select(F.col("book").alias("path"), "version", kind.alias("format"), files.upload_status(F.col("length"), kind).alias("status"), "content"))
-        titles, rows = files.books(found, dialect)
-        rows.write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
-        titles.write.mode("overwrite").parquet(f"{store}/titles/batch={number}")
-        counted = spark.read.parquet(f"{store}/rows/batch={number}").groupBy("book").agg(F.count(F.lit(1)).alias("rows"))
-        tasks = found.select(F.col("path").alias("book"), "version", "format", "status", F.sha2("content", 256).alias("digest")).join(counted, "book", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+        found = cut(named.join(last, ["book", "version"], "left_semi").select("path", "book", "version", "length", kind.alias("format"), files.upload_status(F.col("length"), kind, long_texts).alias("status")))
+        # A batch has no more files than the stream takes at once.
+        there = [(r["path"], r["format"], r["status"] == "ok", r["length"] > files.MOST_UPLOAD_BYTES) for r in found.collect()]
+        texts, docx = ([p for p, fmt, ok, _ in there if fmt == of and ok] for of in ("text", "docx"))
+        whole, lines = [p for p, _, _, long in there if not long], f"{store}/lines/batch={number}"
+        held = _contents(spark, docx).join(F.broadcast(found), "path").select(F.col("book").alias("path"), "format", "status", "content")
+        renamed = F.broadcast(found.select("path", "book"))
+        read = files.text_lines(spark, texts, lines).withColumnRenamed("book", "path").join(renamed, "path").select("book", "pos", "raw") if texts else spark.createDataFrame([], "book string, pos int, raw string")
+        files.books(held, dialect, structure.outline_rows(read, dialect))[1].write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
+        rows = spark.read.parquet(f"{store}/rows/batch={number}")
+        of_texts = rows.join(F.broadcast(found.where("format = 'text'").select("book")), "book", "left_semi")
+        files.books(held, dialect, of_texts)[0].write.mode("overwrite").parquet(f"{store}/titles/batch={number}")
+        counted = rows.groupBy("book").agg(F.count(F.lit(1)).alias("rows"))
+        digests = _contents(spark, whole).select("path", F.sha2("content", 256).alias("digest"))
+        tasks = found.join(F.broadcast(digests), "path", "left").join(counted, "book", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+        if len(whole) < len(there):
+            # A long text is told by the sum of its lines' hashes: its bytes are in no single row.
+            summed = read.groupBy("book").agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.sum(F.xxhash64("pos", "raw").cast("decimal(38,0)"))), 256).alias("summed"))
+            tasks = tasks.join(summed, "book", "left").withColumn("digest", F.coalesce("digest", "summed"))
+        tasks = tasks.select("book", "version", "format", "status", "digest", "rows")
         # A file that should have given rows and has none couldn't be read.
         tasks = tasks.withColumn("status", F.when((F.col("status") == "ok") & (F.col("rows") == 0), "unreadable").otherwise(F.col("status")))
         tasks.write.mode("overwrite").parquet(f"{store}/tasks/batch={number}")
         published(spark, store, number)
+        _removed(spark, lines)
 
     return write
 
 
-def ingest(spark: SparkSession, folder: str, store: str, per_batch: int = 64, dialect: str = "a", published: Callable[[SparkSession, str, int], None] = publish) -> None:
-    """Take in all files that are below the folder now and weren't taken in before. The store's folder also has the stream's log."""
-    stream = incoming(spark, folder, per_batch).writeStream.option("checkpointLocation", f"{store}/log").trigger(availableNow=True)
-    stream.foreachBatch(taken_in(store, dialect, published)).start().awaitTermination()
+def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, content of files."""
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(files.literal(paths)).select("path", "content")
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ingest(spark: SparkSession, folder: str, store: str, per_batch: int = 64, dialect: str = "a", published: Callable[[SparkSession, str, int], None] = publish, long_texts: bool = False) -> None:
+    """Take in all files that are below the folder now and weren't taken in before. The store's folder also has the stream's log. long_texts: text files of over MOST_UPLOAD_BYTES too."""
+    stream = incoming(spark, folder, per_batch).select("path", "length").writeStream.option("checkpointLocation", f"{store}/log").trigger(availableNow=True)
+    stream.foreachBatch(taken_in(store, dialect, published, long_texts)).start().awaitTermination()
 
 
 def current(spark: SparkSession, store: str, name: str) -> DataFrame:

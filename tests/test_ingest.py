@@ -1,6 +1,7 @@
 import pytest
 from pyspark.errors import StreamingQueryException
 
+from lectern.sources import files
 from lectern.streaming import ingest
 
 
@@ -48,3 +49,28 @@ def test_a_task_is_claimed_once(spark, tmp_path):
     for name in ("", "..", "a/b", "../x"):
         with pytest.raises(ValueError, match="name"):
             ingest.claim(spark, store, name, "a")
+
+
+def test_text_files_are_read_in_splits(spark, tmp_path, monkeypatch):
+    """Breaks of all kinds, encodings and odd names give the lines that whole files give, also where a file is cut into splits of 1000 bytes; a text over the limit counts if it may."""
+    texts = {"a.txt": "one\r\ntwo\rthree\n\n# four\n".encode() * 100, "b [x]{1}%20 é.txt": b"\xef\xbb\xbf# b\nend", "c.txt": "第一章 开始\n中文\r\n完".encode("gb18030") * 20, "d.txt": b"bad \xff\xff\n\xe4\xb8\n" * 9, "e.md": b"\n", "f.txt": b"x\r", "g.txt": b"\xef\xbb\xbf"}
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    for name, body in texts.items():
+        (folder / name).write_bytes(body)
+    monkeypatch.setattr(files, "MOST_UPLOAD_BYTES", 200)
+    told = lambda rows: sorted((r["book"].rsplit("/", 1)[1], r["pos"], r["text"], r["level"]) for r in rows.collect())
+    whole = spark.createDataFrame([(f"/{name}", "text", "ok", body) for name, body in texts.items()], "path string, format string, status string, content binary")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        ingest.ingest(spark, str(folder), store, long_texts=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert told(ingest.current(spark, store, "rows")) == told(files.text_books(whole))
+    tasks = ingest.current(spark, store, "tasks").collect()
+    assert {r["status"] for r in tasks} == {"ok"} and len({r["digest"] for r in tasks}) == len(texts)
+    other = str(tmp_path / "other")
+    ingest.ingest(spark, str(folder), other)
+    assert {r["book"].rsplit("/", 1)[1] for r in ingest.current(spark, other, "tasks").where("status = 'too large'").collect()} == {"a.txt", "c.txt"}
