@@ -94,13 +94,17 @@ def token_estimate(text: Column) -> Column:
 
 # ---- normal forms ----
 
-_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-_HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+
+
+#: What match_form leaves out.
+UNMATCHED = _WHITE + "-\u2010\u2011\u2012\u2013\u2014"
 
 
 def match_form(text: Column) -> Column:
     """For containment: full-width signs as half-width, no white space, no hyphens."""
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _FULL, _HALF), "(?U)[\\s\\x1c-\\x1f\\-\\u2010\\u2011\\u2012\\u2013\\u2014]", "")
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), FULL, HALF), "(?U)[\\s\\x1c-\\x1f\\-\\u2010\\u2011\\u2012\\u2013\\u2014]", "")
 
 
 def loose_match_form(text: Column) -> Column:

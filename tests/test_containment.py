@@ -2,6 +2,11 @@ import contextlib
 import io
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from lectern.functions import text as X
+from lectern.operators import containment
 from lectern.operators.containment import contained
 
 
@@ -28,6 +33,24 @@ def test_against_every_pair(spark):
         assert all(p in ways[i] for i, p in got)
 
 
+def test_runs_are_numbered_once_and_many_needles_need_no_broadcast(spark, monkeypatch):
+    text = "".join(chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10400)] if c != 0x180E) + "　a-b c"
+    monkeypatch.setattr(containment, "STEP_CHARS", 1_000)
+    form = spark.createDataFrame([(text,)], "t string").select(X.match_form(F.col("t"))).first()[0]
+    plain = lambda t: np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+    parts = list(containment.steps(text))
+    assert [x for p in parts for x in containment.numbers(p, 3)] == list(containment.numbers(plain(form), 3)) and len(parts) > 50
+    assert spark.createDataFrame([(text, 3)], "t string, s long").select(containment.slots(F.col("t"), F.col("s"))["body"]).first()[0] == form
+    assert len(containment.numbers(plain("abc"))) == 0 and list(containment.steps("")) == []
+    needles = spark.createDataFrame([(i, f"needle {i} of all") for i in range(20)], "id int, needle string")
+    paragraphs = spark.createDataFrame([(i, f"there the needle {i} of all is" + "x" * i) for i in range(0, 30, 2)], "found int, text string")
+    for most in (100, 3):  # the second joins by shuffles
+        got = {(r["id"], r["found"]) for r in contained(needles, paragraphs, [], "id", "found", ["found"], 2, most).collect()}
+        assert got == {(i, i) for i in range(0, 20, 2)}
+    told = spark.createDataFrame([("abcdabcd", 0)] * 3, "text string, __scope long")
+    assert sorted(r["n"] for r in containment.counted(told).groupBy("__slot").agg({"__n": "sum"}).withColumnRenamed("sum(__n)", "n").collect()) == [3, 3, 3, 6]
+
+
 def test_no_pair_of_rows_is_compared_that_shares_nothing(spark):
     needles = spark.createDataFrame([(1, "abcdef")], "id int, needle string")
     paragraphs = spark.createDataFrame([(1, "xx abcdef xx"), (2, "nothing of it")], "found int, text string")
