@@ -44,10 +44,10 @@ PARTS = 6
 
 
 def _files(spark: SparkSession, sf_dir: str, *parts: Column) -> tuple[DataFrame, DataFrame]:
-    """The events table (raw) as a stream of PARTS files and a heartbeat, and as it is. parts: what deals events to files; by default every file has events of all times."""
+    """The events table (raw) as a stream of PARTS batches and a heartbeat, and as it is. parts: what deals events to batches; by default every batch has events of all times."""
     events = table(spark, sf_dir, "events")
-    folder = S.dealt(events, parts[0] if parts else F.pmod(F.col("event_id") * 7, F.lit(PARTS)), PARTS)
-    return S.source(spark, f"{folder}/", events.schema), events
+    folder, each = S.dealt(events, parts[0] if parts else F.pmod(F.col("event_id") * 7, F.lit(PARTS)), PARTS)
+    return S.source(spark, f"{folder}/", events.schema, each), events
 
 
 def progress_throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,9 @@ import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions import text as X
@@ -18,6 +17,10 @@ from lectern.operators import learning
 from lectern.operators.joins import shared_folder
 
 
+#: Rows of a file that dealt() writes, about; and those a part must have for each of its files if it has several.
+FILE_ROWS, SURE_ROWS = 250_000, 100_000
+
+
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:  # noqa: ANN001
     """A Parquet file or folder as a stream. The path is given as a pattern, as Spark takes only patterns and folders here."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
@@ -52,14 +55,19 @@ def _run(stream: DataFrame, mode: str, check: str, write) -> None:  # noqa: ANN0
     stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
-def dealt(events: DataFrame, part: Column, parts: int, ts: str = "ts") -> str:
-    """A folder with events as so many files, which a stream reads in their order, and a last one with a single heartbeat: a row of nulls but for a time ten years on, which ends all that waits for time to pass."""
+def dealt(events: DataFrame, part: Column, parts: int, ts: str = "ts") -> tuple[str, int]:
+    """A folder with events in so many parts, which a stream reads in their order, and the number of files that each part has; and a last file with a single heartbeat: a row of nulls
+    but for a time ten years on, which ends all that waits for time to pass."""
     folder = shared_folder(events.sparkSession, "dealt")
+    rows = {r["part"]: r["n"] for r in events.groupBy(part.cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect() if r["part"] in range(parts)}
+    # Rows go round the files, so none stays empty where there are so many more rows than tasks.
+    each = max(min(-(-sum(rows.values()) // (parts * FILE_ROWS)), min(rows.get(at, 0) for at in range(parts)) // SURE_ROWS), 1)
     for at in range(parts):
-        events.where(part == at).coalesce(1).write.mode("append").parquet(folder)
+        own = events.where(part == at)
+        (own.repartition(each) if each > 1 else own.coalesce(1)).write.mode("append").parquet(folder)
     end = events.agg((F.max(ts) + F.expr("INTERVAL 10 YEARS")).cast(events.schema[ts].dataType).alias(ts))
     end.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]).write.mode("append").parquet(folder)
-    return folder
+    return folder, each
 
 
 def first_reads(events: DataFrame, delay: str = "60 days") -> DataFrame:
@@ -103,66 +111,19 @@ def best_so_far(scores: DataFrame) -> DataFrame:
     return scores.groupBy("book").applyInPandasWithState(fold, "book long, best double, n long", "best double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-class Throttle(StatefulProcessor):
-    """A key's first event of each interval, once no earlier one can come, and its last event, once none has come for so long. Then the key's state is gone."""
-
-    def __init__(self, seconds: int, quiet: int) -> None:
-        self.seconds, self.quiet = seconds, quiet
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        event = T.StructType([T.StructField("ts", T.LongType()), T.StructField("event_id", T.LongType())])
-        self.handle = handle
-        #: Of intervals that are still open, the first event; of the key, the last one, and the one put out last.
-        self.open = handle.getMapState("open", T.StructType([T.StructField("slot", T.LongType())]), event)
-        self.last = handle.getValueState("last", event)
-        self.told = handle.getValueState("told", event)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: ANN401, N802, N803
-        firsts: dict[int, tuple[int, int]] = {}
-        latest = tuple(self.last.get()) if self.last.exists() else None
-        before = latest
-        for row in rows:
-            event = (row["ts_us"], row["event_id"])
-            slot = event[0] // (self.seconds * 1_000_000)
-            firsts[slot] = min(event, firsts.get(slot, event))
-            latest = event if latest is None else max(latest, event)
-        for slot, event in firsts.items():
-            if not self.open.containsKey((slot,)):
-                self.handle.registerTimer((slot + 1) * self.seconds * 1000)
-                self.open.updateValue((slot,), event)
-            elif event < tuple(self.open.getValue((slot,))):
-                self.open.updateValue((slot,), event)
-        if latest != before:
-            self.last.update(latest)
-            self.handle.registerTimer(latest[0] // 1000 + self.quiet * 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        slot, rest = divmod(at, self.seconds * 1000)
-        if rest == 0 and self.open.containsKey((slot - 1,)):
-            first = tuple(self.open.getValue((slot - 1,)))
-            self.open.removeKey((slot - 1,))
-            self.told.update(max(first, tuple(self.told.get())) if self.told.exists() else first)
-            yield Row(key=key[0], event_id=first[1])
-        if self.last.exists() and at == self.last.get()[0] // 1000 + self.quiet * 1000:
-            last = tuple(self.last.get())
-            if not self.told.exists() or tuple(self.told.get()) != last:
-                yield Row(key=key[0], event_id=last[1])
-            self.last.clear()
-            self.told.clear()
-
-    def close(self) -> None:
-        pass
-
-
 def throttled(events: DataFrame, key: str, ts: str = "ts", seconds: int = 1, quiet: int = 3600, delay: str = "1 hour") -> DataFrame:
     """key, event_id: what learning.throttled keeps, as a stream (append mode): events may come in any order within delay; a key that is silent for quiet seconds (no fewer than an
-    interval) is over, so that its last event counts. Rows without a key only move time on."""
-    rows = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("event_id", T.LongType())])
-    kept = rows.groupBy("key").transformWithState(Throttle(seconds, max(quiet, seconds)), schema, "append", "EventTime")
-    return kept.where(F.col("key").isNotNull()).withColumnRenamed("key", key)
+    interval) is over, so that its last event counts. Rows without a key only move time on. State is a row of each open interval, and one of each key that isn't over."""
+    time = F.col(ts).cast("timestamp")
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(time).alias("ts_us"), time.alias("ts")).withWatermark("ts", delay)
+    event, slot = F.struct("ts_us", "event_id"), F.expr(f"ts_us div {seconds * 1_000_000} - CAST(ts_us % {seconds * 1_000_000} < 0 AS INT)")
+    # By the count, not by the key: a filter on the key would stand before the watermark.
+    keyed = F.count("key").alias("n")
+    firsts = rows.groupBy("key", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.min(event).alias("first"), keyed).where("n > 0").select("key", "first.event_id")
+    # A key's last event, unless it is the first one of its interval too.
+    ends = rows.groupBy("key", F.session_window("ts", f"{max(quiet, seconds)} seconds").alias("w")).agg(F.max(event).alias("last"), F.min(F.struct((-slot).alias("slot"), "ts_us", "event_id")).alias("first"), keyed)
+    lasts = ends.where((F.col("n") > 0) & (F.col("last.event_id") != F.col("first.event_id"))).select("key", "last.event_id")
+    return firsts.unionByName(lasts).withColumnRenamed("key", key)
 
 
 def sessions(events: DataFrame, key: str, ts: str = "ts", pause: str = "250 milliseconds", delay: str = "1 hour") -> DataFrame:
