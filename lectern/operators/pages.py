@@ -36,7 +36,7 @@ def span_styles(spans: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("bo
     font = F.lower(F.coalesce("font", F.lit(""))) if "font" in spans.columns else F.lit("")
     known = F.when(F.col("size") > 0, F.col("y"))
     base = F.max_by(known, F.when(known.isNotNull(), F.struct("size", -F.col("ord")))).over(Window.partitionBy(*keys))
-    shift, ratio = (base - F.col("y")) / F.nullif("size", F.lit(0)), F.nullif("size", F.lit(0)) / F.nullif("body", F.lit(0))
+    shift, ratio = (F.col("__base") - F.col("y")) / F.nullif("size", F.lit(0)), F.nullif("size", F.lit(0)) / F.nullif("body", F.lit(0))
     flagged = F.col("flags").bitwiseAND(1) != 0
     up, down = F.coalesce(flagged | (shift > VERTICAL_RATIO), F.lit(False)), F.coalesce(~flagged & (shift < -VERTICAL_RATIO), F.lit(False))
     tokens = F.array_compact(
@@ -47,7 +47,8 @@ def span_styles(spans: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("bo
             F.when(up | down, None).when(ratio >= LARGE, "lg").when(ratio <= SMALL, "sm"),
         )
     )
-    return attached(spans, sizes, [keys[0]]).withColumn("style", tokens).drop("body")
+    # Sizes first: what follows may go on by the keys.
+    return attached(spans, sizes, [keys[0]]).withColumn("__base", base).withColumn("style", tokens).drop("body", "__base")
 
 
 def in_band(y0: Column, y1: Column, height: Column) -> Column:

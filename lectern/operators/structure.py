@@ -177,16 +177,25 @@ def reflow_runs(page_lines: DataFrame, runs: DataFrame, margins: DataFrame | Non
     given = runs.select(book, order, F.col("span").alias("__span"), F.col("text").alias("__text"), "style")
     none = F.array().cast("array<string>")
     parts = lines.join(given, [book, order], "left").select(book, "paragraph", order, F.coalesce("__span", F.lit(0)).alias("__span"), F.coalesce("__text", "t").alias("__text"), F.coalesce("style", none).alias("style"), *least)
-    place = Window.partitionBy(book, "paragraph").orderBy(order, "__span").rowsBetween(Window.unboundedPreceding, -1)
-    parts = cut(parts.withColumn("__at", F.coalesce(F.sum(F.length("__text")).over(place), F.lit(0))))
-    joined = parts.groupBy(book, "paragraph").agg(F.array_sort(F.collect_list(F.struct("__at", order, "__span", "__text"))).alias("__parts"), *[F.min(c).alias(c) for c in least])
+    # A paragraph's runs are shuffled once; all that follows is told within its task.
+    keys = [book, "paragraph"]
+    joined = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "__span", "__text", "style"))).alias("__parts"), *[F.min(c).alias(c) for c in least])
     body = F.array_join(F.transform("__parts", lambda p: p["__text"]), "")
-    texts = joined.withColumn("__body", body).select(book, "paragraph", tidied(F.col("__body")).alias("text"), F.length(F.regexp_extract("__body", r"(?U)^[\s\x1c-\x1f]*", 0)).alias("__from"), *least).where(F.col("text") != "")
+    texts = joined.withColumn("__body", body).select(*keys, tidied(F.col("__body")).alias("text"), F.length(F.regexp_extract("__body", r"(?U)^[\s\x1c-\x1f]*", 0)).alias("__from"), "__parts", *least).where(F.col("text") != "")
+    each = texts.select(*keys, "text", F.length("text").alias("__size"), "__from", *least, F.posexplode("__parts").alias("__nth", "__part"))
+    # The paragraph's text stays with its first run alone.
+    each = each.select(*keys, "__nth", F.when(F.col("__nth") == 0, F.col("text")).alias("text"), "__size", "__from", *least, "__part.__text", "__part.style")
+    at = F.coalesce(F.sum(F.length("__text")).over(Window.partitionBy(*keys).orderBy("__nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Of a run's characters those from __from on, and no more than the text has.
-    start, end = F.greatest(F.col("__from") - F.col("__at"), F.lit(0)), F.least(F.col("__from") + F.length("text") - F.col("__at"), F.length("__text"))
-    cropped = attached(parts.select(book, "paragraph", "__at", order, "__span", "__text", "style"), texts.select(book, "paragraph", "text", "__from"), [book, "paragraph"]).where(F.col("text").isNotNull())
-    cropped = cropped.select(book, "paragraph", F.struct("__at", order, "__span").alias("ord"), F.substr("__text", (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")).alias("text"), "style")
-    return attached(texts.drop("__from"), merged_runs(cropped, [book, "paragraph"]), [book, "paragraph"])
+    start, end = F.greatest(F.col("__from") - F.col("__at"), F.lit(0)), F.least(F.col("__from") + F.col("__size") - F.col("__at"), F.length("__text"))
+    cropped = each.withColumn("__at", at).withColumn("__text", F.substr("__text", (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))).withColumn("__live", F.col("__text") != "")
+    w = Window.partitionBy(*keys, "__live").orderBy("__nth")
+    marked = cropped.withColumn("__new", (~F.col("style").eqNullSafe(F.lag("style").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
+    numbered_runs = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__nth", "__text"))), lambda s: s["__text"]), "")
+    merged = numbered_runs.groupBy(*keys, "__live", "__run").agg(piece.alias("__text"), F.first("style").alias("style"), F.max("text").alias("text"), *[F.min(c).alias(c) for c in least])
+    of = F.transform(F.array_sort(F.collect_list(F.when(F.col("__live"), F.struct("__run", "__text", "style")))), lambda s: F.struct(s["__text"].alias("text"), s["style"].alias("style")))
+    return merged.groupBy(*keys).agg(F.max("text").alias("text"), *[F.min(c).alias(c) for c in least], of.alias("runs")).select(*keys, "text", *least, "runs")
 
 
 def merged_runs(runs: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:

@@ -82,3 +82,19 @@ def test_page_book_with_runs(spark):
         (2, "p", "More of it, and an end 1.", [("More of it, ", ["i"]), ("and an ", []), ("end 1", ["b"]), (".", [])]),
         (3, "p", "More of it, and an end 2.", [("More of it, ", ["i"]), ("and an ", []), ("end 2", ["b"]), (".", [])]),
     ]
+
+
+def test_runs_of_a_paragraph_are_shuffled_by_it_once(spark):
+    lines = spark.createDataFrame([(1, 0, " ab"), (1, 1, "cd "), (1, 2, "ef.")], "book int, pos int, text string")
+    runs = spark.createDataFrame([(1, p, i, t, s) for p, i, t, s in ((0, 0, " ", ["b"]), (0, 1, "ab", []), (1, 0, "cd ", []), (2, 0, "ef.", ["i"]))], "book int, pos int, span int, text string, style array<string>")
+    found = structure.reflow_runs(lines, runs)
+    row = found.first()
+    assert (row["text"], [(r["text"], r["style"]) for r in row["runs"]]) == ("abcd ef.", [("abcd ", []), ("ef.", ["i"])])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = structure.reflow_runs(lines, runs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Exchange hashpartitioning" in line and ", paragraph#" in line for line in plan.splitlines()) == 1
