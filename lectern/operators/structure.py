@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from lectern import constants as K
 from lectern.functions import text as X
-from lectern.operators.joins import attached, cut
-from lectern.operators.prefix import numbered, running
+from lectern.operators.joins import attached, cut, small
+from lectern.operators.prefix import PART, numbered, running
 
 
 def lines(texts: DataFrame, text: str = "text", book: str = "book") -> DataFrame:
@@ -83,19 +83,83 @@ def titled(rows: DataFrame, book: str = "book") -> DataFrame:
     return attached(first, outline_levels(rows, book), [book]).select(book, F.coalesce(X.strip(F.when(F.col("chapter_level") > 1, F.col("top"))), F.lit("")).alias("title"))
 
 
-def blocks(rows: DataFrame, levels: DataFrame | None = None, book: str = "book") -> DataFrame:
-    """book, pos, chapter, title, kind, text: rows dealt to chapters. Rows before the first chapter belong to it; a chapter's title is no row of its own."""
-    rows = cut(rows)
-    placed = rows.join(levels, book) if levels is not None else leveled(rows, book)
+def _begins(fragments: DataFrame, book: str, amounts: Sequence[str], *carried: Column) -> DataFrame:
+    """A row a part of a book, with the sums of amounts over the parts before it. fragments: what a part has of a chapter."""
+    earlier = Window.partitionBy(book).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = fragments.groupBy(book, "__part").agg(*[F.sum(a).alias(a) for a in amounts], *carried)
+    return parts.withColumns({a: F.coalesce(F.sum(a).over(earlier), F.lit(0)) for a in amounts} | {"__rank": F.lit(0)})
+
+
+def _counts(fragments: DataFrame, nums: DataFrame, book: str) -> DataFrame:
+    """fragments with their chapter's num and its rows in earlier parts."""
+    earlier = Window.partitionBy(book, "chapter").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = fragments.select(book, "__part", "chapter", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__rows"), F.lit(1).alias("__rank"))
+    return attached(before, nums, [book, "chapter"])
+
+
+def _outlined(rows: DataFrame, levels: DataFrame | None, book: str, part: int, counted: bool) -> DataFrame:
+    """book, pos, chapter, title, kind, text of the rows that are no chapter's title, and, if counted, num, seq, page.
+
+    Chapters are told on rows without their texts first. What a part of a book has to know of the parts before it, and of its book, are rows that stand before its own, so
+    texts are shuffled once, by parts, and never written. rows is read several times: cut it before if it is costly."""
     by_text, noise = F.col("chapter_level").isNull(), X.is_noise_title(F.col("text"))
-    shallow = (F.col("level") >= 1) & (F.col("level") < F.col("chapter_level"))
+    shallow = F.coalesce((F.col("level") >= 1) & (F.col("level") < F.col("chapter_level")), F.lit(False))
     starts = F.when(by_text, F.col("text").rlike(K.CHAPTER_TITLE)).otherwise(F.col("level") == F.col("chapter_level")) & ~noise
-    kept = placed.where(~X.blank(F.col("text")) & ~F.coalesce(shallow, F.lit(False))).withColumn("text", X.strip(F.col("text"))).withColumn("starts", starts)
-    dealt = cut(running(kept, [book], "pos", {"chapter": F.col("starts").cast("int")}).withColumn("chapter", F.greatest("chapter", F.lit(1))))
-    dealt = attached(dealt, dealt.where("starts").groupBy(book, "chapter").agg(F.max("text").alias("title")), [book, "chapter"])
+    dealt = F.floor(F.col("pos") / part)
+    bare = rows.where(~X.blank(F.col("text"))).select(book, "pos", X.strip(F.col("text")).alias("text"), "level")
+
+    # Of a line: whether its text may be a title, and its length.
+    titles = {"__may": ~noise, "__like": F.col("text").rlike(K.CHAPTER_TITLE), "__size": F.length("text")}
+    thin = bare.select(book, "pos", "level", *[c.alias(n) for n, c in titles.items()])
+    placed = thin.join(levels, book) if levels is not None else attached(thin, cut(outline_levels(rows, book)), [book])
+    kept = placed.where(~shallow).withColumn("starts", F.when(by_text, F.col("__like")).otherwise(F.col("level") == F.col("chapter_level")) & F.col("__may"))
+    chaptered = running(kept, [book], "pos", {"chapter": F.col("starts").cast("int")}, part=part).withColumn("chapter", F.greatest("chapter", F.lit(1)))
+    fragments = cut(
+        chaptered.groupBy(book, dealt.alias("__part"), "chapter").agg(
+            F.count_if("starts").alias("__starts"), F.count_if(~F.col("starts")).alias("__rows"), F.coalesce(F.sum(F.when(~F.col("starts"), F.col("__size"))), F.lit(0)).alias("__chars"),
+            F.max(F.when(F.col("starts"), F.col("pos"))).alias("__title"), F.max("chapter_level").alias("chapter_level"),
+        )
+    )
+
+    # A title that stands in another part than some of its chapter's rows.
+    titled_at = fragments.withColumn("__at", F.max("__title").over(Window.partitionBy(book, "chapter")))
+    lacking = small(titled_at.where(F.col("__title").isNull() & F.col("__at").isNotNull()).select(F.col(book).alias("__book"), "__part", "chapter", "__at", "chapter_level"))
+    carried = bare.join(lacking, F.col(book).eqNullSafe(F.col("__book")) & (F.col("pos") == F.col("__at"))).where(starts).select(book, "__part", "chapter", F.col("text").alias("title"), F.lit(1).alias("__rank"))
+
+    heads = [_begins(fragments, book, ["__starts", "__chars"], F.max("chapter_level").alias("chapter_level")), carried]
+    if counted:
+        nums = running(fragments.where("__rows > 0").select(book, "chapter").distinct(), [book], "chapter", {"num": F.lit(1)}, part=part)
+        heads.append(_counts(fragments, nums, book))
+    every = bare.withColumns({"__part": dealt, "__rank": F.lit(2)})
+    for head in heads:
+        every = every.unionByName(head, allowMissingColumns=True)
+    row, inside = F.col("__rank") == 2, Window.partitionBy(book, "__part").orderBy("__rank", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = every.withColumns({"chapter_level": F.max("chapter_level").over(inside), "__met": F.min("__rank").over(inside) == 0})
+    known = met.where(~row | (F.col("__met") & ~shallow)).withColumn("starts", F.when(row, starts))
+    body = row & ~F.col("starts")
+    own = F.when(body, F.length("text")).otherwise(F.coalesce("__chars", F.lit(0)))
+    summed = known.withColumns({"__upto": F.sum(F.coalesce(F.col("starts").cast("int"), "__starts", F.lit(0))).over(inside), "__before": F.sum(own).over(inside) - own})
+    summed = summed.withColumns({"chapter": F.coalesce("chapter", F.greatest("__upto", F.lit(1))), "title": F.when(F.col("starts"), F.col("text")).otherwise(F.col("title"))})
+    of = Window.partitionBy(book, "__part", "chapter")
+    found = summed.withColumn("title", F.coalesce(F.max("title").over(of), F.lit("")))
+    numbers = []
+    if counted:
+        found = found.withColumns({"num": F.max("num").over(of), "seq": F.sum(F.when(body, 1).otherwise(F.coalesce("__rows", F.lit(0)))).over(of.orderBy("__rank", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+        numbers = [F.col("num").cast("int").alias("num"), F.col("seq").cast("int").alias("seq"), (F.lit(1) + F.floor(F.col("__before") / K.PAGE_CHARS)).cast("int").alias("page")]
     heading = F.when(by_text, (F.length("text") <= K.HEADING_CHARS) & F.col("text").rlike(K.SECTION_TITLE)).otherwise(F.col("level") > F.col("chapter_level"))
     kind = F.when(heading, "heading").when(X.looks_like_formula(F.col("text")), "formula").otherwise("p")
-    return dealt.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("kind", kind).where(~F.col("starts")).select(book, "pos", "chapter", "title", "kind", "text")
+    return found.where(body).select(book, "pos", "chapter", "title", kind.alias("kind"), "text", *numbers)
+
+
+def blocks(rows: DataFrame, levels: DataFrame | None = None, book: str = "book", part: int = PART) -> DataFrame:
+    """book, pos, chapter, title, kind, text: rows (book, pos, text, level) dealt to chapters. Rows before the first chapter belong to it; a chapter's title is no row of its own.
+    rows is read several times: cut it before if it is costly."""
+    return _outlined(rows, levels, book, part, counted=False)
+
+
+def assembled(rows: DataFrame, levels: DataFrame | None = None, book: str = "book", part: int = PART) -> DataFrame:
+    """As assemble of the blocks of rows (book, pos, text, level), with one shuffle of texts for both."""
+    return _outlined(rows, levels, book, part, counted=True).select(book, "num", "title", "seq", "page", "kind", "text")
 
 
 def pipeline_chapters(rows: DataFrame, book: str = "book") -> DataFrame:
@@ -115,14 +179,22 @@ def virtual_pages(paragraphs: DataFrame, book: str = "book", order: str = "pos",
     return running(paragraphs, [book], order, {"page": F.length(text)}, before=True).withColumn("page", (F.lit(1) + F.floor(F.col("page") / size)).cast("int"))
 
 
-def assemble(found: DataFrame, book: str = "book") -> DataFrame:
-    """book, num, title, seq, page, kind, text: blocks with pages; an image stands as a short text, chapters without text go, chapters and sections are numbered from 1."""
+def assemble(found: DataFrame, book: str = "book", part: int = PART) -> DataFrame:
+    """book, num, title, seq, page, kind, text: blocks with pages; an image stands as a short text, chapters without text go, chapters and sections are numbered from 1.
+    found is read twice: cut it before if it is costly."""
     shown = F.when(X.blank(F.col("text")) & (F.col("kind") == "image"), F.lit(K.IMAGE_TEXT)).otherwise(F.col("text"))
-    paged = cut(virtual_pages(found.withColumn("text", shown).where(~X.blank(F.col("text"))), book))
-    # A book's chapters are rows of their own; a chapter's sections are counted in parts.
-    nums = numbered(paged.select(book, "chapter").distinct(), [book], ["chapter"], "num")
-    counted = running(attached(paged, nums, [book, "chapter"]), [book, "chapter"], "pos", {"seq": F.lit(1)})
-    return counted.select(book, "num", "title", F.col("seq").cast("int").alias("seq"), "page", "kind", "text")
+    rows = found.withColumn("text", shown).where(~X.blank(F.col("text"))).select(book, "pos", "chapter", "title", "kind", "text", F.floor(F.col("pos") / part).alias("__part"), F.lit(2).alias("__rank"))
+    fragments = cut(rows.groupBy(book, "__part", "chapter").agg(F.count(F.lit(1)).alias("__rows"), F.sum(F.length("text")).alias("__chars")))
+    nums = numbered(fragments.select(book, "chapter").distinct(), [book], ["chapter"], "num")
+    # What a part has to know of the parts before it stands before its rows, so texts are shuffled once.
+    every = rows.unionByName(_begins(fragments, book, ["__chars"]), allowMissingColumns=True).unionByName(_counts(fragments, nums, book), allowMissingColumns=True)
+    row, upto = F.col("__rank") == 2, (Window.unboundedPreceding, Window.currentRow)
+    own = F.when(row, F.length("text")).otherwise(F.coalesce("__chars", F.lit(0)))
+    paged = every.withColumn("__before", F.sum(own).over(Window.partitionBy(book, "__part").orderBy("__rank", "pos").rowsBetween(*upto)) - own)
+    of = Window.partitionBy(book, "__part", "chapter")
+    counted = paged.withColumns({"num": F.max("num").over(of), "seq": F.sum(F.when(row, 1).otherwise(F.coalesce("__rows", F.lit(0)))).over(of.orderBy("__rank", "pos").rowsBetween(*upto))})
+    page = (F.lit(1) + F.floor(F.col("__before") / K.PAGE_CHARS)).cast("int")
+    return counted.where(row).select(book, "num", "title", F.col("seq").cast("int").alias("seq"), page.alias("page"), "kind", "text")
 
 
 def page_ranges(starts: DataFrame, last: Column, book: str = "book") -> DataFrame:

@@ -137,20 +137,19 @@ def noisy_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.size(F.from_json(X.json_text(noisy, "[", "]"), "array<struct<k:int>>")).alias("n"))
 
 
-def _bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("pos") % 7 == 0, 1).when(F.col("pos") % 3 == 0, 2).otherwise(0)
     rows = structure.lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), "text")).select("book", "pos", X.strip(F.col("raw")).alias("text"), level.alias("level"))
-    return lifecycle.bundle(structure.assemble(structure.blocks(rows)))
+    return structure.assembled(rows)
 
 
 def bundle_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bundle(spark, sf_dir)[1]
+    return lifecycle.bundle(_assembled(spark, sf_dir))[1]
 
 
 def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters, sections, _ = _bundle(spark, sf_dir)
     books = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("lang").alias("note"), F.lit("").alias("content_warning"))
-    return sink.markdown(books, chapters, sections)
+    return sink.assembled_markdown(books, _assembled(spark, sf_dir))
 
 
 def manifest_nested(spark: SparkSession, sf_dir: str) -> DataFrame:

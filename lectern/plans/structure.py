@@ -40,7 +40,7 @@ def chapter_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assembled_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.assemble(structure.blocks(_outline(spark, sf_dir))).select("book", "num", "seq", "page", F.length("text").alias("chars"))
+    return structure.assembled(_outline(spark, sf_dir)).select("book", "num", "seq", "page", F.length("text").alias("chars"))
 
 
 def pipeline_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:

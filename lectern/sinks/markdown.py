@@ -13,19 +13,35 @@ def _or(name: str, default: str):  # noqa: ANN202
     return F.when(X.blank(F.col(name)), F.lit(default)).otherwise(F.col(name))
 
 
-def markdown(books: DataFrame, chapters: DataFrame, sections: DataFrame) -> DataFrame:
-    """book_id, markdown. books: id, title, note, content_warning; chapters: id, book_id, num, title; sections: chapter_id, seq, page, kind, text."""
+def _block():  # noqa: ANN202
+    """A section (page, kind, text) as Markdown."""
     body = X.strip(F.col("text"))
     page = F.concat(F.lit("<!-- page: "), F.col("page").cast("string"), F.lit(" -->\n"))
-    block = F.when(F.col("kind") == "heading", F.concat(page, F.lit("### "), body)).when(F.col("kind") == "formula", F.concat(page, F.lit("```\n"), body, F.lit("\n```"))).otherwise(F.concat(page, F.replace(body, F.lit("\n"), F.lit("  \n"))))
-    of_chapter = sections.where(~X.blank(F.col("text"))).groupBy("chapter_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("body"))
-    titled = chapters.join(of_chapter, F.col("id") == F.col("chapter_id"), "left").select("book_id", "num", F.concat_ws("\n\n", F.concat(F.lit("## "), _or("title", K.NO_CHAPTER_TITLE)), F.col("body")).alias("c"))
-    of_book = titled.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("num", "c"))), lambda s: s["c"]), "\n\n").alias("chapters"))
+    return F.when(F.col("kind") == "heading", F.concat(page, F.lit("### "), body)).when(F.col("kind") == "formula", F.concat(page, F.lit("```\n"), body, F.lit("\n```"))).otherwise(F.concat(page, F.replace(body, F.lit("\n"), F.lit("  \n"))))
+
+
+def _headed(books: DataFrame, of_book: DataFrame) -> DataFrame:
+    """book_id, markdown: the books' heads and their chapters (book_id, chapters)."""
     head = [F.concat(F.lit("# "), _or("title", K.NO_TITLE)), F.when(~X.blank(F.col("note")), F.concat(F.lit("> "), X.strip(F.col("note")))), F.when(~X.blank(F.col("content_warning")), F.concat(F.lit("> ⚠️ "), X.strip(F.col("content_warning"))))]
     joined = books.join(of_book, F.col("id") == F.col("book_id"), "left")
     return joined.select(F.col("id").alias("book_id"), F.concat(F.regexp_replace(F.concat_ws("\n\n", *head, F.col("chapters")), "\\s+$", ""), F.lit("\n")).alias("markdown"))
 
 
+def markdown(books: DataFrame, chapters: DataFrame, sections: DataFrame) -> DataFrame:
+    """book_id, markdown. books: id, title, note, content_warning; chapters: id, book_id, num, title; sections: chapter_id, seq, page, kind, text."""
+    of_chapter = sections.where(~X.blank(F.col("text"))).groupBy("chapter_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", _block().alias("b")))), lambda s: s["b"]), "\n\n").alias("body"))
+    titled = chapters.join(of_chapter, F.col("id") == F.col("chapter_id"), "left").select("book_id", "num", F.concat_ws("\n\n", F.concat(F.lit("## "), _or("title", K.NO_CHAPTER_TITLE)), F.col("body")).alias("c"))
+    of_book = titled.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("num", "c"))), lambda s: s["c"]), "\n\n").alias("chapters"))
+    return _headed(books, of_book)
+
+
+def assembled_markdown(books: DataFrame, assembled: DataFrame, book: str = "book") -> DataFrame:
+    """As markdown of the bundle of assembled books (book, num, title, seq, page, kind, text): every chapter has a first section, which brings its title, so that texts are gathered once, by book."""
+    piece = F.when(F.col("seq") == 1, F.concat(F.lit("## "), _or("title", K.NO_CHAPTER_TITLE), F.lit("\n\n"), _block())).otherwise(_block())
+    of_book = assembled.groupBy(F.col(book).cast("string").alias("book_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("num", "seq", piece.alias("b")))), lambda s: s["b"]), "\n\n").alias("chapters"))
+    return _headed(books, of_book)
+
+
 def manifest(paragraphs: DataFrame, book: str = "book") -> DataFrame:
     """book, manifest: chapters of parts of paragraphs (anchor, text), nested. paragraphs: book, chapter, title, part, nth, text. Anchors count through a chapter's parts."""
     anchored = paragraphs.withColumn("paragraph", F.struct("nth", F.concat(F.lit("ch"), F.col("chapter").cast("string"), F.lit("-p"), F.lpad(F.col("nth").cast("string"), 3, "0")).alias("anchor"), "text"))
